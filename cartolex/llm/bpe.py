@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import base64
+import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +14,8 @@ from pyspark.sql import DataFrame
 
 from cartolex.llm.common import binary_column, byte_chunks
 
-#: Pieces longer than this are encoded each time; a worker keeps at most CACHE_PIECES shorter ones.
-CACHED_LENGTH, CACHE_PIECES = 48, 300_000
+#: Words longer than this are encoded each time; a worker keeps at most CACHE_WORDS shorter ones.
+CACHED_LENGTH, CACHE_WORDS = 48, 600_000
 
 
 def byte_table() -> list[str]:
@@ -33,6 +36,7 @@ class Coder:
     built: dict[tuple[int, str], Coder] = {}
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import regex
         import tiktoken
         from tokenizers import Tokenizer, models, pre_tokenizers
@@ -49,8 +53,12 @@ class Coder:
         back = {c: b for b, c in enumerate(table)}
         self.bytes_of = {rank: bytes(back[c] for c in token) for token, rank in vocab.items()}
         self.split = regex.compile(pattern).findall
-        self.exact = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes] = {}
+        self.exact = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        # the pattern of the rank files keeps words apart at a lone space or line feed, whatever stands around it
+        self.by_words = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+" in pattern
+        self.wide = re.compile(r"\s\s").search
+        self.spaced: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, key: int, text: bytes, pattern: str) -> Coder:
@@ -60,26 +68,49 @@ class Coder:
 
     def merged(self, pieces: list[str]) -> list[list[int]]:
         """Ids of single pieces. Where two splits of one token compete in a run, the order of ranks alone can differ
-        from leftmost first, so new pieces are compared with the rank merge of the other library."""
-        ids = [x.ids for x in self.bpe.encode_batch(pieces, add_special_tokens=False)]
-        true = self.exact.encode_ordinary_batch(pieces, num_threads=1)
-        return [a if a == b else b for a, b in zip(ids, true, strict=True)]
+        from leftmost first, so pieces are compared with the rank merge of the other library."""
+        ids = [x.ids for x in self.bpe.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [a if a == (b := self.exact(p)) else b for p, a in zip(pieces, ids, strict=True)]
+
+    def fresh(self, words: list[str], lead: str, known: dict[str, bytes]) -> dict[str, bytes]:
+        """Encodes words that are not kept yet; returns those too long to be kept."""
+        if len(known) + len(words) > CACHE_WORDS:
+            known.clear()
+        split = [[lead + w] if w.isalpha() else self.split(lead + w) for w in words]
+        ids = iter(self.merged([p for x in split for p in x]))
+        long = {}
+        for w, x in zip(words, split, strict=True):
+            (known if len(w) <= CACHED_LENGTH else long)[w] = array("I", [i for _ in x for i in next(ids)]).tobytes()
+        return long
+
+    def encode_words(self, words: list[str], lead: str, known: dict[str, bytes]) -> list[bytes]:
+        new = [w for w in {*words} if w not in known]
+        if not new:
+            return list(map(known.__getitem__, words))
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            new = list({*words})
+        long = self.fresh(new, lead, known)
+        return [long[w] if w in long else known[w] for w in words] if long else list(map(known.__getitem__, words))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        pieces = self.split(text)
-        known = self.known
-        new = [p for p in {*pieces} if p not in known]
-        if new:
-            if len(known) + len(new) > CACHE_PIECES:
-                known.clear()
-                new = list({*pieces})
-            once = {}
-            for piece, ids in zip(new, self.merged(new), strict=True):
-                (known if len(piece) <= CACHED_LENGTH else once)[piece] = np.array(ids, "<u4").tobytes()
-            if once:
-                return b"".join([once[p] if p in once else known[p] for p in pieces])
-        return b"".join(map(known.__getitem__, pieces))
+        if not text:
+            return b""
+        if not self.by_words or self.wide(text) or text[0].isspace() or text[-1].isspace():
+            return b"".join(array("I", x).tobytes() for x in self.merged(self.split(text)))
+        lines = [x.split(" ") for x in text.split("\n")]
+        first = self.encode_words([x[0] for x in lines], "", self.bare)
+        rest = [w for x in lines for w in x[1:]]
+        rest = self.encode_words(rest, " ", self.spaced)
+        if len(lines) == 1:
+            return first[0] + b"".join(rest)
+        (feed,) = self.encode_words(["\n"], "", self.bare)
+        out, at = [], 0
+        for x, head in zip(lines, first, strict=True):
+            out += [feed, head, *rest[at : at + len(x) - 1]]
+            at += len(x) - 1
+        return b"".join(out[1:])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
