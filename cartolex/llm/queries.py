@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolex.llm import bpe, secrets, topk, urls
+from cartolex.llm import bpe, minhash, secrets, substrings, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,50 @@ def spans_text(spans, keep=lambda s: F.lit(True)):
     return F.array_join(F.transform(F.filter(spans, keep), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+@query
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Words of a text in DuckDB, as a list.
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+ORACLES["op2_substrings"] = f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i+12], ' ') as k from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d)),
+own as (select k, min(doc_id) as lo from win group by k),
+hit as (select doc_id, i from win join own using (k) where doc_id > lo),
+cov as (select distinct doc_id, i + unnest(range(0, 13)) as p from hit),
+wd as (select doc_id, unnest(range(1, len(w) + 1)) as p, unnest(w) as x from d),
+kept as (select wd.doc_id, string_agg(x, ' ' order by wd.p) as t, count(*) as n from wd left join cov on wd.doc_id = cov.doc_id and wd.p = cov.p where cov.p is null group by wd.doc_id)
+select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (doc_id)"""
+
+
+@query
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2, percent=80)
+
+
+def _closure(ids: str, id_: str) -> str:
+    """Labels by recursion over ``link(a, b)``, both directions."""
+    return f"""reach(x, y) as (select a, b from link union select r.x, l.b from reach r join link l on r.y = l.a),
+lab as (select x, least(x, min(y)) as c from reach group by x)"""
+
+
+ORACLES["op3_minhash"] = f"""
+with recursive d as (select doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) = 1 then [w[1]] else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as g from d),
+one as (select doc_id, len(g) as n, unnest(g) as x from s),
+freq as (select x, count(*) as f from one group by x),
+pre as (select doc_id, n, x from (select doc_id, n, one.x, row_number() over (partition by doc_id order by f, one.x) as r from one join freq on one.x = freq.x) where r <= n - ceil(0.8 * n) + 1),
+cand as (select distinct a.doc_id as a, b.doc_id as b from pre a join pre b on a.x = b.x and a.doc_id < b.doc_id and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80),
+half as materialized (select a, b from cand join s p on p.doc_id = a join s q on q.doc_id = b where 100 * len(list_intersect(p.g, q.g)) >= 80 * (len(p.g) + len(q.g) - len(list_intersect(p.g, q.g)))),
+link as (select a, b from half union all select b, a from half),
+{_closure("s", "doc_id")}
+select doc_id, len(g)::bigint as n_shingles, coalesce(c, doc_id) as component_id, doc_id = coalesce(c, doc_id) as kept from s left join lab on doc_id = x"""
+
+
 @query
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
