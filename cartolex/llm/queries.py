@@ -8,7 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolex.llm import bpe, minhash, pivots, secrets, substrings, topk, urls
+from cartolex.llm import bpe, minhash, mixing, pivots, secrets, substrings, topk, urls
+from cartolex.llm.common import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,6 +140,12 @@ select page_id, host, path,
 from parts"""
 
 
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
+    return mixing.mix_sources(cut(sizes, "sizes")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
