@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolex.llm import bpe, minhash, mixing, pivots, secrets, substrings, topk, urls
+from cartolex.llm import bpe, minhash, mixing, pii, pivots, quality, secrets, substrings, topk, urls
 from cartolex.llm.common import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,13 @@ link as (select a, b from half union all select b, a from half),
 select doc_id, len(g)::bigint as n_shingles, coalesce(c, doc_id) as component_id, doc_id = coalesce(c, doc_id) as kept from s left join lab on doc_id = x"""
 
 
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[n(k) for k in pii.KINDS], F.sha2(spans_text("spans", lambda s: s["base"]), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
+
+
 @query
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -146,6 +153,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(cut(sizes, "sizes")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def trusted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return quality.judge_quality(docs, trusted_documents(spark, sf_dir)).select("doc_id", "lang", "perplexity", "threshold", "kept")
+
+
 @query
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
