@@ -69,7 +69,7 @@ def identity_keys(spark, sf_dir):
 @query(f"""
 with a as (select s from {STREETS_SQL} union all select 'ul. ' || n_name || ' ' || (n_nationkey * 3)::varchar || case when n_nationkey % 2 = 0 then 'b' else '' end from nation),
 h as (select s, regexp_extract(s, '\\b(\\d+[a-zа-яA-ZА-Я]?)\\b', 1) as house from a)
-select s, house, case when regexp_matches(house, '^\\s*\\d+\\s*[a-zа-яA-ZА-Я]?\\s*$') then regexp_extract(house, '\\d+')::double + case when regexp_matches(house, '[a-zа-яA-ZА-Я]') then 0.5 else 0 end end as value from h""")
+select s, house, case when regexp_matches(house, '^\\d') then regexp_extract(house, '^\\d+')::double + case when regexp_matches(house, '^\\d+[a-zа-яA-ZА-Я]$') then 0.5 else 0 end end as value from h""")
 def house_numbers(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     made = n.select(F.concat(F.lit("ul. "), "n_name", F.lit(" "), (F.col("n_nationkey") * 3).cast("string"), F.when(F.col("n_nationkey") % 2 == 0, "b").otherwise("")).alias("s"))

@@ -84,10 +84,9 @@ def house_number(c: Column) -> Column:
 
 
 def house_value(c: Column) -> Column:
-    """The leading number, half more with a single letter after it; else null."""
-    whole = F.regexp_extract(c, r"(?iu)^\s*(\d+)\s*([a-zа-я]?)\s*$", 1)
-    letter = F.regexp_extract(c, r"(?iu)^\s*(\d+)\s*([a-zа-я]?)\s*$", 2)
-    return F.when(whole != "", whole.cast("double") + F.when(letter != "", 0.5).otherwise(0.0))
+    """The leading number, half more where a single letter is all that follows; else null."""
+    whole = F.regexp_extract(c, r"^(\d+)", 1)
+    return F.when(whole != "", whole.cast("double") + F.when(c.rlike(r"(?iu)^\d+[a-zа-я]$"), 0.5).otherwise(0.0))
 
 
 def norm_name(c: Column) -> Column:
