@@ -126,17 +126,17 @@ def top_k_inner(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str
             # the range partitions of the written table are the blocks: one row for each
             bounds = sorted(r["id"] for r in asked.groupBy(F.input_file_name()).agg(F.min("id").alias("id")).collect())
             blocks = len(bounds)
-        seeds = ints.orderBy(F.desc("len2"), "id").limit(SEED_ROWS).toPandas()
-        sv, sid = np.array(seeds["v"].tolist(), np.float64).reshape(-1, dim), seeds["id"].to_numpy(np.int64)
+        seeds = ints.orderBy(F.desc("len2"), "id").limit(SEED_ROWS).toArrow()
+        sv, sid = matrix(seeds["v"], dim), seeds["id"].to_numpy()
 
         for b in range(blocks):
             block = asked
             if blocks > 1:
                 block = asked.where(F.col("id") >= bounds[b]) if b + 1 >= len(bounds) else asked.where((F.col("id") >= bounds[b]) & (F.col("id") < bounds[b + 1]))
-            rows = block.orderBy("id").toPandas()
-            if not len(rows):
+            rows = block.orderBy("id").toArrow()
+            if not rows.num_rows:
                 continue
-            qid, q = rows["id"].to_numpy(np.int64), np.array(rows["v"].tolist(), np.float64).reshape(-1, dim)
+            qid, q = rows["id"].to_numpy(), matrix(rows["v"], dim)
             floor = scan(((sid[i : i + 512], sv[i : i + 512]) for i in range(0, len(sid), 512)), qid, q, np.full(len(q), -np.inf), turn, k).least
             sent = spark.sparkContext.broadcast((qid, q, floor, turn))
 

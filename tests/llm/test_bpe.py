@@ -45,7 +45,7 @@ def test_starts_share_split_characters():
 def test_rows(spark):
     rows = [(1, "a b", "x"), (None, None, "y"), (2, "", None), (2, "", None), (3, "z" * 30000 + " é", "k")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
-    back = bpe.decode_bpe(bpe.encode_bpe(docs, RANKS, P.PATTERN, offsets=True), RANKS, P.PATTERN)
+    back = bpe.decode_bpe(bpe.encode_bpe(docs, RANKS, P.PATTERN, offsets=True), RANKS)
     assert back.columns == ["doc_id", "ids", "n_tokens", "starts", "decoded"]
     got = sorted((r["doc_id"] or 0, bytes(r["decoded"]).decode(), r["n_tokens"]) for r in back.collect())
     assert [g[:2] for g in got] == sorted((d or 0, t or "") for d, t, _ in rows) and got[0][2] == 0
