@@ -138,7 +138,7 @@ def geocode_guard(spark, sf_dir):
 # --- queues
 
 
-@query("""with s as (select case event_id % 3 when 0 then 'a' when 1 then 'b' else 'c' end as source, user_id as property_id, case when event_type = 'error' then null else event_type end as reason, epoch_ms(ts) as created_at from events),
+@query("""with s as (select case event_id % 3 when 0 then 'a' when 1 then 'b' else 'c' end as source, user_id as property_id, case when event_type = 'error' then null else event_type end as reason, epoch_us(ts) // 1000 as created_at from events),
 good as (select distinct * from s where reason is not null), fresh as (select * from good where created_at % 5 <> 0 or source <> 'a'),
 pick as (select property_id, first(reason order by created_at, source, reason) as reason, min(created_at) as created_at from fresh group by 1),
 canon as (select c_custkey as property_id, 'no_landmark' as reason, c_custkey * 1000 as created_at from customer where c_custkey % 4 = 0 and c_custkey < 100)
