@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,19 +68,31 @@ def nearest_places(centres: DataFrame, pois: DataFrame, metres_: float = 2000.0,
     )
     near = radius_join(centres.select(id_, "lat", "lon"), facts, metres_)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lat, lon = pdf["lat"].iloc[0], pdf["lon"].iloc[0]
+    fields = ["poi_id", "name", "type", "p_lat", "p_lon", "source", "place_id", "review_count", "closed", "rank", "stop", "tokens", "qual", "embassy", "countries", "distance"]
+    around = near.groupBy(id_).agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"), F.collect_list(F.struct(*fields)).alias("rows"))
+    names = [id_, "rn", "poi_id", "poi_name", "poi_type", "rank", "distance_m"]
+
+    def folded(lat: float, lon: float, rows: list[dict]) -> list[dict]:
         places: list[dict] = []
-        for r in pdf.sort_values(["distance", "name", "poi_id"]).to_dict("records"):
-            row = {**r, "lat": r["p_lat"], "lon": r["p_lon"], "dist": r["distance"], "tokens": frozenset(r["tokens"]), "countries": frozenset(r["countries"]), "place_id": r["place_id"] if isinstance(r["place_id"], str) else None}
-            row["review_count"] = None if pd.isna(r["review_count"]) else r["review_count"]
+        for r in sorted(rows, key=lambda r: (r["distance"], r["name"], r["poi_id"])):
+            row = {**r, "lat": r["p_lat"], "lon": r["p_lon"], "dist": r["distance"], "tokens": frozenset(r["tokens"]), "countries": frozenset(r["countries"])}
             at = next((i for i, p in enumerate(places) if same_place(p, row)), None)
             if at is None:
                 places.append(row)
             else:
                 places[at] = _merge(places[at], row, lat, lon)
         prom = lambda p: -1.0 if p["closed"] == 1 else math.log10((p["review_count"] or 0) + 1) + (0.01 if p["source"] == "google" else 0.0)
-        places.sort(key=lambda p: (p["stop"], -p["rank"], p["dist"], -prom(p), p["name"], p["poi_id"]))
-        return pd.DataFrame([(pdf[id_].iloc[0], i + 1, p["poi_id"], p["name"], p["type"], p["rank"], math.floor(p["dist"] + 0.5)) for i, p in enumerate(places[:limit])], columns=[id_, "rn", "poi_id", "poi_name", "poi_type", "rank", "distance_m"])
+        return sorted(places, key=lambda p: (p["stop"], -p["rank"], p["dist"], -prom(p), p["name"], p["poi_id"]))[:limit]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64()]
+        for batch in batches:
+            ids, out = [], []
+            for i, (lat, lon, rows) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+                for n, p in enumerate(folded(lat, lon, rows)):
+                    ids.append(i)
+                    out.append((n + 1, p["poi_id"], p["name"], p["type"], p["rank"], math.floor(p["dist"] + 0.5)))
+            cols = zip(*out, strict=True) if out else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names)
 
-    return near.groupBy(id_).applyInPandas(run, f"{id_} {centres.schema[id_].dataType.simpleString()}, {_OUT}")
+    return around.mapInArrow(run, f"{id_} {centres.schema[id_].dataType.simpleString()}, {_OUT}")
