@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from cartolex.llm.common import binary_column, byte_chunks
 
 #: Words longer than this are encoded each time; a worker keeps at most CACHE_WORDS shorter ones.
-CACHED_LENGTH, CACHE_WORDS = 48, 600_000
+CACHED_LENGTH, CACHE_WORDS = 48, 150_000
 
 
 def byte_table() -> list[str]:
@@ -30,12 +30,33 @@ def read_ranks(text: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, text.splitlines()) if a}
 
 
-class Coder:
+class Decoder:
+    """The bytes of ids, by the byte table turned round; a worker that only decodes holds nothing else."""
+
+    built: dict[int, Decoder] = {}
+
+    def __init__(self, ranks: dict[bytes, int]):
+        table = byte_table()
+        back = {c: b for b, c in enumerate(table)}
+        self.bytes_of = {rank: bytes(back[table[b]] for b in token) for token, rank in ranks.items()}
+
+    @classmethod
+    def of(cls, key: int, text: bytes) -> Decoder:
+        if key not in cls.built:
+            cls.built[key] = cls(read_ranks(text))
+        return cls.built[key]
+
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+class Coder(Decoder):
     """Encodes and decodes with one set of ranks; built once in a Python worker."""
 
-    built: dict[tuple[int, str], Coder] = {}
+    built: dict = {}
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        super().__init__(ranks)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import regex
         import tiktoken
@@ -50,8 +71,6 @@ class Coder:
         vocab = {named(token): rank for token, rank in ranks.items()}
         self.bpe = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True))
         self.bpe.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        back = {c: b for b, c in enumerate(table)}
-        self.bytes_of = {rank: bytes(back[c] for c in token) for token, rank in vocab.items()}
         self.split = regex.compile(pattern).findall
         self.exact = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         # the pattern of the rank files keeps words apart at a lone space or line feed, whatever stands around it
@@ -61,7 +80,7 @@ class Coder:
         self.bare: dict[str, bytes] = {}
 
     @classmethod
-    def of(cls, key: int, text: bytes, pattern: str) -> Coder:
+    def of(cls, key: int, text: bytes, pattern: str = "") -> Coder:
         if (key, pattern) not in cls.built:
             cls.built[key, pattern] = cls(read_ranks(text), pattern)
         return cls.built[key, pattern]
@@ -112,9 +131,6 @@ class Coder:
             at += len(x) - 1
         return b"".join(out[1:])
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
     def starts(self, text: str) -> list[int]:
         """The code point at which each token starts; tokens inside one split character share its place."""
         places, at = [], 0
@@ -149,7 +165,7 @@ def encode_bpe(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text",
         coder = Coder.of(key, sent.value, pattern)
         for batch in batches:
             col = binary_column(batch, text)
-            for lo, hi, data, off in byte_chunks(col, 8 << 20):
+            for lo, hi, data, off in byte_chunks(col, 4 << 20):
                 raw = data.tobytes()
                 texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(off[:-1], off[1:], strict=True)]
                 ids = [coder.encode(t) for t in texts]
@@ -167,19 +183,19 @@ def encode_bpe(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text",
     return docs.select(*kept, text).mapInArrow(run, _with(rest, added) if kept else added)
 
 
-def decode_bpe(tokens: DataFrame, ranks: bytes, pattern: str, ids: str = "ids") -> DataFrame:
+def decode_bpe(tokens: DataFrame, ranks: bytes, ids: str = "ids") -> DataFrame:
     """Adds ``decoded`` (binary): the bytes of the ids. A character that tokens split is whole again once they are joined.
 
     Null ids decode to no bytes. A column that is called decoded is replaced.
     """
-    sent, key = tokens.sparkSession.sparkContext.broadcast(ranks), hash((ranks, pattern))
+    sent, key = tokens.sparkSession.sparkContext.broadcast(ranks), hash(ranks)
     kept = [c for c in tokens.columns if c != "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder.of(key, sent.value, pattern)
+        coder = Decoder.of(key, sent.value)
         for batch in batches:
             col = binary_column(batch, ids)
-            for lo, hi, data, off in byte_chunks(col, 8 << 20):
+            for lo, hi, data, off in byte_chunks(col, 4 << 20):
                 raw, part = data.tobytes(), batch.slice(lo, hi - lo)
                 out = [coder.decode(raw[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), pa.array(out, pa.binary())], [*kept, "decoded"])
