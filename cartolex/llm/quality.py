@@ -106,7 +106,7 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", t
     ids = sized(ids, 24)
     model = kneser_ney(count_ngrams(docs.join(ids, doc_id, "left_semi").where(f"`{text}` is not null"), text))
     table = np.zeros(ENTRIES, np.float32)
-    got = model.toPandas()  # SYMBOLS ** ORDER rows, whatever the input
+    got = model.select("code", F.col("p").cast("float").alias("p")).toArrow()  # SYMBOLS ** ORDER rows, whatever the input
     table[got["code"].to_numpy()] = -np.log(np.maximum(got["p"].to_numpy(), 1e-12))
     sent = spark.sparkContext.broadcast(table)
     kept = [c for c in docs.columns if c not in names]
