@@ -130,3 +130,18 @@ def window_hashes(word: np.ndarray, size: int, base: int) -> np.ndarray:
         out *= np.uint64(base)
         out += word[j : j + n]
     return mixed(out)
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest index that each of n nodes reaches over the links (a, b)."""
+    root = np.arange(n)
+    while len(a):
+        lo = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], lo)
+        np.minimum.at(new, root[b], lo)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    return root

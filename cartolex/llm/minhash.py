@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolex.llm.common import binary_column, byte_chunks, cut, mixed, sized, window_hashes, word_hashes
+from cartolex.llm.common import binary_column, byte_chunks, cut, forest, mixed, sized, window_hashes, word_hashes
 from cartolex.llm.components import components
 
 #: A pair of similarity 0.8 shares no band with a chance of (1 - 0.8 ** ROWS) ** BANDS, about 5e-8.
 BANDS, ROWS = 32, 4
+#: Members of one tile of a bucket at most, and shingles of all of them about.
+TILE, TILE_KEYS = 512, 400_000
 #: Agreeing bits of the 128 one-bit minima that a pair needs: at similarity 0.8, 115 are expected; 92 is 6 deviations less.
 LEAST_BITS = 92
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -103,6 +105,43 @@ def _sets(size: int):
     return run
 
 
+def _block_links(percent: int):
+    """Compares the sets of two tiles of a bucket where components differ."""
+
+    def run(key, group):
+        group = group.combine_chunks()
+        n = group.num_rows
+        labels, second = group.column("label").combine_chunks(), group.column("second").to_numpy()
+        code = labels.dictionary_encode().indices.to_numpy()
+        keys = group.column("keys").combine_chunks()
+        size = keys.value_lengths().to_numpy().astype(np.int64)
+        owner = np.repeat(np.arange(n), size)
+        _, number, times = np.unique(keys.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        # keys of one member meet none
+        shared = times[number] > 1
+        owner, number = owner[shared], number[shared]
+        order = np.argsort(number, kind="stable")
+        owner, number = owner[order], number[order]
+        left, right = (np.arange(n),) * 2 if key[2] == key[3] else (np.flatnonzero(~second), np.flatnonzero(second))
+        both = np.zeros((len(left), len(right)), np.float32)
+        at = 0
+        while at < len(number):
+            end = int(np.searchsorted(number, number[at] + 4096))
+            cells = np.zeros((n, 4096), np.float32)
+            cells[owner[at:end], number[at:end] - number[at]] = 1
+            both += cells[left] @ cells[right].T
+            at = end
+        link = both * 100 >= (size[left][:, None] + size[right][None, :] - both) * percent
+        link &= code[left][:, None] != code[right][None, :]
+        u, v = np.nonzero(link)
+        root = forest(left[u], right[v], n)
+        some = np.flatnonzero(root != np.arange(n))
+        ids = group.column("rep").combine_chunks()
+        return pa.table({"u": ids.take(pa.array(some)), "v": ids.take(pa.array(root[some]))})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -111,12 +150,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     empty set and stand alone; so do rows with a null id (component_id null, kept true). Repeated rows are copies of each
     other under one id. Other columns are not used. An empty table gives no rows.
 
-    Copies (equal sets) are one class first. A bucket then links its members to its smallest one; only members that this
-    leaves in different components are compared with each other, so that a large group of near copies costs one comparison
-    a member and band, and no link between different components is lost.
+    Copies (equal sets) are one class first. A bucket then links its members to its smallest one; only buckets that this
+    leaves with different components compare their members with each other, tile by tile, so that a large group of near
+    copies costs one comparison a member and band, and no link between different components is lost.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sketch = cut(rows.mapInArrow(_sketches(size, "doc_id", "text"), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n bigint, k1 bigint, k2 bigint, s1 bigint, s2 bigint, bands array<bigint>"), "sketch")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    sketch = cut(rows.mapInArrow(_sketches(size, "doc_id", "text"), f"doc_id {kind}, n bigint, k1 bigint, k2 bigint, s1 bigint, s2 bigint, bands array<bigint>"), "sketch")
     known = sketch.where("doc_id is not null and n > 0")
     first = cut(known.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("bands").alias("bands")), "classes")
     banded = first.select("rep", "n", "s1", "s2", F.posexplode("bands").alias("band", "hash"))
@@ -128,31 +168,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
         bits = F.lit(128) - F.bit_count(F.col("us1").bitwiseXOR(F.col("vs1"))) - F.bit_count(F.col("us2").bitwiseXOR(F.col("vs2")))
         return pairs.where((F.least("un", "vn") * 100 >= F.greatest("un", "vn") * percent) & (bits >= LEAST_BITS)).select("u", "v").distinct()
 
+    def full_sets(wanted: DataFrame) -> DataFrame:
+        """The sets of some rows: rep, keys."""
+        texts = rows.join(sized(wanted, 24), "doc_id", "left_semi")
+        return cut(texts.mapInArrow(_sets(size), f"rep {kind}, keys array<bigint>"), "sets")
+
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs that the full sets confirm."""
-        wanted = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-        texts = rows.join(sized(wanted, 24), "doc_id", "left_semi")
-        sets = cut(texts.mapInArrow(_sets(size), f"rep {rows.schema['doc_id'].dataType.simpleString()}, keys array<bigint>"), "sets")
+        sets = full_sets(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct())
         u, v = sets.select(F.col("rep").alias("u"), F.col("keys").alias("uk")), sets.select(F.col("rep").alias("v"), F.col("keys").alias("vk"))
         both = F.size(F.array_intersect("uk", "vk"))
         return pairs.join(u, "u").join(v, "v").where(both * 100 >= (F.size("uk") + F.size("vk") - both) * percent).select("u", "v").distinct()
 
     star = shared.where("rep <> head").select(F.col("rep").alias("u"), F.col("head").alias("v"), F.col("n").alias("un"), F.col("s1").alias("us1"), F.col("s2").alias("us2")).distinct()
     star = star.join(first.select(F.col("rep").alias("v"), F.col("n").alias("vn"), F.col("s1").alias("vs1"), F.col("s2").alias("vs2")), "v")
-    tried = cut(near(star), "pairs")
-    links = cut(linked(tried), "links")
-    joined = components(links)
+    joined = components(linked(cut(near(star), "pairs")))
 
-    # what a bucket still holds of different components
+    # what a bucket still holds of different components: its members' full sets meet in tiles, and a task gives a forest of
+    # the links that it finds, at most one row for each member
     label = joined.select(F.col("u").alias("rep"), F.col("v").alias("label"))
-    marked = shared.drop("head").join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    split = marked.groupBy("band", "hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "hash")
-    open_ = cut(marked.join(split, ["band", "hash"]), "open")
-    side = lambda s: open_.select("band", "hash", F.col("rep").alias(s), F.col("label").alias(f"{s}l"), F.col("n").alias(f"{s}n"), F.col("s1").alias(f"{s}s1"), F.col("s2").alias(f"{s}s2"))
-    cross = near(side("u").join(side("v"), ["band", "hash"]).where("ul > vl"))
-    cross = cut(cross.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).join(tried.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti").distinct(), "pairs")
-    if cross.count():
-        joined = components(joined.unionByName(linked(cross)))
+    marked = shared.select("band", "hash", "rep", "n").join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    split = marked.groupBy("band", "hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_KEYS)).cast("int").alias("tiles")).where("lo < hi").select("band", "hash", "tiles")
+    open_ = cut(marked.join(split, ["band", "hash"]).drop("n"), "open")
+    if open_.limit(1).count():
+        sets = full_sets(open_.select(F.col("rep").alias("doc_id")).distinct())
+        tiled = open_.withColumn("t", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        tiled = tiled.join(sets, "rep").select("band", "hash", F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"), (F.col("t") == F.greatest("t", "o")).alias("second"), "rep", "label", "keys")
+        found = tiled.groupBy("band", "hash", "a", "b").applyInArrow(_block_links(percent), f"u {kind}, v {kind}").distinct()
+        joined = components(joined.unionByName(cut(found, "links")))
 
     class_of = first.select("k1", "k2", "n", "rep").join(joined.select(F.col("u").alias("rep"), F.col("v").alias("label")), "rep", "left").select("k1", "k2", "n", F.coalesce("label", "rep").alias("label"))
     out = known.select("doc_id", "k1", "k2", "n").join(class_of, ["k1", "k2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("label").alias("component_id"), (F.col("doc_id") == F.col("label")).alias("kept"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolex.llm.common import cut
+from cartolex.llm.common import cut, forest
 from cartolex.llm.components import components
 
 #: Pivots grow with the root of the number of vectors between these bounds; they are all that is broadcast.
@@ -30,21 +30,6 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The smallest index that each of n nodes reaches over the links (a, b)."""
-    root = np.arange(n)
-    while len(a):
-        lo = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], lo)
-        np.minimum.at(new, root[b], lo)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    return root
-
-
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding", shared: int = SHARED, described_by: int = DESCRIBED_BY) -> DataFrame:
     """One row for each row of ``vectors``: vec_id, n_links, component_id, kept.
 
@@ -74,8 +59,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec
     classes = cut(good.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("m")), "vectors")
     n = classes.count()
     k = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, 2 * n**0.5)))
-    sample = classes.orderBy(F.xxhash64(F.lit(7), "v"), "id").limit(k).toPandas()
-    pivots = _unit(np.array(sample["v"].tolist(), np.float64))
+    sample = classes.orderBy(F.xxhash64(F.lit(7), "v"), "id").limit(k).toArrow()
+    pivots = _unit(_matrix(sample["v"].combine_chunks(), dim))
     k = len(pivots)
     near = min(described_by, k)
     least = min(shared, near)
@@ -128,7 +113,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec
                 vs.append(y)
         x, y = (np.concatenate(us), np.concatenate(vs)) if us else (np.empty(0, np.int64),) * 2
         ids = group.column("id").combine_chunks()
-        root = _forest(x, y, size)
+        root = forest(x, y, size)
         some = np.flatnonzero((links > 0) | (root != np.arange(size)))
         return pa.table({"id": ids.take(pa.array(some)), "n": pa.array(links[some], pa.int64()), "other": ids.take(pa.array(root[some]))})
 
