@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -107,9 +108,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
     else:
         place = lambda batches: (pa.RecordBatch.from_arrays([_signed(_place(b.column(0).to_numpy().view(np.uint64), bits).view(np.uint64))], ["p"]) for b in batches)
         words = again.select("g").mapInArrow(place, "p bigint").groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("b"))
-        found = words.toPandas()  # at most table_bits / 64 rows, whatever the input
+        found = words.toArrow()  # at most table_bits / 64 rows, whatever the input
         table = np.zeros(bits // 64, np.int64)
-        table[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
+        table[found["w"].to_numpy()] = found["b"].to_numpy()
         sent = spark.sparkContext.broadcast(table)
         level = reps
 
@@ -136,8 +137,25 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
     hot_anchors = np.array([r["g"] for r in again.where(F.col("m") > often).select("g").collect()], np.int64).view(np.uint64)  # at most 2000
     hot: dict = {}
     if len(hot_anchors):
-        near_hot = lambda batches: (pa.RecordBatch.from_arrays([_signed(a), _signed(b), batch.column(0).take(pa.array(r))], ["h1", "h2", "doc_id"]) for batch in batches for a, b, r, _ in candidates(batch, hot_anchors))
-        many = reps.mapInArrow(near_hot, f"h1 bigint, h2 bigint, doc_id {kind}").groupBy("h1", "h2").agg(F.count("*").alias("m"), F.min("doc_id").alias("lo")).where(F.col("m") > often)
+        def near_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Each task sums its own windows first."""
+            held: list[pd.DataFrame] = []
+
+            def summed() -> pd.DataFrame:
+                return pd.concat(held).groupby(["h1", "h2"], as_index=False, sort=False).agg(m=("m", "sum"), lo=("lo", "min"))
+
+            for batch in batches:
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                for a, b, r, _ in candidates(batch, hot_anchors):
+                    if len(a):
+                        held.append(pd.DataFrame({"h1": a.view(np.int64), "h2": b.view(np.int64), "m": np.ones(len(a), np.int64), "lo": ids[r]}))
+                if sum(map(len, held)) > 1_000_000:
+                    held = [summed()]
+            if held:
+                out = summed()
+                yield pa.RecordBatch.from_arrays([pa.array(out["h1"]), pa.array(out["h2"]), pa.array(out["m"], pa.int64()), pa.array(out["lo"], from_pandas=True)], ["h1", "h2", "m", "lo"])
+
+        many = reps.mapInArrow(near_hot, f"h1 bigint, h2 bigint, m bigint, lo {kind}").groupBy("h1", "h2").agg(F.sum("m").alias("m"), F.min("lo").alias("lo")).where(F.col("m") > often)
         hot = {(r["h1"], r["h2"]): r["lo"] for r in many.orderBy(F.desc("m")).limit(2000).collect()}
     hot_sent = spark.sparkContext.broadcast(hot)
 
