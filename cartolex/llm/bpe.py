@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from cartolex.llm.common import binary_column, byte_chunks
 
 #: Words longer than this are encoded each time; a worker keeps at most CACHE_WORDS shorter ones.
-CACHED_LENGTH, CACHE_WORDS = 48, 150_000
+CACHED_LENGTH, CACHE_WORDS = 48, 260_000
 
 
 def byte_table() -> list[str]:
