@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cartolex.llm.common import binary_column, byte_chunks
+from cartolex.llm.common import KEPT, binary_column, byte_chunks, working
 
 #: Words longer than this are encoded each time; a worker keeps at most CACHE_WORDS shorter ones.
 CACHED_LENGTH, CACHE_WORDS = 48, 260_000
@@ -42,6 +42,8 @@ class Decoder:
 
     @classmethod
     def of(cls, key: int, text: bytes) -> Decoder:
+        working("bpe")
+        KEPT["bpe"] = _forget
         if key not in cls.built:
             cls.built[key] = cls(read_ranks(text))
         return cls.built[key]
@@ -81,6 +83,8 @@ class Coder(Decoder):
 
     @classmethod
     def of(cls, key: int, text: bytes, pattern: str = "") -> Coder:
+        working("bpe")
+        KEPT["bpe"] = _forget
         if (key, pattern) not in cls.built:
             cls.built[key, pattern] = cls(read_ranks(text), pattern)
         return cls.built[key, pattern]
@@ -145,21 +149,27 @@ class Coder(Decoder):
         return places
 
 
+def _forget() -> None:
+    Decoder.built.clear()
+    Coder.built.clear()
+
+
 def _with(docs: DataFrame, added: str):
     return f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, {added}"
 
 
-def encode_bpe(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", offsets: bool = False) -> DataFrame:
-    """Adds ``ids`` (binary, little-endian unsigned 32-bit) and ``n_tokens``; with ``offsets`` also ``starts`` (code points).
+def encode_bpe(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", offsets: bool = False, decode: bool = False) -> DataFrame:
+    """Adds ``ids`` (binary, little-endian unsigned 32-bit) and ``n_tokens``; with ``offsets`` also ``starts`` (code points),
+    with ``decode`` also ``decoded`` (binary: the bytes of the ids again, without a second set of workers).
 
     The columns of ``docs`` other than the text stay as they are; the text itself is dropped. Null text counts as empty
     and gives no tokens; bytes that are not UTF-8 count as U+FFFD. Rows are independent, so repeated rows repeat.
-    Columns that are called ids, n_tokens or starts are replaced.
+    Columns that are called ids, n_tokens, starts or decoded are replaced.
     ``ranks``: the content of the rank file, sent once to each executor (its size is fixed by the vocabulary).
     """
     spark = docs.sparkSession
     sent, key = spark.sparkContext.broadcast(ranks), hash((ranks, pattern))
-    kept = [c for c in docs.columns if c not in (text, "ids", "n_tokens", "starts")]
+    kept = [c for c in docs.columns if c not in (text, "ids", "n_tokens", "starts", "decoded")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.of(key, sent.value, pattern)
@@ -176,10 +186,13 @@ def encode_bpe(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text",
                 if offsets:
                     cols.append(pa.array([coder.starts(t) for t in texts], pa.list_(pa.int32())))
                     names.append("starts")
+                if decode:
+                    cols.append(pa.array([coder.decode(x) for x in ids], pa.binary()))
+                    names.append("decoded")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     rest = docs.select(*[docs[c] for c in kept])
-    added = "ids binary, n_tokens bigint" + ", starts array<int>" * offsets
+    added = "ids binary, n_tokens bigint" + ", starts array<int>" * offsets + ", decoded binary" * decode
     return docs.select(*kept, text).mapInArrow(run, _with(rest, added) if kept else added)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -49,6 +52,23 @@ def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+#: What operators keep in a Python worker between tasks, and how to let go of it.
+KEPT: dict = {}
+
+
+def working(name: str) -> None:
+    """Called as a task's work begins: what other operators have kept in this worker, which Spark uses again, goes."""
+    others = [drop for owner, drop in KEPT.items() if owner != name]
+    if others:
+        for drop in others:
+            drop()
+        for owner in [x for x in KEPT if x != name]:
+            del KEPT[owner]
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))

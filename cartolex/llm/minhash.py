@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolex.llm.common import binary_column, byte_chunks, cut, forest, mixed, sized, window_hashes, word_hashes
+from cartolex.llm.common import binary_column, byte_chunks, cut, forest, mixed, sized, window_hashes, word_hashes, working
 from cartolex.llm.components import components
 
 #: A pair of similarity 0.8 shares no band with a chance of (1 - 0.8 ** ROWS) ** BANDS, about 5e-8.
@@ -56,6 +56,7 @@ def shingle_sets(col: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np
 
 def _sketches(size: int, doc_id: str, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("minhash")
         a, b = _universal()
         shift = np.uint64(32)
         for batch in batches:
@@ -97,6 +98,7 @@ def _sketches(size: int, doc_id: str, text: str):
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("minhash")
         for batch in batches:
             ids = batch.column(0)
             for lo, keys, off in shingle_sets(binary_column(batch, "text"), size):

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolex.llm.common import binary_column
+from cartolex.llm.common import binary_column, working
 
 #: Kinds in the order of the contract.
 KINDS = ("email", "ip", "card", "phone")
@@ -323,6 +323,7 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep:
     kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("pii")
         for batch in batches:
             col = binary_column(batch, text)
             null = batch.column(batch.schema.get_field_index(text)).is_null().to_pylist()

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolex.llm.common import binary_column, byte_chunks, cut, sized
+from cartolex.llm.common import binary_column, byte_chunks, cut, sized, working
 
 #: Symbols: 26 small letters and six classes of other characters. The table of the model has SYMBOLS ** ORDER entries,
 #: whatever the input: its size is what makes it safe to send to every executor.
@@ -54,6 +54,7 @@ def count_ngrams(docs: DataFrame, text: str = "text") -> DataFrame:
     """(code, n) of all n-grams of all rows; each task sums its own before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("quality")
         total = np.zeros(ENTRIES, np.int64)
         for batch in batches:
             for _, _, data, off in byte_chunks(binary_column(batch, text)):
@@ -113,6 +114,7 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", t
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + ", _chars bigint, _loss double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("quality")
         for batch in batches:
             n, loss = [np.empty(0, np.int64)], [np.empty(0)]
             for _, _, data, off in byte_chunks(binary_column(batch, text)):

@@ -168,8 +168,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks, pattern = Path(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).read_bytes(), public_tokenizers.PATTERN
-    tokens = bpe.encode_bpe(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
-    back = bpe.decode_bpe(tokens, ranks)
+    back = bpe.encode_bpe(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern, decode=True)
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
