@@ -53,8 +53,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks, pattern = Path(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).read_bytes(), public_tokenizers.PATTERN
-    tokens = bpe.encode_bpe(docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)), ranks, pattern)
-    back = bpe.decode_bpe(tokens, ranks)
+    back = bpe.encode_bpe(docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)), ranks, pattern, decode=True)
     decoded = F.sha2("decoded", 256)
     return back.select("doc_id", "lang", "source", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), decoded.alias("decoded_sha256"), (decoded == F.col("text_sha256")).alias("same"))
 
