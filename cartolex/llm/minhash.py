@@ -15,7 +15,7 @@ from cartolex.llm.components import components
 #: A pair of similarity 0.8 shares no band with a chance of (1 - 0.8 ** ROWS) ** BANDS, about 5e-8.
 BANDS, ROWS = 32, 4
 #: Members of one tile of a bucket at most, and shingles of all of them about.
-TILE, TILE_KEYS = 512, 400_000
+TILE, TILE_KEYS = 1024, 400_000
 #: Agreeing bits of the 128 one-bit minima that a pair needs: at similarity 0.8, 115 are expected; 92 is 6 deviations less.
 LEAST_BITS = 92
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
