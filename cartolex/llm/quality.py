@@ -1,4 +1,4 @@
-"""Quality by an interpolated modified Kneser-Ney n-gram model of trusted text, thresholded by quantiles of each language."""
+"""Quality by an interpolated modified Kneser-Ney word bigram model of trusted text over a character model that spells words."""
 
 from __future__ import annotations
 
@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartolex.llm.common import binary_column, byte_chunks, cut, sized, working
+from cartolex.llm.common import _IS_SPACE, binary_column, byte_chunks, cut, mixed, sized, word_hashes, working
 
-#: Symbols: 26 small letters and six classes of other characters. The table of the model has SYMBOLS ** ORDER entries,
-#: whatever the input: its size is what makes it safe to send to every executor.
+#: Symbols of the model that spells words nobody has seen: 26 small letters and six classes of other characters. Its table
+#: has SYMBOLS ** ORDER entries, whatever the input, and is broadcast; words and their bigrams are never cut to it.
 SYMBOLS, ORDER = 32, 4
 ENTRIES = SYMBOLS**ORDER
 OTHER_LETTER, CAPITAL, DIGIT, SPACE, STOP, OTHER = 26, 27, 28, 29, 30, 31
@@ -34,37 +34,115 @@ def _symbols() -> np.ndarray:
 _SYMBOL = _symbols()
 
 
-def ngram_codes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the n-grams of each row (5 bits a symbol, ORDER - 1 spaces before each row) and their row offsets."""
+#: Hashes of the marks before the first and after the last word of a text.
+BEFORE, AFTER = np.uint64(0), np.uint64(1)
+#: The code of the end of a word without characters, which spells the end of a text.
+_ALL_SPACES = sum(SPACE << (5 * j) for j in range(ORDER))
+
+
+def spelling(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the characters of each word and of its end (5 bits a symbol, ORDER - 1 spaces before each word), where each
+    word's codes start, and the byte after its last one. Words are those of ``word_hashes``."""
+    inside = ~_IS_SPACE[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    edge = off[:-1][off[:-1] < len(data)]
+    first[edge] |= inside[edge]
+    words = int(first.sum())
+    number = np.cumsum(first) - 1
     sym = _SYMBOL[data]
-    keep = sym != 255
-    chars = np.concatenate([[0], np.cumsum(keep)])[off]
+    lead = np.flatnonzero(inside & (sym != 255))
+    end = np.zeros(words, np.int64)
+    end[number[inside]] = np.flatnonzero(inside) + 1
+    size = np.bincount(number[lead], minlength=words) + 1
+    start = np.cumsum(size) - size
+    line = np.full(int(size.sum()), SPACE, np.int32)
+    line[np.arange(len(lead)) + number[lead]] = sym[lead]
+    place = np.arange(len(line)) - np.repeat(start, size)
+    code = line.copy()
+    for j in range(1, ORDER):
+        back = np.full(len(line), SPACE, np.int32)
+        back[j:] = line[:-j]
+        back[place < j] = SPACE
+        code |= back << (5 * j)
+    return code, start, end
+
+
+def spelled(data: np.ndarray, off: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Minus the log-probability of each word's spelling: of its symbols, and of each byte among those of its symbol."""
+    table, byte = model
+    code, start, end = spelling(data, off)
+    sums = np.concatenate([[0.0], np.cumsum(np.where(_IS_SPACE[data], 0.0, byte[data]))])
+    return np.add.reduceat(table[code].astype(np.float64), start) + sums[end] - sums[np.concatenate([[0], end[:-1]])] if len(start) else np.empty(0)
+
+
+def tokens(data: np.ndarray, off: np.ndarray, spell: np.ndarray, end: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every word and of the end of each row: hash, hash of the one before, row, spelling."""
+    (word,), bounds = word_hashes(data, off, (0x9E3779B97F4A7C15,))
     rows = len(off) - 1
-    pad = ORDER - 1
-    line = np.full(int(chars[-1]) + pad * rows, SPACE, np.int32)
-    place = np.arange(int(chars[-1])) + pad * (np.repeat(np.arange(rows), np.diff(chars)) + 1)
-    line[place] = sym[keep]
-    code = np.zeros(len(line), np.int32)
-    for j in range(ORDER):
-        code[pad:] |= line[pad - j : len(line) - j] << (5 * j)
-    return code[place], chars
+    row = np.repeat(np.arange(rows), np.diff(bounds))
+    ends = bounds[1:] + np.arange(rows)
+    token, cost, owner = np.full(len(word) + rows, AFTER), np.full(len(word) + rows, end), np.empty(len(word) + rows, np.int64)
+    at = np.arange(len(word)) + row
+    token[at], cost[at], owner[at], owner[ends] = word, spell, row, np.arange(rows)
+    before = np.concatenate([[BEFORE], token[:-1]]).astype(np.uint64)
+    before[bounds[:-1] + np.arange(rows)] = BEFORE
+    return token, before, owner, cost
+
+
+def pair_keys(before: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return mixed(mixed(before + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F) + token)
+
+
+def _grouped(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by key, then owner: the order, where keys start, where (key, owner) start, and the starts of keys among those."""
+    order = np.lexsort((owner, key))
+    k, o = key[order], owner[order]
+    new_key = np.concatenate([[True], k[1:] != k[:-1]])
+    new_both = new_key | np.concatenate([[True], o[1:] != o[:-1]])
+    both = np.flatnonzero(new_both)
+    return order, np.flatnonzero(new_key), both, np.flatnonzero(new_key[both])
 
 
 def count_ngrams(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(code, n) of all n-grams of all rows; each task sums its own before the shuffle."""
+    """(code, n) of all character n-grams of the words of all rows; each task sums its own before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("quality")
         total = np.zeros(ENTRIES, np.int64)
         for batch in batches:
             for _, _, data, off in byte_chunks(binary_column(batch, text)):
-                total += np.bincount(ngram_codes(data, off)[0], minlength=ENTRIES)
+                total += np.bincount(spelling(data, off)[0], minlength=ENTRIES)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["code", "n"])
 
     return docs.select(text).mapInArrow(run, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
 
 
+def byte_costs(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """Minus the log-probability of each of the 256 bytes among those of its symbol, one added to each count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256, np.int64)
+        for batch in batches:
+            for _, _, data, _ in byte_chunks(binary_column(batch, text)):
+                total += np.bincount(data, minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(total, pa.int64())], ["byte", "n"])
+
+    count = np.ones(256)
+    for r in docs.select(text).mapInArrow(run, "byte int, n bigint").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+        count[r["byte"]] += r["n"]
+    return np.log(np.bincount(_SYMBOL, count, 256)[_SYMBOL] / count)
+
+
+def discount(level: DataFrame, least: float = 0.0):
+    """The modified Kneser-Ney discount of a count, from the numbers of counts 1 to 4 of a level; ``least`` at least."""
+    n1, n2, n3, n4 = (float(x or 0) for x in level.agg(*[F.count_if(F.col("n") == i) for i in (1, 2, 3, 4)]).first())
+    y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.0
+    cuts = [max(least, min(i, max(0.0, i - (i + 1) * y * b / a)) if a else 0.0) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+    return lambda n: F.when(n == 1, cuts[0]).when(n == 2, cuts[1]).otherwise(cuts[2])
+
+
 def kneser_ney(counts: DataFrame) -> DataFrame:
     """(code, p): the interpolated modified Kneser-Ney probability of every n-gram's last symbol after its first ones.
 
@@ -78,10 +156,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     p = spark.range(SYMBOLS).select(F.col("id").cast("int").alias("code"), F.lit(1.0 / SYMBOLS).alias("p"))
     for k in range(1, ORDER + 1):
         level = levels[k]
-        n1, n2, n3, n4 = (float(x or 0) for x in level.agg(*[F.count_if(F.col("n") == i) for i in (1, 2, 3, 4)]).first())
-        y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.0
-        cuts = [min(i, max(0.0, i - (i + 1) * y * b / a)) if a else 0.0 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-        cut_of = lambda n, cuts=cuts: F.when(n == 1, cuts[0]).when(n == 2, cuts[1]).otherwise(cuts[2])
+        cut_of = discount(level)
         context = level.groupBy(F.shiftright("code", 5).alias("h")).agg(F.sum("n").alias("total"), F.sum(cut_of(F.col("n"))).alias("mass"))
         grid = spark.range(SYMBOLS**k).select(F.col("id").cast("int").alias("code"))
         lower = p.withColumnRenamed("code", "low").withColumnRenamed("p", "q")
@@ -92,41 +167,129 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     return p
 
 
+def count_words(docs: DataFrame, sent, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(key, v, w, n, docs, spell) of all pairs of neighbours, and (key, docs) of all words, of all rows; ``docs`` counts rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("quality")
+        end = float(sent.value[0][_ALL_SPACES])
+        for batch in batches:
+            for _, _, data, off in byte_chunks(binary_column(batch, text)):
+                w, v, owner, cost = tokens(data, off, spelled(data, off, sent.value), end)
+                for kind, key in ((2, pair_keys(v, w)), (1, w)):
+                    order, starts, both, docs_at = _grouped(key, owner)
+                    at = order[starts]
+                    n, n_docs = np.diff(np.append(starts, len(key))), np.diff(np.append(docs_at, len(both)))
+                    cols = [np.full(len(at), kind, np.int8), key[at].view(np.int64), v[at].view(np.int64), w[at].view(np.int64), n.astype(np.int64), n_docs.astype(np.int64), cost[at]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "key", "v", "w", "n", "docs", "spell"])
+
+    got = docs.select(text).mapInArrow(run, "kind tinyint, key bigint, v bigint, w bigint, n bigint, docs bigint, spell double")
+    # a pair is its key: v, w and spelling are the same in all its rows
+    all_ = cut(got.groupBy("kind", "key").agg(F.max("v").alias("v"), F.max("w").alias("w"), F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.max("spell").alias("spell")), "words")
+    return all_.where("kind = 2").drop("kind"), all_.where("kind = 1").select("key", "docs")
+
+
+def word_model(pairs: DataFrame, words: DataFrame) -> tuple[DataFrame, float, float]:
+    """The word model in a form that sums up: (key, value, solo), the log weight of spelling, and that of the first mark.
+
+    log p(w | v) is the log weight of spelling, plus the log-probability of the spelling of w, plus the values of the word v
+    as a context and of w as a word, plus the value of the pair; what was never counted has no row and the value 0. A word's
+    row holds its values in both roles: every word of a text comes once in each. ``solo``: counted in one row only. The
+    tables grow with the text, stay sharded by key and meet in equi-joins.
+    """
+    cut_two = discount(pairs, 0.05)
+    context = pairs.groupBy("v").agg((F.sum(cut_two(F.col("n"))) / F.sum("n")).alias("weight"))
+    context = cut(context.select("v", F.log("weight").alias("weight")), "contexts")
+    level = cut(pairs.groupBy("w").agg(F.count("*").alias("n"), F.max("spell").alias("spell")), "unigrams")
+    cut_one = discount(level, 0.05)
+    total, mass = (float(x or 0) for x in level.agg(F.sum("n"), F.sum(cut_one(F.col("n")))).first())
+    if not total:
+        return pairs.select("key", F.lit(0.0).alias("value"), F.lit(False).alias("solo")), 0.0, 0.0
+    rest = float(np.log(mass / total))
+    unigram = level.select("w", F.log((F.col("n") - cut_one(F.col("n"))) / total + F.exp(rest - F.col("spell"))).alias("p"), (rest - F.col("spell")).alias("unseen"))
+    single = unigram.join(words, F.col("w") == words["key"]).join(context, F.col("w") == F.col("v"), "left")
+    single = single.select("key", (F.col("p") - F.col("unseen") + F.coalesce("weight", F.lit(0.0))).alias("value"), (F.col("docs") == 1).alias("solo"))
+    totals = pairs.groupBy("v").agg(F.sum("n").alias("total")).join(context, "v")
+    double = pairs.select("key", "v", "w", "n", "docs").join(unigram.select("w", "p"), "w").join(totals, "v")
+    own = (F.col("n") - cut_two(F.col("n"))) / F.col("total")
+    double = double.select("key", F.log1p(own * F.exp(-F.col("weight") - F.col("p"))).alias("value"), (F.col("docs") == 1).alias("solo"))
+    first = context.where(F.col("v") == int(BEFORE)).first()
+    return cut(single.unionByName(double), "model"), rest, first["weight"]
+
+
 def judge_quality(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = 0.999, margin: float = 0.05, slack: float = 0.35) -> DataFrame:
     """Adds to every row ``perplexity``, ``threshold`` and ``kept``: perplexity at most the threshold of its language.
 
+    The model counts the words and the pairs of neighbouring words of all trusted text, with no bound on either; words that it
+    has not counted are spelled by character. Perplexity is that of a character. A trusted document is judged without what it
+    alone has brought into the model, so that thresholds hold for other documents; any two rows of one text have one value.
+
     ``trusted``: the ids of trusted documents (column doc_id); the model counts all of their text. A language's threshold is
     exp(log quantile + margin + slack / sqrt(characters / 100)): the ``quantile`` of its trusted documents' log-perplexities, with
     more room for short texts, whose averages scatter. Languages without trusted documents, null among them, take the
-    quantile over all. Null and empty texts have perplexity null and are rejected; without any trusted document all others
+    quantile over all. Null texts and those without a word have perplexity null and are rejected; without any trusted document all others
     are kept. Rows are judged one by one, so repeated rows repeat; columns of the added names are replaced.
     """
     spark = docs.sparkSession
     names = ("perplexity", "threshold", "kept")
     ids = trusted.select(F.col("doc_id").alias(doc_id)).dropna().distinct()
     ids = sized(ids, 24)
-    model = kneser_ney(count_ngrams(docs.join(ids, doc_id, "left_semi").where(f"`{text}` is not null"), text))
+    known = docs.join(ids, doc_id, "left_semi").where(f"`{text}` is not null").select(text)
+    model = kneser_ney(count_ngrams(known, text))
     table = np.zeros(ENTRIES, np.float32)
     got = model.select("code", F.col("p").cast("float").alias("p")).toArrow()  # SYMBOLS ** ORDER rows, whatever the input
     table[got["code"].to_numpy()] = -np.log(np.maximum(got["p"].to_numpy(), 1e-12))
-    sent = spark.sparkContext.broadcast(table)
+    sent = spark.sparkContext.broadcast((table, byte_costs(known, text)))
+    values, rest, first = word_model(*count_words(known, sent, text))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(t, key, n): how often each text, by its hash, holds each pair and word; (t, null, rows) for the text itself."""
+        working("quality")
+        for batch in batches:
+            hashes = batch.column(0).to_numpy()
+            for a, b, data, off in byte_chunks(binary_column(batch, text)):
+                texts, which, rows = np.unique(hashes[a:b], return_inverse=True, return_counts=True)
+                (word,), bounds = word_hashes(data, off, (0x9E3779B97F4A7C15,))
+                w, v, owner, _ = tokens(data, off, np.zeros(len(word)), 0.0)
+                owner = which[owner]
+                yield pa.RecordBatch.from_arrays([pa.array(texts), pa.nulls(len(texts), pa.int64()), pa.array(rows.astype(np.int64))], ["t", "key", "n"])
+                for key in (pair_keys(v, w), w):
+                    order, _, both, _ = _grouped(key, owner)
+                    yield pa.RecordBatch.from_arrays([pa.array(texts[owner[order[both]]]), pa.array(key[order[both]].view(np.int64)), pa.array(np.diff(np.append(both, len(key))).astype(np.int64))], ["t", "key", "n"])
+
+    keyed = docs.where(f"`{text}` is not null").select(F.xxhash64(text).alias("t"), text)
+    found = keyed.mapInArrow(parts, "t bigint, key bigint, n bigint")
+    rows_of = keyed.groupBy("t").agg(F.count("*").alias("_rows"))
+    # inner: what the model has not counted adds nothing
+    sums = found.where("key is not null").join(values, "key").groupBy("t").agg(F.sum(F.col("n") * F.col("value")).alias("_all"), F.sum(F.when(~F.col("solo"), F.col("n") * F.col("value"))).alias("_most"))
+    sums = cut(sums.join(rows_of, "t").select("t", (F.col("_all") / F.col("_rows")).alias("_all"), (F.coalesce("_most", F.lit(0.0)) / F.col("_rows")).alias("_most")), "sums")
     kept = [c for c in docs.columns if c not in names]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + ", _chars bigint, _loss double"
+    added = ", _chars bigint, _spelled double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("quality")
+        end = float(sent.value[0][_ALL_SPACES])
         for batch in batches:
             n, loss = [np.empty(0, np.int64)], [np.empty(0)]
             for _, _, data, off in byte_chunks(binary_column(batch, text)):
-                codes, chars = ngram_codes(data, off)
-                sums = np.concatenate([[0.0], np.cumsum(sent.value[codes], dtype=np.float64)])
-                n.append(np.diff(chars))
-                loss.append((sums[chars[1:]] - sums[chars[:-1]]) / np.maximum(1, np.diff(chars)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(n), pa.int64()), pa.array(np.concatenate(loss))], [*batch.schema.names, "_chars", "_loss"])
+                _, _, owner, cost = tokens(data, off, spelled(data, off, sent.value), end)
+                size = np.bincount(owner, minlength=len(off) - 1)
+                chars = np.concatenate([[0], np.cumsum(_SYMBOL[data] != 255)])[off]
+                n.append(np.where(size > 1, np.diff(chars), 0))
+                loss.append(np.bincount(owner, cost - rest, minlength=len(off) - 1) - first)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(n), pa.int64()), pa.array(np.concatenate(loss))], [*batch.schema.names, "_chars", "_spelled"])
+
+    def scores(some: DataFrame, owned: Column) -> DataFrame:
+        """Adds _chars and _loss; ``owned``: whether a row is of a trusted document."""
+        shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in some.schema)
+        out = some.mapInArrow(run, shape + added).withColumn("_t", F.xxhash64(text)).join(sized(sums, 32), F.col("_t") == sums["t"], "left")
+        gain = F.coalesce(F.when(owned, F.col("_most")).otherwise(F.col("_all")), F.lit(0.0))
+        return out.withColumn("_loss", (F.col("_spelled") - gain) / F.greatest(F.lit(1), "_chars")).drop("_t", "t", "_all", "_most", "_spelled")
 
-    scored = docs.select(*kept).mapInArrow(run, schema)
+    mine = sized(ids.select(F.col(doc_id).alias("_mine")), 24)
+    scored = scores(docs.select(*kept).join(mine, F.col(doc_id) == F.col("_mine"), "left"), F.col("_mine").isNotNull()).drop("_mine")
     # thresholds need the numbers of the trusted documents alone
-    theirs = docs.join(ids, doc_id, "left_semi").select(lang, text).mapInArrow(run, f"`{lang}` string, `{text}` string, _chars bigint, _loss double").drop(text)
+    theirs = scores(docs.join(ids, doc_id, "left_semi").select(lang, text), F.lit(True)).drop(text)
     sample = cut(theirs, "scores").where("_chars > 0").withColumn("_loss", F.col("_loss") - slack / F.sqrt(F.col("_chars") / 100))
     at = F.percentile_approx("_loss", quantile, 10000)
     overall = sample.agg(at.alias("q")).first()["q"]
