@@ -14,7 +14,9 @@ from cartolex.llm.components import components
 
 #: Pivots grow with the root of the number of vectors between these bounds; they are all that is broadcast.
 LEAST_PIVOTS, MOST_PIVOTS = 32, 2048
-#: Nearest pivots that describe a vector, and how many of them two vectors must share to be compared.
+#: Hashed classes for each pivot that separated pivots are picked from.
+DRAWN = 4
+#: Nearest pivots that describe a vector, and how many of them two vectors must share to be compared where they share no ball.
 DESCRIBED_BY, SHARED = 10, 3
 #: Vectors of one tile of an inverted list.
 TILE = 768
@@ -30,6 +32,25 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def _separated(m: np.ndarray, most: int, angle: float) -> np.ndarray:
+    """Rows in their order, each more than ``angle`` away from all those before it that stay."""
+    limit, some = np.cos(min(np.pi, angle)), []
+    near = m @ m.T >= limit
+    free = np.ones(len(m), bool)
+    for i in range(len(m)):
+        if free[i] and len(some) < most:
+            some.append(i)
+            free &= ~near[i]
+    return m[some]
+
+
+def _mask(col: pa.Array, k: int) -> np.ndarray:
+    """Lists of pivots as rows of ones and zeros."""
+    out = np.zeros((len(col), k), np.float32)
+    out[np.repeat(np.arange(len(col)), np.diff(col.offsets.to_numpy())), col.flatten().to_numpy()] = 1
+    return out
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding", shared: int = SHARED, described_by: int = DESCRIBED_BY) -> DataFrame:
     """One row for each row of ``vectors``: vec_id, n_links, component_id, kept.
 
@@ -39,10 +60,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec
     with a null id link with nothing (component_id is their own id). Repeated rows are linked copies of each other. Other
     columns are not used; an empty table gives no rows.
 
-    Equal vectors are one class. Pivots are those of the classes with the smallest seeded hashes, 2 * sqrt(classes) of them
-    between the bounds above (the bounded sample); every class is indexed. A vector's description is its ordered nearest
-    pivots. Each inverted list is cut into tiles, and two tiles meet in one task; a pair is compared where its lowest common
-    pivot is the list's, if it shares enough pivots. Tasks give numbers of links and a spanning forest, never the pairs.
+    Equal vectors are one class. Pivots are picked in the order of seeded hashes, 2 * sqrt(classes) of them between the
+    bounds above, so that no two lie within twice the threshold's angle: however many rows crowd a region, no more than one
+    pivot stands there for each such ball. A vector is listed with its nearest pivots and with all pivots within three times
+    the angle. Two vectors are compared if they are within that of one pivot, so no link is missed where an end of it
+    is within twice the angle of a pivot; elsewhere they must share enough nearest pivots. Each inverted list is cut into
+    tiles, and two tiles meet in one task; a pair counts where its lowest common pivot is the list's. Tasks give numbers of
+    links and a spanning forest, never the pairs.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[vec_id].dataType.simpleString()
@@ -59,8 +83,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec
     classes = cut(good.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("m")), "vectors")
     n = classes.count()
     k = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, 2 * n**0.5)))
-    sample = classes.orderBy(F.xxhash64(F.lit(7), "v"), "id").limit(k).toArrow()
-    pivots = _unit(_matrix(sample["v"].combine_chunks(), dim))
+    sample = classes.orderBy(F.xxhash64(F.lit(7), "v"), "id").limit(DRAWN * k).toArrow()
+    angle = float(np.arccos(min(1.0, max(-1.0, threshold))))
+    pivots = _separated(_unit(_matrix(sample["v"].combine_chunks(), dim)), k, 2 * angle)
+    ball = np.cos(min(np.pi, 3 * angle)) - 1e-9
     k = len(pivots)
     near = min(described_by, k)
     least = min(shared, near)
@@ -73,44 +99,43 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec
                 s = _unit(_matrix(part.column(0), dim)) @ sent.value.T
                 top = np.argpartition(-s, near - 1, axis=1)[:, :near]
                 order = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(order) + 1, dtype=np.int32) * near), pa.array(order.ravel()))], ["v", "id", "m", "perm"])
+                close = s >= ball
+                ends = np.concatenate([[0], np.cumsum(close.sum(1))]).astype(np.int32)
+                perm = pa.ListArray.from_arrays(pa.array(np.arange(len(order) + 1, dtype=np.int32) * near), pa.array(order.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, perm, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(close)[1].astype(np.int32)))], ["v", "id", "m", "perm", "close"])
 
-    index = cut(classes.mapInArrow(describe, f"v array<double>, id {kind}, m bigint, perm array<int>"), "index")
-    posted = index.select("v", "id", "m", "perm", F.explode("perm").alias("p"))
+    index = cut(classes.mapInArrow(describe, f"v array<double>, id {kind}, m bigint, perm array<int>, close array<int>"), "index")
+    posted = index.select("v", "id", "m", "perm", "close", F.explode(F.array_union("perm", "close")).alias("p"))
     lengths = posted.groupBy("p").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))  # k rows at most
     posted = posted.join(F.broadcast(lengths), "p").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     tiles = posted.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiles = tiles.select("p", F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"), (F.col("t") == F.greatest("t", "o")).alias("second"), "id", "m", "v", "perm")
+    tiles = tiles.select("p", F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"), (F.col("t") == F.greatest("t", "o")).alias("second"), "id", "m", "v", "perm", "close")
 
     def compare(key, group):
         p, a, b = (x.as_py() for x in key)
         group = group.combine_chunks()
         size = group.num_rows
         unit = _unit(_matrix(group.column("v").combine_chunks(), dim))
-        perm = _matrix(group.column("perm").combine_chunks(), near).astype(np.int64)
         m = group.column("m").to_numpy()
         second = group.column("second").to_numpy()
-        mask = np.zeros((size, k), np.float32)
-        np.put_along_axis(mask, perm, 1, 1)
+        mask, close = (_mask(group.column(c).combine_chunks(), k) for c in ("perm", "close"))
         left, right = (np.arange(size),) * 2 if a == b else (np.flatnonzero(~second), np.flatnonzero(second))
-        lower = mask[:, :p]
-        links, us, vs = np.zeros(size, np.int64), [], []
+        lower = np.maximum(mask, close)[:, :p]
+        links, us, vs = np.zeros(size, np.float64), [], []
         for i in range(0, len(left), 1024):
             l = left[i : i + 1024]
             hit = unit[l] @ unit[right].T >= threshold
-            r, c = np.nonzero(hit)
-            r, c = l[r], right[c]
-            keep = r < c if a == b else np.ones(len(r), bool)
-            r, c = r[keep], c[keep]
-            for j in range(0, len(r), 8192):
-                x, y = r[j : j + 8192], c[j : j + 8192]
-                both = mask[x] * mask[y]
-                ok = (both.sum(1) >= least) & ~((lower[x] * lower[y]).any(1))
-                x, y = x[ok], y[ok]
-                np.add.at(links, x, m[y])
-                np.add.at(links, y, m[x])
-                us.append(x)
-                vs.append(y)
+            if a == b:
+                hit &= l[:, None] < right[None, :]
+            if hit.any():
+                # whole blocks by matrix products: in a dense list nearly all pairs are hits
+                hit &= ((mask[l] @ mask[right].T >= least - 0.5) | (close[l] @ close[right].T > 0.5)) & (lower[l] @ lower[right].T < 0.5)
+                links[l] += hit @ m[right].astype(np.float64)
+                links[right] += hit.T @ m[l].astype(np.float64)
+                x, y = np.nonzero(hit)
+                us.append(l[x])
+                vs.append(right[y])
+        links = links.astype(np.int64)
         x, y = (np.concatenate(us), np.concatenate(vs)) if us else (np.empty(0, np.int64),) * 2
         ids = group.column("id").combine_chunks()
         root = forest(x, y, size)

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 
 from cartolex.llm import pivots, topk
 
@@ -65,6 +66,20 @@ def test_recall_at_the_threshold(spark):
     assert sum(got.values()) >= 0.9 * 1400
 
 
+def test_recall_in_a_dense_group(spark):
+    rng = np.random.default_rng(3)
+    n, dim = 20_000, 64
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hot = np.arange(0, n, 3)
+    x[hot] = x[0] + 0.22 * x[hot]  # pairs of cosine 0.94 to 0.97 around one centre
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.concatenate([(x[i : i + 2000] @ x.T >= 0.95).sum(1) - 1 for i in range(0, n, 2000)])
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), dim).cast(pa.list_(pa.float64()))})).repartition(4)
+    got = pivots.near_vectors(df).toPandas().sort_values("vec_id")["n_links"].to_numpy()
+    assert want[hot].sum() > 1_000_000 and (got <= want).all() and got.sum() >= 0.999 * want.sum()
+
+
 def test_top_k(spark, monkeypatch):
     _, rows = made(300)
     df = spark.createDataFrame(rows, SCHEMA)
