@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +14,8 @@ from cartolex.functions.text import identity_tokens, semantic_key
 #: Metres within which names of one token set, of a contained one, or two embassies of a country agree.
 TOKEN_M, SUBSET_M, EMBASSY_M = 120.0, 40.0, 200.0
 SAME_NAME_M, TWIN_M = 100, 3.0
+#: The most steps across a conflict of identity_heal.
+HEAL_ROUNDS = 10_000
 
 
 def _words(values) -> Column:
@@ -179,22 +182,27 @@ def strip_blind_fusions(pois: DataFrame) -> DataFrame:
     return j.select("poi_id", F.col("a.poi_id").alias("anchor_id"), tier.alias("tier"), (tier == "none").alias("stripped"))
 
 
-def identity_heal(osm: DataFrame, anchors: DataFrame, candidates: DataFrame, most_rounds: int = 200) -> DataFrame:
+def identity_heal(osm: DataFrame, anchors: DataFrame, candidates: DataFrame) -> DataFrame:
     """Gives each OSM row its nearest anchor that no earlier row took: (osm_id, anchor_id).
 
-    ``candidates``: osm_id, anchor_id, distance of all pairs that agree. Every free row proposes to its nearest free anchor,
-    an anchor takes its lowest row for good once no lower row can still ask for it; as all anchors share that order, rounds
-    give what one row after another would. Each round takes all rows that hold the best claim.
+    ``candidates``: osm_id, anchor_id, distance of all pairs that agree. Rows and anchors that reach each other through
+    candidates are one conflict; each is settled in one task, row after row in the order of ids. A conflict is as large as
+    the places of agreeing names within reach of each other; one of more than HEAL_ROUNDS steps across raises an error.
     """
-    left = candidates.select("osm_id", "anchor_id", "distance").checkpoint()
-    taken = None
-    for _ in range(most_rounds):
-        # a row's claim stands if it is the lowest row among all that still compete for its choice
-        choice = left.groupBy("osm_id").agg(F.min_by("anchor_id", F.struct("distance", "anchor_id")).alias("anchor_id"))
-        lowest = left.groupBy("anchor_id").agg(F.min("osm_id").alias("osm_id"))
-        won = choice.join(lowest, ["anchor_id", "osm_id"]).select("osm_id", "anchor_id").checkpoint()
-        if not won.limit(1).count():
-            break
-        taken = won if taken is None else taken.unionByName(won)
-        left = left.join(won.select("osm_id"), "osm_id", "left_anti").join(won.select("anchor_id"), "anchor_id", "left_anti").select("osm_id", "anchor_id", "distance").checkpoint()
-    return taken if taken is not None else candidates.select("osm_id", "anchor_id").limit(0)
+    pairs = candidates.select("osm_id", "anchor_id", "distance").checkpoint()
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    # both ends as one kind of node; a row's label is the smallest node that it reaches
+    node = lambda c, of: F.concat(F.lit(of), F.col(c).cast("string"))
+    labels = label_components(pairs.select(node("osm_id", "o").alias("a"), node("anchor_id", "a").alias("b")), HEAL_ROUNDS)
+    labelled = pairs.join(labels, node("osm_id", "o") == F.col("id")).select("osm_id", "anchor_id", "distance", "label")
+
+    def settle(conflict):
+        conflict = conflict.sort_by([("osm_id", "ascending"), ("distance", "ascending"), ("anchor_id", "ascending")])
+        taken, won = set(), {}
+        for o, a in zip(conflict["osm_id"].to_pylist(), conflict["anchor_id"].to_pylist(), strict=True):
+            if o not in won and a not in taken:
+                won[o] = a
+                taken.add(a)
+        return pa.table({"osm_id": pa.array(won.keys(), conflict.schema.field("osm_id").type), "anchor_id": pa.array(won.values(), conflict.schema.field("anchor_id").type)})
+
+    return labelled.groupBy("label").applyInArrow(settle, f"osm_id {kinds['osm_id']}, anchor_id {kinds['anchor_id']}")

@@ -49,6 +49,17 @@ def test_heal_equals_serial_choice(spark):
     assert {r["osm_id"]: r["anchor_id"] for r in identity.identity_heal(df, df, df).collect()} == want
 
 
+def test_heal_of_a_hot_name_is_whole(spark):
+    spark.sparkContext.setCheckpointDir("/tmp/checkpoints/cartolex-tests")
+    df = spark.range(300 * 300).selectExpr("cast(id div 300 as int) as osm_id", "cast(id % 300 as int) as anchor_id", "cast((id div 300 * 7 + id % 300 * 11) % 97 as double) as distance")
+    taken, want = set(), {}
+    for o in range(300):
+        _, a = min(((o * 7 + a * 11) % 97, a) for a in range(300) if a not in taken)
+        want[o] = a
+        taken.add(a)
+    assert {r["osm_id"]: r["anchor_id"] for r in identity.identity_heal(df, df, df).collect()} == want
+
+
 def test_lookup_cascade(spark):
     got = lookup.find_poi_by_name(spark.createDataFrame(LOOKUPS, "needle_id int, text string"), spark.createDataFrame([(n,) for n in PLACES], "name string")).collect()
     assert sorted((r["needle_id"], r["pass"], r["name"]) for r in got) == LOOKUP_WANT
