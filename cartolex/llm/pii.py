@@ -68,8 +68,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 #: Labels: 0 is outside, then the kinds. A segment of a kind has at most LONGEST tokens, so that a region costs
 #: tokens * LONGEST * labels**2.
 LABELS, LONGEST = ("O", *KINDS), 16
-#: Tokens on either side of a trigger that its region holds, and the most tokens of one region.
-AROUND, REGION = 6, 400
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\S")
 #: What a region is built around: a long enough run of digits and joints, or a spelled-out address.
 _TRIGGER = re.compile(r"[0-9](?:[ ().\-/]{0,2}[0-9]){6,}|[\[({<] ?(?:at|AT|@) ?[\])}>]|@")
@@ -117,37 +115,36 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int, label: in
     return out
 
 
-def _segments(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Candidate segments by their ends: one token outside; up to LONGEST tokens that hold an at sign, from word to word, as
+def _segments(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+    """Candidate segments in the order of their ends: one token outside; up to LONGEST tokens that hold an at sign, from word to word, as
     an email; up to LONGEST tokens with 7 digits or more, from a digit, plus or bracket to a digit, as the other kinds."""
-    n, out = len(tokens), []
+    n = len(tokens)
     words = [text[a:b] for a, b in tokens]
     digits = np.concatenate([[0], np.cumsum([len(w) if w[0] in "0123456789" else 0 for w in words])]).tolist()
     at = np.concatenate([[0], np.cumsum([w == "@" or (w in ("at", "AT") and t > 0 and words[t - 1] in "[({<") for t, w in enumerate(words)])]).tolist()
     joints = [w[0] in "0123456789+().-/ " for w in words]
     for j in range(1, n + 1):
-        out.append((j - 1, j, 0))
+        yield j - 1, j, 0
         end = words[j - 1]
         if end.isalnum():
             number = end[0] in "0123456789"
             for i in range(j - 1, max(0, j - LONGEST) - 1, -1):
                 if at[j] > at[i] and words[i].isalnum() and "@" != words[i]:
-                    out.append((i, j, 1))
+                    yield i, j, 1
                 if number:
                     number = joints[i]
                     if number and digits[j] - digits[i] >= 7 and words[i][0] in "0123456789+(":
-                        out += [(i, j, y) for y in range(2, len(LABELS))]
+                        yield from ((i, j, y) for y in range(2, len(LABELS)))
                     elif number and digits[j] - digits[i] >= 4 and words[i][0] in "0123456789":
-                        out.append((i, j, 2))
-    return out
+                        yield i, j, 2
 
 
 def decode(text: str, tokens: list[tuple[int, int]], weights: dict[str, float]) -> list[tuple[int, int, int]]:
-    """The best segmentation's segments of a kind, by dynamic programming over ends and labels."""
+    """The best segmentation's segments of a kind, by dynamic programming over ends and labels; linear in the tokens."""
     n, k = len(tokens), len(LABELS)
     best = np.full((n + 1, k), -np.inf)
     best[0, 0] = 0.0
-    back: dict[tuple[int, int], tuple[int, int]] = {}
+    back = np.zeros((n + 1, k, 2), np.int32)
     for i, j, y in _segments(text, tokens):
         own = sum(weights.get(f, 0.0) for f in features(text, tokens, i, j, y))
         for x in range(k):
@@ -157,7 +154,7 @@ def decode(text: str, tokens: list[tuple[int, int]], weights: dict[str, float])
                     best[j, y], back[j, y] = s, (i, x)
     out, at = [], (n, int(best[n].argmax()))
     while at[0]:
-        prev = back[at]
+        prev = tuple(back[at].tolist())
         if at[1]:
             out.append((tokens[prev[0]][0], tokens[at[0] - 1][1], at[1] - 1))
         at = prev
@@ -230,7 +227,7 @@ def train(n: int = 500, epochs: int = 5, seed: int = 11, rate: float = 0.25, dec
         if not fine:
             continue
         true = sorted(true + [(t, t + 1, 0) for t in range(len(tokens)) if t not in covered])
-        segs = _segments(text, tokens)
+        segs = list(_segments(text, tokens))
         if not set(true) <= set(segs):
             continue
         feats = [features(text, tokens, *s) for s in segs]
@@ -273,7 +270,7 @@ def train(n: int = 500, epochs: int = 5, seed: int = 11, rate: float = 0.25, dec
 
 
 def regions(text: str) -> list[list[tuple[int, int]]]:
-    """Token runs around triggers; those that touch are one, and long ones are cut after REGION tokens."""
+    """Token runs around triggers; those that touch are one, however long."""
     found: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         lo, hi = max(0, m.start() - 80), min(len(text), m.end() + 80)
@@ -288,8 +285,7 @@ def regions(text: str) -> list[list[tuple[int, int]]]:
             lo -= 1
         while hi < len(text) and not text[hi].isspace():
             hi += 1
-        tokens = _tokens(text, lo, hi)
-        out += [tokens[i : i + REGION] for i in range(0, len(tokens), REGION)]
+        out.append(_tokens(text, lo, hi))
     return out
 
 

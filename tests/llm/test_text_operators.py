@@ -246,3 +246,9 @@ def test_word_model_equals_plain_kneser_ney(spark):
         got = sum(cost - rest) - first - sum(value.get(int(k), 0.0) for k in [*w.view(np.int64), *quality.pair_keys(v, w).view(np.int64)])
         row = ["<", *text.split(), ">"]
         assert abs(got + sum(math.log(p2(a, b)) for a, b in zip(row, row[1:], strict=False))) < 1e-6
+
+
+def test_pii_in_long_regions_is_whole():
+    line = "Ana Kos 415-555-0134\n"
+    base, added = pii.all_spans(line * 300, pii.train(500))
+    assert not base and added == [(i * len(line) + 8, i * len(line) + 20, 3) for i in range(300)]
