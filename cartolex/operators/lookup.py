@@ -85,10 +85,12 @@ def find_poi_by_name(needles: DataFrame, names: DataFrame) -> DataFrame:
     first = lambda c: F.get(F.col(c), F.lit(0))
     found = best(n.where("n_ident <> ''").join(h, n["n_ident"] == h["ident"]), 1)
     rest = n.join(found, "needle_id", "left_anti")
-    # a word-aligned hit shares the needle's first word or begins one: names by the first three letters of each word
-    grams = lambda c: F.explode(F.array_distinct(F.transform(F.filter(F.split(F.col(c), " "), lambda w: w != ""), lambda w: F.substring(w, 1, 3))))
+    # a word-aligned hit shares the needle's first word or begins one: names by the first one, two and three letters of each
+    # word, needles by as many of their first word as it has, three at most
+    heads = lambda w: F.array(*[F.substring(w, 1, k) for k in (1, 2, 3)])
+    grams = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.filter(F.split(F.col(c), " "), lambda w: w != ""), heads))))
     by_lat = h.withColumn("g", grams("lat"))
-    hits = rest.withColumn("g", F.substring("n_lat", 1, 3)).join(by_lat, "g").where(word_hit(F.col("low"), F.col("n_low")) | word_hit(F.col("lat"), F.col("n_lat")))
+    hits = rest.withColumn("g", F.substring(F.get(F.split("n_lat", " "), F.lit(0)), 1, 3)).join(by_lat, "g").where(word_hit(F.col("low"), F.col("n_low")) | word_hit(F.col("lat"), F.col("n_lat")))
     found = found.unionByName(best(hits, 2))
     for number, col in ((3, "phon"), (4, "canon")):
         rest = n.join(found, "needle_id", "left_anti").where(F.size(f"n_{col}") > 0)

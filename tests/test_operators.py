@@ -65,6 +65,13 @@ def test_lookup_cascade(spark):
     assert sorted((r["needle_id"], r["pass"], r["name"]) for r in got) == LOOKUP_WANT
 
 
+def test_lookup_hits_after_a_short_first_word(spark):
+    needles = spark.createDataFrame([(1, "TC Bis"), (2, "11 Oktomvri")], "needle_id int, text string")
+    names = spark.createDataFrame([(n,) for n in ("TC Biser", "Ul 11 Oktomvri 5", "TCX Bis", "Oktomvri")], "name string")
+    got = sorted((r["needle_id"], r["pass"], r["name"]) for r in lookup.find_poi_by_name(needles, names).collect())
+    assert got == [(1, 2, "TC Biser"), (2, 2, "Ul 11 Oktomvri 5")]
+
+
 def test_collapse_keeps_the_local_name_and_the_rated_pin(spark):
     shape = "poi_id long, name string, type string, p_lat double, p_lon double, source string, place_id string, review_count int, closed int"
     rows = [(1, "Еурофарм", "pharmacy", 42.0, 21.4, "osm", None, None, 0), (2, "Eurofarm", "Pharmacy", 42.0001, 21.4, "google", "0x1:0x2", 9, 0), (3, "Kipper", "supermarket", 42.0002, 21.4, "osm", None, None, 0), (4, "Kipper Market - Butel", "supermarket", 42.0003, 21.4, "osm", None, None, 0), (5, "x", "house", 42.0, 21.4, "osm", None, None, 0)]
