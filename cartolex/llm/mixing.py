@@ -99,7 +99,7 @@ def mix_sources(docs: DataFrame, source: str = "source", size: str = "size", doc
     its documents in a seeded order of hashes, the last of them in part, so that a source's taken words meet its target to
     within a word. No document gives more than ``most`` times its size. Reruns agree: the order follows from ids and sizes;
     rows that repeat are told apart by nothing and may be swapped. Columns of the added names are replaced. An empty table
-    gives no rows.
+    gives no rows. More than MOST_PATTERNS distinct sets of sources raise a ValueError, as the flow is solved on the driver.
 
     The order is dealt by buckets of hashes: sums for each bucket find the one where a pattern's rest ends, and only its
     documents are sorted, so that a hot source is never sorted in one task.
