@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartolex.llm import spelling as by_classes
 from cartolex.llm.common import _IS_SPACE, binary_column, byte_chunks, cut, mixed, sized, word_hashes, working
 
 #: Symbols of the model that spells words nobody has seen: 26 small letters and six classes of other characters. Its table
@@ -223,6 +224,8 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", t
     The model counts the words and the pairs of neighbouring words of all trusted text, with no bound on either; words that it
     has not counted are spelled by character. Perplexity is that of a character. A trusted document is judged without what it
     alone has brought into the model, so that thresholds hold for other documents; any two rows of one text have one value.
+    A row is kept if the model of character classes (``spelling``), under its own threshold, keeps it as well: that one sees
+    repeated words, which the word model's thresholds let pass.
 
     ``trusted``: the ids of trusted documents (column doc_id); the model counts all of their text. A language's threshold is
     exp(log quantile + margin + slack / sqrt(characters / 100)): the ``quantile`` of its trusted documents' log-perplexities, with
@@ -234,6 +237,8 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", t
     names = ("perplexity", "threshold", "kept")
     ids = trusted.select(F.col("doc_id").alias(doc_id)).dropna().distinct()
     ids = sized(ids, 24)
+    kept = [c for c in docs.columns if c not in names]
+    docs = by_classes.judge_quality(docs.select(*kept), trusted, doc_id, text, lang, quantile, margin, slack).drop("perplexity", "threshold").withColumnRenamed("kept", "_by_classes")
     known = docs.join(ids, doc_id, "left_semi").where(f"`{text}` is not null").select(text)
     model = kneser_ney(count_ngrams(known, text))
     table = np.zeros(ENTRIES, np.float32)
@@ -263,7 +268,6 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", t
     # inner: what the model has not counted adds nothing
     sums = found.where("key is not null").join(values, "key").groupBy("t").agg(F.sum(F.col("n") * F.col("value")).alias("_all"), F.sum(F.when(~F.col("solo"), F.col("n") * F.col("value"))).alias("_most"))
     sums = cut(sums.join(rows_of, "t").select("t", (F.col("_all") / F.col("_rows")).alias("_all"), (F.coalesce("_most", F.lit(0.0)) / F.col("_rows")).alias("_most")), "sums")
-    kept = [c for c in docs.columns if c not in names]
     added = ", _chars bigint, _spelled double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +291,7 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", t
         return out.withColumn("_loss", (F.col("_spelled") - gain) / F.greatest(F.lit(1), "_chars")).drop("_t", "t", "_all", "_most", "_spelled")
 
     mine = sized(ids.select(F.col(doc_id).alias("_mine")), 24)
-    scored = scores(docs.select(*kept).join(mine, F.col(doc_id) == F.col("_mine"), "left"), F.col("_mine").isNotNull()).drop("_mine")
+    scored = scores(docs.select(*kept, "_by_classes").join(mine, F.col(doc_id) == F.col("_mine"), "left"), F.col("_mine").isNotNull()).drop("_mine")
     # thresholds need the numbers of the trusted documents alone
     theirs = scores(docs.join(ids, doc_id, "left_semi").select(lang, text), F.lit(True)).drop(text)
     sample = cut(theirs, "scores").where("_chars > 0").withColumn("_loss", F.col("_loss") - slack / F.sqrt(F.col("_chars") / 100))
@@ -298,4 +302,4 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", t
     limit = F.coalesce("_q", F.lit(overall)) + margin + slack / F.sqrt(F.col("_chars") / 100)
     out = out.withColumn("perplexity", F.when(F.col("_chars") > 0, F.exp("_loss"))).withColumn("threshold", F.when(F.col("_chars") > 0, F.exp(limit)))
     verdict = F.when(F.col("_chars") == 0, False).otherwise(F.coalesce(F.col("_loss") <= limit, F.lit(True)))
-    return out.withColumn("kept", verdict).select(*kept, *names)
+    return out.withColumn("kept", verdict & F.col("_by_classes")).select(*kept, *names)
