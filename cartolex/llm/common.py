@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 24 << 20
 
 #: Text bytes that one numpy pass handles at a time.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -69,6 +69,27 @@ def working(name: str) -> None:
             ctypes.CDLL(None).malloc_trim(0)
 
 
+def bit_table(keys: DataFrame, n: int, most_bits: int) -> np.ndarray:
+    """A table of bits, 16 for each of n keys (column k, bigint) up to ``most_bits``, with the places of the keys set."""
+    bits = 1 << min(max(16, int(16 * n).bit_length()), most_bits.bit_length() - 1)
+    place = lambda batches: (pa.RecordBatch.from_arrays([pa.array(_place(b.column(0).to_numpy().view(np.uint64), bits))], ["p"]) for b in batches)
+    words = keys.mapInArrow(place, "p bigint").groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("b"))
+    found = words.toArrow()  # at most most_bits / 64 rows, whatever the input
+    table = np.zeros(bits // 64, np.int64)
+    table[found["w"].to_numpy()] = found["b"].to_numpy()
+    return table
+
+
+def _place(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (mixed(keys) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def in_table(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the places of keys are set: true for every key of the table and for few others."""
+    at = _place(keys, 64 * len(table))
+    return (table[at >> 6] >> (at & 63)) & 1 == 1
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))

@@ -9,297 +9,355 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartolex.llm import spelling as by_classes
-from cartolex.llm.common import _IS_SPACE, binary_column, byte_chunks, cut, mixed, sized, word_hashes, working
-
-#: Symbols of the model that spells words nobody has seen: 26 small letters and six classes of other characters. Its table
-#: has SYMBOLS ** ORDER entries, whatever the input, and is broadcast; words and their bigrams are never cut to it.
-SYMBOLS, ORDER = 32, 4
-ENTRIES = SYMBOLS**ORDER
-OTHER_LETTER, CAPITAL, DIGIT, SPACE, STOP, OTHER = 26, 27, 28, 29, 30, 31
-
-
-def _symbols() -> np.ndarray:
-    """Symbol of a byte; 255 for the later bytes of a character, which count with its first."""
-    out = np.full(256, OTHER, np.uint8)
-    out[97:123] = np.arange(26)
-    out[65:91] = CAPITAL
-    out[48:58] = DIGIT
-    out[[32, 9, 10, 11, 12, 13]] = SPACE
-    out[[ord(c) for c in ".,;:'"]] = STOP
-    out[128:192] = 255
-    out[192:] = OTHER_LETTER
-    return out
-
-
-_SYMBOL = _symbols()
-
-
-#: Hashes of the marks before the first and after the last word of a text.
-BEFORE, AFTER = np.uint64(0), np.uint64(1)
-#: The code of the end of a word without characters, which spells the end of a text.
-_ALL_SPACES = sum(SPACE << (5 * j) for j in range(ORDER))
-
-
-def spelling(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of the characters of each word and of its end (5 bits a symbol, ORDER - 1 spaces before each word), where each
-    word's codes start, and the byte after its last one. Words are those of ``word_hashes``."""
-    inside = ~_IS_SPACE[data]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    edge = off[:-1][off[:-1] < len(data)]
-    first[edge] |= inside[edge]
-    words = int(first.sum())
-    number = np.cumsum(first) - 1
-    sym = _SYMBOL[data]
-    lead = np.flatnonzero(inside & (sym != 255))
-    end = np.zeros(words, np.int64)
-    end[number[inside]] = np.flatnonzero(inside) + 1
-    size = np.bincount(number[lead], minlength=words) + 1
-    start = np.cumsum(size) - size
-    line = np.full(int(size.sum()), SPACE, np.int32)
-    line[np.arange(len(lead)) + number[lead]] = sym[lead]
-    place = np.arange(len(line)) - np.repeat(start, size)
-    code = line.copy()
-    for j in range(1, ORDER):
-        back = np.full(len(line), SPACE, np.int32)
-        back[j:] = line[:-j]
-        back[place < j] = SPACE
-        code |= back << (5 * j)
-    return code, start, end
-
-
-def spelled(data: np.ndarray, off: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Minus the log-probability of each word's spelling: of its symbols, and of each byte among those of its symbol."""
-    table, byte = model
-    code, start, end = spelling(data, off)
-    sums = np.concatenate([[0.0], np.cumsum(np.where(_IS_SPACE[data], 0.0, byte[data]))])
-    return np.add.reduceat(table[code].astype(np.float64), start) + sums[end] - sums[np.concatenate([[0], end[:-1]])] if len(start) else np.empty(0)
-
-
-def tokens(data: np.ndarray, off: np.ndarray, spell: np.ndarray, end: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every word and of the end of each row: hash, hash of the one before, row, spelling."""
-    (word,), bounds = word_hashes(data, off, (0x9E3779B97F4A7C15,))
+from cartolex.llm import spelling
+from cartolex.llm.common import binary_column, bit_table, byte_chunks, cut, in_table, mixed, sized, word_hashes
+
+#: Stands before the first and after the last word of a text, so that it is counted as often in front as behind.
+MARK = np.uint64(1)
+#: Words are told apart by 48 bits of hash: 6 bytes each on their way.
+WORD_BYTES = 6
+#: Tokens that a task counts before it sends them, and tokens of all trusted text for each shard of pairs.
+FLUSH, SHARD_TOKENS, LEAST_SHARDS = 1_000_000, 1_000_000, 32
+#: Entries of the model that are sent to every executor: the most frequent ones, 12 bytes each. Texts are joined to the rest.
+HEAD = 4_000_000
+#: Bits of the table that tells a text's task which entries of the rest exist at all; it saves rows and decides nothing.
+REST_BITS = 1 << 28
+#: Words with more than a 32nd of all tokens are spread over the shards; a chunk reports those above half of that.
+HOT = 32
+
+
+def word_keys(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    (h,), bounds = word_hashes(data, off, (0x9E3779B97F4A7C15,))
+    return np.maximum(h >> np.uint64(64 - 8 * WORD_BYTES), MARK + np.uint64(1)), bounds
+
+
+def tokens(data: np.ndarray, off: np.ndarray, cost: np.ndarray, end: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every word and of the end of each row: the word, the one before, row, spelling (to half precision, as counted)."""
+    word, bounds = word_keys(data, off)
     rows = len(off) - 1
     row = np.repeat(np.arange(rows), np.diff(bounds))
     ends = bounds[1:] + np.arange(rows)
-    token, cost, owner = np.full(len(word) + rows, AFTER), np.full(len(word) + rows, end), np.empty(len(word) + rows, np.int64)
+    w, s, owner = np.full(len(word) + rows, MARK), np.full(len(word) + rows, end), np.empty(len(word) + rows, np.int64)
     at = np.arange(len(word)) + row
-    token[at], cost[at], owner[at], owner[ends] = word, spell, row, np.arange(rows)
-    before = np.concatenate([[BEFORE], token[:-1]]).astype(np.uint64)
-    before[bounds[:-1] + np.arange(rows)] = BEFORE
-    return token, before, owner, cost
+    w[at], s[at], owner[at], owner[ends] = word, cost, row, np.arange(rows)
+    before = np.concatenate([[MARK], w[:-1]]).astype(np.uint64)
+    before[bounds[:-1] + np.arange(rows)] = MARK
+    return w, before, owner, np.minimum(s, 60000.0).astype(np.float16).astype(np.float64)
 
 
 def pair_keys(before: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mixed(mixed(before + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F) + token)
 
 
-def _grouped(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted by key, then owner: the order, where keys start, where (key, owner) start, and the starts of keys among those."""
-    order = np.lexsort((owner, key))
-    k, o = key[order], owner[order]
-    new_key = np.concatenate([[True], k[1:] != k[:-1]])
-    new_both = new_key | np.concatenate([[True], o[1:] != o[:-1]])
-    both = np.flatnonzero(new_both)
-    return order, np.flatnonzero(new_key), both, np.flatnonzero(new_key[both])
+def single_keys(token: np.ndarray) -> np.ndarray:
+    return mixed(token + np.uint64(0x2545F4914F6CDD1D))
 
 
-def count_ngrams(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(code, n) of all character n-grams of the words of all rows; each task sums its own before the shuffle."""
+def _packed(a: np.ndarray) -> bytes:
+    return a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        working("quality")
-        total = np.zeros(ENTRIES, np.int64)
-        for batch in batches:
-            for _, _, data, off in byte_chunks(binary_column(batch, text)):
-                total += np.bincount(spelling(data, off)[0], minlength=ENTRIES)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["code", "n"])
 
-    return docs.select(text).mapInArrow(run, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // WORD_BYTES, 8), np.uint8)
+    out[:, :WORD_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, WORD_BYTES)
+    return out.view("<u8").ravel()
 
 
-def byte_costs(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Minus the log-probability of each of the 256 bytes among those of its symbol, one added to each count."""
+def count_characters(known: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]:
+    """Of all rows: counts of running and of words' codes, of bytes, of tokens, and the words with a 32nd of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
+        running, words, byte, n = np.zeros(spelling.ENTRIES, np.int64), np.zeros(spelling.ENTRIES, np.int64), np.zeros(256, np.int64), 0
+        hot: dict[int, int] = {}
         for batch in batches:
-            for _, _, data, _ in byte_chunks(binary_column(batch, text)):
-                total += np.bincount(data, minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(total, pa.int64())], ["byte", "n"])
-
-    count = np.ones(256)
-    for r in docs.select(text).mapInArrow(run, "byte int, n bigint").groupBy("byte").agg(F.sum("n").alias("n")).collect():
-        count[r["byte"]] += r["n"]
-    return np.log(np.bincount(_SYMBOL, count, 256)[_SYMBOL] / count)
-
-
-def discount(level: DataFrame, least: float = 0.0):
-    """The modified Kneser-Ney discount of a count, from the numbers of counts 1 to 4 of a level; ``least`` at least."""
-    n1, n2, n3, n4 = (float(x or 0) for x in level.agg(*[F.count_if(F.col("n") == i) for i in (1, 2, 3, 4)]).first())
-    y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.0
-    cuts = [max(least, min(i, max(0.0, i - (i + 1) * y * b / a)) if a else 0.0) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-    return lambda n: F.when(n == 1, cuts[0]).when(n == 2, cuts[1]).otherwise(cuts[2])
-
-
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(code, p): the interpolated modified Kneser-Ney probability of every n-gram's last symbol after its first ones.
-
-    Lower orders count the distinct symbols before an n-gram. Every table is sharded by code and meets the next order in
-    equi-joins; without any count all symbols are equally likely.
+            for _, _, data, off in byte_chunks(binary_column(batch, text)):
+                running += np.bincount(spelling.running_codes(data, off)[0], minlength=spelling.ENTRIES)
+                words += np.bincount(spelling.word_codes(data, off)[0], minlength=spelling.ENTRIES)
+                byte += np.bincount(data, minlength=256)
+                word, _ = word_keys(data, off)
+                n += len(word) + len(off) - 1
+                each, times = np.unique(word, return_counts=True)
+                for i in np.flatnonzero(times * 2 * HOT >= len(word)):
+                    hot[int(each[i])] = hot.get(int(each[i]), 0) + int(times[i])
+        for kind, codes, times in ((0, np.arange(spelling.ENTRIES), running), (1, np.arange(spelling.ENTRIES), words), (2, np.arange(256), byte), (3, np.zeros(1, np.int64), np.array([n])), (4, np.array(list(hot), np.int64), np.array(list(hot.values()), np.int64))):
+            some = np.flatnonzero(times)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int8)), pa.array(codes[some], pa.int64()), pa.array(times[some], pa.int64())], ["kind", "code", "n"])
+
+    summed = cut(known.select(text).mapInArrow(run, "kind tinyint, code bigint, n bigint").groupBy("kind", "code").agg(F.sum("n").alias("n")), "characters")
+    n = int(summed.where("kind = 3").agg(F.sum("n")).first()[0] or 0)
+    # two tables of SYMBOLS ** ORDER entries, 256 bytes and at most 2 * HOT words
+    got = summed.where((F.col("kind") < 3) | ((F.col("kind") == 4) & (F.col("n") * 2 * HOT >= n))).toArrow()
+    kind, code, times = (got[c].to_numpy() for c in ("kind", "code", "n"))
+    out = []
+    for k, size in ((0, spelling.ENTRIES), (1, spelling.ENTRIES), (2, 256)):
+        table = np.zeros(size, np.int64)
+        table[code[kind == k]] = times[kind == k]
+        out.append(table)
+    return *out, n, np.sort(code[kind == 4]).astype(np.uint64)
+
+
+def count_pairs(known: DataFrame, sent, n_tokens: int, hot: np.ndarray, text: str) -> DataFrame:
+    """Counts of words and pairs of neighbours, from one shuffle of packed, pre-summed pairs in shards by the later word.
+
+    Rows by ``kind``: 0 (a: 1 to 4, n: pairs that often), 1 (a: 1 to 4, n: words with that many words before them; a: 0, the
+    sum of all), 2 (a: word, n: its tokens, c: distinct words before it, x: its spelling), 3 (a: word before, b: word, n:
+    tokens of the pair, c and x of the word). Pairs and words that one text alone holds (told by 16 bits of the text's hash;
+    copies are one text) come in the sums only. Words in ``hot`` are spread over shards, so their rows of kind 2 are partial
+    and come in any case (b: the mark of the one text that holds them, or 0), and their pairs come with c = 0.
     """
-    spark = counts.sparkSession
-    levels = {ORDER: cut(counts, "counts")}
-    for k in range(ORDER - 1, 0, -1):
-        levels[k] = levels[k + 1].groupBy(F.col("code").bitwiseAND(SYMBOLS**k - 1).alias("code")).agg(F.count("*").alias("n"))
-    p = spark.range(SYMBOLS).select(F.col("id").cast("int").alias("code"), F.lit(1.0 / SYMBOLS).alias("p"))
-    for k in range(1, ORDER + 1):
-        level = levels[k]
-        cut_of = discount(level)
-        context = level.groupBy(F.shiftright("code", 5).alias("h")).agg(F.sum("n").alias("total"), F.sum(cut_of(F.col("n"))).alias("mass"))
-        grid = spark.range(SYMBOLS**k).select(F.col("id").cast("int").alias("code"))
-        lower = p.withColumnRenamed("code", "low").withColumnRenamed("p", "q")
-        grid = grid.withColumn("h", F.shiftright("code", 5)).withColumn("low", F.col("code").bitwiseAND(max(1, SYMBOLS ** (k - 1)) - 1) if k > 1 else F.col("code"))
-        joined = grid.join(level, "code", "left").join(context, "h", "left").join(lower, "low")
-        own = F.when(F.col("n").isNull(), 0.0).otherwise((F.col("n") - cut_of(F.col("n"))) / F.col("total"))
-        p = joined.select("code", F.when(F.col("total").isNull(), F.col("q")).otherwise(own + F.col("mass") / F.col("total") * F.col("q")).alias("p"))
-    return p
-
-
-def count_words(docs: DataFrame, sent, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(key, v, w, n, docs, spell) of all pairs of neighbours, and (key, docs) of all words, of all rows; ``docs`` counts rows."""
+    shards = max(LEAST_SHARDS, -(-n_tokens // SHARD_TOKENS))
+
+    def flushed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        w, v, mark, s = (np.concatenate(x) for x in zip(*held, strict=True))
+        shard = (mixed(w) % np.uint64(shards)).astype(np.int32)
+        spread = np.isin(w, hot)
+        shard[spread] = (mixed(w[spread] ^ mixed(v[spread])) % np.uint64(shards)).astype(np.int32)
+        order = np.lexsort((v, w, shard))
+        w, v, mark, s, shard = w[order], v[order], mark[order], s[order], shard[order]
+        new_w = np.concatenate([[True], (w[1:] != w[:-1]) | (shard[1:] != shard[:-1])])
+        at = np.flatnonzero(new_w | np.concatenate([[True], v[1:] != v[:-1]]))
+        lo, hi = np.minimum.reduceat(mark, at), np.maximum.reduceat(mark, at)
+        text_mark = np.where(lo == hi, lo, 0).astype(np.uint16)
+        n = np.diff(np.append(at, len(w))).astype(np.uint32)
+        w, v, s, shard = w[at], v[at], s[at], shard[at]
+        first = np.flatnonzero(new_w[at])
+        runs = np.diff(np.append(first, len(w))).astype(np.uint32)
+        ends, w_ends = np.searchsorted(shard, np.arange(shards + 1)), np.searchsorted(shard[first], np.arange(shards + 1))
+        rows = [i for i in range(shards) if ends[i] < ends[i + 1]]
+        cols: list[list[bytes]] = [[] for _ in range(6)]
+        for i in rows:
+            a, b, p, q = ends[i], ends[i + 1], w_ends[i], w_ends[i + 1]
+            for c, x in zip(cols, (_packed(w[first[p:q]]), runs[p:q].tobytes(), s[first[p:q]].astype(np.float16).tobytes(), _packed(v[a:b]), n[a:b].tobytes(), text_mark[a:b].tobytes()), strict=True):
+                c.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], ["shard", "w", "runs", "s", "v", "n", "mark"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        working("quality")
-        end = float(sent.value[0][_ALL_SPACES])
+        _, table, byte = sent.value
+        held, size = [], 0
         for batch in batches:
-            for _, _, data, off in byte_chunks(binary_column(batch, text)):
-                w, v, owner, cost = tokens(data, off, spelled(data, off, sent.value), end)
-                for kind, key in ((2, pair_keys(v, w)), (1, w)):
-                    order, starts, both, docs_at = _grouped(key, owner)
-                    at = order[starts]
-                    n, n_docs = np.diff(np.append(starts, len(key))), np.diff(np.append(docs_at, len(both)))
-                    cols = [np.full(len(at), kind, np.int8), key[at].view(np.int64), v[at].view(np.int64), w[at].view(np.int64), n.astype(np.int64), n_docs.astype(np.int64), cost[at]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "key", "v", "w", "n", "docs", "spell"])
-
-    got = docs.select(text).mapInArrow(run, "kind tinyint, key bigint, v bigint, w bigint, n bigint, docs bigint, spell double")
-    # a pair is its key: v, w and spelling are the same in all its rows
-    all_ = cut(got.groupBy("kind", "key").agg(F.max("v").alias("v"), F.max("w").alias("w"), F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.max("spell").alias("spell")), "words")
-    return all_.where("kind = 2").drop("kind"), all_.where("kind = 1").select("key", "docs")
-
-
-def word_model(pairs: DataFrame, words: DataFrame) -> tuple[DataFrame, float, float]:
-    """The word model in a form that sums up: (key, value, solo), the log weight of spelling, and that of the first mark.
-
-    log p(w | v) is the log weight of spelling, plus the log-probability of the spelling of w, plus the values of the word v
-    as a context and of w as a word, plus the value of the pair; what was never counted has no row and the value 0. A word's
-    row holds its values in both roles: every word of a text comes once in each. ``solo``: counted in one row only. The
-    tables grow with the text, stay sharded by key and meet in equi-joins.
+            marks = (batch.column(1).to_numpy().view(np.uint64) % np.uint64(65535)).astype(np.uint16) + np.uint16(1)
+            for lo, hi, data, off in byte_chunks(binary_column(batch, text)):
+                w, v, owner, s = tokens(data, off, spelling.spelled(data, off, table, byte), float(table[spelling.ALL_SPACES]))
+                held.append((w, v, marks[lo:hi][owner], s))
+                size += len(w)
+                if size >= FLUSH:
+                    yield from flushed(held)
+                    held, size = [], 0
+        if size:
+            yield from flushed(held)
+
+    def settled(key, group):
+        w, s, v, n, mark = [], [], [], [], []
+        for i in range(group.num_rows):
+            cell = lambda c, i=i: group.column(c)[i].as_py()
+            runs = np.frombuffer(cell("runs"), np.uint32)
+            w.append(np.repeat(_unpacked(cell("w")), runs))
+            s.append(np.repeat(np.frombuffer(cell("s"), np.float16), runs))
+            v.append(_unpacked(cell("v")))
+            n.append(np.frombuffer(cell("n"), np.uint32))
+            mark.append(np.frombuffer(cell("mark"), np.uint16))
+        w, s, v, n, mark = (np.concatenate(x) for x in (w, s, v, n, mark))
+        order = np.lexsort((v, w))
+        w, v, s = w[order], v[order], s[order]
+        new_w = np.concatenate([[True], w[1:] != w[:-1]])
+        at = np.flatnonzero(new_w | np.concatenate([[True], v[1:] != v[:-1]]))
+        n = np.add.reduceat(n[order].astype(np.int64), at)
+        lo, hi = np.minimum.reduceat(mark[order], at), np.maximum.reduceat(mark[order], at)
+        w, v, s, first = w[at], v[at], s[at], np.flatnonzero(new_w[at])
+        c = np.diff(np.append(first, len(w)))
+        low, high = np.minimum.reduceat(lo, first), np.maximum.reduceat(hi, first)
+        solo = (low == high) & (low > 0)
+        spread = np.isin(w[first], hot)
+        word = np.flatnonzero(~solo | spread)
+        pair = np.flatnonzero((lo != hi) | (lo == 0))
+        of = np.repeat(np.arange(len(first)), c)[pair]
+        each = np.where(spread, 0, c)
+        kinds = [
+            (0, np.arange(1, 5), None, np.bincount(np.minimum(n, 5), minlength=6)[1:5], None, None),
+            (1, np.arange(5), None, np.concatenate([[each.sum()], np.bincount(np.minimum(each, 5), minlength=6)[1:5]]), None, None),
+            (2, w[first[word]], np.where(solo, low, 0)[word], np.add.reduceat(n, first)[word], c[word], s[first[word]]),
+            (3, v[pair], w[pair], n[pair], each[of], s[pair]),
+        ]
+        parts = []
+        for kind, a, b, n_, c_, x in kinds:
+            m = len(a)
+            long = lambda y, m=m: pa.array(np.zeros(m, np.int64) if y is None else y.astype(np.int64), pa.int64())
+            parts.append(pa.table({"kind": pa.array(np.full(m, kind, np.int8)), "a": long(a), "b": long(b), "n": long(n_), "c": long(c_), "x": pa.array(np.zeros(m, np.float32) if x is None else x.astype(np.float32))}))
+        return pa.concat_tables(parts)
+
+    packed = known.select(text, F.xxhash64(text).alias("_mark")).mapInArrow(run, "shard int, w binary, runs binary, s binary, v binary, n binary, mark binary")
+    return cut(packed.groupBy("shard").applyInArrow(settled, "kind tinyint, a bigint, b bigint, n bigint, c bigint, x float"), "pairs")
+
+
+def word_model(counts: DataFrame, hot: np.ndarray) -> tuple[DataFrame, float]:
+    """The model as a sum: (key, value, n), and the log weight of spelling.
+
+    log p(w | v) is the log weight of spelling, less the spelling of w, plus the value of w as a word and of v as the word
+    before, which one entry holds together, plus the value of the pair; what is not counted has no entry and the value 0.
+    The table grows with the text, stays sharded by key and meets others in equi-joins.
     """
-    cut_two = discount(pairs, 0.05)
-    context = pairs.groupBy("v").agg((F.sum(cut_two(F.col("n"))) / F.sum("n")).alias("weight"))
-    context = cut(context.select("v", F.log("weight").alias("weight")), "contexts")
-    level = cut(pairs.groupBy("w").agg(F.count("*").alias("n"), F.max("spell").alias("spell")), "unigrams")
-    cut_one = discount(level, 0.05)
-    total, mass = (float(x or 0) for x in level.agg(F.sum("n"), F.sum(cut_one(F.col("n")))).first())
+    spark = counts.sparkSession
+    sums = {(r["kind"], r["a"]): float(r["n"]) for r in counts.where("kind < 2").groupBy("kind", "a").agg(F.sum("n").alias("n")).collect()}  # nine numbers
+    words = counts.where("kind = 2").select(F.col("a").alias("w"), F.col("b").alias("mark"), "n", "c", "x")
+    pairs = counts.where("kind = 3").select(F.col("a").alias("v"), F.col("b").alias("w"), "n", "c", "x")
+    if len(hot):
+        # at most 2 * HOT words, summed over their shards
+        whole = words.where(F.col("w").isin(hot.astype(np.int64).tolist())).groupBy("w").agg(F.sum("n").alias("n"), F.sum("c").alias("c"), F.max("x").alias("x"), F.min("mark").alias("lo"), F.max("mark").alias("hi")).collect()
+        for r in whole:
+            for k in (0, r["c"] if r["c"] < 5 else 5):
+                sums[1, k] = sums.get((1, k), 0.0) + (r["c"] if k == 0 else 1)
+        table = spark.createDataFrame([(r["w"], r["n"], r["c"], r["x"], r["lo"] == r["hi"] > 0) for r in whole], "w long, n long, c long, x float, solo boolean")
+        pairs = pairs.join(F.broadcast(table.select("w", F.col("c").alias("whole"))), "w", "left").select("v", "w", "n", F.coalesce("whole", "c").alias("c"), "x")
+        words = words.where(~F.col("w").isin(hot.astype(np.int64).tolist())).drop("mark").unionByName(table.where("not solo").drop("solo"))
+    total = sums.get((1, 0), 0.0)
     if not total:
-        return pairs.select("key", F.lit(0.0).alias("value"), F.lit(False).alias("solo")), 0.0, 0.0
-    rest = float(np.log(mass / total))
-    unigram = level.select("w", F.log((F.col("n") - cut_one(F.col("n"))) / total + F.exp(rest - F.col("spell"))).alias("p"), (rest - F.col("spell")).alias("unseen"))
-    single = unigram.join(words, F.col("w") == words["key"]).join(context, F.col("w") == F.col("v"), "left")
-    single = single.select("key", (F.col("p") - F.col("unseen") + F.coalesce("weight", F.lit(0.0))).alias("value"), (F.col("docs") == 1).alias("solo"))
-    totals = pairs.groupBy("v").agg(F.sum("n").alias("total")).join(context, "v")
-    double = pairs.select("key", "v", "w", "n", "docs").join(unigram.select("w", "p"), "w").join(totals, "v")
-    own = (F.col("n") - cut_two(F.col("n"))) / F.col("total")
-    double = double.select("key", F.log1p(own * F.exp(-F.col("weight") - F.col("p"))).alias("value"), (F.col("docs") == 1).alias("solo"))
-    first = context.where(F.col("v") == int(BEFORE)).first()
-    return cut(single.unionByName(double), "model"), rest, first["weight"]
-
-
-def judge_quality(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = 0.999, margin: float = 0.05, slack: float = 0.35) -> DataFrame:
+        return spark.range(0).select(F.col("id").alias("key"), F.lit(0.0).cast("float").alias("value"), F.lit(0).cast("long").alias("n")), 0.0
+    less = lambda n, cuts: n - F.when(n == 1, cuts[0]).when(n == 2, cuts[1]).otherwise(cuts[2])
+    cut_two, cut_one = (spelling.discounts(*[sums.get((k, i), 0.0) for i in (1, 2, 3, 4)], least=0.05) for k in (0, 1))
+    known = words.agg(F.sum(less(F.col("c"), cut_one))).first()[0] or 0.0
+    rest = float(np.log(1 - known / total))
+    p = less(F.col("c"), cut_one) / total + F.exp(rest - F.col("x"))
+    behind = pairs.groupBy("v").agg(F.sum(less(F.col("n"), cut_two)).alias("held"))
+    words = cut(words.join(behind, F.col("w") == F.col("v"), "left").select("w", "n", "c", "x", (F.col("n") - F.coalesce("held", F.lit(0.0))).alias("free")), "words")
+    single = words.select(F.col("w").alias("a"), F.lit(None).cast("long").alias("b"), (F.log(p) - rest + F.col("x") + F.log(F.col("free") / F.col("n"))).cast("float").alias("value"), "n")
+    double = pairs.join(words.select(F.col("w").alias("v"), "free"), "v").select(F.col("v").alias("a"), F.col("w").alias("b"), F.log1p(less(F.col("n"), cut_two) / F.col("free") / p).cast("float").alias("value"), "n")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column(0).to_numpy().view(np.uint64), batch.column(1)
+            alone = b.is_null().to_numpy(zero_copy_only=False)
+            key = np.where(alone, single_keys(a), pair_keys(a, b.fill_null(0).to_numpy().view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(2), batch.column(3)], ["key", "value", "n"])
+
+    return cut(single.unionByName(double).mapInArrow(keyed, "key bigint, value float, n bigint"), "model"), rest
+
+
+def split_head(model: DataFrame, head: int) -> tuple[np.ndarray, np.ndarray, DataFrame, int]:
+    """Keys and values of the ``head`` most frequent entries at most, sorted by key, and the rest with its number of rows."""
+    capped = F.least("n", F.lit(10_000))
+    by_n = sorted(((r["n"], r["m"]) for r in model.groupBy(capped.alias("n")).agg(F.count("*").alias("m")).collect()), reverse=True)  # 10,000 rows at most
+    room, limit, part = head, 0, 0
+    for n, m in by_n:
+        if m > room:
+            limit, part = n, room * 1024 // m
+            break
+        room -= m
+    inside = (capped > limit) | ((capped == limit) & (F.pmod(F.col("key"), F.lit(1024)) < part))
+    got = model.where(inside).select("key", "value").toArrow()  # ``head`` rows at most
+    key, value = got["key"].to_numpy().view(np.uint64), got["value"].to_numpy()
+    order = np.argsort(key)
+    return key[order], value[order], model.where(~inside), sum(m for _, m in by_n) - len(key)
+
+
+def _gains(key: np.ndarray, owner: np.ndarray, head: tuple[np.ndarray, np.ndarray], rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of the head's values for each row, and which keys the head does not hold."""
+    keys, values = head
+    if not len(keys):
+        return np.zeros(rows), np.ones(len(key), bool)
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    hit = keys[at] == key
+    return np.bincount(owner[hit], values[at[hit]].astype(np.float64), rows), ~hit
+
+
+def judge_quality(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = 0.999, margin: float = 0.05, slack: float = 0.35, head: int = HEAD) -> DataFrame:
     """Adds to every row ``perplexity``, ``threshold`` and ``kept``: perplexity at most the threshold of its language.
 
     The model counts the words and the pairs of neighbouring words of all trusted text, with no bound on either; words that it
-    has not counted are spelled by character. Perplexity is that of a character. A trusted document is judged without what it
-    alone has brought into the model, so that thresholds hold for other documents; any two rows of one text have one value.
-    A row is kept if the model of character classes (``spelling``), under its own threshold, keeps it as well: that one sees
-    repeated words, which the word model's thresholds let pass.
+    has not counted are spelled by character. Words and pairs that one text alone holds count for the discounts and the
+    weight of what is unseen, and are unseen themselves: else trusted texts would be judged by what they alone have brought.
+    Perplexity is that of a character. A row is kept if a model of the classes of characters in running text, under its own
+    threshold, keeps it as well: that one sees repeated words, which the word model lets pass.
 
     ``trusted``: the ids of trusted documents (column doc_id); the model counts all of their text. A language's threshold is
-    exp(log quantile + margin + slack / sqrt(characters / 100)): the ``quantile`` of its trusted documents' log-perplexities, with
-    more room for short texts, whose averages scatter. Languages without trusted documents, null among them, take the
-    quantile over all. Null texts and those without a word have perplexity null and are rejected; without any trusted document all others
-    are kept. Rows are judged one by one, so repeated rows repeat; columns of the added names are replaced.
+    exp(log quantile + margin + slack / sqrt(characters / 100)): the ``quantile`` of its trusted documents' log-perplexities,
+    with more room for short texts, whose averages scatter. Languages without trusted documents, null among them, take the
+    quantile over all. Null texts and those without a word have perplexity null and are rejected; without any trusted
+    document all others are kept. Rows are judged one by one, so repeated rows repeat, and any two rows of one text have one
+    value; a text of any length is judged whole. Columns of the added names are replaced; an empty table gives no rows.
+
+    ``head``: the most frequent entries of the model, that many, are sent to every executor; texts are joined to the rest by
+    key, those keys alone that a table of bits does not rule out. The result does not depend on ``head``.
     """
     spark = docs.sparkSession
     names = ("perplexity", "threshold", "kept")
-    ids = trusted.select(F.col("doc_id").alias(doc_id)).dropna().distinct()
-    ids = sized(ids, 24)
     kept = [c for c in docs.columns if c not in names]
-    docs = by_classes.judge_quality(docs.select(*kept), trusted, doc_id, text, lang, quantile, margin, slack).drop("perplexity", "threshold").withColumnRenamed("kept", "_by_classes")
-    known = docs.join(ids, doc_id, "left_semi").where(f"`{text}` is not null").select(text)
-    model = kneser_ney(count_ngrams(known, text))
-    table = np.zeros(ENTRIES, np.float32)
-    got = model.select("code", F.col("p").cast("float").alias("p")).toArrow()  # SYMBOLS ** ORDER rows, whatever the input
-    table[got["code"].to_numpy()] = -np.log(np.maximum(got["p"].to_numpy(), 1e-12))
-    sent = spark.sparkContext.broadcast((table, byte_costs(known, text)))
-    values, rest, first = word_model(*count_words(known, sent, text))
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(t, key, n): how often each text, by its hash, holds each pair and word; (t, null, rows) for the text itself."""
-        working("quality")
+    docs = docs.select(*kept)
+    ids = sized(trusted.select(F.col("doc_id").alias(doc_id)).dropna().distinct(), 24)
+    theirs = docs.join(ids, doc_id, "left_semi").where(F.col(text).isNotNull()).select(lang, text)
+
+    running, words, byte, n_tokens, hot = count_characters(theirs, text)
+    tables = [(-np.log(np.maximum(spelling.kneser_ney(t), 1e-12))).astype(np.float32) for t in (running, words)]
+    sent = spark.sparkContext.broadcast((*tables, spelling.byte_costs(byte)))
+    counts = count_pairs(theirs, sent, n_tokens, hot, text)
+    model, rest = word_model(counts, hot)
+    keys, values, others, n_others = split_head(model, head)
+    bits, left = None, None
+    if n_others:
+        bits = spark.sparkContext.broadcast(bit_table(others.select(F.col("key").alias("k")), n_others, REST_BITS))
+    sent_head = spark.sparkContext.broadcast((keys, values))
+
+    def spelled(data: np.ndarray, off: np.ndarray):
+        _, table, costs = sent.value
+        w, v, owner, s = tokens(data, off, spelling.spelled(data, off, table, costs), float(table[spelling.ALL_SPACES]))
+        return (pair_keys(v, w), single_keys(w)), owner, s
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(t, key, n): how often each text, by its hash, holds each key that the rest may hold."""
         for batch in batches:
             hashes = batch.column(0).to_numpy()
-            for a, b, data, off in byte_chunks(binary_column(batch, text)):
-                texts, which, rows = np.unique(hashes[a:b], return_inverse=True, return_counts=True)
-                (word,), bounds = word_hashes(data, off, (0x9E3779B97F4A7C15,))
-                w, v, owner, _ = tokens(data, off, np.zeros(len(word)), 0.0)
-                owner = which[owner]
-                yield pa.RecordBatch.from_arrays([pa.array(texts), pa.nulls(len(texts), pa.int64()), pa.array(rows.astype(np.int64))], ["t", "key", "n"])
-                for key in (pair_keys(v, w), w):
-                    order, _, both, _ = _grouped(key, owner)
-                    yield pa.RecordBatch.from_arrays([pa.array(texts[owner[order[both]]]), pa.array(key[order[both]].view(np.int64)), pa.array(np.diff(np.append(both, len(key))).astype(np.int64))], ["t", "key", "n"])
-
-    keyed = docs.where(f"`{text}` is not null").select(F.xxhash64(text).alias("t"), text)
-    found = keyed.mapInArrow(parts, "t bigint, key bigint, n bigint")
-    rows_of = keyed.groupBy("t").agg(F.count("*").alias("_rows"))
-    # inner: what the model has not counted adds nothing
-    sums = found.where("key is not null").join(values, "key").groupBy("t").agg(F.sum(F.col("n") * F.col("value")).alias("_all"), F.sum(F.when(~F.col("solo"), F.col("n") * F.col("value"))).alias("_most"))
-    sums = cut(sums.join(rows_of, "t").select("t", (F.col("_all") / F.col("_rows")).alias("_all"), (F.coalesce("_most", F.lit(0.0)) / F.col("_rows")).alias("_most")), "sums")
-    added = ", _chars bigint, _spelled double"
+            for lo, hi, data, off in byte_chunks(binary_column(batch, text)):
+                both, owner, _ = spelled(data, off)
+                # of copies in one chunk, one asks
+                _, one = np.unique(hashes[lo:hi], return_index=True)
+                first = np.zeros(hi - lo, bool)
+                first[one] = True
+                for key in both:
+                    out = _gains(key, owner, sent_head.value, hi - lo)[1]
+                    out &= first[owner]
+                    out[out] = in_table(bits.value, key[out])
+                    key_, own = key[out], owner[out]
+                    order = np.lexsort((key_, own))
+                    key_, own = key_[order], own[order]
+                    at = np.flatnonzero(np.concatenate([[True], (key_[1:] != key_[:-1]) | (own[1:] != own[:-1])])) if len(key_) else np.empty(0, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[lo:hi][own[at]]), pa.array(key_[at].view(np.int64)), pa.array(np.diff(np.append(at, len(key_))), pa.int32())], ["t", "key", "n"])
+
+    if n_others:
+        found = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("t"), text).mapInArrow(asked, "t bigint, key bigint, n int")
+        # a text asks once in each chunk that holds copies of it: the same sums, of which one counts
+        found = found.join(others.select("key", "value"), "key").groupBy("t", "key").agg(F.max(F.col("n") * F.col("value")).alias("x"))
+        left = cut(found.groupBy("t").agg(F.sum("x").alias("_more")), "sums")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        working("quality")
-        end = float(sent.value[0][_ALL_SPACES])
         for batch in batches:
-            n, loss = [np.empty(0, np.int64)], [np.empty(0)]
-            for _, _, data, off in byte_chunks(binary_column(batch, text)):
-                _, _, owner, cost = tokens(data, off, spelled(data, off, sent.value), end)
-                size = np.bincount(owner, minlength=len(off) - 1)
-                chars = np.concatenate([[0], np.cumsum(_SYMBOL[data] != 255)])[off]
-                n.append(np.where(size > 1, np.diff(chars), 0))
-                loss.append(np.bincount(owner, cost - rest, minlength=len(off) - 1) - first)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(n), pa.int64()), pa.array(np.concatenate(loss))], [*batch.schema.names, "_chars", "_spelled"])
-
-    def scores(some: DataFrame, owned: Column) -> DataFrame:
-        """Adds _chars and _loss; ``owned``: whether a row is of a trusted document."""
+            n, loss, classes = [np.empty(0, np.int64)], [np.empty(0)], [np.empty(0)]
+            for lo, hi, data, off in byte_chunks(binary_column(batch, text)):
+                both, owner, s = spelled(data, off)
+                rows = hi - lo
+                codes, chars = spelling.running_codes(data, off)
+                size, has = np.diff(chars), np.bincount(owner, minlength=rows) > 1
+                sums = np.concatenate([[0.0], np.cumsum(sent.value[0][codes], dtype=np.float64)])
+                n.append(np.where(has, size, 0))
+                loss.append(np.bincount(owner, s - rest, rows) - sum(_gains(k, owner, sent_head.value, rows)[0] for k in both))
+                classes.append((sums[chars[1:]] - sums[chars[:-1]]) / np.maximum(1, size))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(n), pa.int64()), pa.array(np.concatenate(loss)), pa.array(np.concatenate(classes))], [*batch.schema.names, "_chars", "_loss", "_classes"])
+
+    def scores(some: DataFrame) -> DataFrame:
+        """Adds _chars, _loss (of the word model) and _classes (of the other), both for a character."""
         shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in some.schema)
-        out = some.mapInArrow(run, shape + added).withColumn("_t", F.xxhash64(text)).join(sized(sums, 32), F.col("_t") == sums["t"], "left")
-        gain = F.coalesce(F.when(owned, F.col("_most")).otherwise(F.col("_all")), F.lit(0.0))
-        return out.withColumn("_loss", (F.col("_spelled") - gain) / F.greatest(F.lit(1), "_chars")).drop("_t", "t", "_all", "_most", "_spelled")
+        out = some.mapInArrow(run, shape + ", _chars bigint, _loss double, _classes double")
+        if left is None:
+            return out.withColumn("_loss", F.col("_loss") / F.greatest(F.lit(1), "_chars"))
+        out = out.withColumn("_t", F.xxhash64(text)).join(sized(left, 24), F.col("_t") == left["t"], "left")
+        return out.withColumn("_loss", (F.col("_loss") - F.coalesce("_more", F.lit(0.0))) / F.greatest(F.lit(1), "_chars")).drop("_t", "t", "_more")
 
-    mine = sized(ids.select(F.col(doc_id).alias("_mine")), 24)
-    scored = scores(docs.select(*kept, "_by_classes").join(mine, F.col(doc_id) == F.col("_mine"), "left"), F.col("_mine").isNotNull()).drop("_mine")
+    room = slack / F.sqrt(F.greatest(F.lit(1), "_chars") / 100)
     # thresholds need the numbers of the trusted documents alone
-    theirs = scores(docs.join(ids, doc_id, "left_semi").select(lang, text), F.lit(True)).drop(text)
-    sample = cut(theirs, "scores").where("_chars > 0").withColumn("_loss", F.col("_loss") - slack / F.sqrt(F.col("_chars") / 100))
-    at = F.percentile_approx("_loss", quantile, 10000)
-    overall = sample.agg(at.alias("q")).first()["q"]
-    by_lang = cut(sample.where(f"`{lang}` is not null").groupBy(F.col(lang).alias("_lang")).agg(at.alias("_q")), "thresholds")
-    out = scored.join(sized(by_lang, 64), F.col(lang) == F.col("_lang"), "left")
-    limit = F.coalesce("_q", F.lit(overall)) + margin + slack / F.sqrt(F.col("_chars") / 100)
-    out = out.withColumn("perplexity", F.when(F.col("_chars") > 0, F.exp("_loss"))).withColumn("threshold", F.when(F.col("_chars") > 0, F.exp(limit)))
-    verdict = F.when(F.col("_chars") == 0, False).otherwise(F.coalesce(F.col("_loss") <= limit, F.lit(True)))
-    return out.withColumn("kept", verdict & F.col("_by_classes")).select(*kept, *names)
+    sample = cut(scores(theirs).drop(text), "scores").where("_chars > 0").select(lang, (F.col("_loss") - room).alias("a"), (F.col("_classes") - room).alias("b"))
+    at = [F.percentile_approx(c, quantile, 10000).alias(f"_{c}") for c in ("a", "b")]
+    overall = sample.agg(*at).first()
+    by_lang = cut(sample.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("_lang")).agg(*at), "thresholds")
+    out = scores(docs).join(sized(by_lang, 64), F.col(lang) == F.col("_lang"), "left")
+    limit = lambda c: F.coalesce(f"_{c}", F.lit(overall[f"_{c}"])) + margin + room
+    fits: Column = F.coalesce(F.col("_loss") <= limit("a"), F.lit(True)) & F.coalesce(F.col("_classes") <= limit("b"), F.lit(True))
+    some = F.col("_chars") > 0
+    return out.select(*kept, F.when(some, F.exp("_loss")).alias("perplexity"), F.when(some, F.exp(limit("a"))).alias("threshold"), (some & fits).alias("kept"))

@@ -1,18 +1,16 @@
-"""The part of quality that sees spelling alone: an interpolated modified Kneser-Ney n-gram model of trusted text, thresholded by quantiles of each language."""
+"""Characters in 32 classes: n-gram codes of running text and of single words, and the small Kneser-Ney tables of both.
 
-from __future__ import annotations
+The tables have SYMBOLS ** ORDER entries whatever the input, so they are solved in one place and sent to every executor. They
+are the lowest level of the word model (``quality``), which has no such bound, and judge repeated words besides.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from cartolex.llm.common import binary_column, byte_chunks, cut, sized, working
+from cartolex.llm.common import _IS_SPACE
 
-#: Symbols: 26 small letters and six classes of other characters. The table of the model has SYMBOLS ** ORDER entries,
-#: whatever the input: its size is what makes it safe to send to every executor.
+#: Symbols: 26 small letters and six classes of other characters.
 SYMBOLS, ORDER = 32, 4
 ENTRIES = SYMBOLS**ORDER
 OTHER_LETTER, CAPITAL, DIGIT, SPACE, STOP, OTHER = 26, 27, 28, 29, 30, 31
@@ -31,12 +29,14 @@ def _symbols() -> np.ndarray:
     return out
 
 
-_SYMBOL = _symbols()
+SYMBOL = _symbols()
+#: The code of the end of a word without characters, which spells the end of a text.
+ALL_SPACES = sum(SPACE << (5 * j) for j in range(ORDER))
 
 
-def ngram_codes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def running_codes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the n-grams of each row (5 bits a symbol, ORDER - 1 spaces before each row) and their row offsets."""
-    sym = _SYMBOL[data]
+    sym = SYMBOL[data]
     keep = sym != 255
     chars = np.concatenate([[0], np.cumsum(keep)])[off]
     rows = len(off) - 1
@@ -50,89 +50,71 @@ def ngram_codes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return code[place], chars
 
 
-def count_ngrams(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(code, n) of all n-grams of all rows; each task sums its own before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        working("quality")
-        total = np.zeros(ENTRIES, np.int64)
-        for batch in batches:
-            for _, _, data, off in byte_chunks(binary_column(batch, text)):
-                total += np.bincount(ngram_codes(data, off)[0], minlength=ENTRIES)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["code", "n"])
-
-    return docs.select(text).mapInArrow(run, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(code, p): the interpolated modified Kneser-Ney probability of every n-gram's last symbol after its first ones.
-
-    Lower orders count the distinct symbols before an n-gram. Every table is sharded by code and meets the next order in
-    equi-joins; without any count all symbols are equally likely.
+def word_codes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the characters of each word and of its end (ORDER - 1 spaces before each word), where each word's codes
+    start, and the byte after its last one. Words are those of ``word_hashes``."""
+    inside = ~_IS_SPACE[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    edge = off[:-1][off[:-1] < len(data)]
+    first[edge] |= inside[edge]
+    words = int(first.sum())
+    number = np.cumsum(first) - 1
+    sym = SYMBOL[data]
+    lead = np.flatnonzero(inside & (sym != 255))
+    end = np.zeros(words, np.int64)
+    end[number[inside]] = np.flatnonzero(inside) + 1
+    size = np.bincount(number[lead], minlength=words) + 1
+    start = np.cumsum(size) - size
+    line = np.full(int(size.sum()), SPACE, np.int32)
+    line[np.arange(len(lead)) + number[lead]] = sym[lead]
+    place = np.arange(len(line)) - np.repeat(start, size)
+    code = line.copy()
+    for j in range(1, ORDER):
+        back = np.full(len(line), SPACE, np.int32)
+        back[j:] = line[:-j]
+        back[place < j] = SPACE
+        code |= back << (5 * j)
+    return code, start, end
+
+
+def spelled(data: np.ndarray, off: np.ndarray, table: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """Minus the log-probability of each word's spelling: of its symbols, and of each byte among those of its symbol."""
+    code, start, end = word_codes(data, off)
+    if not len(start):
+        return np.empty(0)
+    sums = np.concatenate([[0.0], np.cumsum(np.where(_IS_SPACE[data], 0.0, byte[data]))])
+    return np.add.reduceat(table[code].astype(np.float64), start) + sums[end] - sums[np.concatenate([[0], end[:-1]])]
+
+
+def byte_costs(n: np.ndarray) -> np.ndarray:
+    """Minus the log-probability of each of the 256 bytes among those of its symbol, one added to each count."""
+    count = n + 1.0
+    return np.log(np.bincount(SYMBOL, count, 256)[SYMBOL] / count)
+
+
+def discounts(n1: float, n2: float, n3: float, n4: float, least: float = 0.0) -> tuple[float, float, float]:
+    """The modified Kneser-Ney discounts of counts 1, 2 and above, from the numbers of counts 1 to 4; ``least`` at least."""
+    y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.0
+    return tuple(max(least, min(i, max(0.0, i - (i + 1) * y * b / a)) if a else 0.0) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
+
+
+def kneser_ney(counts: np.ndarray) -> np.ndarray:
+    """The interpolated modified Kneser-Ney probability of every n-gram's last symbol after its first ones.
+
+    ``counts``: of the n-grams, by code. Lower orders count the distinct symbols before an n-gram; without any count all
+    symbols are equally likely.
     """
-    spark = counts.sparkSession
-    levels = {ORDER: cut(counts, "counts")}
-    for k in range(ORDER - 1, 0, -1):
-        levels[k] = levels[k + 1].groupBy(F.col("code").bitwiseAND(SYMBOLS**k - 1).alias("code")).agg(F.count("*").alias("n"))
-    p = spark.range(SYMBOLS).select(F.col("id").cast("int").alias("code"), F.lit(1.0 / SYMBOLS).alias("p"))
-    for k in range(1, ORDER + 1):
-        level = levels[k]
-        n1, n2, n3, n4 = (float(x or 0) for x in level.agg(*[F.count_if(F.col("n") == i) for i in (1, 2, 3, 4)]).first())
-        y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.0
-        cuts = [min(i, max(0.0, i - (i + 1) * y * b / a)) if a else 0.0 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-        cut_of = lambda n, cuts=cuts: F.when(n == 1, cuts[0]).when(n == 2, cuts[1]).otherwise(cuts[2])
-        context = level.groupBy(F.shiftright("code", 5).alias("h")).agg(F.sum("n").alias("total"), F.sum(cut_of(F.col("n"))).alias("mass"))
-        grid = spark.range(SYMBOLS**k).select(F.col("id").cast("int").alias("code"))
-        lower = p.withColumnRenamed("code", "low").withColumnRenamed("p", "q")
-        grid = grid.withColumn("h", F.shiftright("code", 5)).withColumn("low", F.col("code").bitwiseAND(max(1, SYMBOLS ** (k - 1)) - 1) if k > 1 else F.col("code"))
-        joined = grid.join(level, "code", "left").join(context, "h", "left").join(lower, "low")
-        own = F.when(F.col("n").isNull(), 0.0).otherwise((F.col("n") - cut_of(F.col("n"))) / F.col("total"))
-        p = joined.select("code", F.when(F.col("total").isNull(), F.col("q")).otherwise(own + F.col("mass") / F.col("total") * F.col("q")).alias("p"))
+    levels = [counts.astype(np.float64)]
+    for _ in range(ORDER - 1):
+        above = levels[-1].reshape(SYMBOLS, -1)
+        levels.append((above > 0).sum(0).astype(np.float64))
+    p = np.full(1, 1.0 / SYMBOLS)
+    for level in reversed(levels):
+        by = level.reshape(-1, SYMBOLS)
+        d = np.array([0.0, *discounts(*[float((level == i).sum()) for i in (1, 2, 3, 4)])])[np.minimum(by, 3).astype(int)]
+        total = by.sum(1, keepdims=True)
+        lower = np.broadcast_to(p.reshape(-1, SYMBOLS) if len(p) > 1 else p, (SYMBOLS if by.shape[0] > 1 else 1, by.shape[0] // (SYMBOLS if by.shape[0] > 1 else 1), SYMBOLS))
+        lower = lower.reshape(by.shape)
+        p = np.where(total > 0, (by - d + d.sum(1, keepdims=True) * lower) / np.maximum(total, 1), lower).ravel()
     return p
-
-
-def judge_quality(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = 0.999, margin: float = 0.05, slack: float = 0.35) -> DataFrame:
-    """Adds to every row ``perplexity``, ``threshold`` and ``kept``: perplexity at most the threshold of its language.
-
-    ``trusted``: the ids of trusted documents (column doc_id); the model counts all of their text. A language's threshold is
-    exp(log quantile + margin + slack / sqrt(characters / 100)): the ``quantile`` of its trusted documents' log-perplexities, with
-    more room for short texts, whose averages scatter. Languages without trusted documents, null among them, take the
-    quantile over all. Null and empty texts have perplexity null and are rejected; without any trusted document all others
-    are kept. Rows are judged one by one, so repeated rows repeat; columns of the added names are replaced.
-    """
-    spark = docs.sparkSession
-    names = ("perplexity", "threshold", "kept")
-    ids = trusted.select(F.col("doc_id").alias(doc_id)).dropna().distinct()
-    ids = sized(ids, 24)
-    model = kneser_ney(count_ngrams(docs.join(ids, doc_id, "left_semi").where(f"`{text}` is not null"), text))
-    table = np.zeros(ENTRIES, np.float32)
-    got = model.select("code", F.col("p").cast("float").alias("p")).toArrow()  # SYMBOLS ** ORDER rows, whatever the input
-    table[got["code"].to_numpy()] = -np.log(np.maximum(got["p"].to_numpy(), 1e-12))
-    sent = spark.sparkContext.broadcast(table)
-    kept = [c for c in docs.columns if c not in names]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + ", _chars bigint, _loss double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        working("quality")
-        for batch in batches:
-            n, loss = [np.empty(0, np.int64)], [np.empty(0)]
-            for _, _, data, off in byte_chunks(binary_column(batch, text)):
-                codes, chars = ngram_codes(data, off)
-                sums = np.concatenate([[0.0], np.cumsum(sent.value[codes], dtype=np.float64)])
-                n.append(np.diff(chars))
-                loss.append((sums[chars[1:]] - sums[chars[:-1]]) / np.maximum(1, np.diff(chars)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(n), pa.int64()), pa.array(np.concatenate(loss))], [*batch.schema.names, "_chars", "_loss"])
-
-    scored = docs.select(*kept).mapInArrow(run, schema)
-    # thresholds need the numbers of the trusted documents alone
-    theirs = docs.join(ids, doc_id, "left_semi").select(lang, text).mapInArrow(run, f"`{lang}` string, `{text}` string, _chars bigint, _loss double").drop(text)
-    sample = cut(theirs, "scores").where("_chars > 0").withColumn("_loss", F.col("_loss") - slack / F.sqrt(F.col("_chars") / 100))
-    at = F.percentile_approx("_loss", quantile, 10000)
-    overall = sample.agg(at.alias("q")).first()["q"]
-    by_lang = cut(sample.where(f"`{lang}` is not null").groupBy(F.col(lang).alias("_lang")).agg(at.alias("_q")), "thresholds")
-    out = scored.join(sized(by_lang, 64), F.col(lang) == F.col("_lang"), "left")
-    limit = F.coalesce("_q", F.lit(overall)) + margin + slack / F.sqrt(F.col("_chars") / 100)
-    out = out.withColumn("perplexity", F.when(F.col("_chars") > 0, F.exp("_loss"))).withColumn("threshold", F.when(F.col("_chars") > 0, F.exp(limit)))
-    verdict = F.when(F.col("_chars") == 0, False).otherwise(F.coalesce(F.col("_loss") <= limit, F.lit(True)))
-    return out.withColumn("kept", verdict).select(*kept, *names)

@@ -1,9 +1,9 @@
-"""MinHash, components, PII, secrets, URL rules and quality against plain Python."""
+"""MinHash, components, PII, secrets, and URL rules against plain Python."""
 
 import random
 import re
 
-from cartolex.llm import components, minhash, pii, quality, secrets, urls
+from cartolex.llm import components, minhash, pii, secrets, urls
 
 ODD = [(None, "a b c d"), (None, None), (801, None), (802, ""), (803, " \n"), (804, "one"), (805, "ONE"), (806, "two words"), (807, "x " * 20000)]
 
@@ -158,96 +158,6 @@ def test_urls(spark):
     assert {r["verdict"] for r in none.collect()} == {"allow"}
 
 
-def test_quality(spark):
-    rng = random.Random(6)
-    words = ["the", "of", "and", "tion", "in", "that", "ering", "with", "onthe", "resh"]
-    clean = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(5, 120))) + ".", "en" if i % 4 else None) for i in range(300)]
-    junk = [(1000 + i, " | ".join(rng.choice(words).upper() + "###" for _ in range(40)), "en") for i in range(30)]
-    docs = spark.createDataFrame([(*r, "k") for r in [*clean, *junk, (None, "of the and", "xx"), (2000, None, "en"), (2001, "", None), clean[0]]], "doc_id long, text string, lang string, kept string")
-    trusted = spark.createDataFrame([(i,) for i in range(0, 300, 2)] + [(None,)], "doc_id long")
-    out = quality.judge_quality(docs, trusted).collect()
-    by = {r["doc_id"]: r for r in out}
-    assert len(out) == 334 and sum(by[i]["kept"] for i in range(300)) >= 299 and not any(by[1000 + i]["kept"] for i in range(30))
-    assert not by[2000]["kept"] and by[2000]["perplexity"] is None and not by[2001]["kept"]
-    free = quality.judge_quality(docs, trusted.limit(0)).collect()
-    assert sum(r["kept"] for r in free) == 332
-    assert quality.judge_quality(docs.limit(0), trusted).count() == 0
-
-
-def test_kneser_ney_sums_to_one(spark):
-    import pandas as pd
-
-    texts = spark.createDataFrame([("the cat sat on the mat. The END 12!",), ("é é of the in",), ("aaaa abab",)], "text string")
-    p = quality.kneser_ney(quality.count_ngrams(texts)).toArrow().to_pandas()
-    sums = p.assign(h=p["code"] // 32).groupby("h")["p"].sum()
-    assert len(p) == 32**4 and isinstance(p, pd.DataFrame) and (sums - 1).abs().max() < 1e-9 and p["p"].min() > 0
-
-
-def test_quality_knows_words_and_their_order(spark):
-    rng = random.Random(5)
-    words = ["".join(rng.choice("aeioulnrst") for _ in range(6)) for _ in range(60)] + ["".join(rng.choice("абвгдежзиклмнопрст") for _ in range(6)) for _ in range(60)]
-    after = {w: rng.sample(words[: 60] if i < 60 else words[60:], 3) for i, w in enumerate(words)}
-
-    def walk(w, n):
-        out = [w]
-        while len(out) < n:
-            out.append(rng.choice(after[out[-1]]))
-        return out
-
-    clean = [(i, " ".join(walk(rng.choice(words), 60)), "en") for i in range(300)]
-    mixed = [" ".join(rng.sample(t.split(), 60)) for _, t, _ in clean[1:41:2]]
-    invented = [" ".join("".join(rng.sample(w, len(w))) for w in t.split()) for _, t, _ in clean[1:121:3]]
-    docs = spark.createDataFrame([*clean, *[(1000 + i, t, "en") for i, t in enumerate([*mixed, *invented])], (1, clean[1][1], "en")], "doc_id long, text string, lang string")
-    out = quality.judge_quality(docs, spark.createDataFrame([(i,) for i in range(0, 300, 2)], "doc_id long")).collect()
-    kept = {r["doc_id"]: r["kept"] for r in out}
-    assert len(out) == len(clean) + len(mixed) + len(invented) + 1 and sum(kept[i] for i in range(300)) >= 297
-    assert not any(kept[i] for i in kept if i >= 1000)
-
-
-def test_word_model_equals_plain_kneser_ney(spark):
-    import math
-    from collections import Counter
-
-    import numpy as np
-
-    texts = ["a b a b c", "a b d é", "c c a b", "b a", ""]
-    docs = spark.createDataFrame([(t,) for t in texts], "text string")
-    table = np.full(quality.ENTRIES, 1.5, np.float32), np.where(np.arange(256) == ord("é".encode()[1:]), 2.0, 0.0)
-    pairs, words = quality.count_words(docs, spark.sparkContext.broadcast(table))
-    values, rest, first = quality.word_model(pairs, words)
-    value = {r["key"]: r["value"] for r in values.collect()}
-
-    rows = [["<", *t.split(), ">"] for t in texts]
-    two = Counter(p for r in rows for p in zip(r, r[1:], strict=False))
-    one = Counter(w for _, w in two)
-
-    def discounts(counts):
-        n = [sum(c == i for c in counts.values()) for i in range(6)]
-        y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else 0.0
-        d = [max(0.05, min(i, max(0.0, i - (i + 1) * y * n[i + 1] / n[i])) if n[i] else 0.0) for i in (1, 2, 3)]
-        return lambda c: d[min(c, 3) - 1]
-
-    d1, d2 = discounts(one), discounts(two)
-    n_one = sum(one.values())
-    spell = lambda w: math.exp(-1.5 * (len(w) + 1 if w != ">" else 1) - (2.0 if w == "é" else 0))
-    p1 = lambda w: (max(0, one[w] - d1(one[w])) if w in one else 0) / n_one + sum(map(d1, one.values())) / n_one * spell(w)
-
-    def p2(v, w):
-        follows = {b: c for (a, b), c in two.items() if a == v}
-        if not follows:
-            return p1(w)
-        total = sum(follows.values())
-        return (two[v, w] - d2(two[v, w]) if (v, w) in two else 0) / total + sum(map(d2, follows.values())) / total * p1(w)
-
-    for text in ["a b c", "x a b", "é a x", "d d"]:
-        raw = text.encode()
-        data, off = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
-        w, v, _, cost = quality.tokens(data, off, quality.spelled(data, off, table), 1.5)
-        got = sum(cost - rest) - first - sum(value.get(int(k), 0.0) for k in [*w.view(np.int64), *quality.pair_keys(v, w).view(np.int64)])
-        row = ["<", *text.split(), ">"]
-        assert abs(got + sum(math.log(p2(a, b)) for a, b in zip(row, row[1:], strict=False))) < 1e-6
-
-
 def test_pii_in_long_regions_is_whole():
     line = "Ana Kos 415-555-0134\n"
     base, added = pii.all_spans(line * 300, pii.train(500))
