@@ -18,8 +18,8 @@ MARK = np.uint64(1)
 WORD_BYTES = 6
 #: Tokens that a task counts before it sends them, and tokens of all trusted text for each shard of pairs.
 FLUSH, SHARD_TOKENS, LEAST_SHARDS = 1_000_000, 1_000_000, 32
-#: Entries of the model that are sent to every executor: the most frequent ones, 12 bytes each. Texts are joined to the rest.
-HEAD = 4_000_000
+#: Entries of the model that are sent to every executor: the most frequent ones, 40 MB at most. Texts are joined to the rest.
+HEAD = 3_000_000
 #: Bits of the table that tells a text's task which entries of the rest exist at all; it saves rows and decides nothing.
 REST_BITS = 1 << 28
 #: Words with more than a 32nd of all tokens are spread over the shards; a chunk reports those above half of that.
@@ -71,8 +71,10 @@ def count_characters(known: DataFrame, text: str) -> tuple[np.ndarray, np.ndarra
         hot: dict[int, int] = {}
         for batch in batches:
             for _, _, data, off in byte_chunks(binary_column(batch, text)):
-                running += np.bincount(spelling.running_codes(data, off)[0], minlength=spelling.ENTRIES)
-                words += np.bincount(spelling.word_codes(data, off)[0], minlength=spelling.ENTRIES)
+                lines = spelling.Lines(data, off)
+                running += np.bincount(lines.running(), minlength=spelling.ENTRIES)
+                code, counted = lines.words()
+                words += np.bincount(code[counted], minlength=spelling.ENTRIES)
                 byte += np.bincount(data, minlength=256)
                 word, _ = word_keys(data, off)
                 n += len(word) + len(off) - 1
@@ -137,7 +139,7 @@ def count_pairs(known: DataFrame, sent, n_tokens: int, hot: np.ndarray, text: st
         for batch in batches:
             marks = (batch.column(1).to_numpy().view(np.uint64) % np.uint64(65535)).astype(np.uint16) + np.uint16(1)
             for lo, hi, data, off in byte_chunks(binary_column(batch, text)):
-                w, v, owner, s = tokens(data, off, spelling.spelled(data, off, table, byte), float(table[spelling.ALL_SPACES]))
+                w, v, owner, s = tokens(data, off, spelling.Lines(data, off).spelled(table, byte), float(table[spelling.ALL_SPACES]))
                 held.append((w, v, marks[lo:hi][owner], s))
                 size += len(w)
                 if size >= FLUSH:
@@ -232,8 +234,39 @@ def word_model(counts: DataFrame, hot: np.ndarray) -> tuple[DataFrame, float]:
     return cut(single.unionByName(double).mapInArrow(keyed, "key bigint, value float, n bigint"), "model"), rest
 
 
-def split_head(model: DataFrame, head: int) -> tuple[np.ndarray, np.ndarray, DataFrame, int]:
-    """Keys and values of the ``head`` most frequent entries at most, sorted by key, and the rest with its number of rows."""
+class Head:
+    """Entries by the first bits of their keys: where each start begins, the next 32 bits of the keys there, and the values."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        order = np.argsort(key)
+        key, self.value = key[order], value[order]
+        self.bits = max(8, int(len(key)).bit_length())
+        self.start = np.searchsorted(key >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
+        self.tail = self._tail(key)
+        self.most = int(np.diff(self.start).max(initial=0))
+
+    def _tail(self, key: np.ndarray) -> np.ndarray:
+        return ((key >> np.uint64(32 - self.bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+    def sums(self, key: np.ndarray, owner: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sum of the values for each row, and which keys have none here."""
+        first = (key >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, left = self.start[first], self.start[first + 1]
+        open_ = np.flatnonzero(at < left)
+        at, left, tail = at[open_], left[open_], self._tail(key[open_])
+        total, missed = np.zeros(rows), np.ones(len(key), bool)
+        while len(open_):
+            hit = self.tail[at] == tail
+            total += np.bincount(owner[open_[hit]], self.value[at[hit]].astype(np.float64), rows)
+            missed[open_[hit]] = False
+            at += 1
+            on = ~hit & (at < left)
+            open_, at, left, tail = open_[on], at[on], left[on], tail[on]
+        return total, missed
+
+
+def split_head(model: DataFrame, head: int) -> tuple[Head, DataFrame, int]:
+    """The ``head`` most frequent entries at most, and the rest with its number of rows."""
     capped = F.least("n", F.lit(10_000))
     by_n = sorted(((r["n"], r["m"]) for r in model.groupBy(capped.alias("n")).agg(F.count("*").alias("m")).collect()), reverse=True)  # 10,000 rows at most
     room, limit, part = head, 0, 0
@@ -244,19 +277,7 @@ def split_head(model: DataFrame, head: int) -> tuple[np.ndarray, np.ndarray, Dat
         room -= m
     inside = (capped > limit) | ((capped == limit) & (F.pmod(F.col("key"), F.lit(1024)) < part))
     got = model.where(inside).select("key", "value").toArrow()  # ``head`` rows at most
-    key, value = got["key"].to_numpy().view(np.uint64), got["value"].to_numpy()
-    order = np.argsort(key)
-    return key[order], value[order], model.where(~inside), sum(m for _, m in by_n) - len(key)
-
-
-def _gains(key: np.ndarray, owner: np.ndarray, head: tuple[np.ndarray, np.ndarray], rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sum of the head's values for each row, and which keys the head does not hold."""
-    keys, values = head
-    if not len(keys):
-        return np.zeros(rows), np.ones(len(key), bool)
-    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-    hit = keys[at] == key
-    return np.bincount(owner[hit], values[at[hit]].astype(np.float64), rows), ~hit
+    return Head(got["key"].to_numpy().view(np.uint64), got["value"].to_numpy()), model.where(~inside), sum(m for _, m in by_n) - got.num_rows
 
 
 def judge_quality(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = 0.999, margin: float = 0.05, slack: float = 0.35, head: int = HEAD) -> DataFrame:
@@ -290,69 +311,62 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", t
     sent = spark.sparkContext.broadcast((*tables, spelling.byte_costs(byte)))
     counts = count_pairs(theirs, sent, n_tokens, hot, text)
     model, rest = word_model(counts, hot)
-    keys, values, others, n_others = split_head(model, head)
-    bits, left = None, None
-    if n_others:
-        bits = spark.sparkContext.broadcast(bit_table(others.select(F.col("key").alias("k")), n_others, REST_BITS))
-    sent_head = spark.sparkContext.broadcast((keys, values))
+    top, others, n_others = split_head(model, head)
+    sent_top = spark.sparkContext.broadcast(top)
+    bits = spark.sparkContext.broadcast(bit_table(others.select(F.col("key").alias("k")), n_others, REST_BITS)) if n_others else None
 
-    def spelled(data: np.ndarray, off: np.ndarray):
-        _, table, costs = sent.value
-        w, v, owner, s = tokens(data, off, spelling.spelled(data, off, table, costs), float(table[spelling.ALL_SPACES]))
-        return (pair_keys(v, w), single_keys(w)), owner, s
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(t, key, n): how often each text, by its hash, holds each key that the rest may hold."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of every text, by its hash t, without a key: characters n, the loss x of the words as far as it is known here, the
+        loss y of the classes. Of every key that the rest may hold: how often the text holds it (n)."""
+        classes, table, costs = sent.value
         for batch in batches:
             hashes = batch.column(0).to_numpy()
             for lo, hi, data, off in byte_chunks(binary_column(batch, text)):
-                both, owner, _ = spelled(data, off)
-                # of copies in one chunk, one asks
-                _, one = np.unique(hashes[lo:hi], return_index=True)
-                first = np.zeros(hi - lo, bool)
+                t, one = np.unique(hashes[lo:hi], return_index=True)  # copies ask once
+                rows, lines = hi - lo, spelling.Lines(data, off)
+                w, v, owner, s = tokens(data, off, lines.spelled(table, costs), float(table[spelling.ALL_SPACES]))
+                sums = np.concatenate([[0.0], np.cumsum(classes[lines.running()], dtype=np.float64)])
+                size = np.diff(lines.chars)
+                loss, first = np.bincount(owner, s - rest, rows), np.zeros(rows, bool)
                 first[one] = True
-                for key in both:
-                    out = _gains(key, owner, sent_head.value, hi - lo)[1]
-                    out &= first[owner]
-                    out[out] = in_table(bits.value, key[out])
-                    key_, own = key[out], owner[out]
-                    order = np.lexsort((key_, own))
-                    key_, own = key_[order], own[order]
-                    at = np.flatnonzero(np.concatenate([[True], (key_[1:] != key_[:-1]) | (own[1:] != own[:-1])])) if len(key_) else np.empty(0, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[lo:hi][own[at]]), pa.array(key_[at].view(np.int64)), pa.array(np.diff(np.append(at, len(key_))), pa.int32())], ["t", "key", "n"])
-
+                for key in (pair_keys(v, w), single_keys(w)):
+                    gain, missed = sent_top.value.sums(key, owner, rows)
+                    loss -= gain
+                    if bits is None:
+                        continue
+                    missed &= first[owner]
+                    missed[missed] = in_table(bits.value, key[missed])
+                    key, own = key[missed], owner[missed]
+                    order = np.lexsort((key, own))
+                    key, own = key[order], own[order]
+                    at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])) if len(key) else np.empty(0, np.int64)
+                    yield rows_of(hashes[lo:hi][own[at]], key[at].view(np.int64), np.diff(np.append(at, len(key))), None, None)
+                n = np.where(np.bincount(owner, minlength=rows) > 1, size, 0)
+                yield rows_of(t, None, n[one], loss[one], ((sums[lines.chars[1:]] - sums[lines.chars[:-1]]) / np.maximum(1, size))[one])
+
+    def rows_of(t, key, n, x, y) -> pa.RecordBatch:
+        none = pa.nulls(len(t), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.nulls(len(t), pa.int64()) if key is None else pa.array(key), pa.array(n, pa.int64()), none if x is None else pa.array(x), none if y is None else pa.array(y)], ["t", "key", "n", "x", "y"])
+
+    found = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("t"), text).mapInArrow(run, "t bigint, key bigint, n bigint, x double, y double")
     if n_others:
-        found = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("t"), text).mapInArrow(asked, "t bigint, key bigint, n int")
-        # a text asks once in each chunk that holds copies of it: the same sums, of which one counts
-        found = found.join(others.select("key", "value"), "key").groupBy("t", "key").agg(F.max(F.col("n") * F.col("value")).alias("x"))
-        left = cut(found.groupBy("t").agg(F.sum("x").alias("_more")), "sums")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, loss, classes = [np.empty(0, np.int64)], [np.empty(0)], [np.empty(0)]
-            for lo, hi, data, off in byte_chunks(binary_column(batch, text)):
-                both, owner, s = spelled(data, off)
-                rows = hi - lo
-                codes, chars = spelling.running_codes(data, off)
-                size, has = np.diff(chars), np.bincount(owner, minlength=rows) > 1
-                sums = np.concatenate([[0.0], np.cumsum(sent.value[0][codes], dtype=np.float64)])
-                n.append(np.where(has, size, 0))
-                loss.append(np.bincount(owner, s - rest, rows) - sum(_gains(k, owner, sent_head.value, rows)[0] for k in both))
-                classes.append((sums[chars[1:]] - sums[chars[:-1]]) / np.maximum(1, size))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(n), pa.int64()), pa.array(np.concatenate(loss)), pa.array(np.concatenate(classes))], [*batch.schema.names, "_chars", "_loss", "_classes"])
+        # a text asks once in each chunk that holds copies of it: the same rows, of which one counts
+        found = cut(found, "found")
+        more = found.where("key is not null").join(others.select("key", "value"), "key").groupBy("t", "key").agg(F.max(F.col("n") * F.col("value")).alias("g")).groupBy("t").agg(F.sum("g").alias("g"))
+        seen = found.where("key is null").groupBy("t").agg(F.max("n").alias("n"), F.max("x").alias("x"), F.max("y").alias("y"))
+        seen = seen.join(more, "t", "left").select("t", "n", (F.col("x") - F.coalesce("g", F.lit(0.0))).alias("x"), "y")
+    else:
+        seen = found.groupBy("t").agg(F.max("n").alias("n"), F.max("x").alias("x"), F.max("y").alias("y"))
+    seen = cut(seen.select("t", F.col("n").alias("_chars"), (F.col("x") / F.greatest(F.lit(1), "n")).alias("_loss"), F.col("y").alias("_classes")), "scores")
+    by_text = sized(seen, 64)
 
     def scores(some: DataFrame) -> DataFrame:
-        """Adds _chars, _loss (of the word model) and _classes (of the other), both for a character."""
-        shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in some.schema)
-        out = some.mapInArrow(run, shape + ", _chars bigint, _loss double, _classes double")
-        if left is None:
-            return out.withColumn("_loss", F.col("_loss") / F.greatest(F.lit(1), "_chars"))
-        out = out.withColumn("_t", F.xxhash64(text)).join(sized(left, 24), F.col("_t") == left["t"], "left")
-        return out.withColumn("_loss", (F.col("_loss") - F.coalesce("_more", F.lit(0.0))) / F.greatest(F.lit(1), "_chars")).drop("_t", "t", "_more")
+        """Adds _chars, _loss (of the word model) and _classes (of the other), both for a character; null texts have none."""
+        return some.withColumn("_t", F.xxhash64(text)).join(by_text, (F.col("_t") == by_text["t"]) & F.col(text).isNotNull(), "left").withColumn("_chars", F.coalesce("_chars", F.lit(0))).drop("_t", "t")
 
     room = slack / F.sqrt(F.greatest(F.lit(1), "_chars") / 100)
     # thresholds need the numbers of the trusted documents alone
-    sample = cut(scores(theirs).drop(text), "scores").where("_chars > 0").select(lang, (F.col("_loss") - room).alias("a"), (F.col("_classes") - room).alias("b"))
+    sample = cut(scores(theirs).drop(text), "trusted").where("_chars > 0").select(lang, (F.col("_loss") - room).alias("a"), (F.col("_classes") - room).alias("b"))
     at = [F.percentile_approx(c, quantile, 10000).alias(f"_{c}") for c in ("a", "b")]
     overall = sample.agg(*at).first()
     by_lang = cut(sample.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("_lang")).agg(*at), "thresholds")

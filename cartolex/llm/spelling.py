@@ -34,57 +34,51 @@ SYMBOL = _symbols()
 ALL_SPACES = sum(SPACE << (5 * j) for j in range(ORDER))
 
 
-def running_codes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the n-grams of each row (5 bits a symbol, ORDER - 1 spaces before each row) and their row offsets."""
-    sym = SYMBOL[data]
-    keep = sym != 255
-    chars = np.concatenate([[0], np.cumsum(keep)])[off]
-    rows = len(off) - 1
-    pad = ORDER - 1
-    line = np.full(int(chars[-1]) + pad * rows, SPACE, np.int32)
-    place = np.arange(int(chars[-1])) + pad * (np.repeat(np.arange(rows), np.diff(chars)) + 1)
-    line[place] = sym[keep]
-    code = np.zeros(len(line), np.int32)
-    for j in range(ORDER):
-        code[pad:] |= line[pad - j : len(line) - j] << (5 * j)
-    return code[place], chars
-
-
-def word_codes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of the characters of each word and of its end (ORDER - 1 spaces before each word), where each word's codes
-    start, and the byte after its last one. Words are those of ``word_hashes``."""
-    inside = ~_IS_SPACE[data]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    edge = off[:-1][off[:-1] < len(data)]
-    first[edge] |= inside[edge]
-    words = int(first.sum())
-    number = np.cumsum(first) - 1
-    sym = SYMBOL[data]
-    lead = np.flatnonzero(inside & (sym != 255))
-    end = np.zeros(words, np.int64)
-    end[number[inside]] = np.flatnonzero(inside) + 1
-    size = np.bincount(number[lead], minlength=words) + 1
-    start = np.cumsum(size) - size
-    line = np.full(int(size.sum()), SPACE, np.int32)
-    line[np.arange(len(lead)) + number[lead]] = sym[lead]
-    place = np.arange(len(line)) - np.repeat(start, size)
-    code = line.copy()
-    for j in range(1, ORDER):
-        back = np.full(len(line), SPACE, np.int32)
-        back[j:] = line[:-j]
-        back[place < j] = SPACE
-        code |= back << (5 * j)
-    return code, start, end
-
-
-def spelled(data: np.ndarray, off: np.ndarray, table: np.ndarray, byte: np.ndarray) -> np.ndarray:
-    """Minus the log-probability of each word's spelling: of its symbols, and of each byte among those of its symbol."""
-    code, start, end = word_codes(data, off)
-    if not len(start):
-        return np.empty(0)
-    sums = np.concatenate([[0.0], np.cumsum(np.where(_IS_SPACE[data], 0.0, byte[data]))])
-    return np.add.reduceat(table[code].astype(np.float64), start) + sums[end] - sums[np.concatenate([[0], end[:-1]])]
+class Lines:
+    """The symbols of all rows in one line, ORDER - 1 spaces before each row, and what the two character models read in it."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray):
+        inside = ~_IS_SPACE[data]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        edge = off[:-1][off[:-1] < len(data)]
+        first[edge] |= inside[edge]
+        #: The byte at which each word starts; words are those of ``word_hashes``.
+        self.start = np.flatnonzero(first)
+        self.data, rows, pad = data, len(off) - 1, ORDER - 1
+        sym = SYMBOL[data]
+        sym[self.start[sym[self.start] == 255]] = OTHER  # bytes that are no UTF-8
+        keep = sym != 255
+        #: Offsets of the rows' characters.
+        self.chars = np.concatenate([[0], np.cumsum(keep)])[off]
+        n = int(self.chars[-1])
+        line = np.full(n + pad * rows + pad + 1, SPACE, np.int32)
+        self.place = np.arange(n) + pad * (np.repeat(np.arange(rows), np.diff(self.chars)) + 1)
+        line[self.place] = sym[keep]
+        self.line, self.back = line[pad:], [line[pad - j : len(line) - j] for j in range(1, ORDER)]
+
+    def running(self) -> np.ndarray:
+        """Codes of the n-grams of running text (5 bits a symbol), one for each character."""
+        code = self.line.copy()
+        for j, x in enumerate(self.back, 1):
+            code |= x << (5 * j)
+        return code[self.place - (ORDER - 1)]
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the n-grams at every place, spaces before each word; and at which places a word has a character or ends."""
+        code, seen = self.line | (self.back[0] << 5), self.back[0]
+        for j, x in enumerate(self.back[1:], 2):
+            seen = np.where(seen == SPACE, SPACE, x)
+            code |= seen << (5 * j)
+        return code, (self.line != SPACE) | (self.back[0] != SPACE)
+
+    def spelled(self, table: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """Minus the log-probability of each word's spelling: of its symbols, and of each byte among those of its symbol."""
+        code, counted = self.words()
+        sums = np.concatenate([[0.0], np.cumsum(np.where(counted, table[code], np.float32(0)), dtype=np.float64)])
+        here, before = self.line != SPACE, self.back[0] != SPACE
+        bytes_ = np.concatenate([[0.0], np.cumsum(np.where(_IS_SPACE[self.data], 0.0, byte[self.data]))])
+        return sums[np.flatnonzero(~here & before) + 1] - sums[np.flatnonzero(here & ~before)] + np.diff(bytes_[np.append(self.start, len(self.data))])
 
 
 def byte_costs(n: np.ndarray) -> np.ndarray:
@@ -112,7 +106,7 @@ def kneser_ney(counts: np.ndarray) -> np.ndarray:
     p = np.full(1, 1.0 / SYMBOLS)
     for level in reversed(levels):
         by = level.reshape(-1, SYMBOLS)
-        d = np.array([0.0, *discounts(*[float((level == i).sum()) for i in (1, 2, 3, 4)])])[np.minimum(by, 3).astype(int)]
+        d = np.array([0.0, *discounts(*[float((level == i).sum()) for i in (1, 2, 3, 4)], least=0.05)])[np.minimum(by, 3).astype(int)]
         total = by.sum(1, keepdims=True)
         lower = np.broadcast_to(p.reshape(-1, SYMBOLS) if len(p) > 1 else p, (SYMBOLS if by.shape[0] > 1 else 1, by.shape[0] // (SYMBOLS if by.shape[0] > 1 else 1), SYMBOLS))
         lower = lower.reshape(by.shape)

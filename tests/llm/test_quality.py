@@ -31,7 +31,10 @@ class Plain:
         words, byte = np.zeros(spelling.ENTRIES), np.zeros(256)
         for t in texts:
             data, off = coded(t)
-            words += np.bincount(spelling.word_codes(data, off)[0], minlength=spelling.ENTRIES)
+            for w in re.findall(r"[^\x20\x09-\x0D]+", t):
+                line = [spelling.SPACE] * 3 + [spelling.SYMBOL[c.encode()[0]] for c in w] + [spelling.SPACE]
+                for i in range(3, len(line)):
+                    words[sum(int(line[i - j]) << (5 * j) for j in range(4))] += 1
             byte += np.bincount(data, minlength=256)
         self.table, self.byte = (-np.log(np.maximum(spelling.kneser_ney(words), 1e-12))).astype(np.float32), spelling.byte_costs(byte)
         self.two, by = Counter(), defaultdict(set)
@@ -55,7 +58,7 @@ class Plain:
         if w == "|":
             s = float(self.table[spelling.ALL_SPACES])
         else:
-            (s,) = spelling.spelled(*coded(w), self.table, self.byte)
+            (s,) = spelling.Lines(*coded(w)).spelled(self.table, self.byte)
         return float(np.float16(s))
 
     def one(self, w):
@@ -108,7 +111,7 @@ def test_character_model_is_plain_kneser_ney():
     grams = [{tuple(int(i) >> (5 * j) & 31 for j in (3, 2, 1, 0)): int(counts[i]) for i in np.flatnonzero(counts)}]
     for _ in range(3):
         grams.append(Counter(g[1:] for g in grams[-1]))
-    cuts = [discounts(list(g.values())) for g in grams]
+    cuts = [discounts(list(g.values()), 0.05) for g in grams]
 
     def plain(h, x):
         if not h:
@@ -123,7 +126,7 @@ def test_character_model_is_plain_kneser_ney():
         return (after.get(x, 0) - (d(after[x]) if x in after else 0)) / total + sum(map(d, after.values())) / total * plain(h[1:], x)
 
     for _ in range(60):
-        g = tuple(rng.choice([0, 1, 2, 27, 5]) for _ in range(4))
+        g = tuple(rng.choice([0, 1, 2, 27, 5]) for _ in range(4))  # first symbol first
         assert abs(p[sum(x << (5 * (3 - j)) for j, x in enumerate(g))] - plain(g[:3], g[3])) < 1e-9
 
 
