@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartolex.llm import spelling
-from cartolex.llm.common import binary_column, bit_table, byte_chunks, cut, in_table, mixed, sized, word_hashes
+from cartolex.llm.common import binary_column, bit_table, byte_chunks, cut, in_table, mixed, sized, small_batches, word_hashes
 
 #: Stands before the first and after the last word of a text, so that it is counted as often in front as behind.
 MARK = np.uint64(1)
@@ -18,8 +19,10 @@ MARK = np.uint64(1)
 WORD_BYTES = 6
 #: Tokens that a task counts before it sends them, and tokens of all trusted text for each shard of pairs.
 FLUSH, SHARD_TOKENS, LEAST_SHARDS = 1_000_000, 1_000_000, 32
-#: Entries of the model that are sent to every executor: the most frequent ones, 40 MB at most. Texts are joined to the rest.
-HEAD = 3_000_000
+#: Entries of the rest for each shard, and bytes of keys that meet them in one task.
+REST_SHARD, ASKED_BYTES = 300_000, 32 << 20
+#: Entries of the model that are sent to every executor: the most frequent ones, 24 MB at most. Texts are joined to the rest.
+HEAD = 2_000_000
 #: Bits of the table that tells a text's task which entries of the rest exist at all; it saves rows and decides nothing.
 REST_BITS = 1 << 28
 #: Words with more than a 32nd of all tokens are spread over the shards; a chunk reports those above half of that.
@@ -248,8 +251,8 @@ class Head:
     def _tail(self, key: np.ndarray) -> np.ndarray:
         return ((key >> np.uint64(32 - self.bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
-    def sums(self, key: np.ndarray, owner: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-        """The sum of the values for each row, and which keys have none here."""
+    def sums(self, key: np.ndarray, owner: np.ndarray, rows: int, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The sum of the values for each row, each counted so many ``times``, and which keys have none here."""
         first = (key >> np.uint64(64 - self.bits)).astype(np.int64)
         at, left = self.start[first], self.start[first + 1]
         open_ = np.flatnonzero(at < left)
@@ -257,8 +260,9 @@ class Head:
         total, missed = np.zeros(rows), np.ones(len(key), bool)
         while len(open_):
             hit = self.tail[at] == tail
-            total += np.bincount(owner[open_[hit]], self.value[at[hit]].astype(np.float64), rows)
-            missed[open_[hit]] = False
+            found = open_[hit]
+            total += np.bincount(owner[found], self.value[at[hit]] * (np.float64(1) if times is None else times[found]), rows)
+            missed[found] = False
             at += 1
             on = ~hit & (at < left)
             open_, at, left, tail = open_[on], at[on], left[on], tail[on]
@@ -280,6 +284,16 @@ def split_head(model: DataFrame, head: int) -> tuple[Head, DataFrame, int]:
     return Head(got["key"].to_numpy().view(np.uint64), got["value"].to_numpy()), model.where(~inside), sum(m for _, m in by_n) - got.num_rows
 
 
+#: What scoring gives of texts and of what they ask.
+ROW = {"part": "bigint", "i": "bigint", "t": "bigint", "n": "bigint", "x": "double", "y": "double", "shard": "int", "keys": "binary", "ns": "binary", "ids": "binary"}
+_ARROW = {"bigint": pa.int64(), "double": pa.float64(), "int": pa.int32(), "binary": pa.binary()}
+
+
+def _row(**cols) -> pa.RecordBatch:
+    size = len(cols["part"])
+    return pa.RecordBatch.from_arrays([pa.array(cols[c], _ARROW[k]) if c in cols else pa.nulls(size, _ARROW[k]) for c, k in ROW.items()], list(ROW))
+
+
 def judge_quality(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = 0.999, margin: float = 0.05, slack: float = 0.35, head: int = HEAD) -> DataFrame:
     """Adds to every row ``perplexity``, ``threshold`` and ``kept``: perplexity at most the threshold of its language.
 
@@ -300,6 +314,7 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", t
     key, those keys alone that a table of bits does not rule out. The result does not depend on ``head``.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     names = ("perplexity", "threshold", "kept")
     kept = [c for c in docs.columns if c not in names]
     docs = docs.select(*kept)
@@ -315,48 +330,89 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", t
     sent_top = spark.sparkContext.broadcast(top)
     bits = spark.sparkContext.broadcast(bit_table(others.select(F.col("key").alias("k")), n_others, REST_BITS)) if n_others else None
 
+    shards = max(1, -(-n_others // REST_SHARD))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of every text, by its hash t, without a key: characters n, the loss x of the words as far as it is known here, the
-        loss y of the classes. Of every key that the rest may hold: how often the text holds it (n)."""
+        """Of every text, by its hash t and number i in a part: characters n, the loss x of the words as far as it is known
+        here, the loss y of the classes. Of the keys that the rest may hold, by shard: the keys, how often and in which text."""
         classes, table, costs = sent.value
+        part, i, held = TaskContext.get().partitionId() << 32, 0, []
+
+        def asked() -> pa.RecordBatch:
+            key, n, own = (np.concatenate(x) for x in zip(*held, strict=True))
+            shard = np.mod(key.view(np.int64), shards)
+            order = np.lexsort((own, shard))
+            key, n, own, shard = key[order] >> np.uint64(16), n[order].astype(np.uint32), own[order].astype(np.uint32), shard[order]
+            ends = np.searchsorted(shard, np.arange(shards + 1))
+            some = [(j, slice(ends[j], ends[j + 1])) for j in range(shards) if ends[j] < ends[j + 1]]
+            return _row(part=[part] * len(some), shard=[j for j, _ in some], keys=[_packed(key[x]) for _, x in some], ns=[n[x].tobytes() for _, x in some], ids=[np.diff(own[x], prepend=np.uint32(0)).tobytes() for _, x in some])
+
         for batch in batches:
             hashes = batch.column(0).to_numpy()
             for lo, hi, data, off in byte_chunks(binary_column(batch, text)):
                 t, one = np.unique(hashes[lo:hi], return_index=True)  # copies ask once
                 rows, lines = hi - lo, spelling.Lines(data, off)
+                number = np.full(rows, -1)
+                number[one] = np.arange(i, i + len(t))
                 w, v, owner, s = tokens(data, off, lines.spelled(table, costs), float(table[spelling.ALL_SPACES]))
                 sums = np.concatenate([[0.0], np.cumsum(classes[lines.running()], dtype=np.float64)])
                 size = np.diff(lines.chars)
-                loss, first = np.bincount(owner, s - rest, rows), np.zeros(rows, bool)
-                first[one] = True
+                loss = np.bincount(owner, s - rest, rows)
                 for key in (pair_keys(v, w), single_keys(w)):
                     gain, missed = sent_top.value.sums(key, owner, rows)
                     loss -= gain
                     if bits is None:
                         continue
-                    missed &= first[owner]
+                    missed &= number[owner] >= 0
                     missed[missed] = in_table(bits.value, key[missed])
-                    key, own = key[missed], owner[missed]
-                    order = np.lexsort((key, own))
-                    key, own = key[order], own[order]
-                    at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])) if len(key) else np.empty(0, np.int64)
-                    yield rows_of(hashes[lo:hi][own[at]], key[at].view(np.int64), np.diff(np.append(at, len(key))), None, None)
+                    key, own = key[missed], number[owner[missed]]
+                    if len(key):
+                        order = np.lexsort((key, own))
+                        key, own = key[order], own[order]
+                        at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])]))
+                        held.append((key[at], np.diff(np.append(at, len(key))), own[at]))
                 n = np.where(np.bincount(owner, minlength=rows) > 1, size, 0)
-                yield rows_of(t, None, n[one], loss[one], ((sums[lines.chars[1:]] - sums[lines.chars[:-1]]) / np.maximum(1, size))[one])
-
-    def rows_of(t, key, n, x, y) -> pa.RecordBatch:
-        none = pa.nulls(len(t), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.nulls(len(t), pa.int64()) if key is None else pa.array(key), pa.array(n, pa.int64()), none if x is None else pa.array(x), none if y is None else pa.array(y)], ["t", "key", "n", "x", "y"])
-
-    found = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("t"), text).mapInArrow(run, "t bigint, key bigint, n bigint, x double, y double")
+                yield _row(part=[part] * len(t), i=range(i, i + len(t)), t=t, n=n[one], x=loss[one], y=((sums[lines.chars[1:]] - sums[lines.chars[:-1]]) / np.maximum(1, size))[one])
+                i += len(t)
+                if sum(len(x[0]) for x in held) >= FLUSH:
+                    yield asked()
+                    part, i, held = part + 1, 0, []
+        if held:
+            yield asked()
+
+    def answered(key, asks, rest_):
+        keys = rest_.column("key").to_numpy().view(np.uint64)
+        of = Head(keys & ~np.uint64(0xFFFF), rest_.column("value").to_numpy())
+        parts, ids, sums = [], [], []
+        for r in range(asks.num_rows):
+            own = np.cumsum(np.frombuffer(asks.column("ids")[r].as_py(), np.uint32), dtype=np.uint32)
+            each, back = np.unique(own, return_inverse=True)
+            total, _ = of.sums(_unpacked(asks.column("keys")[r].as_py()) << np.uint64(16), back, len(each), np.frombuffer(asks.column("ns")[r].as_py(), np.uint32))
+            some = total != 0
+            parts.append(asks.column("part")[r].as_py())
+            ids.append(each[some].tobytes())
+            sums.append(total[some].tobytes())
+        return pa.table({"part": pa.array(parts, pa.int64()), "ids": pa.array(ids, pa.binary()), "sums": pa.array(sums, pa.binary())})
+
+    def summed(key, group):
+        ids = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group.column("ids")])
+        each, back = np.unique(ids, return_inverse=True)
+        g = np.bincount(back, np.concatenate([np.frombuffer(x.as_py(), np.float64) for x in group.column("sums")]), len(each))
+        return pa.table({"part": pa.array([key[0].as_py()] * len(each), pa.int64()), "i": pa.array(each.astype(np.int64)), "g": pa.array(g)})
+
+    found = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("t"), text).mapInArrow(run, ", ".join(f"{c} {k}" for c, k in ROW.items()))
     if n_others:
-        # a text asks once in each chunk that holds copies of it: the same rows, of which one counts
         found = cut(found, "found")
-        more = found.where("key is not null").join(others.select("key", "value"), "key").groupBy("t", "key").agg(F.max(F.col("n") * F.col("value")).alias("g")).groupBy("t").agg(F.sum("g").alias("g"))
-        seen = found.where("key is null").groupBy("t").agg(F.max("n").alias("n"), F.max("x").alias("x"), F.max("y").alias("y"))
-        seen = seen.join(more, "t", "left").select("t", "n", (F.col("x") - F.coalesce("g", F.lit(0.0))).alias("x"), "y")
-    else:
-        seen = found.groupBy("t").agg(F.max("n").alias("n"), F.max("x").alias("x"), F.max("y").alias("y"))
+        asks, entries = found.where("shard is not null").select("part", "shard", "keys", "ns", "ids"), others.select(F.pmod(F.col("key"), F.lit(shards)).cast("int").alias("shard"), "key", "value")
+        size = asks.agg(F.sum(F.length("keys"))).first()[0] or 0
+        slices = max(1, -(-size // (shards * ASKED_BYTES)))
+        asks = asks.withColumn("slice", F.pmod(F.xxhash64("part"), F.lit(slices)).cast("int"))
+        entries = entries.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        replies = asks.groupBy("shard", "slice").cogroup(entries.groupBy("shard", "slice")).applyInArrow(answered, "part bigint, ids binary, sums binary")
+        more = replies.groupBy("part").applyInArrow(summed, "part bigint, i bigint, g double")
+        found = found.where("shard is null").join(more, ["part", "i"], "left").withColumn("x", F.col("x") - F.coalesce("g", F.lit(0.0)))
+    # a text comes once for each chunk that holds copies of it, with the same numbers
+    seen = found.groupBy("t").agg(*[F.max(c).alias(c) for c in ("n", "x", "y")])
     seen = cut(seen.select("t", F.col("n").alias("_chars"), (F.col("x") / F.greatest(F.lit(1), "n")).alias("_loss"), F.col("y").alias("_classes")), "scores")
     by_text = sized(seen, 64)
 

@@ -88,6 +88,8 @@ def made():
 def test_perplexity_is_that_of_plain_kneser_ney(spark, monkeypatch, head):
     if head == 40:
         monkeypatch.setattr(quality, "FLUSH", 300)
+        monkeypatch.setattr(quality, "REST_SHARD", 30)
+        monkeypatch.setattr(quality, "ASKED_BYTES", 100)
     rows = made()
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     trusted = [r for r in rows if r[0] % 2 == 0]
