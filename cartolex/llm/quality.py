@@ -21,8 +21,8 @@ WORD_BYTES = 6
 FLUSH, SHARD_TOKENS, LEAST_SHARDS = 1_000_000, 1_000_000, 32
 #: Entries of the rest for each shard, and bytes of keys that meet them in one task.
 REST_SHARD, ASKED_BYTES = 300_000, 32 << 20
-#: Entries of the model that are sent to every executor: the most frequent ones, 24 MB at most. Texts are joined to the rest.
-HEAD = 2_000_000
+#: Entries of the model that are sent to every executor: the most frequent ones, 40 MB at most. Texts are joined to the rest.
+HEAD = 3_000_000
 #: Bits of the table that tells a text's task which entries of the rest exist at all; it saves rows and decides nothing.
 REST_BITS = 1 << 28
 #: Words with more than a 32nd of all tokens are spread over the shards; a chunk reports those above half of that.
@@ -224,17 +224,18 @@ def word_model(counts: DataFrame, hot: np.ndarray) -> tuple[DataFrame, float]:
     p = less(F.col("c"), cut_one) / total + F.exp(rest - F.col("x"))
     behind = pairs.groupBy("v").agg(F.sum(less(F.col("n"), cut_two)).alias("held"))
     words = cut(words.join(behind, F.col("w") == F.col("v"), "left").select("w", "n", "c", "x", (F.col("n") - F.coalesce("held", F.lit(0.0))).alias("free")), "words")
-    single = words.select(F.col("w").alias("a"), F.lit(None).cast("long").alias("b"), (F.log(p) - rest + F.col("x") + F.log(F.col("free") / F.col("n"))).cast("float").alias("value"), "n")
-    double = pairs.join(words.select(F.col("w").alias("v"), "free"), "v").select(F.col("v").alias("a"), F.col("w").alias("b"), F.log1p(less(F.col("n"), cut_two) / F.col("free") / p).cast("float").alias("value"), "n")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0).to_numpy().view(np.uint64), batch.column(1)
-            alone = b.is_null().to_numpy(zero_copy_only=False)
-            key = np.where(alone, single_keys(a), pair_keys(a, b.fill_null(0).to_numpy().view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(2), batch.column(3)], ["key", "value", "n"])
-
-    return cut(single.unionByName(double).mapInArrow(keyed, "key bigint, value float, n bigint"), "model"), rest
+            key = single_keys(a) if b.null_count else pair_keys(a, b.to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key.view(np.int64)), batch.column(2), batch.column(3)], ["v", "key", "x", "n"])
+
+    hashed = lambda df: df.mapInArrow(keyed, "v bigint, key bigint, x float, n bigint")
+    single = words.select(F.col("w").alias("v"), F.lit(None).cast("long").alias("w"), (F.log(p) - rest + F.col("x") + F.log(F.col("free") / F.col("n"))).cast("float").alias("x"), "n")
+    double = hashed(pairs.select("v", "w", (less(F.col("n"), cut_two) / p).cast("float").alias("x"), "n")).join(words.select(F.col("w").alias("v"), "free"), "v")
+    double = double.select("key", F.log1p(F.col("x") / F.col("free")).cast("float").alias("value"), "n")
+    return cut(hashed(single).select("key", F.col("x").alias("value"), "n").unionByName(double), "model"), rest
 
 
 class Head:
