@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolex.llm.common import binary_column, byte_chunks, cut, forest, mixed, sized, window_hashes, word_hashes, working
+from cartolex.llm.common import binary_column, byte_chunks, cut, forest, mixed, sized, small_batches, window_hashes, word_hashes, working
 from cartolex.llm.components import components
 
 #: A pair of similarity 0.8 shares no band with a chance of (1 - 0.8 ** ROWS) ** BANDS, about 5e-8.
@@ -125,13 +125,13 @@ def _block_links(percent: int):
         order = np.argsort(number, kind="stable")
         owner, number = owner[order], number[order]
         left, right = (np.arange(n),) * 2 if key[2] == key[3] else (np.flatnonzero(~second), np.flatnonzero(second))
-        both = np.zeros((len(left), len(right)), np.float32)
+        both = np.zeros((len(left), len(right)), np.int64)
         at = 0
         while at < len(number):
             end = int(np.searchsorted(number, number[at] + 4096))
             cells = np.zeros((n, 4096), np.float32)
             cells[owner[at:end], number[at:end] - number[at]] = 1
-            both += cells[left] @ cells[right].T
+            both += (cells[left] @ cells[right].T).astype(np.int64)  # 4096 at most, exact
             at = end
         link = both * 100 >= (size[left][:, None] + size[right][None, :] - both) * percent
         link &= code[left][:, None] != code[right][None, :]
@@ -150,12 +150,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     Two documents are linked when 100 * |intersection| >= percent * |union| of their shingle sets; ``component_id`` is the
     smallest doc_id that links reach, ``kept`` says that it is the row's own. Texts that are null or hold no word have an
     empty set and stand alone; so do rows with a null id (component_id null, kept true). Repeated rows are copies of each
-    other under one id. Other columns are not used. An empty table gives no rows.
+    other under one id. Texts of any length count whole. Other columns are not used. An empty table gives no rows.
 
     Copies (equal sets) are one class first. A bucket then links its members to its smallest one; only buckets that this
     leaves with different components compare their members with each other, tile by tile, so that a large group of near
     copies costs one comparison a member and band, and no link between different components is lost.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     sketch = cut(rows.mapInArrow(_sketches(size, "doc_id", "text"), f"doc_id {kind}, n bigint, k1 bigint, k2 bigint, s1 bigint, s2 bigint, bands array<bigint>"), "sketch")
@@ -190,7 +191,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     # the links that it finds, at most one row for each member
     label = joined.select(F.col("u").alias("rep"), F.col("v").alias("label"))
     marked = shared.select("band", "hash", "rep", "n").join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    split = marked.groupBy("band", "hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_KEYS)).cast("int").alias("tiles")).where("lo < hi").select("band", "hash", "tiles")
+    split = marked.groupBy("band", "hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_KEYS)).cast("int").alias("tiles"), F.struct(F.bit_xor(F.xxhash64("rep")), F.bit_xor(F.xxhash64(F.lit(1), "rep")), F.count("*")).alias("sums")).where("lo < hi").select("band", "hash", "tiles", "sums")
+    # buckets of the same members hold the same pairs: one of them is compared
+    split = split.groupBy("sums").agg(F.min_by(F.struct("band", "hash", "tiles"), F.struct("band", "hash")).alias("b")).select("b.*")
     open_ = cut(marked.join(split, ["band", "hash"]).drop("n"), "open")
     if open_.limit(1).count():
         sets = full_sets(open_.select(F.col("rep").alias("doc_id")).distinct())
