@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolex.llm.common import binary_column, working
+from cartolex.llm.common import binary_column, small_batches, working
 
 #: Kinds in the order of the contract.
 KINDS = ("email", "ip", "card", "phone")
@@ -71,6 +72,9 @@ LABELS, LONGEST = ("O", *KINDS), 16
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\S")
 #: What a region is built around: a long enough run of digits and joints, or a spelled-out address.
 _TRIGGER = re.compile(r"[0-9](?:[ ().\-/]{0,2}[0-9]){6,}|[\[({<] ?(?:at|AT|@) ?[\])}>]|@")
+_SPACE = re.compile(r"\s")
+#: Characters on both sides of a trigger that belong to its region at least.
+AROUND = 80
 _SPELLED = re.compile(r"[\[({<] ?(?:at|AT|@) ?[\])}>]")
 #: Words that announce a kind.
 CUES = {
@@ -269,37 +273,52 @@ def train(n: int = 500, epochs: int = 5, seed: int = 11, rate: float = 0.25, dec
     return weights
 
 
-def regions(text: str) -> list[list[tuple[int, int]]]:
-    """Token runs around triggers; those that touch are one, however long."""
+def regions(text: str) -> list[tuple[int, int]]:
+    """Stretches around triggers, widened to white space; those that meet are one, however long. No character is passed more
+    than twice, so a text without white space costs no more than others."""
     found: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
-        lo, hi = max(0, m.start() - 80), min(len(text), m.end() + 80)
-        if found and lo <= found[-1][1]:
-            found[-1][1] = hi
+        lo, hi, last = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND), found[-1][1] if found else 0
+        while lo > last and not text[lo - 1].isspace():
+            lo -= 1
+        if hi > last:
+            space = _SPACE.search(text, hi)
+            hi = space.start() if space else len(text)
+        if found and lo <= last:
+            found[-1][1] = max(last, hi)
         else:
             found.append([lo, hi])
-    out = []
-    for lo, hi in found:
-        # whole words at both ends
-        while lo and not text[lo - 1].isspace() and lo > 0:
-            lo -= 1
-        while hi < len(text) and not text[hi].isspace():
-            hi += 1
-        out.append(_tokens(text, lo, hi))
-    return out
+    return [(lo, hi) for lo, hi in found]
+
+
+class Taken:
+    """Stretches that spans cover, to ask whether another one meets them."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.lo: list[int] = []
+        self.hi: list[int] = []
+        for a, b, _ in sorted(spans):
+            if self.hi and a <= self.hi[-1]:
+                self.hi[-1] = max(self.hi[-1], b)
+            else:
+                self.lo.append(a)
+                self.hi.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect_right(self.hi, a)
+        return i < len(self.lo) and self.lo[i] < b
 
 
 def all_spans(text: str, weights: dict[str, float]) -> tuple[list, list]:
     """The base spans, and those that the model adds: they share no character with a base span."""
     base = base_spans(text)
     added = []
-    taken = sorted((a, b) for a, b, _ in base)
-    for tokens in regions(text):
+    taken = Taken(base)
+    for lo, hi in regions(text):
+        tokens = _tokens(text, lo, hi)
         # where the base scan explains every digit and at sign, nothing can be added
-        spare = [t for t in tokens if not any(a < t[1] and t[0] < b for a, b in taken)]
-        if not any(text[a] in "0123456789@" or (text[a:b] in ("at", "AT") and a and text[a - 1] in " [({<") for a, b in spare):
-            continue
-        added += [s for s in decode(text, tokens, weights) if not any(a < s[1] and s[0] < b for a, b in taken)]
+        if any(text[a] in "0123456789@" or (text[a:b] in ("at", "AT") and a and text[a - 1] in " [({<") for a, b in tokens if not taken.meets(a, b)):
+            added += [s for s in decode(text, tokens, weights) if not taken.meets(s[0], s[1])]
     return base, added
 
 
@@ -308,10 +327,12 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep:
 
     ``spans``: array of struct(kind, start, end, base), code points, end exclusive, by start, then kind as listed. Base spans
     always stay; the model adds spans that share no character with them. Null text is empty (and stays null when redacted);
-    null ids and repeated rows pass like others. Other columns are not used. ``sample``: the number of made-up lines that the
+    null ids and repeated rows pass like others; texts are decoded whole, in time that grows with their length, with or without
+    white space. Other columns are not used. An empty table gives no rows. ``sample``: the number of made-up lines that the
     model is trained on, the same at every size of the input.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(train(sample))
     names = [doc_id, *[c for c in keep if c not in (doc_id, text)]]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
