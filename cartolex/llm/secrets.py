@@ -38,18 +38,35 @@ def matches(text: Column, kind: str) -> Column:
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     between = F.split(text, pattern, -1)
     empty = F.array().cast("array<struct<at:int,till:int,value:string>>")
-    pairs = F.zip_with(F.zip_with(whole, value, lambda w, v: F.struct(w.alias("w"), v.alias("v"))), F.slice(between, 1, F.greatest(F.size(between) - 1, F.lit(0))), lambda m, b: F.struct(m["w"].alias("w"), m["v"].alias("v"), F.length(b).alias("b")))
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-    walked = F.aggregate(
-        pairs,
-        start,
-        lambda acc, m: F.struct(
-            (acc["at"] + m["b"] + F.length(m["w"])).alias("at"),
-            F.concat(acc["found"], F.array(F.struct((acc["at"] + m["b"]).cast("int").alias("at"), (acc["at"] + m["b"] + F.length(m["w"])).cast("int").alias("till"), m["v"].alias("value")))).alias("found"),
-        ),
-        lambda acc: acc["found"],
-    )
-    return F.when(text.rlike(_GATE[kind]), F.filter(walked, lambda m: F.length(m["value"]) >= least)).otherwise(empty)
+    pairs = F.zip_with(F.zip_with(whole, value, lambda w, v: F.struct(w.alias("w"), v.alias("v"))), F.slice(between, 1, F.greatest(F.size(between) - 1, F.lit(0))), lambda m, b: F.struct(F.length(m["w"]).alias("w"), m["v"].alias("v"), F.length(b).alias("b")))
+
+    def walked(part: Column) -> Column:
+        """Places from the start of a part, and the length of it all."""
+        return F.aggregate(
+            part,
+            F.struct(F.lit(0).alias("at"), empty.alias("found")),
+            lambda acc, m: F.struct((acc["at"] + m["b"] + m["w"]).alias("at"), F.concat(acc["found"], F.array(F.struct((acc["at"] + m["b"]).alias("at"), (acc["at"] + m["b"] + m["w"]).alias("till"), m["v"].alias("value")))).alias("found")),
+        )
+
+    def placed(m: Column) -> Column:
+        """Parts of as many matches as there are parts: an array that grows is copied, so that whole texts would be squared."""
+        step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(m))).cast("int"))
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(m) - 1) / step).cast("int"))), lambda i: walked(F.slice(m, i * step + 1, step)))
+        return once(parts, lambda p: F.flatten(F.zip_with(p, before(p), lambda x, n: F.transform(x["found"], lambda f: F.struct((f["at"] + n).alias("at"), (f["till"] + n).alias("till"), f["value"].alias("value"))))))
+
+    found = F.when(F.size(whole) > 0, once(pairs, placed)).otherwise(empty)
+    return F.when(text.rlike(_GATE[kind]), F.filter(found, lambda m: F.length(m["value"]) >= least)).otherwise(empty)
+
+
+def once(value: Column, of) -> Column:
+    """``of`` a value that is worked out once, however often ``of`` names it."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def before(parts: Column) -> Column:
+    """The summed lengths of the parts before each."""
+    sums = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda acc, p: F.struct((acc["at"] + p["at"]).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")))
+    return sums["all"]
 
 
 def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: str = "source", owner: str | None = None, live_owners: int = 1) -> DataFrame:
@@ -58,7 +75,8 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", re
     Spans are ordered by place, then by kind as listed. Base kinds are always reported; the further shapes only if their
     value is live: held by at most ``live_owners`` owners. ``n_repos`` and ``n_owners`` count the distinct repositories and
     owners (by default each repository is its own owner) that hold the value anywhere in the corpus; a value whose
-    repository is null counts as one. Null text is empty; null or repeated ids and repeated rows stay separate rows. Other
+    repository is null counts as one. Null text is empty; a text of any length is scanned whole, in time that grows little faster than
+    its matches; null or repeated ids and repeated rows stay separate rows. An empty table gives no rows. Other
     columns are not used. Values meet by SHA-256 digest alone.
     """
     kinds = [*BASE, *OWNED]
