@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolex.llm.common import BROADCAST_BYTES, binary_column, byte_chunks, cut, mixed, sized, window_hashes, word_hashes
+from cartolex.llm.common import BROADCAST_BYTES, binary_column, byte_chunks, cut, mixed, sized, small_batches, window_hashes, word_hashes
 
+#: The words of a text's bytes.
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+").findall
 _BASES = (0xFF51AFD7ED558CCD, 0x9FB21C651E98DF25)
 _STEP = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 #: The survivors of the first level are sent as a bit table of at most this size; with more than its eighth, they are joined.
@@ -75,6 +78,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
     window or more lose every word. (Texts of one id are told apart by 31 bits of their digest.)
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
     short = (window + 1) // 2
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tk", F.unhex(F.md5("text")))
@@ -227,7 +231,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
             touched, starts, ends = (batch.column(i).to_pylist() for i in (2, 3, 4))
             count, gone, left = [], [], []
             for i, raw in enumerate(binary_column(batch, "text")):
-                words = raw.as_py().split()
+                words = _WORD(raw.as_py())
                 n = len(words)
                 count.append(n)
                 if touched[i] and n >= window:

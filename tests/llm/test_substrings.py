@@ -1,12 +1,13 @@
 """Repeated passages against plain Python."""
 
 import random
+import re
 
 from cartolex.llm import substrings
 
 
 def plain(rows, window):
-    docs = [(d, (t or "").split()) for d, t in rows]
+    docs = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in rows]
     starts = {}
     for d, w in docs:
         if d is not None:
@@ -34,7 +35,7 @@ def made(seed, n=60):
             at = rng.randint(0, len(w))
             w[at:at] = rng.choice(passages)
         rows.append((i * 3 % n, rng.choice([" ", "\n", "\t  "]).join(w)))
-    rows += [rows[0], rows[1], (None, rows[2][1]), (None, None), (1000, rows[3][1]), (5, "x " * 40), (6, None), (7, ""), (8, "é " * 30), (9, "é " * 30)]
+    rows += [rows[0], rows[1], (None, rows[2][1]), (None, None), (1000, rows[3][1]), (5, "x " * 40), (6, None), (7, ""), (8, "é " * 30), (9, "é " * 30), (10, "a\u00a0b c\u0085d " * 30), (11, "q a\u00a0b c\u0085d " * 30 + "x" * 200000), (12, "y " * 100000)]
     return rows
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from cartolex.llm import components, minhash, pii, secrets, urls
 
@@ -162,3 +163,46 @@ def test_pii_in_long_regions_is_whole():
     line = "Ana Kos 415-555-0134\n"
     base, added = pii.all_spans(line * 300, pii.train(500))
     assert not base and added == [(i * len(line) + 8, i * len(line) + 20, 3) for i in range(300)]
+
+
+def test_pii_without_white_space():
+    weights = pii.train(500)
+    text = ("x" * 300 + ",tel:415-555-0134;").join(["", *["y" * 50] * 3, ""])
+    _, added = pii.all_spans(text, weights)
+    assert len(added) == len(set(added)) == 4
+    took = []
+    for n in (50, 400):
+        began = time.perf_counter()
+        base, added = pii.all_spans((",tel:415-555-0134;" + "z" * 300) * n, weights)
+        took.append(time.perf_counter() - began)
+        assert not base and len(added) == n
+    assert took[1] < 24 * took[0]
+    base, added = pii.all_spans("q" * 1_000_000 + ",mail:a.b@c.de;" + "w" * 1_000_000, weights)
+    assert [s[2] for s in base] == [0] and not added
+
+
+def test_decode_is_the_best_segmentation():
+    """Against all segmentations of short lines."""
+    weights = pii.train(500)
+    for text in ["tel 415-555-0134", "a at b", "1.2.3.4 x", "x [at] y.com", "call +1 555 0134567"]:
+        tokens = pii._tokens(text, 0, len(text))
+        by_start = {}
+        for i, j, y in pii._segments(text, tokens):
+            by_start.setdefault(i, []).append((j, y, sum(weights.get(f, 0.0) for f in pii.features(text, tokens, i, j, y))))
+
+        def best(at, last, n=len(tokens), by_start=by_start):
+            if at == n:
+                return 0.0, []
+            return max((own + weights.get(f"T:{last}:{y}", 0.0) + (rest := best(j, y))[0], [(at, j, y), *rest[1]]) for j, y, own in by_start[at])
+
+        want = [(tokens[i][0], tokens[j - 1][1], y - 1) for i, j, y in best(0, 0)[1] if y]
+        assert pii.decode(text, tokens, weights) == want, text
+
+
+def test_secrets_in_long_texts(spark):
+    patterns = {"assign": (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6), "access": (r"(AKIA[A-Z0-9]+)", 20), "hex": (r"([0-9a-f]+)", 24)}
+    text = "".join(f"é{'x' * (i % 7)} token={i:06d}{'a' * (i % 3)} " + ("0123456789abcdef" * 2 if i % 5 == 0 else "12") for i in range(30000)) + "k" * 1_000_000
+    for t in (text, "token=abcdef"):
+        (got,) = secrets.scan_secrets(spark.createDataFrame([(1, t, "s")], "doc_id long, text string, source string")).collect()
+        want = sorted((m.start(), m.end(), k) for k, (p, n) in patterns.items() for m in re.finditer(p, t) if len(m[1]) >= n)
+        assert sorted((s["start"], s["end"], s["kind"]) for s in got["spans"] if s["base"]) == want
