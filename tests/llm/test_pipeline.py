@@ -80,3 +80,39 @@ def test_stages_in_order(spark, pipeline):
 def test_run_is_the_stages(spark, pipeline):
     out = pipeline.run(spark, SF)
     assert out.columns[0] == "doc_id" and out.count() > 0
+
+
+CLASHES = ("spans", "size", "kept", "perplexity", "threshold", "ids", "decoded", "n_tokens", "target", "taken", "source_size", "_key", "_times", "__further_3", "text_sha256", "row", "label")
+
+
+def test_odd_rows_and_names(spark, pipeline):
+    good = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1"), "doc_id").limit(40).collect()]
+    rows = [(5000 + i, t, "en", f"s{i % 3}" if i % 4 else None, len(t)) for i, t in enumerate(good)]
+    long = " ".join(good) * 12
+    rows += [rows[0], rows[1], (5000, "another text of the same id", "en", "s1", 5), (None, good[5], None, None, None), (None, None, None, None, None), (1, None, "en", "s0", 0), (2, "", "en", "s0", 0), (3, " \n", None, "s0", 2), (4, long, "en", "s1", len(long)), (6, "write to ana@kos.mk " + good[3], "de", "s2", 0), (7, "x" * 300000, "en", "s2", 0)]
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    plain = spark.createDataFrame(rows, shape)
+    wide = spark.createDataFrame([(*r, *[f"{c}{r[0]}" for c in CLASHES]) for r in rows], f"{shape}, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    empty = plain.limit(0)
+    for name, stage in pipeline.STAGES:
+        a, b = (stage(spark, d, SF) for d in (plain, wide))
+        c = stage(spark, empty, SF)
+        got, more = a.collect(), b.collect()
+        assert c.columns == a.columns and c.count() == 0
+        key = lambda r, cols=a.columns: repr([r[x] for x in cols])
+        assert sorted(map(key, got)) == sorted(map(key, more)), name
+        if name != "bpe":
+            assert a.columns == plain.columns and b.columns == wide.columns
+            assert all(r[x] == f"{x}{r['doc_id']}" for r in more for x in CLASHES)
+        texts = [r["text"] for r in got] if name != "bpe" else []
+        if name == "quality":
+            assert not {None, "", " \n"} & set(texts)
+        if name == "minhash":
+            ids = [r["doc_id"] for r in got]
+            assert ids.count(5000) == 1 and {1, 2, 3} <= set(ids) and ids.count(None) == 2
+        if name == "pii":
+            assert len(got) == len(rows) and not any(t and "ana@kos.mk" in t for t in texts)
+        if name == "mixing":
+            assert not {None, "", " \n"} & set(texts)
+        if name == "bpe":
+            assert len(got) == len(rows) and all(r["same"] for r in got)
