@@ -18,9 +18,9 @@ from cartolex.llm.common import KEPT, binary_column, byte_chunks, small_batches,
 #: Longer pieces are merged by the ranks of tokens at once.
 CHECKED_BYTES = 256
 #: Units that a worker keeps in each of two generations, and the characters of one at most.
-KEPT_UNITS, KEPT_LENGTH = 150_000, 32
+KEPT_UNITS, KEPT_LENGTH = 80_000, 32
 #: Pieces that the library gets in one text, kept apart by a character that is in none of them; bytes of texts in one pass.
-BLOCK, APART, PASS_BYTES = 4000, "\0", 4 << 20
+BLOCK, APART, PASS_BYTES = 4000, "\0", 2 << 20
 
 
 def byte_table() -> list[str]:

@@ -52,15 +52,15 @@ def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
-#: Rows of whole texts that move together, from Parquet and to Python: some may be very long.
-BATCH_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.parquet.columnarReaderBatchSize": "1024"}
+#: Rows of whole texts that move together, from Parquet and to Python, and bytes that a writer holds back: texts may be long.
+SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.parquet.columnarReaderBatchSize": 1024, "parquet.block.size": 32 << 20}
 
 
 def small_batches(spark: SparkSession) -> None:
     """Sets the session to batches that stay small whatever the length of texts, unless it has smaller ones."""
-    for key, rows in BATCH_ROWS.items():
-        if not 0 < int(spark.conf.get(key)) <= int(rows):
-            spark.conf.set(key, rows)
+    for key, most in SMALL.items():
+        if not 0 < int(spark.conf.get(key, None) or 0) <= most:
+            spark.conf.set(key, str(most))
 
 
 #: What operators keep in a Python worker between tasks, and how to let go of it.

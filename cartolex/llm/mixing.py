@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cartolex.llm.common import small_batches
+
 #: Distinct membership patterns and sources that the flow is solved for on the driver; more raise an error.
 MOST_PATTERNS = 20_000
 
@@ -105,6 +107,7 @@ def mix_sources(docs: DataFrame, source: str = "source", size: str = "size", doc
     documents are sorted, so that a hot source is never sorted in one task.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     array = docs.schema[source].dataType.typeName() == "array"
     members = F.array_sort(F.array_distinct(F.col(source))) if array else F.array(F.col(source).cast("string"))
     kept = [c for c in docs.columns if c not in ("source_size", "target", "taken")]
