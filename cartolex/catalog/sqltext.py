@@ -23,7 +23,7 @@ def lookup(table: dict, e: str, default: str) -> str:
 
 
 def to_latin(e: str) -> str:
-    return replaced(f"translate(lower({e}), {q(_PLAIN_FROM + L.CYRILLIC)}, {q(_PLAIN_TO + L.MATCHED)})", L.MATCHED_PAIRS.items())
+    return replaced(f"translate(lower({e}), {q(_PLAIN_FROM + L.letters(L.MATCHED)[0])}, {q(_PLAIN_TO + L.letters(L.MATCHED)[1])})", L.groups(L.MATCHED))
 
 
 def fold_lower(e: str) -> str:
@@ -32,11 +32,11 @@ def fold_lower(e: str) -> str:
 
 
 def to_cyrillic(e: str) -> str:
-    return f"translate({replaced(fold_lower(f'lower({e})'), L.TO_CYRILLIC_PAIRS.items())}, {q(L.TO_CYRILLIC_FROM)}, {q(L.TO_CYRILLIC_TO)})"
+    return f"translate({replaced(fold_lower(f'lower({e})'), L.groups(L.TO_CYRILLIC))}, {q(L.letters(L.TO_CYRILLIC)[0])}, {q(L.letters(L.TO_CYRILLIC)[1])})"
 
 
 def spell_latin(e: str) -> str:
-    return f"translate({replaced(fold_lower(f'lower({e})'), L.SPELLED_PAIRS.items())}, {q(L.SPELLED_FROM)}, {q(L.SPELLED_TO)})"
+    return f"translate({replaced(fold_lower(f'lower({e})'), L.groups(L.SPELLED))}, {q(L.letters(L.SPELLED)[0])}, {q(L.letters(L.SPELLED)[1])})"
 
 
 def norm_type(e: str) -> str:
@@ -45,7 +45,7 @@ def norm_type(e: str) -> str:
 
 def type_rank(e: str) -> str:
     part = norm_type("p")
-    return f"list_max(list_transform(string_split({norm_type(e)}, ';'), lambda p: {lookup(L.RANK_OF, lookup(L.TYPE_ALIASES, part, part), '0')}))"
+    return f"list_max(list_transform(string_split({norm_type(e)}, ';'), lambda p: {lookup(L.TYPE_RANKS, lookup(L.TYPE_ALIASES, part, part), '0')}))"
 
 
 def words(e: str) -> str:

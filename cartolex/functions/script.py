@@ -14,14 +14,14 @@ from cartolex.functions import lexicon as L
 _CYR, _LAT = "Ѐ-ӿ", "A-Za-zÀ-ɏ"
 _WORD, _CYRS, _LATS = re.compile(f"[{_LAT}{_CYR}]+"), re.compile(f"[{_CYR}]"), re.compile(f"[{_LAT}]")
 _ROMAN, _RUN, _MARKED = re.compile("[IVXLC]+"), re.compile(f"[{_LAT}]+"), re.compile("[À-ɏ]")
-_BASE = {m: k for k, v in L.MARKED.items() for m in v} | L.DIGRAPHS
-_SINGLE = dict(zip(L.TO_CYRILLIC_FROM, L.TO_CYRILLIC_TO, strict=True))
+_BASE = L.MARKED | L.DIGRAPHS
+_SINGLE = {a: b for a, b in L.TO_CYRILLIC.items() if len(a) == 1}
 
 
 def cyrillic(run: str) -> str:
     """A Latin run by sound, in its own case."""
     low = "".join(_BASE.get(c, c) for c in run.lower())
-    for a, b in L.TO_CYRILLIC_PAIRS.items():
+    for a, b in L.groups(L.TO_CYRILLIC):
         low = low.replace(a, b)
     out = "".join(_SINGLE.get(c, c) for c in low)
     if not re.search("[A-Z]", run):

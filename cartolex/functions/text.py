@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from cartolex.functions import lexicon as L
 
-_PLAIN_FROM = "".join(L.MARKED.values())
-_PLAIN_TO = "".join(k * len(v) for k, v in L.MARKED.items())
+_PLAIN_FROM, _PLAIN_TO = L.letters(L.MARKED)
+_MATCHED_FROM, _MATCHED_TO = L.letters(L.MATCHED)
+_SPELLED_FROM, _SPELLED_TO = L.letters(L.SPELLED)
+_CYRILLIC_FROM, _CYRILLIC_TO = L.letters(L.TO_CYRILLIC)
 
 
 def _replaced(c: Column, pairs) -> Column:
@@ -28,18 +30,18 @@ def fold_marks(c: Column, digraphs: bool = True) -> Column:
 
 def to_latin(c: Column) -> Column:
     """Lower case, marks folded, Cyrillic letters as the Latin ones that clients type."""
-    plain = F.translate(F.lower(c), _PLAIN_FROM + L.CYRILLIC, _PLAIN_TO + L.MATCHED)
-    return _replaced(plain, L.MATCHED_PAIRS.items())
+    plain = F.translate(F.lower(c), _PLAIN_FROM + _MATCHED_FROM, _PLAIN_TO + _MATCHED_TO)
+    return _replaced(plain, L.groups(L.MATCHED))
 
 
 def to_cyrillic(c: Column) -> Column:
-    low = _replaced(fold_marks(F.lower(c)), L.TO_CYRILLIC_PAIRS.items())
-    return F.translate(low, L.TO_CYRILLIC_FROM, L.TO_CYRILLIC_TO)
+    low = _replaced(fold_marks(F.lower(c)), L.groups(L.TO_CYRILLIC))
+    return F.translate(low, _CYRILLIC_FROM, _CYRILLIC_TO)
 
 
 def spell_latin(c: Column) -> Column:
     """Lower case, Cyrillic letters spelled out (ч is ch)."""
-    return F.translate(_replaced(fold_marks(F.lower(c)), L.SPELLED_PAIRS.items()), L.SPELLED_FROM, L.SPELLED_TO)
+    return F.translate(_replaced(fold_marks(F.lower(c)), L.groups(L.SPELLED)), _SPELLED_FROM, _SPELLED_TO)
 
 
 def norm_type(c: Column) -> Column:
@@ -58,7 +60,7 @@ def canonical_type(c: Column) -> Column:
 
 def type_rank(c: Column) -> Column:
     """The best rank among the parts of a type; unknown and null types have 0."""
-    return F.array_max(F.transform(F.split(norm_type(c), ";"), lambda p: _lookup(L.RANK_OF, canonical_type(p), F.lit(0))))
+    return F.array_max(F.transform(F.split(norm_type(c), ";"), lambda p: _lookup(L.TYPE_RANKS, canonical_type(p), F.lit(0))))
 
 
 _STREET_PREFIX = r"(?iu)^(?:ул\.?|улица|бул\.?|булевар|пат|street|st\.?|boulevard|blvd|ave\.?|avenue)\s+"
