@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cartolex.catalog import sqltext as S
 from cartolex.catalog.registry import query
 from cartolex.catalog.search import _NEAR
-from cartolex.fixtures import PROPERTIES_SQL, pois, properties
+from cartolex.fixtures import PROPERTIES_SQL, pois, properties, table
 from cartolex.operators import anchors, spatial
 
 DETAILS = [
@@ -18,11 +18,12 @@ _OPEN = "|".join(anchors.OPENERS)
 
 
 @query(f"""with m as (select id, list_filter(list_transform(flatten(list_transform(regexp_extract_all(' ' || text, '(?i)[^\\p{{L}}\\p{{N}}](?:{_OPEN})\\s+([^.,;!?\\n]+)', 1), lambda x: regexp_split_to_array(x, '(?i)\\s+(?:и|and)\\s+'))), lambda p: trim(p)), lambda p: length(p) >= 3) as n
-  from (values {", ".join(f"({i}, {S.q(t)})" for i, t in DETAILS)}) t(id, text)),
+  from (select * from (values {", ".join(f"({i}, {S.q(t)})" for i, t in DETAILS)}) t(id, text) union all select 1000 + doc_id, text from documents)),
 d as (select id, n, list_filter(range(1, len(n) + 1), lambda i: list_position(n, n[i]) = i) as keep from m)
 select id, (pos - 1)::integer as pos, n[keep[pos]] as name from (select id, n, keep, unnest(range(1, least(3, len(keep)) + 1)) as pos from d)""")
 def details_landmarks(spark, sf_dir):
-    return anchors.mentions(spark.createDataFrame(DETAILS, "id int, text string"))
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("id"), "text")
+    return anchors.mentions(spark.createDataFrame(DETAILS, "id long, text string").unionByName(docs))
 
 
 @query(f"""with ring as (select property_id, poi_name, row_number() over (partition by property_id order by stop, rank desc, d, prom desc, poi_name, poi_id) as rn from ({_NEAR}) where d <= 200),

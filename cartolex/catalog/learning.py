@@ -31,10 +31,10 @@ def learn_addresses(spark, sf_dir):
 
 
 @query(f"""select id as property_id, case when id % 5 = 0 then 41.97 when id % 7 = 0 then 41.98 end as lat, case when id % 5 = 0 or id % 7 = 0 then 21.41 end as lon, case when id % 5 = 0 then 'geocode' when id % 7 = 0 then 'street' end as geo_source
-from {_PROPS_SQL} where lat is null and geo_source is null""")
+from (select * replace (case when id % 2 = 0 then null else geo_source end as geo_source) from {_PROPS_SQL}) where lat is null and geo_source is null""")
 def backfill_points(spark, sf_dir):
-    p = _props(spark, sf_dir).withColumnRenamed("id", "property_id")
     k = F.col("property_id")
+    p = _props(spark, sf_dir).withColumnRenamed("id", "property_id").withColumn("geo_source", F.when(k % 2 != 0, F.col("geo_source")))
     stage = lambda every, lat: p.where(k % every == 0).select("property_id", F.lit(lat).alias("lat"), F.lit(21.41).alias("lon"))
     return learning.backfill(p, ("geocode", stage(5, 41.97)), ("outside", stage(3, 50.0)), ("street", stage(7, 41.98)))
 

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from cartolex.catalog import sqltext as S
-from cartolex.catalog.keys import NAMES
+from cartolex.catalog.keys import NAMES_SQL, names
 from cartolex.catalog.registry import query
 from cartolex.fixtures import POIS_SQL, distance_sql, pois, properties, table
 from cartolex.functions import lexicon as L
@@ -49,17 +49,20 @@ def find_poi_by_name(spark, sf_dir):
 _CATEGORY = "list_filter(list_transform(" + S.words(f"trim(regexp_replace({S.to_latin('s')}, '[^a-z0-9]+', ' ', 'g'))") + f", lambda w: coalesce({S.lookup(L.CATEGORY_WORDS, 'w', 'null')}, case " + " ".join(f"when starts_with(w, '{a}') then '{b}'" for a, b in L.CATEGORY_STEMS) + " end)), lambda x: x is not null)[1]"
 
 
-@query(f"select s, {_CATEGORY} as category from (select unnest([{', '.join(map(S.q, NAMES + PLACES))}]) as s)")
+@query(f"select s, {_CATEGORY} as category from (select s from {NAMES_SQL} union select unnest([{', '.join(map(S.q, PLACES))}]))")
 def place_categories(spark, sf_dir):
-    return spark.createDataFrame([(n,) for n in NAMES + PLACES], "s string").select("s", lookup.place_category(F.col("s")).alias("category"))
+    return names(spark, sf_dir).unionByName(spark.createDataFrame([(n,) for n in PLACES], "s string")).distinct().select("s", lookup.place_category(F.col("s")).alias("category"))
 
 
 HEALS = [("Eуpoфapм", "Еурофарм"), ("Post Officе", "Post Office"), ("Капиšтец", "Капиштец"), ("Карпош III", "Карпош III"), ("Глуво куче;Gluvo Kuče", "Глуво куче;Gluvo Kuče"), ("Aмбасада", "Амбасада"), ("  two   words ", "two words"), ("Buba Мara", "Buba Mara"), ("Туpиcт", "Турист"), ("Ресторан Кej", "Ресторан Кеј")]
 
 
-@query("select * from (values " + ", ".join(f"({S.q(a)}, {S.q(b)})" for a, b in HEALS) + ") t(s, healed)")
+@query("select * from (values " + ", ".join(f"({S.q(a)}, {S.q(b)})" for a, b in HEALS) + """) t(s, healed) union all select text, trim(regexp_replace(text, '[\\s\\x{A0}]+', ' ', 'g')) from conversations
+  union all select '  ' || p_name || '  x ', p_name || ' x' from part""")
 def name_heal(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a, _ in HEALS], "s string").select("s", clean_name(F.col("s")).alias("healed"))
+    told = table(spark, sf_dir, "conversations").select(F.col("text").alias("s"))
+    made = table(spark, sf_dir, "part").select(F.concat(F.lit("  "), "p_name", F.lit("  x ")).alias("s"))
+    return spark.createDataFrame([(a,) for a, _ in HEALS], "s string").unionByName(told).unionByName(made).select("s", clean_name(F.col("s")).alias("healed"))
 
 
 @query()
@@ -78,15 +81,25 @@ EXTRACT = {
 }
 
 
-@query("select * from (values ('node/1', 'Kipper', 'supermarket', 42.0::double), ('way/3', 'Еурофарм', 'pharmacy', 41.99::double)) t(osm_key, name, type, lat)")
+@query("""select * from (values ('node/1', 'Kipper', 'supermarket', 42.0::double), ('way/3', 'Еурофарм', 'pharmacy', 41.99::double)) t(osm_key, name, type, lat)
+  union all select 'node/' || (1000 + c_custkey), c_name, case when c_custkey % 2 = 0 then lower(c_mktsegment) else 'other' end, 41.0::double + c_custkey / 16.0::double from customer""")
 def osm_source(spark, sf_dir):
-    raw = spark.createDataFrame([(json.dumps(EXTRACT),)], "j string").select(F.from_json("j", osm.ELEMENTS).alias("r")).select("r.*")
+    k = F.col("c_custkey")
+    tags = F.when(k % 2 == 0, F.create_map(F.lit("name"), "c_name", F.lit("shop"), F.lower("c_mktsegment"))).otherwise(F.create_map(F.lit("name"), F.col("c_name")))
+    element = F.struct(F.lit("node").alias("type"), (k + 1000).alias("id"), (41.0 + k / 16.0).alias("lat"), F.lit(21.0).alias("lon"), tags.alias("tags"))
+    more = table(spark, sf_dir, "customer").select(F.to_json(F.struct(F.array(element).alias("elements"))).alias("j"))
+    raw = spark.createDataFrame([(json.dumps(EXTRACT),)], "j string").unionByName(more).select(F.from_json("j", osm.ELEMENTS).alias("r")).select("r.*")
     return osm.pois_of(osm._elements(raw)).select("osm_key", "name", "type", "lat")
 
 
-@query("select 7 as way_id, n::integer as num, round(42.0::double + (n - 1) / 8.0::double * 0.004, 9) as lat from (select unnest([1, 3, 5, 7, 9]) as n)")
+@query("""select 7 as way_id, n::integer as num, round(42.0::double + (n - 1) / 8.0::double * 0.004, 9) as lat from (select unnest([1, 3, 5, 7, 9]) as n)
+  union all select s_suppkey + 100, n, round(41.0::double + s_suppkey / 16.0::double + (n - 1) / 10.0::double * 0.005, 9) from supplier, (select unnest(range(1, 12, 5)) as n)""")
 def interpolated_numbers(spark, sf_dir):
     way = spark.createDataFrame([(7, 1, 9, 2, [(42.0, 21.4), (42.001, 21.4), (42.004, 21.4)]), (8, 1, 9, 2, [(42.0, 21.4)])], "way_id int, first int, last int, step int, points array<struct<lat:double,lon:double>>")
+    lat = 41.0 + F.col("s_suppkey") / 16.0
+    points = F.array(*[F.struct((lat + d).alias("lat"), F.lit(21.0).alias("lon")) for d in (0.0, 0.001, 0.005)])
+    ways = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 100).cast("int").alias("way_id"), F.lit(1).alias("first"), F.lit(11).alias("last"), F.lit(5).alias("step"), points.alias("points"))
+    way = way.unionByName(ways)
     return osm.expand_interpolation(way).select("way_id", "num", F.round("lat", 9).alias("lat"))
 
 
