@@ -180,10 +180,10 @@ def country_contradictions(spark, sf_dir):
     return every.select("s", missions.alias("x")).select("s", "x.i", repair.contradict(F.col("s"), F.col("x.m")).alias("contradict"))
 
 
-@query(f"""with t as (select distinct type from {RAW_KINDS_SQL}) select a.type as anchor_type, b.type as row_type, {S.type_rank('a.type')} >= 5 and {S.type_rank('b.type')} < 5 as vetoed from t a cross join t b""")
+@query(f"""with t as (select distinct type from {RAW_KINDS_SQL}) select a.type as anchor_type, b.type as row_type, {S.type_rank('a.type')} >= 5 and {S.type_rank('b.type')} < 5 as vetoed from t a, (select unnest([{', '.join(map(S.q, L.TYPE_RANKS))}]) as type) b""")
 def tenant_vetoes(spark, sf_dir):
-    t = raw_kinds(spark, sf_dir).select("type").distinct()  # classes, not rows
-    pairs = t.select(F.col("type").alias("anchor_type")).join(F.broadcast(t.select(F.col("type").alias("row_type"))))
+    t = raw_kinds(spark, sf_dir).select("type").distinct()
+    pairs = t.select(F.col("type").alias("anchor_type"), F.explode(F.array(*[F.lit(x) for x in L.TYPE_RANKS])).alias("row_type"))
     return pairs.withColumn("vetoed", repair.tenant_absorbs_venue(F.col("anchor_type"), F.col("row_type")))
 
 
@@ -365,3 +365,28 @@ def table_stamp(spark, sf_dir):
 def rows_without_url(spark, sf_dir):
     k = F.col("poi_id")
     return archive.without_url(pois(spark, sf_dir).withColumn("place_url", F.when(k % 4 == 0, "u").when(k % 4 == 1, "")), 50)
+
+
+# --- lookups around a centre
+
+
+@query()
+def find_anchors(spark, sf_dir):
+    k = F.col("property_id")
+    word = F.get(F.array(*[F.lit(w) for w in ("red bolt", "gearot", "Aнвил", "anvilte", "zzz")]), (k % 5).cast("int"))
+    return lookup.find_anchors(properties(spark, sf_dir).select(k.alias("word_id"), word.alias("word"), "lat", "lon"), pois(spark, sf_dir))
+
+
+_ASK = ["bolt", "red bolt", "Anvil", "zzz"]
+_PH = S.phonetic_keys
+
+
+@query(f"""with q as (select property_id as needle_id, [{', '.join(map(S.q, _ASK))}][property_id % 4 + 1] as text, lat, lon from {PROPERTIES_SQL}), n as (select needle_id, lat, lon, {_PH('text')} as q from q),
+a as (select poi_id, name, p_lat, p_lon, {_PH('name')} as r from {POIS_SQL} where type = 'park')
+select needle_id, poi_id, name from (select needle_id, poi_id, name, row_number() over (partition by needle_id order by len(list_filter(r, lambda w: not list_contains(q, w))), case when q = r then 0 else 1 end, {distance_sql('lat', 'lon', 'p_lat', 'p_lon')}, length(name), name, poi_id) as rn
+  from n join a on list_has_all(r, q)) where rn = 1""")
+def settlements_named(spark, sf_dir):
+    k = F.col("property_id")
+    text = F.get(F.array(*[F.lit(w) for w in _ASK]), (k % 4).cast("int"))
+    needles = properties(spark, sf_dir).select(k.alias("needle_id"), text.alias("text"), F.col("lat").alias("center_lat"), F.col("lon").alias("center_lon"))
+    return lookup.settlements_named(needles, pois(spark, sf_dir).where("type = 'park'").select("poi_id", "name", "p_lat", "p_lon"))

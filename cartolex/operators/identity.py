@@ -14,8 +14,8 @@ from cartolex.functions.text import identity_tokens, semantic_key
 #: Metres within which names of one token set, of a contained one, or two embassies of a country agree.
 TOKEN_M, SUBSET_M, EMBASSY_M = 120.0, 40.0, 200.0
 SAME_NAME_M, TWIN_M = 100, 3.0
-#: The most steps across a conflict of identity_heal.
-HEAL_ROUNDS = 10_000
+#: Rounds that settle any component that fits a cluster.
+STAR_ROUNDS = 60
 
 
 def _words(values) -> Column:
@@ -113,17 +113,28 @@ def merge_decisions(pairs: DataFrame, pois: DataFrame) -> DataFrame:
     return j.select("a_id", "b_id", "kind", "distance_m", "rule", (~F.col("rule").startswith("review")).alias("merge"), F.when(F.col("_a"), F.col("a_id")).otherwise(F.col("b_id")).alias("survivor_id"), F.when(F.col("_a"), F.col("b_id")).otherwise(F.col("a_id")).alias("dropped_id"))
 
 
-def label_components(edges: DataFrame, most_rounds: int = 20) -> DataFrame:
-    """(id, label): the smallest id that each end of an edge (a, b) reaches. Lineage is cut in each round."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    labels = both.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id"))
-    for _ in range(most_rounds):
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("seen"))
-        nxt = labels.join(near, labels["id"] == near["a"]).select("id", F.least("label", "seen").alias("label"), (F.col("seen") < F.col("label")).alias("moved")).checkpoint()
-        if not nxt.where("moved").limit(1).count():
-            return nxt.select("id", "label")
-        labels = nxt.select("id", "label")
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+def label_components(edges: DataFrame) -> DataFrame:
+    """(id, label): the smallest id that each end of an edge (a, b) reaches, the smallest itself included.
+
+    Rounds of two steps: every id links its larger neighbours to the smallest id that it sees, then its smaller ones; a path
+    of n ids settles in about log n rounds. Each round is written, so lineage is cut and an id with many edges is summed
+    before it moves. More than STAR_ROUNDS rounds raise an error.
+    """
+    high, low = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
+    now = edges.where("a <> b").select(high, low).distinct().checkpoint()
+    mark = None
+    for _ in range(STAR_ROUNDS):
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        stars = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = stars.groupBy("u").agg(F.min("v").alias("m"))
+        moved = stars.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        now = moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if seen == mark:
+            return now.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
+        mark = seen
+    raise RuntimeError(f"components did not settle in {STAR_ROUNDS} rounds")
 
 
 def merge_components(pois: DataFrame) -> DataFrame:
@@ -187,13 +198,13 @@ def identity_heal(osm: DataFrame, anchors: DataFrame, candidates: DataFrame) ->
 
     ``candidates``: osm_id, anchor_id, distance of all pairs that agree. Rows and anchors that reach each other through
     candidates are one conflict; each is settled in one task, row after row in the order of ids. A conflict is as large as
-    the places of agreeing names within reach of each other; one of more than HEAL_ROUNDS steps across raises an error.
+    the places of agreeing names within reach of each other.
     """
     pairs = candidates.select("osm_id", "anchor_id", "distance").checkpoint()
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
     # both ends as one kind of node; a row's label is the smallest node that it reaches
     node = lambda c, of: F.concat(F.lit(of), F.col(c).cast("string"))
-    labels = label_components(pairs.select(node("osm_id", "o").alias("a"), node("anchor_id", "a").alias("b")), HEAL_ROUNDS)
+    labels = label_components(pairs.select(node("osm_id", "o").alias("a"), node("anchor_id", "a").alias("b")))
     labelled = pairs.join(labels, node("osm_id", "o") == F.col("id")).select("osm_id", "anchor_id", "distance", "label")
 
     def settle(conflict):

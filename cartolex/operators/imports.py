@@ -45,9 +45,9 @@ def teach_streets(plan: DataFrame, answers: DataFrame, cap: int, budget: int, fl
     rows = rows.join(before, "_block").withColumn("spent", F.col("_before") + F.sum("cost").over(Window.partitionBy("_block").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     stop = F.when(F.col("spent") > cap, "cap").when(budget - (F.col("spent") - F.col("cost")) < floor, "budget").when(F.coalesce("limited", F.lit(False)), "limited")
     rows = rows.withColumn("_stop", stop)
-    at = rows.where("_stop is not null").agg(F.min_by("_stop", "pos").alias("_why"), F.min("pos").alias("_at"))
+    halt = rows.where("_stop is not null").agg(F.min_by("_stop", "pos"), F.min("pos")).first()  # one row
     own = F.when(F.coalesce("good", F.lit(False)), "taught").when(F.col("inside") == False, "outside").otherwise("miss")  # noqa: E712
-    return rows.crossJoin(F.broadcast(at)).select("pos", "street", F.when(F.col("pos") >= F.col("_at"), F.col("_why")).otherwise(own).alias("outcome"))  # one row
+    return rows.select("pos", "street", (own if halt[1] is None else F.when(F.col("pos") >= halt[1], halt[0]).otherwise(own)).alias("outcome"))
 
 
 def roster_slots(entries: DataFrame, centres: DataFrame, pois: DataFrame, complexes: DataFrame, most: int = 3, within_m: float = 200.0) -> DataFrame:
