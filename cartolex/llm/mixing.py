@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from fractions import Fraction
 from heapq import heappop, heappush
 
@@ -9,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cartolex.llm.common import small_batches
+from cartolex.llm.common import cut, small_batches
 
-#: Distinct membership patterns and sources that the flow is solved for on the driver; more raise an error.
+#: Distinct membership patterns that the flow is solved for on the driver.
 MOST_PATTERNS = 20_000
 
 
@@ -101,7 +102,8 @@ def mix_sources(docs: DataFrame, source: str = "source", size: str = "size", doc
     its documents in a seeded order of hashes, the last of them in part, so that a source's taken words meet its target to
     within a word. No document gives more than ``most`` times its size. Reruns agree: the order follows from ids and sizes;
     rows that repeat are told apart by nothing and may be swapped. Columns of the added names are replaced. An empty table
-    gives no rows. More than MOST_PATTERNS distinct sets of sources raise a ValueError, as the flow is solved on the driver.
+    gives no rows. With more than MOST_PATTERNS distinct sets of sources, none of them of several, the targets are the quotas and
+    no flow is solved (``plan_many``); so many overlapping sets raise a ValueError, as their flow is solved on the driver.
 
     The order is dealt by buckets of hashes: sums for each bucket find the one where a pattern's rest ends, and only its
     documents are sorted, so that a hot source is never sorted in one task.
@@ -113,11 +115,12 @@ def mix_sources(docs: DataFrame, source: str = "source", size: str = "size", doc
     kept = [c for c in docs.columns if c not in ("source_size", "target", "taken")]
     rows = docs.select(*kept, F.coalesce(F.to_json(members), F.lit("[null]")).alias("_key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"))
     rows = rows.withColumn("_hash", F.xxhash64(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "_size"))
-    total = rows.groupBy("_key").agg(F.sum("_size").alias("words"), F.count("*").alias("n")).limit(MOST_PATTERNS + 1).collect()
+    summed = rows.groupBy("_key").agg(F.sum("_size").alias("words"), F.count("*").alias("n"))
+    total = summed.limit(MOST_PATTERNS + 1).collect()
     if len(total) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
-    import json
-
+        summed = cut(summed, "patterns")
+        docs_in_all = summed.agg(F.sum("n")).first()[0]
+        return _dealt(rows, plan_many(summed, weights, share, most), docs_in_all, kept, doc_id, small=False)
     patterns = [(tuple(json.loads(r["_key"])), int(r["words"])) for r in sorted(total, key=lambda r: r["_key"])]
     keys = sorted(r["_key"] for r in total)
     sizes: dict = {}
@@ -127,20 +130,68 @@ def mix_sources(docs: DataFrame, source: str = "source", size: str = "size", doc
     aims = targets(sizes, weights, share, most)
     flows = route(patterns, {s: int(t + Fraction(1, 2)) for s, t in aims.items()}, most)
 
-    docs_in_all = sum(r["n"] for r in total)
-    buckets = 1 << min(16, max(6, (docs_in_all // 2000).bit_length()))
     plan = []
     for key, (sources, words), flow in zip(keys, patterns, flows, strict=True):
         full, rest = divmod(sum(flow.values()), words) if words else (0, 0)
         plan.append((key, sum(sizes[s] for s in sources), float(sum(aims[s] for s in sources)), full, rest))
-    planned = spark.createDataFrame(plan, "_key string, source_size long, target double, _full long, _rest long")
+    planned = spark.createDataFrame(plan, PLAN)  # a row for each pattern, MOST_PATTERNS at most
+    return _dealt(rows, planned, sum(r["n"] for r in total), kept, doc_id, small=True)
+
+
+#: What documents of a pattern give: whole copies and words of a rest.
+PLAN = "_key string, source_size long, target double, _full long, _rest long"
+
+
+def plan_many(patterns: DataFrame, weights: tuple[int, ...], share: Fraction, most: int) -> DataFrame:
+    """The plan of very many patterns of one source each, which need no flow: a source's quota is its target.
+
+    ``patterns``: _key, words. The same targets as ``targets`` gives, by rounds over the sharded sources: sums of the sources
+    that are still open, until none is above ``most`` times its size. Patterns of several sources raise a ValueError.
+    """
+    if patterns.where(F.size(F.from_json("_key", "array<string>")) > 1).limit(1).count():
+        raise ValueError(f"more than {MOST_PATTERNS} membership patterns, some of several sources")
+    of = patterns.select("_key", F.from_json("_key", "array<string>").alias("_m"), F.col("words").cast("decimal(38,0)").alias("words")).withColumn("_s", F.get("_m", F.lit(0)))
+    none = of.where(F.size("_m") == 0).select("_key", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("_full"), F.lit(0).cast("long").alias("_rest"))
+    ordered = of.where(F.size("_m") == 1).repartitionByRange(F.col("_s").isNull(), "_s").sortWithinPartitions(F.col("_s").isNull(), "_s")
+    numbered = cut(ordered.withColumn("_id", F.monotonically_increasing_id()).select("_key", "words", "_id"), "sources")
+    # ids count up from the start of each partition: its number times 2 ** 33
+    sizes = sorted((r["p"], r["n"]) for r in numbered.groupBy(F.shiftright("_id", 33).alias("p")).agg(F.count("*").alias("n")).collect())
+    before, starts = 0, {}
+    for p, n in sizes:
+        starts[p], before = before, before + n
+    first = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in starts.items() for x in kv]), F.shiftright("_id", 33))
+    place = (first + F.col("_id").bitwiseAND((1 << 33) - 1)) % len(weights)
+    now = numbered.select("_key", "words", F.get(F.array(*[F.lit(w).cast("decimal(38,0)") for w in weights]), place.cast("int")).alias("w"), F.lit(True).alias("open"))
+    down = share.denominator
+    left = share.numerator * int(now.agg(F.sum("words")).first()[0])  # of ``down`` parts
+    big = lambda x: F.lit(str(x)).cast("decimal(38,0)")
+    while True:
+        weight = int(now.where("open").agg(F.sum("w")).first()[0] or 0)
+        over = F.col("open") & (F.col("w") * big(left) > F.col("words") * big(down * most * weight))
+        taken = now.where(over).agg(F.sum("words")).first()[0] if weight else None
+        if taken is None:
+            break
+        now = cut(now.withColumn("open", F.col("open") & ~over), "open")
+        left -= down * most * int(taken)
+    quota = F.when(F.col("open"), F.expr(f"cast(floor((2 * w * cast('{left}' as decimal(38,0)) + cast('{down * weight}' as decimal(38,0))) / cast('{2 * down * weight}' as decimal(38,0))) as bigint)") if weight else F.lit(0)).otherwise((F.col("words") * most).cast("long"))
+    target = F.when(F.col("open"), F.col("w").cast("double") * (left / (down * weight)) if weight else F.lit(0.0)).otherwise((F.col("words") * most).cast("double"))
+    size = F.col("words").cast("long")
+    planned = now.select("_key", size.alias("source_size"), target.alias("target"), quota.alias("_q"), size.alias("_n"))
+    full = F.coalesce(F.expr("_q div nullif(_n, 0)"), F.lit(0))
+    return planned.select("_key", "source_size", "target", full.alias("_full"), F.when(F.col("_n") > 0, F.col("_q") - full * F.col("_n")).otherwise(F.lit(0)).alias("_rest")).unionByName(none)
+
+
+def _dealt(rows: DataFrame, planned: DataFrame, docs_in_all: int, kept: list[str], doc_id: str, small: bool) -> DataFrame:
+    """``taken`` of every row by the plan of its pattern, which is sent where it is small: the order of hashes is dealt by buckets."""
+    sent = F.broadcast if small else lambda df: df
+    buckets = 1 << min(16, max(6, (docs_in_all // 2000).bit_length()))
     rows = rows.withColumn("_bucket", F.shiftrightunsigned("_hash", 64 - buckets.bit_length() + 1).cast("int"))
     # at most patterns * buckets sums, ordered within a pattern
     sums = rows.groupBy("_key", "_bucket").agg(F.sum("_size").alias("w"))
     before = F.sum("w").over(Window.partitionBy("_key").orderBy("_bucket")) - F.col("w")
-    ends = sums.withColumn("_before", before).join(F.broadcast(planned.select("_key", "_rest")), "_key").where("_before <= _rest and _rest < _before + w").select("_key", F.col("_bucket").alias("_end"), "_before")
+    ends = sums.withColumn("_before", before).join(sent(planned.select("_key", "_rest")), "_key").where("_before <= _rest and _rest < _before + w").select("_key", F.col("_bucket").alias("_end"), "_before")
     planned = planned.join(ends, "_key", "left")
-    dealt = rows.join(F.broadcast(planned), "_key")  # a row for each pattern
+    dealt = rows.join(sent(planned), "_key")
     whole = dealt.where("_end is null or _bucket <> _end").withColumn("_part", F.when(F.col("_bucket") < F.col("_end"), F.col("_size")).otherwise(F.lit(0)).cast("long"))
     order = Window.partitionBy("_key").orderBy("_hash", doc_id, "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut_ = dealt.where("_bucket = _end").withColumn("_part", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rest") - F.col("_before") - (F.sum("_size").over(order) - F.col("_size")))).cast("long"))

@@ -95,7 +95,9 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    # a source owns a repository for each language
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", F.concat_ws("/", "source", "lang").alias("repo"))
+    found = secrets.scan_secrets(docs, repo="repo", owner="source")
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     n_live = F.size(F.filter("spans", lambda s: s["live"])).cast("long")
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(spans_text("spans", lambda s: s["base"]), 256).alias("base_sha256"), spans_text("spans").alias("spans"), n_live.alias("n_live"))
