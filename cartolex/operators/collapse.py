@@ -30,14 +30,15 @@ def same_place(a: dict, b: dict) -> bool:
     ta, tb = a["tokens"], b["tokens"]
     if not ta or not tb:
         return False
-    d = metres(a["lat"], a["lon"], b["lat"], b["lon"])
-    if ta == tb and d <= 120:
-        return True
     small, large = (ta, tb) if len(ta) <= len(tb) else (tb, ta)
-    added = large - small
-    if small <= large and any(len(t) >= 4 for t in small) and bool(a["place_id"]) != bool(b["place_id"]) and a["qual"] == b["qual"] and not (added and all(t.isdigit() for t in added)) and d <= 40:
-        return True
-    return a["embassy"] and b["embassy"] and a["qual"] == b["qual"] and bool(a["countries"] & b["countries"]) and d <= 200
+    within = 120 if ta == tb else 0
+    if a["qual"] == b["qual"]:
+        if a["embassy"] and b["embassy"] and a["countries"] & b["countries"]:
+            within = 200
+        elif not within and small <= large and bool(a["place_id"]) != bool(b["place_id"]) and any(len(t) >= 4 for t in small) and not all(t.isdigit() for t in large - small):
+            within = 40
+    # most pairs share no name, and their distance is not asked for
+    return within > 0 and metres(a["lat"], a["lon"], b["lat"], b["lon"]) <= within
 
 
 def _merge(keep: dict, other: dict, lat: float, lon: float) -> dict:

@@ -38,32 +38,35 @@ def resolve_addresses(asked: DataFrame, addresses: DataFrame, strict_neighbour:
     """
     q = asked.select("id", "address", street_key(F.col("address")).alias("raw_key"), house_number(F.col("address")).alias("num")).withColumn("target", house_value(F.col("num")))
     q = resolve_keys(q, addresses.select("key").distinct())
-    rows = addresses.select("key", "addr_id", "housenumber", "lat", "lon", "source", house_value(F.col("housenumber")).alias("v"))
+    # a street's rows of one number are one: its first and last row say all that the stages ask
     point = F.struct("lat", "lon")
-    num = F.col("num")
-    j = q.where("raw_key <> ''").join(rows, "key")
-    numbered = ~F.col("housenumber").isin("", "ББ")
-    exact = (num != "") & (ascii_lower(F.col("housenumber")) == ascii_lower(num))
-    compound = (num != "") & ascii_lower(F.col("housenumber")).contains(ascii_lower(num))
+    bare = F.struct("source", (-F.col("addr_id")).alias("i"), "lat", "lon")
+    rows = addresses.groupBy("key", "housenumber").agg(F.min("addr_id").alias("i"), F.min_by(point, "addr_id").alias("first"), F.max_by(point, "addr_id").alias("last"), F.count("*").alias("n"), F.max(bare).alias("s"))
+    rows = rows.withColumn("v", house_value(F.col("housenumber")))
+    num, no = F.col("num"), F.col("housenumber")
+    # and an address is asked once, however many ask for it
+    j = q.where("raw_key <> ''").select("key", "num", "target").distinct().join(rows, "key")
+    numbered = ~no.isin("", "ББ")
+    exact = (num != "") & (ascii_lower(no) == ascii_lower(num))
+    compound = (num != "") & ascii_lower(no).contains(ascii_lower(num))
     fits = (num != "") & numbered & F.col("v").isNotNull()
     low, high = fits & (F.col("v") <= F.col("target")), fits & (F.col("v") > F.col("target"))
-    np_ = F.struct("v", "lat", "lon")
-    upper = F.min_by(np_, F.when(high, F.struct("v", "housenumber", "addr_id"))) if strict_neighbour else F.max_by(np_, F.when(high, F.struct("v", "housenumber", "addr_id")))
-    g = j.groupBy("id").agg(
-        F.min_by(point, F.when(exact, F.struct(F.when(F.col("housenumber") == num, 0).otherwise(1), F.col("addr_id")))).alias("a"),
-        F.min_by(point, F.when(compound, F.struct(F.length("housenumber"), F.col("addr_id")))).alias("c"),
-        F.max_by(np_, F.when(low, F.struct("v", "housenumber", "addr_id"))).alias("lo"),
+    at = lambda c: F.struct("v", F.col(f"{c}.lat").alias("lat"), F.col(f"{c}.lon").alias("lon"))
+    upper = F.min_by(at("first"), F.when(high, F.struct("v", no))) if strict_neighbour else F.max_by(at("last"), F.when(high, F.struct("v", no)))
+    g = j.groupBy("key", "num", "target").agg(
+        F.min_by("first", F.when(exact, F.struct(F.when(no == num, 0).otherwise(1), "i"))).alias("a"),
+        F.min_by("first", F.when(compound, F.struct(F.length(no), "i"))).alias("c"),
+        F.max_by(at("last"), F.when(low, F.struct("v", no))).alias("lo"),
         upper.alias("hi"),
-        F.count_if(numbered & (num != "")).alias("n"),
-        F.max_by(F.struct("lat", "lon", "source"), F.when(F.col("housenumber").isin("", "ББ"), F.struct("source", (-F.col("addr_id")).alias("i")))).alias("s"),
-        F.min_by(point, F.struct("housenumber", "addr_id")).alias("f"),
+        F.coalesce(F.sum(F.when(numbered & (num != ""), F.col("n"))), F.lit(0)).alias("n"),
+        F.max(F.when(~numbered, F.col("s"))).alias("s"),
+        F.min_by("first", F.struct(no, "i")).alias("f"),
     )
     t = (F.col("target") - F.col("lo.v")) / (F.col("hi.v") - F.col("lo.v"))
-    g = g.join(q.select("id", "target"), "id")
     between = F.when((F.col("n") >= 2) & F.col("lo").isNotNull() & F.col("hi").isNotNull(), F.struct((F.col("lo.lat") + t * (F.col("hi.lat") - F.col("lo.lat"))).alias("lat"), (F.col("lo.lon") + t * (F.col("hi.lon") - F.col("lo.lon"))).alias("lon")))
     side = F.when((F.col("n") >= 2) & (F.col("lo").isNotNull() | F.col("hi").isNotNull()), F.coalesce(F.when(F.col("lo").isNotNull(), F.struct(F.col("lo.lat").alias("lat"), F.col("lo.lon").alias("lon"))), F.struct(F.col("hi.lat").alias("lat"), F.col("hi.lon").alias("lon"))))
     made = lambda p, ok, src: F.when(p.isNotNull(), F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"), F.lit(ok).alias("trusted"), F.lit(src).alias("source")))
     anchor = F.when(F.col("s.source") == "google_street", made(F.col("s"), True, "osm_street_anchor")).otherwise(made(F.col("s"), False, "osm_low_confidence"))
     best = F.coalesce(made(F.col("a"), True, "osm_building"), made(F.col("c"), True, "osm_building"), made(between, True, "osm_interpolated"), made(side, False, "osm_low_confidence"), anchor, made(F.col("f"), False, "osm_low_confidence"))
-    out = q.select("id").join(g.select("id", best.alias("b")), "id", "left")
+    out = q.select("id", F.when(F.col("raw_key") != "", F.col("key")).alias("key"), "num").join(g.select("key", "num", best.alias("b")), ["key", "num"], "left")
     return out.select("id", F.col("b.lat").alias("lat"), F.col("b.lon").alias("lon"), F.coalesce("b.trusted", F.lit(False)).alias("trusted"), F.coalesce("b.source", F.lit("osm_low_confidence")).alias("source"))
