@@ -63,6 +63,13 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def trimmed() -> None:
+    """What this process has let go of goes back to the system."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: What operators keep in a Python worker between tasks, and how to let go of it.
 KEPT: dict = {}
 
@@ -75,9 +82,7 @@ def working(name: str) -> None:
             drop()
         for owner in [x for x in KEPT if x != name]:
             del KEPT[owner]
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        trimmed()
 
 
 def bit_table(keys: DataFrame, n: int, most_bits: int) -> np.ndarray:
@@ -88,6 +93,8 @@ def bit_table(keys: DataFrame, n: int, most_bits: int) -> np.ndarray:
     found = words.toArrow()  # at most most_bits / 64 rows, whatever the input
     table = np.zeros(bits // 64, np.int64)
     table[found["w"].to_numpy()] = found["b"].to_numpy()
+    del found
+    trimmed()
     return table
 
 

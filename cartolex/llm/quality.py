@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartolex.llm import spelling
-from cartolex.llm.common import binary_column, bit_table, byte_chunks, cut, in_table, mixed, sized, small_batches, word_hashes
+from cartolex.llm.common import binary_column, bit_table, byte_chunks, cut, in_table, mixed, sized, small_batches, trimmed, word_hashes
 
 #: Stands before the first and after the last word of a text, so that it is counted as often in front as behind.
 MARK = np.uint64(1)
@@ -98,7 +98,10 @@ def count_characters(known: DataFrame, text: str) -> tuple[np.ndarray, np.ndarra
         table = np.zeros(size, np.int64)
         table[code[kind == k]] = times[kind == k]
         out.append(table)
-    return *out, n, np.sort(code[kind == 4]).astype(np.uint64)
+    hot = np.sort(code[kind == 4]).astype(np.uint64)
+    del got, kind, code, times
+    trimmed()
+    return *out, n, hot
 
 
 def count_pairs(known: DataFrame, sent, n_tokens: int, hot: np.ndarray, text: str) -> DataFrame:
@@ -329,6 +332,8 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", t
     model, rest = word_model(counts, hot)
     top, others, n_others = split_head(model, head)
     sent_top = spark.sparkContext.broadcast(top)
+    del top
+    trimmed()
     bits = spark.sparkContext.broadcast(bit_table(others.select(F.col("key").alias("k")), n_others, REST_BITS)) if n_others else None
 
     shards = max(1, -(-n_others // REST_SHARD))
