@@ -119,7 +119,18 @@ def geometry_twins(spark, sf_dir):
     return identity.geometry_twins(p, e)
 
 
-@query()
+_TA, _TB = (f"list_distinct({S.identity_tokens(e)})" for e in ("name", "an"))
+_QUALIFIED = "(regexp_matches(array_to_string({0}, ' '), '(?i)" + L.IDENTITY_QUALIFIERS + "') or regexp_matches({1}, '(?i)" + L.IDENTITY_QUALIFIERS + "'))"
+_MISSION = "(regexp_matches({0}, '(?i)" + L.EMBASSY + "') or regexp_matches(lower({1}), '(?i)" + L.EMBASSY + "'))"
+_COUNTRY = ", ".join(map(S.q, L.COUNTRIES))
+
+
+@query(f"""with p as (select * replace (coalesce(place_id, case when poi_id % 6 = 1 then '0x1:0x' || lower(to_hex(poi_id // 6)) end) as place_id) from {_DUP_SQL}),
+a as (select place_id, min(poi_id) as anchor_id, arg_min(name, poi_id) as an, arg_min(p_lat, poi_id) as alat, arg_min(p_lon, poi_id) as alon from p where source = 'google' and place_id is not null group by 1),
+j as (select poi_id, anchor_id, name, an, {distance_sql('p_lat', 'p_lon', 'alat', 'alon')} as d, {_TA} as ta, {_TB} as tb from p join a using (place_id) where source = 'osm'),
+t as (select poi_id, anchor_id, case when len(ta) = 0 or len(tb) = 0 then 'none' when list_has_all(ta, tb) and list_has_all(tb, ta) and d <= 120 then 'token'
+  when {_MISSION.format(S.semantic_key('name'), 'name')} and {_MISSION.format(S.semantic_key('an'), 'an')} and {_QUALIFIED.format('ta', 'name')} = {_QUALIFIED.format('tb', 'an')} and list_has_any(list_filter(ta, lambda w: w in ({_COUNTRY})), list_filter(tb, lambda w: w in ({_COUNTRY}))) and d <= 200 then 'embassy' else 'none' end as tier from j)
+select poi_id, anchor_id, tier, tier = 'none' as stripped from t""")
 def blind_fusions(spark, sf_dir):
     k = F.col("poi_id")
     p = _duplicated(spark, sf_dir).withColumn("place_id", F.coalesce("place_id", F.when(k % 6 == 1, F.concat(F.lit("0x1:0x"), F.lower(F.hex(F.floor(k / 6)))))))
