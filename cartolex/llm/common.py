@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -23,15 +25,36 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; only where it is unset, one of our own."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset and all run on this machine, as in
+    tests, one of our own."""
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not set_to and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return (set_to or "/tmp/checkpoints").rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The session's own part of the shared folder; it goes when the program ends."""
+    at = f"{shared_dir(spark)}/cartolex/{spark.sparkContext.applicationId}"
+    if at not in _SESSIONS:
+        _SESSIONS.add(at)
+        atexit.register(_drop, spark, at)
+    return at
+
+
+_SESSIONS: set[str] = set()
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have gone first
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes the rows as a table in the shared folder and reads them back, so that lost executors redo nothing before it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cartolex/{name}-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
