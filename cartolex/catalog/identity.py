@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cartolex.catalog import sqltext as S
 from cartolex.catalog.registry import query
-from cartolex.fixtures import POIS_SQL, distance_sql, pois, table
+from cartolex.fixtures import POIS_SQL, distance_sql, pois, shared_folder, table
 from cartolex.functions import geo
 from cartolex.functions import lexicon as L
 from cartolex.operators import identity, spatial
@@ -70,7 +70,7 @@ def merge_components(spark, sf_dir):
 def _checkpointing(spark) -> None:
     """The shared folder that the session names; one of our own only where none is set."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/cartolex")
+        spark.sparkContext.setCheckpointDir(f"{shared_folder(spark)}/cartolex")
 
 
 @query(f"select poi_id, {_CORE(_TOKENS('name'), _DESC)} as core, len(list_filter({_TOKENS('name')}, lambda w: w in ({_DESC})))::bigint as descriptors from {POIS_SQL}")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cartolex.catalog.registry import query
 from cartolex.catalog.search import _NEAR
-from cartolex.fixtures import POIS_SQL, PROPERTIES_SQL, distance_sql, pois, properties, table
+from cartolex.fixtures import POIS_SQL, PROPERTIES_SQL, distance_sql, pois, properties, shared_folder, table
 from cartolex.operators import landmarks, spatial
 from cartolex.plans import queue
 from cartolex.sources import capture
@@ -74,7 +74,7 @@ def stream_watch(spark, sf_dir):
 
 
 def queue_folder(spark) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + "/cartolex-streams"
+    return f"{shared_folder(spark)}/cartolex-streams"
 
 
 _CACHED_SQL = f"(select property_id, n as landmark, case when property_id % 2 = 0 then 'osm_poi' when property_id % 5 = 0 then 'google' else 'osm_low_confidence' end as tier from (select property_id * 13 % 1700 as property_id, p.name as n from {PROPERTIES_SQL} c join {POIS_SQL} p on p.poi_id = c.property_id + 1))"

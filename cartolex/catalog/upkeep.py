@@ -9,7 +9,7 @@ from cartolex.catalog.identity import _D, _DUP_SQL, _KEY, DECISIONS_SQL, _checkp
 from cartolex.catalog.keys import NAMES_SQL, RAW_KINDS_SQL, names, raw_kinds
 from cartolex.catalog.registry import query
 from cartolex.catalog.search import _NEAR
-from cartolex.fixtures import ADDRESSES_SQL, POIS_SQL, PROPERTIES_SQL, addresses, distance_sql, pois, properties, table
+from cartolex.fixtures import ADDRESSES_SQL, POIS_SQL, PROPERTIES_SQL, addresses, distance_sql, pois, properties, shared_folder, table
 from cartolex.functions import classes
 from cartolex.functions import lexicon as L
 from cartolex.functions.text import street_key, type_rank
@@ -348,10 +348,8 @@ def carry_through(spark, sf_dir):
 @query("select s_suppkey as id, s_name, s_nationkey, s_suppkey % 2 = 0 as even, case when s_suppkey % 3 = 0 then 'kept' else 'restored' end as origin from supplier")
 def backup_restore(spark, sf_dir):
     k = F.col("id")
-    _checkpointing(spark)
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), "s_name", "s_nationkey").withColumn("even", k % 2 == 0)
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
-    at = archive.backup(s.where(k % 3 != 0).withColumn("origin", F.lit("restored")), f"{shared}/backups")
+    at = archive.backup(s.where(k % 3 != 0).withColumn("origin", F.lit("restored")), f"{shared_folder(spark)}/cartolex-backups")
     return archive.restore(spark, at, "id long, s_name string, s_nationkey long, even boolean, origin string", s.withColumn("origin", F.lit("kept")).select("id", "s_name", "s_nationkey", "even", "origin"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for all executors; one of our own only where all run on this machine, as in tests."""
+    set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not set_to and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return (set_to or "/tmp/checkpoints").rstrip("/")
+
+
 def point(key: str, a: int, b: int) -> tuple:
     k = F.col(key).cast("long")
     return 41.95 + ((k * a) % 10000) / F.lit(100000.0), 21.35 + ((k * b) % 15000) / F.lit(100000.0)
