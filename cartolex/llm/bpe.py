@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from cartolex.llm.common import KEPT, binary_column, byte_chunks, small_batches, working
+from cartolex.llm.common import KEPT, binary_column, byte_chunks, small_batches, tidy, working
 
 #: Longer pieces are merged by the ranks of tokens at once.
 CHECKED_BYTES = 256
@@ -283,7 +283,7 @@ def encode_bpe(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text",
 
     rest = docs.select(*[docs[c] for c in kept])
     added = "ids binary, n_tokens bigint" + ", starts array<int>" * offsets + ", decoded binary" * decode
-    return docs.select(*kept, text).mapInArrow(run, _with(rest, added) if kept else added)
+    return docs.select(*kept, text).mapInArrow(tidy(run), _with(rest, added) if kept else added)
 
 
 def decode_bpe(tokens: DataFrame, ranks: bytes, ids: str = "ids") -> DataFrame:
@@ -302,4 +302,4 @@ def decode_bpe(tokens: DataFrame, ranks: bytes, ids: str = "ids") -> DataFrame:
                 out = _binary(*coder.decode(np.frombuffer(data.tobytes(), "<u4").astype(np.int64), off[1:] // 4))
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), out], [*kept, "decoded"])
 
-    return tokens.select(*kept).mapInArrow(run, _with(tokens.select(*kept), "decoded binary"))
+    return tokens.select(*kept).mapInArrow(tidy(run), _with(tokens.select(*kept), "decoded binary"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import functools
 import gc
 import re
 import uuid
@@ -89,10 +90,24 @@ def small_batches(spark: SparkSession) -> None:
 def trimmed() -> None:
     """What this process has let go of goes back to the system."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def tidy(run):
+    """A task's work over batches, after which its worker, which may idle through other stages, holds nothing of it."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trimmed()
+
+    return task
+
+
 #: What operators keep in a Python worker between tasks, and how to let go of it.
 KEPT: dict = {}
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolex.llm.common import binary_column, byte_chunks, cut, forest, mixed, sized, small_batches, window_hashes, word_hashes, working
+from cartolex.llm.common import binary_column, byte_chunks, cut, forest, mixed, sized, small_batches, tidy, window_hashes, word_hashes, working
 from cartolex.llm.components import components
 
 #: A pair of similarity 0.8 shares no band with a chance of (1 - 0.8 ** ROWS) ** BANDS, about 5e-8.
@@ -159,7 +159,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    sketch = cut(rows.mapInArrow(_sketches(size, "doc_id", "text"), f"doc_id {kind}, n bigint, k1 bigint, k2 bigint, s1 bigint, s2 bigint, bands array<bigint>"), "sketch")
+    sketch = cut(rows.mapInArrow(tidy(_sketches(size, "doc_id", "text")), f"doc_id {kind}, n bigint, k1 bigint, k2 bigint, s1 bigint, s2 bigint, bands array<bigint>"), "sketch")
     known = sketch.where("doc_id is not null and n > 0")
     first = cut(known.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("bands").alias("bands")), "classes")
     banded = first.select("rep", "n", "s1", "s2", F.posexplode("bands").alias("band", "hash"))
@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     def full_sets(wanted: DataFrame) -> DataFrame:
         """The sets of some rows: rep, keys."""
         texts = rows.join(sized(wanted, 24), "doc_id", "left_semi")
-        return cut(texts.mapInArrow(_sets(size), f"rep {kind}, keys array<bigint>"), "sets")
+        return cut(texts.mapInArrow(tidy(_sets(size)), f"rep {kind}, keys array<bigint>"), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs that the full sets confirm."""

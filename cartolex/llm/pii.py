@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolex.llm.common import binary_column, small_batches, working
+from cartolex.llm.common import binary_column, small_batches, tidy, working
 
 #: Kinds in the order of the contract.
 KINDS = ("email", "ip", "card", "phone")
@@ -355,7 +355,7 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep:
             cols = [batch.column(batch.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(spans, pa.list_(kind)), *([pa.array(clean, pa.string())] if redact else [])], [*names, "spans", *([text] if redact else [])])
 
-    return docs.select(*names, text).mapInArrow(run, f"{fields}, spans {shape}" + f", `{text}` string" * redact)
+    return docs.select(*names, text).mapInArrow(tidy(run), f"{fields}, spans {shape}" + f", `{text}` string" * redact)
 
 
 def _redacted(text: str, found: list[tuple]) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartolex.llm import spelling
-from cartolex.llm.common import binary_column, bit_table, byte_chunks, cut, in_table, mixed, sized, small_batches, trimmed, word_hashes
+from cartolex.llm.common import binary_column, bit_table, byte_chunks, cut, in_table, mixed, sized, small_batches, tidy, trimmed, word_hashes
 
 #: Stands before the first and after the last word of a text, so that it is counted as often in front as behind.
 MARK = np.uint64(1)
@@ -88,7 +88,7 @@ def count_characters(known: DataFrame, text: str) -> tuple[np.ndarray, np.ndarra
             some = np.flatnonzero(times)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int8)), pa.array(codes[some], pa.int64()), pa.array(times[some], pa.int64())], ["kind", "code", "n"])
 
-    summed = cut(known.select(text).mapInArrow(run, "kind tinyint, code bigint, n bigint").groupBy("kind", "code").agg(F.sum("n").alias("n")), "characters")
+    summed = cut(known.select(text).mapInArrow(tidy(run), "kind tinyint, code bigint, n bigint").groupBy("kind", "code").agg(F.sum("n").alias("n")), "characters")
     n = int(summed.where("kind = 3").agg(F.sum("n")).first()[0] or 0)
     # two tables of SYMBOLS ** ORDER entries, 256 bytes and at most 2 * HOT words
     got = summed.where((F.col("kind") < 3) | ((F.col("kind") == 4) & (F.col("n") * 2 * HOT >= n))).toArrow()
@@ -193,7 +193,7 @@ def count_pairs(known: DataFrame, sent, n_tokens: int, hot: np.ndarray, text: st
             parts.append(pa.table({"kind": pa.array(np.full(m, kind, np.int8)), "a": long(a), "b": long(b), "n": long(n_), "c": long(c_), "x": pa.array(np.zeros(m, np.float32) if x is None else x.astype(np.float32))}))
         return pa.concat_tables(parts)
 
-    packed = known.select(text, F.xxhash64(text).alias("_mark")).mapInArrow(run, "shard int, w binary, runs binary, s binary, v binary, n binary, mark binary")
+    packed = known.select(text, F.xxhash64(text).alias("_mark")).mapInArrow(tidy(run), "shard int, w binary, runs binary, s binary, v binary, n binary, mark binary")
     return cut(packed.groupBy("shard").applyInArrow(settled, "kind tinyint, a bigint, b bigint, n bigint, c bigint, x float"), "pairs")
 
 
@@ -406,7 +406,7 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", t
         g = np.bincount(back, np.concatenate([np.frombuffer(x.as_py(), np.float64) for x in group.column("sums")]), len(each))
         return pa.table({"part": pa.array([key[0].as_py()] * len(each), pa.int64()), "i": pa.array(each.astype(np.int64)), "g": pa.array(g)})
 
-    found = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("t"), text).mapInArrow(run, ", ".join(f"{c} {k}" for c, k in ROW.items()))
+    found = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("t"), text).mapInArrow(tidy(run), ", ".join(f"{c} {k}" for c, k in ROW.items()))
     if n_others:
         found = cut(found, "found")
         asks, entries = found.where("shard is not null").select("part", "shard", "keys", "ns", "ids"), others.select(F.pmod(F.col("key"), F.lit(shards)).cast("int").alias("shard"), "key", "value")
@@ -420,6 +420,9 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", t
     # a text comes once for each chunk that holds copies of it, with the same numbers
     seen = found.groupBy("t").agg(*[F.max(c).alias(c) for c in ("n", "x", "y")])
     seen = cut(seen.select("t", F.col("n").alias("_chars"), (F.col("x") / F.greatest(F.lit(1), "n")).alias("_loss"), F.col("y").alias("_classes")), "scores")
+    # no later plan runs what was sent
+    for x in (sent, sent_top, *([bits] if bits else [])):
+        x.unpersist()
     by_text = sized(seen, 64)
 
     def scores(some: DataFrame) -> DataFrame:
