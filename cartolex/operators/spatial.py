@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cartolex.functions import lexicon as L
-from cartolex.functions.geo import LAT_M, LON_M, distance_m, prominence, rounded
+from cartolex.functions.geo import EARTH_M, LAT_M, LON_M, distance_m, prominence, rounded
 from cartolex.functions.text import is_complex_name, norm_type, type_rank
 
 
@@ -44,12 +46,36 @@ def nearest_pois(centres: DataFrame, pois: DataFrame, metres: float = 2000.0, li
     return best.select(id_, "rn", "poi_id", F.col("name").alias("poi_name"), F.col("type").alias("poi_type"), "rank", rounded(F.col("distance")).cast("long").alias("distance_m"))
 
 
+#: Parts of a radius that are searched before the whole: most rows find their nearest in the first.
+RINGS = (1 / 16, 1 / 4)
+
+
+def reach(lat: Column, metres: float) -> Column:
+    """Metres within which a point at ``lat`` has nothing outside of its box of ``metres``."""
+    high = F.radians(F.least(F.abs(lat) + metres / LAT_M, F.lit(90.0)))
+    across = F.cos(F.radians(lat)) * F.cos(high) * math.sin(math.radians(metres / LON_M / 2)) ** 2
+    along = EARTH_M * math.radians(metres / LAT_M)
+    return F.least(F.lit(along), 2 * EARTH_M * F.asin(F.sqrt(F.greatest(across, F.lit(0.0))))) * (1 - 1e-9)
+
+
 def nearest_one(left: DataFrame, right: DataFrame, metres: float, id_: str, columns: list[str], *order: Column) -> DataFrame:
-    """Each left row's first right row by ``order``, then distance and ``poi_id``; a row without one keeps nulls."""
-    near = radius_join(left.select(id_, "lat", "lon"), right, metres)
-    key = F.struct(*order, "distance", "poi_id")
-    best = near.groupBy(id_).agg(F.min_by(F.struct(*columns, "distance"), key).alias("b"))
-    return left.select(id_).join(best, id_, "left").select(id_, *[F.col(f"b.{c}").alias(c) for c in columns], rounded(F.col("b.distance")).cast("long").alias("distance_m"))
+    """Each left row's first right row by ``order``, then distance and ``poi_id``; a row without one keeps nulls.
+
+    Distinct points of the left meet distinct points of the right, of which each stands for its first row. Without ``order``
+    they are searched in rings: a row that lies within ``reach`` of a smaller box is the nearest, only the rest goes on.
+    """
+    first = F.struct(*order, "poi_id")
+    there = right.where(F.col("p_lat").isNotNull() & F.col("p_lon").isNotNull())
+    there = there.groupBy("p_lat", "p_lon").agg(F.min_by(F.struct(F.struct(*order, F.lit(0)).alias("_o"), F.col("poi_id").alias("_i"), F.struct(*columns).alias("_r")), first).alias("_p"))
+    todo = left.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("lat", "lon").distinct()
+    best = None
+    for part in (*(RINGS if not order else ()), 1):
+        got = radius_join(todo, there, metres * part).groupBy("lat", "lon").agg(F.min_by(F.struct("_p._r", "distance"), F.struct("_p._o", "distance", "_p._i")).alias("b"))
+        if part < 1:
+            tried = todo.join(got, ["lat", "lon"], "left").withColumn("_done", F.coalesce(F.col("b.distance") <= reach(F.col("lat"), metres * part), F.lit(False)))
+            got, todo = tried.where("_done").select("lat", "lon", "b"), tried.where("not _done").select("lat", "lon")
+        best = got if best is None else best.unionByName(got)
+    return left.select(id_, "lat", "lon").join(best, ["lat", "lon"], "left").select(id_, *[F.col(f"b._r.{c}").alias(c) for c in columns], rounded(F.col("b.distance")).cast("long").alias("distance_m"))
 
 
 def area_at(points: DataFrame, areas: DataFrame, id_: str = "property_id", metres: float = 2500.0) -> DataFrame:
