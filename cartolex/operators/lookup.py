@@ -137,14 +137,18 @@ def find_poi_by_name(needles: DataFrame, names: DataFrame) -> DataFrame:
 def find_anchors(words: DataFrame, pois: DataFrame, most_m: float = 900.0) -> DataFrame:
     """A place word near a centre: word_id, form, name, poi_id, distance_m. ``words``: word_id, word, lat, lon.
 
-    The word's forms in their order; the first whose best name has a row within reach counts, with its nearest row."""
-    forms = words.select("word_id", "lat", "lon", F.posexplode(word_forms(F.col("word"))).alias("pos", "form"))
-    asked = forms.select("form").distinct()
+    The word's forms in their order; the first whose best name has a row within reach counts, with its nearest row. Distinct
+    words at distinct centres meet the distinct points of a name."""
+    here = ["word", "lat", "lon"]
+    spoken = words.select("word").distinct().select("word", F.posexplode(word_forms(F.col("word"))).alias("pos", "form"))
+    asked = spoken.select("form").distinct()
     best = find_poi_by_name(asked.select(F.col("form").alias("needle_id"), F.col("form").alias("text")), pois.select("name").distinct()).select(F.col("needle_id").alias("form"), "name")
-    j = forms.join(best, "form").join(pois.select("poi_id", "name", "p_lat", "p_lon"), "name")
+    at = pois.groupBy("name", "p_lat", "p_lon").agg(F.min("poi_id").alias("poi_id"))
+    meant = spoken.join(best, "form").join(at, "name")
+    j = words.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(*here).distinct().join(meant, "word")
     j = j.withColumn("d", distance_m(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))).where(F.floor(F.col("d") + 0.5) <= most_m)
-    one = j.groupBy("word_id").agg(F.min(F.struct("pos", "d", "poi_id", "form", "name")).alias("b"))
-    return one.select("word_id", "b.form", "b.name", "b.poi_id", F.floor(F.col("b.d") + 0.5).alias("distance_m"))
+    one = j.groupBy(*here).agg(F.min(F.struct("pos", "d", "poi_id", "form", "name")).alias("b"))
+    return words.select("word_id", *here).join(one, here).select("word_id", "b.form", "b.name", "b.poi_id", F.floor(F.col("b.d") + 0.5).alias("distance_m"))
 
 
 def settlements_named(needles: DataFrame, areas: DataFrame) -> DataFrame:

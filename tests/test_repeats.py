@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from cartolex.operators import spatial
+from cartolex.operators import lookup, spatial
 from tests.test_upkeep import metres
 
 
@@ -49,3 +49,11 @@ def test_nearest_area_at_any_latitude_and_distance(spark):
             near = sorted((metres(lat, lon, la, lo), j) for j, la, lo in right if abs(la - lat) <= 2500 / 111000 and abs(lo - lon) <= 2500 / 82000) if lat is not None else []
             want[i] = next((j for d, j in near if d <= 2500), None)
         assert {r["property_id"]: r["poi_id"] for r in got.collect()} == want
+
+
+def test_anchors_of_many_copies(spark):
+    words = grid(spark, 2000, "word_id", "lat", "lon").withColumn("word", F.when(F.col("word_id") % 2 == 0, "Капитол").otherwise("zzz"))
+    words = words.unionByName(spark.createDataFrame([(5000, None, 21.4, "Капитол")], "word_id long, lat double, lon double, word string"))
+    rows, most = widest(lookup.find_anchors(words, grid(spark, 2000, "poi_id", "p_lat", "p_lon").withColumn("name", F.lit("Капитол"))))
+    assert {r["word_id"]: (r["poi_id"], r["name"], r["distance_m"]) for r in rows} == {i: (i % 100, "Капитол", 0) for i in range(0, 2000, 2)}
+    assert most < 30_000
