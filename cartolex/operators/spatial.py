@@ -34,15 +34,25 @@ def not_junk(kind: Column) -> Column:
     return ~norm_type(kind).isin(*L.JUNK_TYPES)
 
 
-def nearest_pois(centres: DataFrame, pois: DataFrame, metres: float = 2000.0, limit: int = 10, id_: str = "property_id") -> DataFrame:
-    """The ``limit`` best places around each centre: stops last, then rank, distance, prominence, name, id.
+def nearest_pois(centres: DataFrame, pois: DataFrame, metres: float = 2000.0, limit: int = 10, id_: str = "property_id", by_name: bool = False) -> DataFrame:
+    """The ``limit`` best places around each centre: stops last, then rank, distance, prominence, name, id. ``by_name``: of the
+    places of one name the best alone.
 
-    ``centres``: id_, lat, lon. ``pois``: poi_id, name, type, p_lat, p_lon, source, review_count, closed.
+    ``centres``: id_, lat, lon. ``pois``: poi_id, name, type, p_lat, p_lon, source, review_count, closed. Rows of one point come
+    in the same order around every centre, so its first ``limit`` are all that count, and centres at one point are one search.
     """
     ranked = pois.where(not_junk(F.col("type"))).select("poi_id", "name", "type", "p_lat", "p_lon", type_rank(F.col("type")).alias("rank"), norm_type(F.col("type")).isin(*L.TRANSIT_TYPES).alias("_stop"), prominence(F.col("review_count"), F.col("source"), F.col("closed")).alias("_prom"))
-    near = radius_join(centres.select(id_, "lat", "lon"), ranked, metres)
-    order = Window.partitionBy(id_).orderBy("_stop", F.desc("rank"), "distance", F.desc("_prom"), "name", "poi_id")
-    best = near.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= limit)
+
+    def first(df: DataFrame, at: list[str], *order: str | Column) -> DataFrame:
+        row = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        df = df.withColumn("rn", row(*at, "name")).where("rn = 1") if by_name else df
+        return df.withColumn("rn", row(*at)).where(F.col("rn") <= limit)
+
+    there = ranked.where(F.col("p_lat").isNotNull() & F.col("p_lon").isNotNull())
+    there = first(there, ["p_lat", "p_lon"], "_stop", F.desc("rank"), F.desc("_prom"), "name", "poi_id").drop("rn")
+    near = radius_join(centres.select("lat", "lon").distinct(), there, metres)
+    best = first(near, ["lat", "lon"], "_stop", F.desc("rank"), "distance", F.desc("_prom"), "name", "poi_id")
+    best = centres.select(id_, "lat", "lon").join(best, ["lat", "lon"])
     return best.select(id_, "rn", "poi_id", F.col("name").alias("poi_name"), F.col("type").alias("poi_type"), "rank", rounded(F.col("distance")).cast("long").alias("distance_m"))
 
 

@@ -1,10 +1,11 @@
 """Copies of points and names are compared once: right rows, and no join that grows with copies times copies."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
 
-from cartolex.operators import lookup, spatial
+from cartolex.operators import anchors, imports, lookup, spatial
 from tests.test_upkeep import metres
 
 
@@ -26,9 +27,9 @@ def widest(df):
 
 
 def grid(spark, n, key, lat, lon):
-    """n rows on 100 points."""
-    k = F.col("id")
-    return spark.range(n).select(k.alias(key), (42.0 + (k % 10) * 0.001).alias(lat), (21.4 + (k / 10).cast("long") % 10 * 0.001).alias(lon))
+    """n rows on 100 points, no two as far apart as two others around them."""
+    i, j = F.col("id") % 10, (F.col("id") / 10).cast("long") % 10
+    return spark.range(n).select(F.col("id").alias(key), (42.0 + i * 0.001 + i * i * 0.00003).alias(lat), (21.4 + j * 0.00107 + j * j * 0.00001).alias(lon))
 
 
 def test_nearest_area_of_many_copies(spark):
@@ -57,3 +58,28 @@ def test_anchors_of_many_copies(spark):
     rows, most = widest(lookup.find_anchors(words, grid(spark, 2000, "poi_id", "p_lat", "p_lon").withColumn("name", F.lit("Капитол"))))
     assert {r["word_id"]: (r["poi_id"], r["name"], r["distance_m"]) for r in rows} == {i: (i % 100, "Капитол", 0) for i in range(0, 2000, 2)}
     assert most < 30_000
+
+
+def places(spark, n):
+    """n places on 100 points, of 7 names; those of one point differ by reviews alone, a few are closed or stops."""
+    k = F.col("poi_id")
+    kind = F.when(k % 11 == 0, "bus_station").when(k % 13 == 0, "house").otherwise(F.get(F.array(F.lit("cafe"), F.lit("mall")), (k % 2).cast("int")))
+    return grid(spark, n, "poi_id", "p_lat", "p_lon").select("*", F.concat(F.lit("n"), (k % 7).cast("string")).alias("name"), kind.alias("type"), F.lit("osm").alias("source"), (k % 5).cast("int").alias("review_count"), (k % 17 == 0).cast("int").alias("closed"))
+
+
+def ring(places, lat, lon, radius):
+    """A ranked ring in plain Python: rows in order."""
+    rank = {"mall": 5, "bus_station": 3, "cafe": 1}
+    prom = lambda r: -1.0 if r["closed"] else math.log10(r["review_count"] + 1.0)
+    near = [(r["type"] == "bus_station", -rank.get(r["type"], 0), d, -prom(r), r["name"], r["poi_id"]) for r in places if r["type"] != "house" and (d := metres(lat, lon, r["p_lat"], r["p_lon"])) <= radius]
+    return sorted(near)
+
+
+def test_import_of_many_copies(spark):
+    centres, pois = grid(spark, 2000, "property_id", "lat", "lon"), places(spark, 3000)
+    centres = centres.unionByName(spark.createDataFrame([(9000, 43.0, 21.4)], "property_id long, lat double, lon double"))
+    near = spatial.nearest_pois(centres, pois, 200.0, 1)
+    answers = centres.select("*", F.lit("osm_building").alias("source"), F.lit(True).alias("trusted"))
+    rows, most = widest(imports.import_geo(centres.select("property_id", F.lit("a").alias("address")), answers, near))
+    assert {r["property_id"]: (r["cached"], r["queue"]) for r in rows} == {**{i: (True, None) for i in range(2000)}, 9000: (False, "no_landmark")}
+    assert most < 30_000
