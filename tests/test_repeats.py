@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from cartolex.operators import anchors, imports, lookup, spatial
+from cartolex.operators import collapse, imports, lookup, spatial
 from tests.test_upkeep import metres
 
 
@@ -83,3 +83,41 @@ def test_import_of_many_copies(spark):
     rows, most = widest(imports.import_geo(centres.select("property_id", F.lit("a").alias("address")), answers, near))
     assert {r["property_id"]: (r["cached"], r["queue"]) for r in rows} == {**{i: (True, None) for i in range(2000)}, 9000: (False, "no_landmark")}
     assert most < 30_000
+
+
+def test_merged_ring_of_many_copies(spark):
+    centres = grid(spark, 2000, "property_id", "lat", "lon")
+    pois = places(spark, 1500).withColumn("place_id", F.when(F.col("poi_id") % 3 == 0, F.concat(F.lit("0x1:0x"), F.lower(F.hex("poi_id")))))
+    rows, most = widest(collapse.nearest_places(centres, pois, 200.0, 3))
+    alone = collapse.nearest_places(centres.where("property_id < 100"), pois, 200.0, 3).collect()
+    want = sorted((r["property_id"] + 100 * i, *r[1:]) for r in alone for i in range(20))
+    assert sorted(map(tuple, rows)) == want and len({r["property_id"] for r in alone}) == 100
+    assert most < 30_000
+
+
+def test_merged_ring_equals_a_plain_fold(spark):
+    rng = random.Random(4)
+    kinds = ["Еурофарм", "Eurofarm", "Kipper", "Kipper Market", "Embassy of Turkey", "Амбасада на Турција нова", "Kipper 2", "x"]
+    rows = [(i, rng.choice(kinds), rng.choice(["cafe", "mall", "pharmacy"]), 42 + rng.uniform(-0.001, 0.001), 21.4 + rng.uniform(-0.001, 0.001), rng.choice(["osm", "google"]), rng.choice([None, "a", "b", "c", "d"]), rng.choice([None, 3, 9]), rng.choice([0, 0, 1])) for i in range(200)]
+    df = spark.createDataFrame(rows, "poi_id long, name string, type string, p_lat double, p_lon double, source string, place_id string, review_count int, closed int")
+    tokens = F.array_distinct(collapse.identity_tokens(F.col("name")))
+    facts = {r["name"]: (frozenset(r["t"]), r["q"], r["e"], frozenset(r["c"])) for r in df.select("name", tokens.alias("t"), collapse.has_qualifier(F.col("name")).alias("q"), collapse.is_embassy(F.col("name")).alias("e"), collapse.countries_in(tokens).alias("c")).distinct().collect()}
+    ranks, found = {"mall": 5, "pharmacy": 3, "cafe": 1}, []
+    for r in sorted(({**r.asDict(), "d": metres(42.0, 21.4, r["p_lat"], r["p_lon"]), "rank": ranks[r["type"]], "stop": False} for r in df.collect()), key=lambda r: (r["d"], r["name"], r["poi_id"])):
+        r["distance"] = r["d"]
+
+        def same(p):
+            if p["place_id"] and p["place_id"] == r["place_id"]:  # noqa: B023
+                return True
+            within = collapse.agreement(facts[p["name"]], facts[r["name"]])[bool(p["place_id"]) != bool(r["place_id"])]  # noqa: B023
+            return within > 0 and metres(p["p_lat"], p["p_lon"], r["p_lat"], r["p_lon"]) <= within  # noqa: B023
+
+        at = next((p for p in found if same(p)), None)
+        if at is None:
+            found.append(r)
+        else:
+            collapse._merge(at, r, 42.0, 21.4)
+    prom = lambda p: -1.0 if p["closed"] == 1 else math.log10((p["review_count"] or 0) + 1) + (0.01 if p["source"] == "google" else 0.0)
+    want = [p["poi_id"] for p in sorted(found, key=lambda p: (-p["rank"], p["distance"], -prom(p), p["name"], p["poi_id"]))]
+    got = collapse.nearest_places(spark.createDataFrame([(1, 42.0, 21.4)], "property_id int, lat double, lon double"), df, 200.0, 1000).orderBy("rn").collect()
+    assert [r["poi_id"] for r in got] == want and len(want) < 200
