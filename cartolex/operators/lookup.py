@@ -10,6 +10,7 @@ from cartolex.functions import lexicon as L
 from cartolex.functions.classes import is_property_word, word_forms
 from cartolex.functions.geo import distance_m
 from cartolex.functions.text import ascii_lower, canonical_word_key, edit_within_one, identity_key, norm_type, phonetic_keys, spell_latin, to_cyrillic, to_latin
+from cartolex.operators.spatial import nearest_of
 
 
 def fold(c: Column) -> Column:
@@ -154,10 +155,17 @@ def find_anchors(words: DataFrame, pois: DataFrame, most_m: float = 900.0) -> Da
 def settlements_named(needles: DataFrame, areas: DataFrame) -> DataFrame:
     """The area whose name has all phonetic words of a needle: needle_id, poi_id, name. ``needles``: needle_id, text, center_lat,
     center_lon (null: none). ``areas``: poi_id, name, p_lat, p_lon. The fewest further words first, then a name that is the
-    needle's words and no more, then the nearest, then the shortest. They meet on the needle's first word."""
-    n = needles.select("needle_id", phonetic_keys(F.col("text")).alias("q"), "center_lat", "center_lon").where(F.size("q") > 0).withColumn("w", F.get("q", F.lit(0)))
-    a = areas.select("poi_id", "name", "p_lat", "p_lon", phonetic_keys(F.col("name")).alias("r")).withColumn("w", F.explode("r"))
+    needle's words and no more, then the nearest, then the shortest.
+
+    Distinct texts meet distinct names on the needle's first word; which names are the best of a text does not hang on its
+    centre, and only their distinct points are measured, from distinct centres."""
+    n = needles.select("text").distinct().select("text", phonetic_keys(F.col("text")).alias("q")).where(F.size("q") > 0).withColumn("w", F.get("q", F.lit(0)))
+    a = areas.select("name").distinct().select("name", phonetic_keys(F.col("name")).alias("r")).withColumn("w", F.explode(F.array_distinct("r")))
     j = n.join(a, "w").where(F.size(F.array_except("q", "r")) == 0)
+    fit = F.struct(F.size(F.array_except("r", "q")).alias("a"), F.when(F.col("q") == F.col("r"), 0).otherwise(1).alias("b"))
+    named = j.withColumn("_rank", F.rank().over(Window.partitionBy("text").orderBy(fit))).where("_rank = 1").select("text", "name")
+    at = areas.groupBy("name", "p_lat", "p_lon").agg(F.min("poi_id").alias("poi_id"))
+    here = ["text", "center_lat", "center_lon"]
     d = F.coalesce(distance_m(F.col("center_lat"), F.col("center_lon"), F.col("p_lat"), F.col("p_lon")), F.lit(0.0))
-    order = F.struct(F.size(F.array_except("r", "q")).alias("a"), F.when(F.col("q") == F.col("r"), 0).otherwise(1).alias("b"), d.alias("d"), F.length("name").alias("l"), "name", "poi_id")
-    return j.groupBy("needle_id").agg(F.min(order).alias("b")).select("needle_id", "b.poi_id", "b.name")
+    best = nearest_of(needles.select(*here).distinct(), named.join(at, "name"), "text", d, F.length("name").alias("l"), "name", "poi_id").select(*[F.col(c).alias(f"_{c}") for c in here], "b")
+    return needles.join(best, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in here]).select("needle_id", "b.poi_id", "b.name")

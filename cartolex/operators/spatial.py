@@ -88,6 +88,13 @@ def nearest_one(left: DataFrame, right: DataFrame, metres: float, id_: str, colu
     return left.select(id_, "lat", "lon").join(best, ["lat", "lon"], "left").select(id_, *[F.col(f"b._r.{c}").alias(c) for c in columns], rounded(F.col("b.distance")).cast("long").alias("distance_m"))
 
 
+def nearest_of(asked: DataFrame, there: DataFrame, on: str, d: Column, *order: str | Column) -> DataFrame:
+    """The nearest row that each distinct asked row meets on a column: asked's columns and ``b``, the first struct by ``order`` of
+    those at the least distance ``d``. Pairs are run through twice, once for the distance alone, so that none is sorted."""
+    least = asked.join(there, on).groupBy(*asked.columns).agg(F.min(d).alias("_least"))
+    return least.join(there, on).where(d == F.col("_least")).groupBy(*asked.columns).agg(F.min(F.struct(*order)).alias("b"))
+
+
 def area_at(points: DataFrame, areas: DataFrame, id_: str = "property_id", metres: float = 2500.0) -> DataFrame:
     """The nearest area within reach. ``areas``: poi_id, name, p_lat, p_lon."""
     return nearest_one(points, areas, metres, id_, ["poi_id", "name"])

@@ -121,3 +121,14 @@ def test_merged_ring_equals_a_plain_fold(spark):
     want = [p["poi_id"] for p in sorted(found, key=lambda p: (-p["rank"], p["distance"], -prom(p), p["name"], p["poi_id"]))]
     got = collapse.nearest_places(spark.createDataFrame([(1, 42.0, 21.4)], "property_id int, lat double, lon double"), df, 200.0, 1000).orderBy("rn").collect()
     assert [r["poi_id"] for r in got] == want and len(want) < 200
+
+
+def test_settlements_of_many_copies(spark):
+    needles = grid(spark, 2000, "needle_id", "center_lat", "center_lon").withColumn("text", F.when(F.col("needle_id") % 2 == 0, "Bolt").otherwise("zzz"))
+    needles = needles.unionByName(spark.createDataFrame([(5000, None, 21.4, "Bolt"), (5001, 42.0, 21.4, None)], "needle_id long, center_lat double, center_lon double, text string"))
+    areas = grid(spark, 2000, "poi_id", "p_lat", "p_lon").withColumn("name", F.when(F.col("poi_id") % 3 == 0, "Red Bolt").otherwise("Bolt"))
+    rows, most = widest(lookup.settlements_named(needles, areas))
+    # of the copies of a point the first that is plainly named so; without a centre the first of all
+    plain = {i: min(j for j in range(i, 2000, 100) if j % 3) for i in range(100)}
+    assert {r["needle_id"]: (r["poi_id"], r["name"]) for r in rows} == {**{i: (plain[i % 100], "Bolt") for i in range(0, 2000, 2)}, 5000: (1, "Bolt")}
+    assert most < 30_000
