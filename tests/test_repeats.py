@@ -5,7 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from cartolex.operators import collapse, imports, lookup, spatial
+from cartolex.functions.text import street_key
+from cartolex.operators import collapse, evidence, imports, lookup, spatial
 from tests.test_upkeep import metres
 
 
@@ -132,3 +133,13 @@ def test_settlements_of_many_copies(spark):
     plain = {i: min(j for j in range(i, 2000, 100) if j % 3) for i in range(100)}
     assert {r["needle_id"]: (r["poi_id"], r["name"]) for r in rows} == {**{i: (plain[i % 100], "Bolt") for i in range(0, 2000, 2)}, 5000: (1, "Bolt")}
     assert most < 30_000
+
+
+def test_distances_of_many_copies(spark):
+    asked = grid(spark, 2000, "id", "lat", "lon").withColumn("query", F.get(F.array(F.lit("ul. Ilindenska 5"), F.lit("Bolt"), F.lit("axe")), (F.col("id") % 3).cast("int")))
+    asked = asked.unionByName(spark.createDataFrame([(5000, None, 21.4, "Bolt"), (5001, 42.0, 21.4, None)], "id long, lat double, lon double, query string"))
+    at = grid(spark, 2000, "k", "lat", "lon").select(street_key(F.lit("ul. Ilindenska")).alias("key"), "lat", "lon")
+    rows, most = widest(evidence.cross_distances(asked, at, grid(spark, 2000, "poi_id", "p_lat", "p_lon").withColumn("name", F.lit("Red Bolt"))))
+    near = {0: (0.0, None), 1: (None, 0.0), 2: (None, None)}
+    assert {r["id"]: (r["street_distance_m"], r["poi_distance_m"]) for r in rows} == {**{i: near[i % 3] for i in range(2000)}, 5000: (None, None), 5001: (None, None)}
+    assert most < 30_000
