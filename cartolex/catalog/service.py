@@ -113,7 +113,7 @@ def feed_audit(spark, sf_dir):
 one as (select property_id, poi_name, min(rn) as rn from ring group by all)
 select property_id, slot::integer as slot, landmark from (select property_id, poi_name as landmark, row_number() over (partition by property_id order by rn) as slot from one) where slot <= 3""")
 def nearby_landmarks(spark, sf_dir):
-    return landmarks.nearby_landmarks(spatial.nearest_pois(properties(spark, sf_dir), pois(spark, sf_dir), 200.0, 1 << 30))
+    return landmarks.nearby_landmarks(spatial.nearest_pois(properties(spark, sf_dir), pois(spark, sf_dir), 200.0, 3, by_name=True))
 
 
 GUARDS = [

@@ -147,7 +147,8 @@ def assess_geocode(answers: DataFrame) -> DataFrame:
 
 
 def nearby_landmarks(ring: DataFrame, most: int = 3) -> DataFrame:
-    """The first ``most`` ranked places of a ring with distinct names: property_id, slot, landmark. ``ring``: property_id, rn, poi_name."""
+    """The first ``most`` ranked places of a ring with distinct names: property_id, slot, landmark. ``ring``: property_id, rn, poi_name;
+    the ``most`` best of distinct names are enough of it."""
     first = ring.groupBy("property_id", "poi_name").agg(F.min("rn").alias("rn"))
     slot = F.row_number().over(Window.partitionBy("property_id").orderBy("rn"))
     return first.withColumn("slot", slot).where(F.col("slot") <= most).select("property_id", "slot", F.col("poi_name").alias("landmark"))

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from cartolex.functions.text import street_key
-from cartolex.operators import collapse, evidence, imports, lookup, spatial
+from cartolex.operators import collapse, evidence, imports, landmarks, lookup, spatial
 from tests.test_upkeep import metres
 
 
@@ -143,3 +143,14 @@ def test_distances_of_many_copies(spark):
     near = {0: (0.0, None), 1: (None, 0.0), 2: (None, None)}
     assert {r["id"]: (r["street_distance_m"], r["poi_distance_m"]) for r in rows} == {**{i: near[i % 3] for i in range(2000)}, 5000: (None, None), 5001: (None, None)}
     assert most < 30_000
+
+
+def test_slots_of_many_copies(spark):
+    centres, pois = grid(spark, 2000, "property_id", "lat", "lon"), places(spark, 3000)
+    rows, most = widest(landmarks.nearby_landmarks(spatial.nearest_pois(centres, pois, 200.0, 3, by_name=True)))
+    got, every = {}, pois.collect()
+    for r in rows:
+        got.setdefault(r["property_id"], []).append((r["slot"], r["landmark"]))
+    want = [list(enumerate(list(dict.fromkeys(x[-2] for x in ring(every, c["lat"], c["lon"], 200.0)))[:3], 1)) for c in centres.orderBy("property_id").limit(100).collect()]
+    assert [sorted(got[i]) for i in range(2000)] == want * 20
+    assert most < 30_000
