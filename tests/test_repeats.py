@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from cartolex.functions.text import street_key
-from cartolex.operators import collapse, evidence, imports, landmarks, lookup, spatial
+from cartolex.operators import anchors, collapse, evidence, imports, landmarks, lookup, spatial
 from tests.test_upkeep import metres
 
 
@@ -154,3 +154,15 @@ def test_slots_of_many_copies(spark):
     want = [list(enumerate(list(dict.fromkeys(x[-2] for x in ring(every, c["lat"], c["lon"], 200.0)))[:3], 1)) for c in centres.orderBy("property_id").limit(100).collect()]
     assert [sorted(got[i]) for i in range(2000)] == want * 20
     assert most < 30_000
+
+
+def test_landmark_of_many_copies(spark):
+    centres, pois = grid(spark, 2000, "property_id", "lat", "lon"), places(spark, 3000)
+    far = spark.createDataFrame([(9000, 43.0, 21.4)], "property_id long, lat double, lon double")
+    none = spark.createDataFrame([], "property_id long, landmark string")
+    rows, most = widest(anchors.resolve_landmark(centres.unionByName(far), none, none, none, spatial.nearest_pois(centres.unionByName(far), pois, 200.0, 1)))
+    every = pois.collect()
+    want = [(ring(every, c["lat"], c["lon"], 200.0)[0][-2], "map") for c in centres.orderBy("property_id").limit(100).collect()]
+    got = {r["property_id"]: (r["landmark"], r["layer"]) for r in rows}
+    assert [got[i] for i in range(2000)] == want * 20 and got[9000] == (None, "none")
+    assert most < 30_000
