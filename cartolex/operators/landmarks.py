@@ -87,15 +87,19 @@ def audit_feed(entries: DataFrame, places: DataFrame, drift_m: float = DRIFT_M)
     """Issues and warnings on named landmarks of a feed: property_id, pos, kind, measured_m.
 
     ``entries``: property_id, pos, landmark, claimed_m, lat, lon. ``places``: name, p_lat, p_lon. Names meet on their first word.
+    Distinct landmarks meet distinct names, and distinct points of entries the distinct points of those names.
     """
-    first = lambda c: F.get(F.filter(F.split(F.lower(spell_latin(c)), r"[^\p{L}\p{N}]+"), lambda w: w != ""), F.lit(0))
-    words = F.filter(F.split(F.lower(spell_latin(F.col("landmark"))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    named = entries.where(F.coalesce(F.trim("landmark"), F.lit("")) != "")
+    words = lambda c: F.filter(F.split(F.lower(spell_latin(F.col(c))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    named = entries.where(F.coalesce(F.trim("landmark"), F.lit("")) != "").select("landmark").distinct()
     # the map name's first word is one of the stored words
-    j = named.withColumn("_w", F.explode(F.array_distinct(words))).join(places.withColumn("_w", first(F.col("name"))), "_w").where(same_place(F.col("landmark"), F.col("name")))
-    d = F.min(F.when(has_point(F.col("lat"), F.col("lon")), distance_m(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))))
-    met = j.groupBy("property_id", "pos").agg(d.alias("d"))
-    out = entries.join(met.withColumn("_met", F.lit(True)), ["property_id", "pos"], "left")
+    on = places.select("name").distinct().withColumn("_w", F.get(words("name"), F.lit(0)))
+    met = named.withColumn("_w", F.explode(F.array_distinct(words("landmark")))).join(on, "_w").where(same_place(F.col("landmark"), F.col("name"))).select("landmark", "name")
+    here = ["landmark", "lat", "lon"]
+    at = met.join(places.select("name", "p_lat", "p_lon").distinct(), "name").select("landmark", "p_lat", "p_lon").distinct()
+    asked = entries.where(has_point(F.col("lat"), F.col("lon"))).select(*here).distinct()
+    d = F.min(distance_m(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")))
+    far = asked.join(at, "landmark").groupBy(*here).agg(d.alias("d"))
+    out = entries.join(met.select("landmark").distinct().withColumn("_met", F.lit(True)), "landmark", "left").join(far, here, "left")
     kind = (
         F.when(F.coalesce(F.trim("landmark"), F.lit("")) == "", "landmark-no-name").when(F.col("_met").isNull(), "landmark-not-on-map")
         .when(F.abs(F.col("d") - F.col("claimed_m")) > drift_m, "distance-drift").when(~has_point(F.col("lat"), F.col("lon")), "no-pin")

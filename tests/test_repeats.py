@@ -166,3 +166,20 @@ def test_landmark_of_many_copies(spark):
     got = {r["property_id"]: (r["landmark"], r["layer"]) for r in rows}
     assert [got[i] for i in range(2000)] == want * 20 and got[9000] == (None, "none")
     assert most < 30_000
+
+
+def test_audit_of_many_copies(spark):
+    k = F.col("property_id")
+    name = F.when(k % 4 == 0, "red bolt").when(k % 4 == 1, "nowhere").when(k % 4 == 2, " ").otherwise("old red bolt")
+    entries = grid(spark, 2000, "property_id", "lat", "lon").select("property_id", F.lit(0).alias("pos"), name.alias("landmark"), F.when(k % 3 == 0, 900.0).otherwise(0.0).alias("claimed_m"), F.when(k % 5 != 0, F.col("lat")).alias("lat"), "lon")
+    rows, most = widest(landmarks.audit_feed(entries, grid(spark, 2000, "poi_id", "p_lat", "p_lon").withColumn("name", F.lit("Red Bolt"))))
+    want = {}
+    for i in range(2000):
+        if i % 4 == 0:
+            fate = ("no-pin", None) if i % 5 == 0 else ("distance-drift", 0) if i % 3 == 0 else None
+        else:
+            fate = {1: ("landmark-not-on-map", None), 2: ("landmark-no-name", None), 3: ("landmark-not-on-map", None)}[i % 4]
+        if fate:
+            want[i] = fate
+    assert {r["property_id"]: (r["kind"], r["measured_m"]) for r in rows} == want
+    assert most < 30_000
