@@ -9,7 +9,7 @@ from cartolex.catalog.registry import query
 from cartolex.fixtures import POIS_SQL, distance_sql, pois, shared_folder, table
 from cartolex.functions import geo
 from cartolex.functions import lexicon as L
-from cartolex.operators import identity, spatial
+from cartolex.operators import identity
 
 _PLAIN = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')".format
 _D = distance_sql("a.p_lat", "a.p_lon", "b.p_lat", "b.p_lon")
@@ -145,9 +145,7 @@ def identity_heal(spark, sf_dir):
     k = F.col("poi_id")
     osm = p.where("source = 'google'").select((k * 10 + k % 3).alias("osm_id"), "name", (F.col("p_lat") + (k % 4) * 0.0002).alias("lat"), F.col("p_lon").alias("lon"))
     osm = osm.unionByName(osm.withColumn("osm_id", F.col("osm_id") + 5))
-    near = spatial.radius_join(osm, anchors, 120.0)
-    agree = near.where(identity.same_place_tier(F.col("name"), F.col("anchor_name"), F.col("distance"), F.lit(False), F.lit(True)) != "none")
-    return identity.identity_heal(osm, anchors, agree.select("osm_id", "anchor_id", "distance"))
+    return identity.heal_places(osm, anchors)
 
 
 @query(f"select poi_id from {POIS_SQL} where p_lat + 0.02 between 41.95 and 42.05 and p_lon + 0.02 between 21.35 and 21.50")

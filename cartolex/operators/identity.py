@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from cartolex.functions import lexicon as L
 from cartolex.functions.geo import distance_m, rounded, suspect_cell
 from cartolex.functions.text import identity_tokens, semantic_key
+from cartolex.operators.spatial import radius_join
 
 #: Metres within which names of one token set, of a contained one, or two embassies of a country agree.
 TOKEN_M, SUBSET_M, EMBASSY_M = 120.0, 40.0, 200.0
@@ -196,24 +197,61 @@ def strip_blind_fusions(pois: DataFrame) -> DataFrame:
 def identity_heal(osm: DataFrame, anchors: DataFrame, candidates: DataFrame) -> DataFrame:
     """Gives each OSM row its nearest anchor that no earlier row took: (osm_id, anchor_id).
 
-    ``candidates``: osm_id, anchor_id, distance of all pairs that agree. Rows and anchors that reach each other through
-    candidates are one conflict; each is settled in one task, row after row in the order of ids. A conflict is as large as
-    the places of agreeing names within reach of each other.
+    ``candidates``: osm_id, anchor_id, distance of all pairs that agree.
     """
-    pairs = candidates.select("osm_id", "anchor_id", "distance").checkpoint()
-    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    # both ends as one kind of node; a row's label is the smallest node that it reaches
+    pairs = candidates.select(F.col("osm_id").alias("o"), F.col("anchor_id").alias("a"), "distance").checkpoint()
+    return heal_alike(pairs.select(F.col("o").alias("osm_id"), "o").distinct(), pairs.select(F.col("a").alias("anchor_id"), "a").distinct(), pairs)
+
+
+def heal_places(osm: DataFrame, anchors: DataFrame, metres: float = TOKEN_M) -> DataFrame:
+    """The same from the rows: osm_id, name, lat, lon and anchor_id, anchor_name, p_lat, p_lon (which have ids) that agree within
+    ``metres``. Rows of one name and point agree with the same rows: each such set is compared once, by its smallest id."""
+    o = osm.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).groupBy("name", "lat", "lon").agg(F.min("osm_id").alias("o"))
+    a = anchors.where(F.col("p_lat").isNotNull() & F.col("p_lon").isNotNull()).groupBy("anchor_name", "p_lat", "p_lon").agg(F.min("anchor_id").alias("a"))
+    near = radius_join(o, a, metres)
+    pairs = near.where(same_place_tier(F.col("name"), F.col("anchor_name"), F.col("distance"), F.lit(False), F.lit(True)) != "none").select("o", "a", "distance").checkpoint()
+    return heal_alike(osm.join(o, ["name", "lat", "lon"]).select("osm_id", "o"), anchors.join(a, ["anchor_name", "p_lat", "p_lon"]).select("anchor_id", "a"), pairs)
+
+
+def heal_alike(osm: DataFrame, anchors: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The nearest free anchor of each row (osm_id, o), where rows of one ``o``, and anchors (anchor_id, a) of one ``a``, are as far
+    from all others: (osm_id, anchor_id). ``pairs``: o, a, distance; it is read more than once.
+
+    Sets that reach each other through pairs are one conflict; each is settled in one task, row after row in the order of ids.
+    Of a set of anchors the smallest free one goes first, so a row looks at sets, not at their anchors. A conflict is as large
+    as the places of agreeing names within reach of each other.
+    """
+    o_kind, a_kind = osm.schema["osm_id"].dataType.simpleString(), anchors.schema["anchor_id"].dataType.simpleString()
+    # both ends as one kind of node; a set's label is the smallest node that it reaches
     node = lambda c, of: F.concat(F.lit(of), F.col(c).cast("string"))
-    labels = label_components(pairs.select(node("osm_id", "o").alias("a"), node("anchor_id", "a").alias("b")))
-    labelled = pairs.join(labels, node("osm_id", "o") == F.col("id")).select("osm_id", "anchor_id", "distance", "label")
+    labels = label_components(pairs.select(node("o", "o").alias("a"), node("a", "a").alias("b")))
+    columns = {"label": "string", "osm_id": o_kind, "o": o_kind, "anchor_id": a_kind, "a": a_kind, "distance": "double"}
+    every = [
+        df.join(labels, node(c, c) == F.col("id")).select(*[(F.col(x) if x in ("label", *df.columns) else F.lit(None)).cast(t).alias(x) for x, t in columns.items()])
+        for df, c in ((osm, "o"), (anchors, "a"), (pairs, "o"))
+    ]
 
     def settle(conflict):
-        conflict = conflict.sort_by([("osm_id", "ascending"), ("distance", "ascending"), ("anchor_id", "ascending")])
-        taken, won = set(), {}
-        for o, a in zip(conflict["osm_id"].to_pylist(), conflict["anchor_id"].to_pylist(), strict=True):
-            if o not in won and a not in taken:
-                won[o] = a
-                taken.add(a)
+        rows, free, reach = [], {}, {}
+        for _, i, o, j, a, d in zip(*(conflict[c].to_pylist() for c in columns), strict=True):
+            if i is not None:
+                rows.append((i, o))
+            elif j is not None:
+                free.setdefault(a, []).append(j)
+            else:
+                reach.setdefault(o, {}).setdefault(d, []).append(a)
+        for some in free.values():
+            some.sort(reverse=True)
+        reach = {o: [sets for _, sets in sorted(by.items(), reverse=True)] for o, by in reach.items()}
+        won = {}
+        for i, o in sorted(rows):
+            sets = reach[o]  # the nearest last; what is used up stays so
+            while sets and i not in won:
+                sets[-1] = [a for a in sets[-1] if free.get(a)]
+                if sets[-1]:
+                    won[i] = free[min(sets[-1], key=lambda a: free[a][-1])].pop()
+                else:
+                    sets.pop()
         return pa.table({"osm_id": pa.array(won.keys(), conflict.schema.field("osm_id").type), "anchor_id": pa.array(won.values(), conflict.schema.field("anchor_id").type)})
 
-    return labelled.groupBy("label").applyInArrow(settle, f"osm_id {kinds['osm_id']}, anchor_id {kinds['anchor_id']}")
+    return every[0].unionByName(every[1]).unionByName(every[2]).groupBy("label").applyInArrow(settle, f"osm_id {o_kind}, anchor_id {a_kind}")

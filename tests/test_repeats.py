@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from cartolex.functions.text import street_key
-from cartolex.operators import anchors, collapse, evidence, imports, landmarks, lookup, spatial
+from cartolex.operators import anchors, collapse, evidence, identity, imports, landmarks, lookup, spatial
 from tests.test_upkeep import metres
 
 
@@ -183,3 +183,20 @@ def test_audit_of_many_copies(spark):
             want[i] = fate
     assert {r["property_id"]: (r["kind"], r["measured_m"]) for r in rows} == want
     assert most < 30_000
+
+
+def test_heal_of_many_copies(spark):
+    spark.sparkContext.setCheckpointDir("/tmp/checkpoints/cartolex-tests")
+    rng = random.Random(6)
+    at = lambda n: [(i, rng.choice(["Kipper", "Bolt"]), 42.0 + rng.randint(0, 4) * 0.0007, 21.4) for i in rng.sample(range(10 * n), n)]
+    osm, points = at(400), at(300)
+    free, want = dict((r[0], r[1:]) for r in points), {}
+    for i, name, lat, lon in sorted(osm):
+        near = sorted((d, a) for a, (n, la, lo) in free.items() if n == name and (d := metres(lat, lon, la, lo)) <= 120)
+        if near:
+            want[i] = near[0][1]
+            del free[near[0][1]]
+    df = identity.heal_places(spark.createDataFrame(osm, "osm_id long, name string, lat double, lon double"), spark.createDataFrame(points, "anchor_id int, anchor_name string, p_lat double, p_lon double"))
+    rows, most = widest(df)
+    assert {r["osm_id"]: r["anchor_id"] for r in rows} == want and len(want) == len(rows) > 200
+    assert most <= 700
