@@ -11,7 +11,7 @@ from cartolex.functions.classes import ranked_class
 from cartolex.functions.geo import distance_m, inside, link_coords
 from cartolex.functions.text import canonical_type, norm_type, type_rank
 from cartolex.operators.lookup import is_shop
-from cartolex.operators.spatial import enclosing_complex, nearest_pois
+from cartolex.operators.spatial import enclosing_complex, nearest_of, nearest_pois
 
 
 def import_geo(rows: DataFrame, resolved: DataFrame, ring: DataFrame) -> DataFrame:
@@ -60,11 +60,12 @@ def roster_slots(entries: DataFrame, centres: DataFrame, pois: DataFrame, comple
     """
     e = entries.where(F.trim("name") != "").select("property_id", "pos", F.trim("name").alias("name"), "type", link_coords(F.col("url")).alias("pin"))
     e = e.join(centres.where("lat is not null and lon is not null and not (lat = 0 and lon = 0)").select("property_id", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon")), "property_id")
-    at = pois.select(F.lower("name").alias("_n"), "p_lat", "p_lon")
-    open_ = e.where("pin.lat is null or pin.lon is null").join(at, F.lower("name") == F.col("_n"))
+    at = pois.where("p_lat is not null and p_lon is not null").select(F.lower("name").alias("_n"), "p_lat", "p_lon").distinct()
+    here = ["_n", "c_lat", "c_lon"]
+    e = e.withColumn("_n", F.when(F.col("pin.lat").isNull() | F.col("pin.lon").isNull(), F.lower("name")))
     d = distance_m(F.col("c_lat"), F.col("c_lon"), F.col("p_lat"), F.col("p_lon"))
-    known = open_.groupBy("property_id", "pos").agg(F.min_by(F.struct("p_lat", "p_lon"), F.struct(d, "p_lat", "p_lon")).alias("_p"))
-    e = e.join(known, ["property_id", "pos"], "left").withColumn("lat", F.coalesce("pin.lat", "_p.p_lat")).withColumn("lon", F.coalesce("pin.lon", "_p.p_lon")).where("lat is not null and lon is not null")
+    known = nearest_of(e.where("_n is not null").select(*here).distinct(), at, "_n", d, "p_lat", "p_lon").select(*here, F.col("b").alias("_p"))
+    e = e.join(known, here, "left").withColumn("lat", F.coalesce("pin.lat", "_p.p_lat")).withColumn("lon", F.coalesce("pin.lon", "_p.p_lon")).where("lat is not null and lon is not null").drop("_n")
     e = e.withColumn("shop", F.coalesce(is_shop(F.col("name"), F.col("type")), F.lit(False))).withColumn("shop_id", F.concat_ws(":", F.col("property_id").cast("string"), F.col("pos").cast("string")))
     plain = e.where("not shop").select("property_id", "pos", "name", "c_lat", "c_lon", "lat", "lon")
     inside_ = enclosing_complex(e.where("shop").select("shop_id", "lat", "lon"), complexes).where("poi_id is not null").select("shop_id", F.col("poi_id").alias("_c"))

@@ -200,3 +200,20 @@ def test_heal_of_many_copies(spark):
     rows, most = widest(df)
     assert {r["osm_id"]: r["anchor_id"] for r in rows} == want and len(want) == len(rows) > 200
     assert most <= 700
+
+
+def test_roster_of_many_copies(spark):
+    centres = grid(spark, 2000, "property_id", "lat", "lon")
+    entry = lambda pos, name, kind, url: F.struct(F.lit(pos).alias("pos"), F.lit(name).alias("name"), F.lit(kind).alias("type"), F.lit(url).cast("string").alias("url"))
+    every = F.array(entry(0, "Red Bolt", "mall", None), entry(1, "Butik X", "boutique", "https://maps.google.com/?q=42.0,21.4"), entry(2, "nowhere", "mall", None), entry(3, None, "mall", None))
+    entries = centres.select("property_id", F.explode(every).alias("e")).select("property_id", "e.*")
+    pois = grid(spark, 2000, "poi_id", "p_lat", "p_lon").withColumn("name", F.lit("red bolt")).unionByName(spark.createDataFrame([(9000, "RED BOLT", None, 21.4)], "poi_id long, name string, p_lat double, p_lon double"))
+    malls = grid(spark, 2000, "poi_id", "p_lat", "p_lon").withColumn("name", F.lit("Mall"))
+    rows, most = widest(imports.roster_slots(entries, centres, pois.drop("poi_id"), malls))
+    got = {}
+    for r in rows:
+        got.setdefault(r["property_id"], []).append((r["slot"], r["name"], r["distance_m"]))
+    away = {r["property_id"]: metres(r["lat"], r["lon"], 42.0, 21.4) for r in centres.collect()}
+    want = {i: [(1, "Red Bolt", 0)] + ([(2, "Mall", math.floor(away[i] + 0.5))] if away[i] <= 200 else []) for i in range(2000)}
+    assert {i: sorted(x) for i, x in got.items()} == want
+    assert most < 30_000
