@@ -217,3 +217,15 @@ def test_roster_of_many_copies(spark):
     want = {i: [(1, "Red Bolt", 0)] + ([(2, "Mall", math.floor(away[i] + 0.5))] if away[i] <= 200 else []) for i in range(2000)}
     assert {i: sorted(x) for i, x in got.items()} == want
     assert most < 30_000
+
+
+def test_ring_of_many_copies(spark):
+    centres, pois = grid(spark, 2000, "property_id", "lat", "lon"), places(spark, 3000)
+    rows, most = widest(spatial.nearest_pois(centres, pois, 200.0, 3))
+    got = {}
+    for r in rows:
+        got.setdefault(r["property_id"], []).append((r["rn"], r["poi_id"], r["distance_m"]))
+    every = pois.collect()
+    want = [[(n + 1, x[-1], math.floor(x[2] + 0.5)) for n, x in enumerate(ring(every, c["lat"], c["lon"], 200.0)[:3])] for c in centres.orderBy("property_id").limit(100).collect()]
+    assert [sorted(got[i]) for i in range(2000)] == want * 20
+    assert most < 30_000
