@@ -40,15 +40,18 @@ def nearest_pois(centres: DataFrame, pois: DataFrame, metres: float = 2000.0, li
 
     ``centres``: id_, lat, lon. ``pois``: poi_id, name, type, p_lat, p_lon, source, review_count, closed. Rows of one point come
     in the same order around every centre, so its first ``limit`` are all that count, and centres at one point are one search.
+    Where one place is asked for, rows that differ in their id alone are one before they are ranked.
     """
-    ranked = pois.where(not_junk(F.col("type"))).select("poi_id", "name", "type", "p_lat", "p_lon", type_rank(F.col("type")).alias("rank"), norm_type(F.col("type")).isin(*L.TRANSIT_TYPES).alias("_stop"), prominence(F.col("review_count"), F.col("source"), F.col("closed")).alias("_prom"))
+    there = pois.where(not_junk(F.col("type")) & F.col("p_lat").isNotNull() & F.col("p_lon").isNotNull())
+    if limit == 1:
+        there = there.groupBy("name", "type", "p_lat", "p_lon", "source", "review_count", "closed").agg(F.min("poi_id").alias("poi_id"))
+    there = there.select("poi_id", "name", "type", "p_lat", "p_lon", type_rank(F.col("type")).alias("rank"), norm_type(F.col("type")).isin(*L.TRANSIT_TYPES).alias("_stop"), prominence(F.col("review_count"), F.col("source"), F.col("closed")).alias("_prom"))
 
     def first(df: DataFrame, at: list[str], *order: str | Column) -> DataFrame:
         row = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
         df = df.withColumn("rn", row(*at, "name")).where("rn = 1") if by_name else df
         return df.withColumn("rn", row(*at)).where(F.col("rn") <= limit)
 
-    there = ranked.where(F.col("p_lat").isNotNull() & F.col("p_lon").isNotNull())
     there = first(there, ["p_lat", "p_lon"], "_stop", F.desc("rank"), F.desc("_prom"), "name", "poi_id").drop("rn")
     near = radius_join(centres.select("lat", "lon").distinct(), there, metres)
     best = first(near, ["lat", "lon"], "_stop", F.desc("rank"), "distance", F.desc("_prom"), "name", "poi_id")

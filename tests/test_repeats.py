@@ -27,6 +27,24 @@ def widest(df):
     return rows, most
 
 
+def sorted_rows(df):
+    """The most rows that a sort of the plan has taken in."""
+    df.collect()
+    most, todo = 0, [(df._jdf.queryExecution().executedPlan(), False)]
+    while todo:
+        node, below = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append((node.executedPlan(), below))
+        elif kind.endswith("QueryStageExec"):
+            todo.append((node.plan(), below))
+        if below and node.metrics().contains("numOutputRows"):
+            most, below = max(most, node.metrics().apply("numOutputRows").value()), False
+        below = kind == "SortExec" or below and "Exchange" not in kind
+        todo += [(node.children().apply(i), below) for i in range(node.children().size())]
+    return most
+
+
 def grid(spark, n, key, lat, lon):
     """n rows on 100 points, no two as far apart as two others around them."""
     i, j = F.col("id") % 10, (F.col("id") / 10).cast("long") % 10
@@ -168,6 +186,17 @@ def test_landmark_of_many_copies(spark):
     assert most < 30_000
 
 
+def test_ring_of_one_ranks_rows_that_differ_by_more_than_their_id(spark):
+    centres = grid(spark, 100, "property_id", "lat", "lon")
+    pois = places(spark, 100).crossJoin(spark.range(100).select((F.col("id") * 1000).alias("_more"))).withColumn("poi_id", F.col("poi_id") + F.col("_more")).drop("_more")
+    odd = spark.createDataFrame([(-1, None, None, 42.0, 21.4, None, None, None), (-2, "far", "mall", None, 21.4, "osm", 1, 0)], "poi_id long, name string, type string, p_lat double, p_lon double, source string, review_count int, closed int")
+    near = spatial.nearest_pois(centres, pois.select(odd.columns).unionByName(odd), 200.0, 1)
+    rows = places(spark, 100).collect()
+    want = {c["property_id"]: ring(rows, c["lat"], c["lon"], 200.0)[0][-1] for c in centres.collect()}
+    assert {r["property_id"]: r["poi_id"] for r in near.collect()} == want
+    assert sorted_rows(near) < 5000
+
+
 def test_audit_of_many_copies(spark):
     k = F.col("property_id")
     name = F.when(k % 4 == 0, "red bolt").when(k % 4 == 1, "nowhere").when(k % 4 == 2, " ").otherwise("old red bolt")
