@@ -60,7 +60,9 @@ def canonical_type(c: Column) -> Column:
 
 def type_rank(c: Column) -> Column:
     """The best rank among the parts of a type; unknown and null types have 0."""
-    return F.array_max(F.transform(F.split(norm_type(c), ";"), lambda p: _lookup(L.TYPE_RANKS, canonical_type(p), F.lit(0))))
+    ranks = {t: L.TYPE_RANKS.get(L.TYPE_ALIASES.get(t, t), 0) for t in (*L.TYPE_RANKS, *L.TYPE_ALIASES)}
+    t, part = norm_type(c), lambda p: _lookup(ranks, norm_type(p), F.lit(0))
+    return F.when(F.contains(t, F.lit(";")), F.array_max(F.transform(F.split(t, ";"), part))).otherwise(part(t))
 
 
 _STREET_PREFIX = r"(?iu)^(?:ул\.?|улица|бул\.?|булевар|пат|street|st\.?|boulevard|blvd|ave\.?|avenue)\s+"

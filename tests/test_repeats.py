@@ -2,10 +2,12 @@
 
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
-from cartolex.functions.text import street_key
+from cartolex.functions import lexicon as L
+from cartolex.functions.text import street_key, type_rank
 from cartolex.operators import anchors, collapse, evidence, identity, imports, landmarks, lookup, spatial
 from tests.test_upkeep import metres
 
@@ -258,3 +260,17 @@ def test_ring_of_many_copies(spark):
     want = [[(n + 1, x[-1], math.floor(x[2] + 0.5)) for n, x in enumerate(ring(every, c["lat"], c["lon"], 200.0)[:3])] for c in centres.orderBy("property_id").limit(100).collect()]
     assert [sorted(got[i]) for i in range(2000)] == want * 20
     assert most < 30_000
+
+
+def test_rank_of_types(spark):
+    norm = lambda t: re.sub(r"\s+", " ", (t or "").strip(" ").lower(), flags=re.ASCII)
+    rank = lambda t: max(L.TYPE_RANKS.get(L.TYPE_ALIASES.get(p, p), 0) for p in map(norm, norm(t).split(";")))
+    plain = [*L.TYPE_RANKS, *L.TYPE_ALIASES]
+    kinds = [None, "", ";", "nowhere", "cafe;", ";mall", " MALL ", "\tcafe", "bus\t stop", *plain, *map(str.upper, plain), *[f"{a} ; {b}" for a, b in zip(plain, plain[7:], strict=False)]]
+    df = spark.createDataFrame(list(enumerate(kinds)), "i int, t string").select("i", type_rank(F.col("t")).alias("rank"))
+    assert {r["i"]: r["rank"] for r in df.collect()} == {i: rank(t) for i, t in enumerate(kinds)}
+
+
+def test_plain_types_are_looked_up_without_arrays(spark):
+    plan = spark.range(9).select(type_rank(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan.split(" ELSE ")[-1]
