@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolex.llm import bpe, minhash, mixing, pii, pivots, quality, secrets, substrings, topk, urls
+from cartolex.llm import bpe, codes, licenses, middle, minhash, mixing, pii, pivots, quality, secrets, substrings, topk, urls
 from cartolex.llm.common import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +187,68 @@ s as (select q.vec_id as query_id, c.vec_id as vec_id, list_sum(list_transform(l
   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, rank::integer as rank, vec_id, score from r where rank <= 10"""
+
+
+@query
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("places", lambda p: p["base"])
+    words = F.transform(base, lambda p: p["word"])
+    labels = F.array_sort(F.array_distinct(F.transform(base, lambda p: p["label"])))
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(words).alias("first_word"), F.array_max(words).alias("last_word"),
+        F.array_join(labels, ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+    )
+
+
+@query
+def op12_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), plain_from=90, spm_below=20)
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+ORACLES["op12_middle"] = r"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u, sha256('1:' || coalesce(doc_id::varchar, '')) as x from documents),
+h as (select doc_id, t, u, len(u) as n, ('0x' || substr(x, 1, 8))::bigint as h1, ('0x' || substr(x, 9, 8))::bigint as h2, ('0x' || substr(x, 17, 8))::bigint as h3, ('0x' || substr(x, 25, 8))::bigint as h4 from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from h),
+p as (select *, array_to_string(u[1:a], '') as pre, array_to_string(u[a+1:b], '') as mid, array_to_string(u[b+1:n], '') as suf from c)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(pre) end::bigint as prefix_chars, case when form <> 'plain' then length(mid) end::bigint as middle_chars,
+  sha256(case form when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid when 'spm' then '<S>' || suf || '<P>' || pre || '<M>' || mid else t end) as output_sha256, sha256(t) as restored_sha256
+from p"""
+
+
+@query
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codes.compress_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    code = F.lower(F.array_join(F.transform("code", lambda i: F.lpad(F.hex(i.cast("long")), 2, "0")), ""))
+    return found.select("vec_id", code.alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Rounds of assignment and means as one common table after the other."""
+
+    def assign(k: int) -> str:
+        return f"""a{k} as materialized (select vec_id, p, x, min(struct_pack(d := d, e := e)) as b from (select vec_id, v.p, x, e,
+  list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from part v join b{k} using (p)) group by vec_id, p, x)"""
+
+    def move(k: int) -> str:
+        return f"""m{k} as (select p, e, list(y order by j) as c from (select p, e, j, floor(sum(y)::double / count(*))::bigint as y
+  from (select p, b.e as e, unnest(range(1, len(x) + 1)) as j, unnest(x) as y from a{k}) group by p, e, j) group by p, e),
+b{k + 1} as materialized (select o.p, o.e, coalesce(m.c, o.c) as c from b{k} o left join m{k} m using (p, e))"""
+
+    steps = ",\n".join(f"{assign(k)},\n{move(k)}" for k in range(rounds))
+    return f"""
+with v as (select vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as w from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+part as materialized (select vec_id, p, w[len(w) // 4 * p + 1 : len(w) // 4 * (p + 1)] as x from v, range(0, 4) r(p)),
+b0 as materialized (select p, e, x as c from (select p, x, row_number() over (partition by p order by vec_id) - 1 as e from part) where e < 256),
+{steps},
+{assign(rounds)},
+book as (select sha256(string_agg(array_to_string(c, ','), ',' order by p, e)) as h from b{rounds}),
+row_ as (select vec_id, string_agg(lower(printf('%02x', b.e)), '' order by p) as code, sum(b.d)::bigint as error from a{rounds} group by vec_id)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, h as codebooks_sha256 from row_ join v using (vec_id), book"""
+
+
+ORACLES["op13_codes"] = _codes_sql()
