@@ -223,6 +223,17 @@ def typo_candidates(a: DataFrame, f: DataFrame) -> DataFrame:
     return same_class(pairs).where(assigned()).withColumn("k", F.array(F.size("typed")))
 
 
+def ranked_lookup(needles: DataFrame, rows: DataFrame) -> DataFrame:
+    """The place whose name holds a needle at a word, after each kind has stepped aside, by the seven keys of its order:
+    needle_id, name, type, poi_id. Needles that only shops hold find none here."""
+    asks = needles.select("text", "c_lat", "c_lon").distinct().withColumn("ask", F.to_json(F.struct("text", "c_lat", "c_lon")))
+    f, points, a = cut(place_features(rows), "features"), points_of(rows), cut(ask_features(asks), "asks")
+    hits = cut(same_class(aligned_hits(a, f).join(a, "ask").join(f, "name")), "hits")
+    left = pruned(hits, points).where("not dropped").withColumn("pass", F.lit(1))
+    best = nearest_rows(foremost(ranked(left).select("ask", "pass", "k", "c_lat", "c_lon", "name", "type")), points).select("ask", "name", "type", "poi_id")
+    return needles.withColumn("ask", F.to_json(F.struct("text", "c_lat", "c_lon"))).join(best, "ask").select("needle_id", "name", "type", "poi_id")
+
+
 def candidates(a: DataFrame, f: DataFrame, points: DataFrame) -> DataFrame:
     """Candidates of all passes in one table: ask, pass (its number), k (what comes before distance in its order), name, type."""
     some = ["ask", "pass", "k", "c_lat", "c_lon", "name", "type"]
