@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 
 from pyspark.sql import functions as F
@@ -11,8 +12,8 @@ from cartolex.catalog.search import _NEAR
 from cartolex.fixtures import POIS_SQL, PROPERTIES_SQL, distance_sql, pois, properties, shared_folder, table
 from cartolex.operators import landmarks, spatial
 from cartolex.plans import queue
-from cartolex.sources import capture
-from cartolex.streaming import watch
+from cartolex.sources import capture, mapsink
+from cartolex.streaming import watch, workqueue
 
 # --- properties with sources and what the offline map says of them
 
@@ -202,3 +203,40 @@ def capture_upsert(spark, sf_dir):
     return capture.capture_upsert(old, new)
 
 
+@query()
+def stream_queue(spark, sf_dir):
+    """The keyed queue over the events, all that is there at once; its end equals a replay in memory (tests), timers included."""
+    at = f"{queue_folder(spark)}/queue-{tempfile.mktemp(dir='')[1:]}"
+    schema = table(spark, sf_dir, "events").schema
+    session = workqueue.stream_session(spark)
+    events = session.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    kind = F.col("event_type")
+    action = F.when(kind == "error", "put").when(kind == "signup", "put").when(kind == "purchase", "done").when(kind == "view", "fail").otherwise("other")
+    rows = events.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), action.alias("action"), kind.alias("reason"), F.col("ts").cast("timestamp").alias("at"))
+    workqueue.run_queue(rows, f"{at}/log", f"{at}/checkpoint", wait=6 * 3600.0, most=3).awaitTermination()
+    log = session.read.schema(workqueue.LOG).parquet(f"{at}/log")
+    return log.groupBy("key", "what").agg(F.count("*").alias("n"), F.sum("attempts").alias("attempts"))
+
+
+_PARTS = "(select p_partkey as k, p_name, lower(p_type) as kind, p_size from part)"
+
+
+@query(f"""with fresh as (select 'x' || k % 300 as place_id, k as seq, p_name as name, kind as type, 41.0::double + k / 16.0::double as lat, case when k % 4 = 0 then 'u' || k end as place_url, p_size as review_count, 'p' || k as phone from {_PARTS} where k % 5 > 0),
+one as (select place_id, arg_max(name, seq) as name, arg_max(type, seq) as type, arg_max(lat, seq) as lat, arg_max(place_url, seq) filter (place_url is not null) as place_url, arg_max(review_count, seq) as review_count, arg_min(phone, seq) as phone from fresh group by 1)
+select coalesce(place_id, '') as place_id, name, type, lat, place_url, review_count, phone from one
+union all select '', p_name, kind, 41.0::double + k / 16.0::double, null, p_size, null from {_PARTS} where k % 5 = 0""")
+def map_publish(spark, sf_dir):
+    """Version 1 holds places with ids in the order of their keys, version 2 a fresh extract with these behind it; a third that
+    was made from the first is refused, and what a reader gets is the second."""
+    at = f"{queue_folder(spark)}/map-{tempfile.mktemp(dir='')[1:]}"
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    rows = p.select(k.alias("seq"), (k % 5).alias("_f"), F.concat(F.lit("x"), (k % 300).cast("string")).alias("place_id"), F.col("p_name").alias("name"), F.lower("p_type").alias("type"), (41.0 + k / 16.0).alias("lat"), F.lit(21.0).alias("lon"),
+                    F.when(k % 4 == 0, F.concat(F.lit("u"), k.cast("string"))).alias("place_url"), F.col("p_size").alias("review_count"), F.concat(F.lit("p"), k.cast("string")).alias("phone"))
+    first = mapsink.upserted_pois(rows.where("_f > 0").drop("_f"))
+    mapsink.publish({"pois": first}, at, 0)
+    fresh = rows.where("_f = 0").select("name", "type", "lat", "lon", "review_count")
+    mapsink.publish({"pois": mapsink.rebuilt_pois(fresh, mapsink.read(spark, at, "pois"))}, at, 1)
+    with contextlib.suppress(mapsink.StaleVersion):
+        mapsink.publish({"pois": fresh}, at, 1)
+    return mapsink.read(spark, at, "pois").select(F.coalesce("place_id", F.lit("")).alias("place_id"), "name", "type", "lat", "place_url", "review_count", "phone")

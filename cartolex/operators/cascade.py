@@ -368,8 +368,8 @@ def token_set_lookup(needles: DataFrame, rows: DataFrame) -> DataFrame:
 
     Names with the fewest further words first, then by the rank of their type, then the nearest, or the shortest."""
     asks = needles.select("text", "c_lat", "c_lon").distinct().withColumn("ask", F.to_json(F.struct("text", "c_lat", "c_lon")))
-    f = place_features(rows).where("not shop")
-    a = ask_features(asks).where(F.forall("a_tokens", lambda w: F.length(w) >= 3) & (F.size("a_tokens") > 0))
+    f = cut(place_features(rows).where("not shop"), "features")
+    a = cut(ask_features(asks), "asks").where(F.forall("a_tokens", lambda w: F.length(w) >= 3) & (F.size("a_tokens") > 0))
     pairs = by_rarest(a, F.col("a_tokens"), f.select("name", F.explode("tokens").alias("key")).distinct())
     j = same_class(pairs.join(a, "ask").join(f, "name")).where(F.size(F.array_except("a_tokens", "tokens")) == 0)
     j = j.withColumn("pass", F.lit(3)).withColumn("k", F.array(F.size("tokens") - F.size("a_tokens"), -F.col("rank")))
