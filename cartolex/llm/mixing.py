@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import json
 from fractions import Fraction
-from heapq import heappop, heappush
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cartolex.llm.common import cut, small_batches
+from cartolex.llm.common import BROADCAST_BYTES, cut, small_batches
 
 #: Distinct membership patterns that the flow is solved for on the driver.
-MOST_PATTERNS = 20_000
+MOST_PATTERNS = 250_000
 
 
 def n_words(text: Column) -> Column:
@@ -38,61 +37,124 @@ def targets(sizes: dict, weights: tuple[int, ...] = (3, 1, 2), share: Fraction =
 
 
 def route(patterns: list[tuple[tuple, int]], quotas: dict, most: int = 2) -> list[dict]:
-    """For each pattern (its sources, its words) the words that go to each source.
+    """For each pattern (its sources, its words) the words that go to each source: as many as the quotas and ``most`` copies of each
+    pattern allow, at the least cost.
 
-    Successive shortest paths: a pattern offers its words once for each repetition, the r-th at cost r * r, so that no words
-    are repeated more often than the quotas need.
+    A pattern offers its words once for each repetition, the r-th at cost r * r, so that no words are repeated more often than
+    the quotas need. Only a path's first arc costs anything, so the cheapest paths of all are those of the first copies, then
+    those of the second: the flow is a largest flow for each copy in turn, each behind the one before. Sources that no
+    pattern shares need none: they take what their quota and their words allow.
     """
-    names = list(quotas)
-    at = {s: 1 + len(patterns) + i for i, s in enumerate(names)}
-    sink = 1 + len(patterns) + len(names)
-    graph: list[list[list]] = [[] for _ in range(sink + 1)]  # to, capacity, cost, index of the reverse
-
-    def arc(u: int, v: int, cap: int, cost: int) -> None:
-        graph[u].append([v, cap, cost, len(graph[v])])
-        graph[v].append([u, 0, -cost, len(graph[u]) - 1])
-
-    for i, (sources, words) in enumerate(patterns):
-        for r in range(most):
-            if words:
-                arc(0, 1 + i, words, r * r)
-        for s in sources:
-            arc(1 + i, at[s], most * words, 0)
-    for s in names:
-        arc(at[s], sink, quotas[s], 0)
-    height = [0] * len(graph)
-    while True:
-        dist, back, heap = [None] * len(graph), [None] * len(graph), [(0, 0)]
-        dist[0] = 0
-        while heap:
-            d, u = heappop(heap)
-            if d > dist[u]:
-                continue
-            for k, (v, cap, cost, _) in enumerate(graph[u]):
-                if cap > 0 and (dist[v] is None or (n := d + cost + height[u] - height[v]) < dist[v]):
-                    dist[v] = d + cost + height[u] - height[v]
-                    back[v] = (u, k)
-                    heappush(heap, (dist[v], v))
-        if dist[sink] is None:
-            break
-        height = [h + (d if d is not None else 0) for h, d in zip(height, dist, strict=True)]
-        path, v = [], sink
-        while v:
-            u, k = back[v]
-            path.append((u, k))
-            v = u
-        flow = min(graph[u][k][1] for u, k in path)
-        for u, k in path:
-            graph[u][k][1] -= flow
-            graph[graph[u][k][0]][graph[u][k][3]][1] += flow
-    sent = [{} for _ in patterns]
-    for i in range(len(patterns)):
-        for v, _, _, back_at in graph[1 + i]:
-            if v > len(patterns) and v < sink:
-                sent[i][names[v - 1 - len(patterns)]] = graph[v][back_at][1]
+    sent: list[dict] = [{} for _ in patterns]
+    shared = {s for sources, _ in patterns if len(sources) > 1 for s in sources}
+    left = dict(quotas)
+    alone = [i for i, (sources, _) in enumerate(patterns) if len(sources) == 1 and sources[0] not in shared]
+    for _ in range(most):
+        for i in alone:
+            (s,), words = patterns[i]
+            if n := min(words, left[s]):
+                sent[i][s] = sent[i].get(s, 0) + n
+                left[s] -= n
+    joint = [i for i, (sources, words) in enumerate(patterns) if words and sources and (len(sources) > 1 or sources[0] in shared)]
+    if joint:
+        flow = _Flow([patterns[i][0] for i in joint], left)
+        for _ in range(most):
+            flow.extend([patterns[i][1] for i in joint])
+        for i, got in zip(joint, flow.sent, strict=True):
+            sent[i] = {s: n for s, n in got.items() if n}
     return sent
 
 
+class _Flow:
+    """A largest flow from patterns to sources by blocking flows over shortest paths; more words can be offered behind it."""
+
+    def __init__(self, patterns: list[tuple], left: dict):
+        self.patterns, self.left = patterns, left
+        self.offer, self.sent = [0] * len(patterns), [{} for _ in patterns]
+        self.fed: dict = {}  # source -> patterns that send it words
+
+    def _send(self, p: int, s, n: int) -> None:
+        self.sent[p][s] = self.sent[p].get(s, 0) + n
+        self.fed.setdefault(s, {})[p] = None
+
+    def extend(self, words: list[int]) -> None:
+        for p, n in enumerate(words):
+            self.offer[p] += n
+            for s in self.patterns[p]:
+                if n := min(self.offer[p], self.left[s]):
+                    self._send(p, s, n)
+                    self.offer[p] -= n
+                    self.left[s] -= n
+        while self._phase():
+            pass
+
+    def _phase(self) -> bool:
+        """Words along all shortest paths; a path goes from a pattern to a source, and back to a pattern that feeds it."""
+        depth = {p: 0 for p, n in enumerate(self.offer) if n}
+        reach: dict = {}
+        layer, d, found = list(depth), 0, False
+        while layer and not found:
+            after = []
+            for p in layer:
+                for s in self.patterns[p]:
+                    if s not in reach:
+                        reach[s] = d
+                        if self.left[s]:
+                            found = True
+                        elif not found:
+                            after += [q for q in self.fed.get(s, ()) if q not in depth and depth.setdefault(q, d + 1) == d + 1]
+            layer, d = after, d + 1
+        if not found:
+            return False
+        last = d - 1
+        ways = {}
+
+        def way(p: int):
+            for s in self.patterns[p]:
+                if reach.get(s) == depth[p]:
+                    if depth[p] == last:
+                        if self.left[s]:
+                            yield s, None
+                    else:
+                        for q in list(self.fed.get(s, ())):
+                            if depth.get(q) == depth[p] + 1 and self.sent[q].get(s):
+                                yield s, q
+
+        for start in [p for p, k in depth.items() if k == 0]:
+            path: list[tuple] = []  # (pattern, source, pattern that gives way there)
+            at = start
+            while self.offer[start]:
+                step = ways.get(at) or ways.setdefault(at, [way(at), None])
+                if step[1] is None or not self._open(step[1]):
+                    step[1] = next(step[0], None)
+                if step[1] is None:
+                    if not path:
+                        break
+                    at = path.pop()[0]
+                    ways[at][1] = None
+                    continue
+                s, q = step[1]
+                path.append((at, s, q))
+                if q is not None:
+                    at = q
+                    continue
+                n = min(self.offer[start], self.left[s], *[self.sent[y][x] for _, x, y in path[:-1]])
+                for p, x, y in path:
+                    self._send(p, x, n)
+                    if y is not None:
+                        self.sent[y][x] -= n
+                        if not self.sent[y][x]:
+                            self.fed[x].pop(y, None)
+                self.offer[start] -= n
+                self.left[s] -= n
+                path, at = [], start
+        return True
+
+    def _open(self, step: tuple) -> bool:
+        s, q = step
+        return bool(self.left[s]) if q is None else bool(self.sent[q].get(s))
+
+
 def mix_sources(docs: DataFrame, source: str = "source", size: str = "size", doc_id: str = "doc_id", weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 17) -> DataFrame:
     """Adds ``source_size``, ``target`` (of the row's source; of several, their sums) and ``taken`` (words, repeats counted).
 
@@ -135,7 +197,8 @@ def mix_sources(docs: DataFrame, source: str = "source", size: str = "size", doc
         full, rest = divmod(sum(flow.values()), words) if words else (0, 0)
         plan.append((key, sum(sizes[s] for s in sources), float(sum(aims[s] for s in sources)), full, rest))
     planned = spark.createDataFrame(plan, PLAN)  # a row for each pattern, MOST_PATTERNS at most
-    return _dealt(rows, planned, sum(r["n"] for r in total), kept, doc_id, small=True)
+    size = sum(len(r["_key"]) + 40 for r in total)
+    return _dealt(rows, planned, sum(r["n"] for r in total), kept, doc_id, small=size <= BROADCAST_BYTES)
 
 
 #: What documents of a pattern give: whole copies and words of a rest.

@@ -32,20 +32,23 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     the rule's path; the longest rule (host and path together) wins, then the longer host, then the smaller text. Rows
     that no rule fits get no rule and ``default``. Null URLs and those without ``://`` have an empty host and path and fit
     no rule. Rules with a null part or an empty host are left out; of equal rules the smallest action counts. Columns of
-    the same names are replaced. Each distinct URL is judged once, so a hot URL or host costs one row.
+    the same names are replaced. Each distinct URL is judged once, so a hot URL or host costs one row. Of a host only the suffixes
+    with as many labels as some rule's host has are built, so that a URL costs what it is long, times the rules' depths.
     """
     names = ("host", "path", "rule", "verdict")
     rows = pages.select(*[c for c in pages.columns if c not in names or c == url])
     known = rules.select("host", "path", "action").dropna().where("host <> ''").groupBy("host", "path").agg(F.min("action").alias("action"))
+    labels = lambda host: F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
     known = known.select(
+        labels(F.col("host")).alias("_deep"),
         F.concat("host", "path").alias("_rule"), "action", F.length("path").alias("_plen"), F.length("host").alias("_hlen"), F.sha2(F.concat_ws("\x1f", "host", "path"), 256).alias("_digest")
     ).withColumn("_key", F.substring("_digest", 1, PREFIX_DIGITS))
-    # at most one length for each place in a path, whatever the number of rules
-    lengths = F.array_sort(F.collect_set("_plen"))
-    lengths = (known.agg(lengths.alias("n")).first() or [[]])[0]
+    # at most one length for each place in a path, and one number of labels for each in a host, whatever the number of rules
+    each = lambda c: F.array_sort(F.collect_set(c))
+    lengths, depths = known.agg(each("_plen").alias("n"), each("_deep").alias("d")).first() or ([], [])
 
-    split = F.split("_host", "\\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(split)), lambda i: F.array_join(F.slice(split, i, F.size(split)), "."))
+    deep = F.lit(depths or [0]).cast("array<int>")
+    suffixes = F.transform(F.filter(deep, lambda n: n <= labels(F.col("_host"))), lambda n: F.call_function("substring_index", F.col("_host"), F.lit("."), -n))
     prefixes = F.transform(F.filter(F.lit(lengths or [0]).cast("array<int>"), lambda n: n <= F.length("_path")), lambda n: F.substring(F.col("_path"), F.lit(1), n))
     distinct = rows.select(F.col(url).alias("_url")).where(F.col(url).contains("://")).distinct()
     parts = distinct.select("_url", host_of(F.col("_url")).alias("_host"), path_of(F.col("_url")).alias("_path")).where("_host <> ''")

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 from collections import defaultdict
 from fractions import Fraction
 
@@ -115,3 +116,48 @@ def test_patterns(spark):
     got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source array<string>, size long")).collect()
     assert {r["taken"] for r in got if not r["source"]} == {0}
     assert all(r["taken"] <= 20 for r in got) and sum(r["taken"] for r in got) > 400
+
+
+def test_route_with_many_patterns():
+    """20,000 and 200,000 patterns, half of them of several sources, with quotas that bind here and not there."""
+    rng = random.Random(12)
+    for n in (20_000, 200_000):
+        names = [f"s{i}" for i in range(n // 10)]
+        made = {}
+        while len(made) < n:
+            made[tuple(sorted(rng.sample(names, 1 if len(made) % 2 and len(made) < n // 5 else rng.randint(2, 4))))] = rng.randint(1, 1000)
+        patterns = list(made.items())
+        quotas = {s: rng.choice([0, 500, 3000, 20_000]) for s in names}
+        at = time.time()
+        sent = mixing.route(patterns, quotas)
+        assert time.time() - at < 60
+        used = [sum(x.values()) for x in sent]
+        assert all(set(x) <= set(p[0]) and u <= 2 * p[1] for x, p, u in zip(sent, patterns, used, strict=True))
+        left = dict(quotas)
+        for x in sent:
+            for s, k in x.items():
+                left[s] -= k
+        assert min(left.values()) >= 0
+        # no source that is open can be reached from a pattern that has words left: the flow is a largest one
+        fed = defaultdict(list)
+        for i, x in enumerate(sent):
+            for s in x:
+                fed[s].append(i)
+        todo = [i for i, u in enumerate(used) if u < 2 * patterns[i][1]]
+        seen, reached = set(todo), set()
+        while todo:
+            for s in patterns[todo.pop()][0]:
+                if s not in reached:
+                    reached.add(s)
+                    assert not left[s]
+                    new = [i for i in fed[s] if i not in seen]
+                    seen.update(new)
+                    todo += new
+
+
+def test_a_third_copy_costs_more():
+    patterns = [(("a",), 4), (("a", "b"), 4)]
+    used = [sum(x.values()) for x in mixing.route(patterns, {"a": 14, "b": 6}, most=3)]
+    assert sum(used) == 20 and sum(max(0, min(4, u - 4 * r)) * r * r for u in used for r in range(3)) == 24
+    used = [sum(x.values()) for x in mixing.route([*patterns, (("b", "c"), 4)], {"a": 8, "b": 8, "c": 8}, most=3)]
+    assert used == [8, 8, 8]

@@ -206,3 +206,17 @@ def test_secrets_in_long_texts(spark):
         (got,) = secrets.scan_secrets(spark.createDataFrame([(1, t, "s")], "doc_id long, text string, source string")).collect()
         want = sorted((m.start(), m.end(), k) for k, (p, n) in patterns.items() for m in re.finditer(p, t) if len(m[1]) >= n)
         assert sorted((s["start"], s["end"], s["kind"]) for s in got["spans"] if s["base"]) == want
+
+
+def test_urls_with_very_many_labels(spark):
+    """A host of 100,000 labels and one of empty labels; rules of several depths."""
+    from cartolex.llm import urls
+
+    deep = "a." * 99_998 + "example.com"
+    rules = spark.createDataFrame([("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("a.example.com", "/x", "block"), ("b.a.example.com", "/x", "allow")], "host string, path string, action string")
+    pages = spark.createDataFrame([(1, f"http://{deep}/en/77"), (2, f"http://{deep}/x"), (3, "http://...com/en/"), (4, "http://" + "." * 50_000 + "/en/"), (5, "http://com/en/"), (6, "http://b.a.EXAMPLE.com/xy")], "page_id long, url string")
+    urls.filter_urls(pages.limit(1), rules).collect()
+    at = time.time()
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.filter_urls(pages, rules).collect()}
+    assert time.time() - at < 20
+    assert got == {1: ("example.com/en/7", "allow"), 2: ("a.example.com/x", "block"), 3: ("com/en/", "block"), 4: (None, "allow"), 5: ("com/en/", "block"), 6: ("b.a.example.com/x", "allow")}
