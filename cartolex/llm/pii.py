@@ -143,25 +143,196 @@ def _segments(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[int, i
                         yield i, j, 2
 
 
-def decode(text: str, tokens: list[tuple[int, int]], weights: dict[str, float]) -> list[tuple[int, int, int]]:
-    """The best segmentation's segments of a kind, by dynamic programming over ends and labels; linear in the tokens."""
+#: Tokens whose segments are scored at a time.
+BLOCK = 8192
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+#: Its inverse modulo 2 ** 64.
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+
+
+class Scorer:
+    """The weights by feature, as arrays, so that all segments of a block of tokens are scored at once."""
+
+    FLAGS = ("letters", "luhn", "octets", "at", "cue", "touches", "gap")
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights = weights
+        self.trans = np.array([[weights.get(f"T:{x}:{y}", 0.0) for y in range(len(LABELS))] for x in range(len(LABELS))])
+        self.bias, self.n, self.flags, self.shape = {}, {}, {}, {}
+        for y, kind in enumerate(LABELS):
+            self.bias[y] = weights.get(f"{kind}:bias", 0.0)
+            self.n[y] = np.array([weights.get(f"{kind}:n{n}", 0.0) for n in range(21)])
+            self.flags[y] = {f: np.array([weights.get(f"{kind}:{f}:{v}", 0.0) for v in (False, True)]) for f in self.FLAGS}
+            shapes = {k.split(":", 2)[2]: w for k, w in weights.items() if k.startswith(f"{kind}:shape:")}
+            back = _powers(_BACK, 25)
+            hashed = sorted((int((_codes(x) * back[: len(x)]).sum(dtype=np.uint64)), w) for x, w in shapes.items())
+            self.shape[y] = np.array([h for h, _ in hashed], np.uint64), np.array([w for _, w in hashed])
+
+    def by_char(self, y: int, what: str, marks: list[str]) -> np.ndarray:
+        known = {m: self.weights.get(f"{LABELS[y]}:{what}:{m}", 0.0) for m in set(marks)}
+        return np.array([known[m] for m in marks])
+
+
+class Region:
+    """What the segments of a stretch of tokens are scored by: sums and marks of its tokens, made once."""
+
+    def __init__(self, text: str, tokens: list[tuple[int, int]]):
+        self.text, self.size = text, len(tokens)
+        words = [text[a:b] for a, b in tokens]
+        self.words = words
+        flag = lambda values: np.fromiter(values, bool, len(words))
+        summed = lambda values: np.concatenate([[0], np.cumsum(values)])
+        self.number = flag(w[0] in "0123456789" for w in words)
+        self.alnum = flag(w.isalnum() for w in words)
+        self.opens = self.number | flag(w[0] in "+(" for w in words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        self.digits = summed(np.where(self.number, lengths, 0))
+        self.breaks = summed(~(self.number | flag(w in "+().-/ " for w in words)))
+        spelled = (w == "@" or (w in ("at", "AT") and t > 0 and words[t - 1] in "[({<") for t, w in enumerate(words))
+        self.at = summed(flag(spelled))
+        self.signs = summed(flag(w == "@" for w in words))
+        self.letters = summed(flag(w[0].isalpha() or any(map(str.isalpha, w)) for w in words))
+        starts, ends = np.array(tokens, np.int64).T
+        gaps = np.append(starts[1:] - ends[:-1], 0)
+        self.wide, self.spaced = summed(gaps > 1), summed(gaps > 0)
+        # brackets around a spelled at sign, by their first and last token
+        whole = [m.span() for m in _SPELLED.finditer(text, tokens[0][0], tokens[-1][1])]
+        first, last = np.searchsorted(starts, [x for x, _ in whole]), np.searchsorted(ends, [y for _, y in whole])
+        self.opened = summed(np.bincount(first, minlength=self.size)[: self.size])
+        self.closed = summed(np.bincount(last, minlength=self.size)[: self.size])
+        self.octet = self.number & (lengths <= 3) & flag(w[0] in "0123456789" and len(w) <= 3 and int(w) <= 255 for w in words)
+        self.dot = flag(w == "." for w in words)
+        self.before = flag(a > 0 and text[a - 1].isalnum() for a, _ in tokens)
+        self.after = flag(b < len(text) and text[b].isalnum() for _, b in tokens)
+        low = [w.lower() for w in words]
+        self.cue = {}
+        for y in range(1, len(LABELS)):
+            said = flag(w in CUES[LABELS[y]] for w in low)
+            one = np.concatenate([[False], said])
+            self.cue[y] = one[: self.size] | np.concatenate([[False, False], said])[: self.size]
+        self.first = [w[0] if not w[0].isalnum() else "d" if w[0].isdigit() else "w" for w in words]
+        self.last = ["d" if w[-1].isdigit() else "w" if w[-1].isalpha() else w[-1] for w in words]
+        # digits by place, for sums that double every second one
+        d = np.array([int(c) for w, n in zip(words, self.number, strict=True) if n for c in w], np.int64)
+        even = np.arange(len(d)) % 2 == 0
+        twice = np.where(d > 4, 2 * d - 9, 2 * d)
+        self.plain = [summed(np.where(even, d, 0)), summed(np.where(even, 0, d))]
+        self.doubled = [summed(np.where(even, twice, 0)), summed(np.where(even, 0, twice))]
+        # the shape of the whole stretch; a segment's shape is a part of it
+        pieces = [f"d{min(len(w), 5)}" if n else "w" if w[0].isalnum() and not w[0].isdecimal() else w for w, n in zip(words, self.number, strict=True)]
+        joined = "".join(p + text[e : e + g] for p, (_, e), g in zip(pieces, tokens, gaps.tolist(), strict=True))
+        width = np.fromiter(map(len, pieces), np.int64, self.size)
+        self.place = summed(width + gaps)[:-1]
+        self.stop = self.place + width
+        codes = _codes(joined)
+        self.hash = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * _powers(_BACK, len(codes)), dtype=np.uint64)])
+        self.power = _powers(_PRIME, len(codes) + 1)
+
+    def scores(self, score: Scorer, lo: int, hi: int, firsts: dict, lasts: dict) -> np.ndarray:
+        """(ends lo + 1 to hi, tokens less one, label less one): the scores of candidate segments, minus infinity for others."""
+        out = np.full((hi - lo, LONGEST, len(LABELS) - 1), -np.inf)
+        j = np.arange(lo + 1, hi + 1)[:, None]
+        i = j - np.arange(1, LONGEST + 1)[None, :]
+        there = (i >= 0) & self.alnum[j - 1]
+        i = np.maximum(i, 0)
+        digits = self.digits[j] - self.digits[i]
+        email = there & (self.at[j] > self.at[i]) & self.alnum[i]
+        joint = there & self.number[j - 1] & (self.breaks[j] == self.breaks[i])
+        many = joint & (digits >= 7) & self.opens[i]
+        few = joint & (digits >= 4) & self.number[i] & ~many
+        for y in range(1, len(LABELS)):
+            some = email if y == 1 else many | few if y == 2 else many
+            row, col = np.nonzero(some)
+            if not len(row):
+                continue
+            a, b = i[row, col], row + lo + 1
+            n = digits[row, col]
+            at, end = self.digits[a], self.digits[b]
+            odd = (end - 1) % 2
+            total = np.where(odd == 0, self.plain[0][end] - self.plain[0][at] + self.doubled[1][end] - self.doubled[1][at], self.plain[1][end] - self.plain[1][at] + self.doubled[0][end] - self.doubled[0][at])
+            seven = (b - a == 7) & (self.spaced[b - 1] == self.spaced[a])
+            step = lambda k: np.minimum(a + k, self.size - 1)
+            for k in range(7):
+                seven &= (self.dot if k % 2 else self.octet)[step(k)]
+            values = {
+                "letters": self.letters[b] > self.letters[a],
+                "luhn": (n >= 14) & (n <= 19) & (total % 10 == 0),
+                "octets": seven,
+                "at": (self.signs[b] > self.signs[a]) | (self.closed[b] > self.opened[a]),
+                "cue": self.cue[y][a],
+                "touches": self.before[a] | self.after[b - 1],
+                "gap": self.wide[b - 1] > self.wide[a],
+            }
+            start = self.place[a]
+            size = np.minimum(self.stop[b - 1] - start, 24)
+            shape = (self.hash[start + size] - self.hash[start]) * self.power[start]
+            known, weight = score.shape[y]
+            if len(known):
+                slot = np.minimum(np.searchsorted(known, shape), len(known) - 1)
+                shaped = np.where(known[slot] == shape, weight[slot], 0.0)
+            else:
+                shaped = np.zeros(len(row))
+            own = score.bias[y] + score.n[y][np.minimum(n, 20)] + shaped + firsts[y][a] + lasts[y][b - 1]
+            for f in Scorer.FLAGS:
+                own = own + score.flags[y][f][values[f].astype(np.int8)]
+            out[row, col, y - 1] = own
+        return out
+
+
+def decode(text: str, tokens: list[tuple[int, int]], weights: dict[str, float] | Scorer) -> list[tuple[int, int, int]]:
+    """The best segmentation's segments of a kind, by dynamic programming over ends and labels; linear in the tokens.
+
+    Segments are scored for a block of tokens at once, from sums over the tokens: the same features and weights as in training,
+    without a string for each segment."""
+    score = weights if isinstance(weights, Scorer) else Scorer(weights)
     n, k = len(tokens), len(LABELS)
-    best = np.full((n + 1, k), -np.inf)
-    best[0, 0] = 0.0
-    back = np.zeros((n + 1, k, 2), np.int32)
-    for i, j, y in _segments(text, tokens):
-        own = sum(weights.get(f, 0.0) for f in features(text, tokens, i, j, y))
-        for x in range(k):
-            if best[i, x] > -np.inf:
-                s = best[i, x] + own + weights.get(f"T:{x}:{y}", 0.0)
-                if s > best[j, y]:
-                    best[j, y], back[j, y] = s, (i, x)
-    out, at = [], (n, int(best[n].argmax()))
-    while at[0]:
-        prev = tuple(back[at].tolist())
-        if at[1]:
-            out.append((tokens[prev[0]][0], tokens[at[0] - 1][1], at[1] - 1))
-        at = prev
+    if not n:
+        return []
+    region = Region(text, tokens)
+    firsts = {y: score.by_char(y, "first", region.first) for y in range(1, k)}
+    lasts = {y: score.by_char(y, "last", region.last) for y in range(1, k)}
+    outside = [score.weights.get(f"O:{'num' if w[0].isdigit() else 'word' if w[0].isalpha() else w}:{min(len(w), 12) if w[0].isdigit() else 0}", 0.0) for w in region.words]
+    # the best score up to a token with the step to each label, and the label it comes from
+    onward, via = np.empty((n + 1, k)), np.zeros((n + 1, k), np.int8)
+    back = np.zeros((n + 1, k), np.int32)
+    trans, labels, still = score.trans, np.arange(k - 1), score.trans[0]
+    onward[0] = still
+    ends = np.empty(k)
+    for lo in range(0, n, BLOCK):
+        hi = min(n, lo + BLOCK)
+        own = region.scores(score, lo, hi, firsts, lasts)
+        some = (own > -np.inf).any((1, 2)).tolist()
+        for j in range(lo + 1, hi + 1):
+            first = onward[j - 1, 0] + outside[j - 1]
+            if some[j - 1 - lo]:
+                m = min(j, LONGEST)
+                way = onward[j - m : j, 1:][::-1] + own[j - 1 - lo, :m]
+                pick = way.argmax(0)
+                ends[0], ends[1:] = first, way[pick, labels]
+                back[j, 1:] = pick
+                step = ends[:, None] + trans
+                via[j] = step.argmax(0)
+                onward[j] = step.max(0)
+            else:
+                onward[j] = first + still
+    if not some[-1]:
+        ends[0], ends[1:] = first, -np.inf
+    out, at, label = [], n, int(ends.argmax())
+    while at:
+        start = at - 1 - int(back[at, label])
+        if label:
+            out.append((tokens[start][0], tokens[at - 1][1], label - 1))
+        at, label = start, int(via[start, label])
     return out[::-1]
 
 
@@ -333,7 +504,7 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    sent = spark.sparkContext.broadcast(train(sample))
+    sent = spark.sparkContext.broadcast(Scorer(train(sample)))
     names = [doc_id, *[c for c in keep if c not in (doc_id, text)]]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
     shape = "array<struct<kind:string,start:int,end:int,base:boolean>>"

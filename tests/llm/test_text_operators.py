@@ -220,3 +220,47 @@ def test_urls_with_very_many_labels(spark):
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.filter_urls(pages, rules).collect()}
     assert time.time() - at < 20
     assert got == {1: ("example.com/en/7", "allow"), 2: ("a.example.com/x", "block"), 3: ("com/en/", "block"), 4: (None, "allow"), 5: ("com/en/", "block"), 6: ("b.a.example.com/x", "allow")}
+
+
+def test_pii_on_a_megabyte_of_digits_and_signs():
+    """Texts that are candidates all through; the times are bounds for one task."""
+    score = pii.Scorer(pii.train(500))
+    for text in (" ".join(str(i % 10) for i in range(500_000)), " ".join(map(str, range(150_000))), "a@" * 500_000):
+        at = time.time()
+        base, added = pii.all_spans(text, score)
+        assert time.time() - at < 60 and not base
+        assert all(0 <= a < b <= len(text) for a, b, _ in added)
+
+
+def test_scores_of_blocks_are_those_of_features(monkeypatch):
+    """Every candidate's score against the sum over its features, and the best path's against all that the features allow."""
+    rng = random.Random(3)
+    weights = pii.train(500)
+    score = pii.Scorer(weights)
+    bits = ["1", "22", "333", "4444", "123456", " ", "  ", "-", ".", "+", "(", ")", "/", "@", "[at]", "(AT)", " at ", "bc", "é", "tel:", "card", "²", "٣", "_", "\n", "4111 1111 1111 1111", "192.168.1.1", "+389 70 123 456", "me@x.com", "[ @ ]", "x (at) y.com", "日"]
+    for block in (8192, 7):
+        monkeypatch.setattr(pii, "BLOCK", block)
+        for _ in range(150):
+            text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 40)))
+            tokens = pii._tokens(text, 0, len(text))
+            if not tokens:
+                continue
+            segs = list(pii._segments(text, tokens))
+            own = {s: sum(weights.get(f, 0.0) for f in pii.features(text, tokens, *s)) for s in segs}
+            region = pii.Region(text, tokens)
+            firsts, lasts = ({y: score.by_char(y, what, marks) for y in range(1, 5)} for what, marks in (("first", region.first), ("last", region.last)))
+            got = region.scores(score, 0, len(tokens), firsts, lasts)
+            assert {(i, j, y): round(float(got[j - 1, j - i - 1, y - 1]), 9) for i, j, y in segs if y} == {s: round(w, 9) for s, w in own.items() if s[2]}
+            assert (got > -float("inf")).sum() == sum(y > 0 for _, _, y in segs)
+            best = {(0, 0): 0.0}
+            for i, j, y in segs:
+                for x in range(5):
+                    if (i, x) in best:
+                        best[j, y] = max(best.get((j, y), -1e300), best[i, x] + own[i, j, y] + weights.get(f"T:{x}:{y}", 0.0))
+            starts, ends = {a: t for t, (a, _) in enumerate(tokens)}, {b: t + 1 for t, (_, b) in enumerate(tokens)}
+            path = [(starts[a], ends[b], y + 1) for a, b, y in pii.decode(text, tokens, score)]
+            inside = {t for i, j, _ in path for t in range(i, j)}
+            total, last = 0.0, 0
+            for s in sorted(path + [(t, t + 1, 0) for t in range(len(tokens)) if t not in inside]):
+                total, last = total + own[s] + weights.get(f"T:{last}:{s[2]}", 0.0), s[2]
+            assert abs(total - max(w for (j, _), w in best.items() if j == len(tokens))) < 1e-9
