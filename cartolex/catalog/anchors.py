@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartolex.catalog import sqltext as S
+from cartolex.catalog.names import _CATEGORY
 from cartolex.catalog.registry import query
 from cartolex.catalog.search import _NEAR
-from cartolex.fixtures import PROPERTIES_SQL, pois, properties, table
+from cartolex.fixtures import POIS_SQL, PROPERTIES_SQL, distance_sql, pois, properties, table
+from cartolex.functions.text import to_cyrillic
 from cartolex.operators import anchors, spatial
 
 DETAILS = [
@@ -39,11 +41,26 @@ def resolve_landmark(spark, sf_dir):
     return anchors.resolve_landmark(p, layer(7, F.concat(F.lit("feed "), "segment")), layer(5, F.concat(F.lit("cached "), "name")), layer(3, told), ring)
 
 
-TWINS = [(1, "Сити Мол", 42.0, 21.4), (2, "City Mall", 42.0001, 21.4), (3, "Аптека Здравје", 42.01, 21.4), (4, "Pharmacy Zdravje", 42.0101, 21.4), (5, "Капитол Центар", 42.02, 21.4), (6, "Capitol Plaza", 42.0201, 21.4), (7, "Бел Дом", 42.03, 21.4), (8, "White Dom", 42.0301, 21.4), (9, "Far Dom", 42.04, 21.4)]
+def _twins(spark, sf_dir):
+    """Each part's name in Cyrillic, and beside it a Latin one whose second word is written backwards."""
+    p = pois(spark, sf_dir)
+    word = lambda i: F.get(F.split("name", " "), F.lit(i))
+    cyr = p.select("poi_id", to_cyrillic(F.col("name")).alias("name"), "p_lat", "p_lon")
+    lat = p.select((-F.col("poi_id") - 1).alias("poi_id"), F.concat_ws(" ", word(0), F.reverse(word(1))).alias("name"), (F.col("p_lat") + 0.0001).alias("p_lat"), "p_lon")
+    return cyr.unionByName(lat)
 
 
-@query("select * from (values ('kptl', 'kptl', 0)) t(word, canonical, support) where false union all values ('bl', 't', 1::bigint), ('sntr', 'pls', 1::bigint), ('ptk', 'frmk', 1::bigint)")
-def variant_harvest(spark, sf_dir):
-    return anchors.harvest_variants(spark.createDataFrame(TWINS, "poi_id long, name string, p_lat double, p_lon double"))
+_CANON = lambda e: f"coalesce(nullif({S.sound_key(e)}, ''), regexp_replace({S.to_latin(e)}, '[^a-z0-9]', '', 'g'))"
 
 
+@query(f"""with t as (select poi_id, {S.to_cyrillic('name')} as name, p_lat, p_lon, true as cyr from {POIS_SQL}
+  union all select -poi_id - 1, string_split(name, ' ')[1] || ' ' || reverse(string_split(name, ' ')[2]), p_lat + 0.0001, p_lon, false from {POIS_SQL}),
+words as (select distinct unnest(string_split(name, ' ')) as z from t), keys as materialized (select z, {_CANON('z')} as k from words),
+n as (select name, list(k) as keys from (select name, unnest(string_split(name, ' ')) as z from (select distinct name from t)) join keys using (z) group by name),
+c as materialized (select a.*, s as s, {_CATEGORY} as cat, n.keys from (select *, name as s from t) a join n using (name)),
+j as (select list_filter(list_distinct(a.keys), lambda x: not list_contains(b.keys, x)) as x, list_filter(list_distinct(b.keys), lambda x: not list_contains(a.keys, x)) as y, list_intersect(a.keys, b.keys) as shared
+  from (select *, p_lat as lat, p_lon as lon from c where cyr) a join c b on not b.cyr and b.p_lat between lat - 60 / 111000.0::double and lat + 60 / 111000.0::double and b.p_lon between lon - 60 / 82000.0::double and lon + 60 / 82000.0::double
+    and a.cat is not distinct from b.cat where {distance_sql('lat', 'lon', 'b.p_lat', 'b.p_lon')} <= 60)
+select x[1] as word, y[1] as canonical, count(*) as support from j where len(x) = 1 and len(y) = 1 and len(shared) > 0 group by all""")
+def variant_harvest(spark, sf_dir):
+    return anchors.harvest_variants(_twins(spark, sf_dir))

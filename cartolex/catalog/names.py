@@ -114,15 +114,33 @@ def overrides_apply(spark, sf_dir):
     return out.groupBy("name", "source").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("lat") * 100000 + 0.5)).alias("lats"))
 
 
-CRON = ["@reboot run # BOOT", "*/5 * * * * sync-prices", "0 3 * * * refresh-map", "# 0 3 * * * refresh-map", "", "0 1 * * * other"]
+#: A schedule's lines by the number of a part, whose name is what they run.
+CRON = ["@reboot run {} # BOOT", "*/5 * * * * sync-prices {}", "0 3 * * * refresh-map {}", "# 0 3 * * * refresh-map {}", "", "0 1 * * * {}", "@reboot {}", "  # sync-prices {}"]
+_CRON_SQL = "(select p_partkey as line_no, replace([" + ", ".join(f"'{c}'" for c in CRON) + "][p_partkey % 8 + 1], '{}', p_name) as raw from part)"
 
 
-@query("select * from (values " + ", ".join(f"({i}, '{k}', {str(a).lower()})" for i, (k, a) in enumerate([("boot", True), ("sync", True), ("forbidden", True), ("forbidden", False), ("other", False), ("other", True)])) + ") t(line_no, kind, active)")
+@query(f"""with l as (select line_no, trim(raw) as r, case when contains(raw, '@reboot') and contains(raw, 'BOOT') then 'boot' when contains(raw, 'sync-') then 'sync' when contains(raw, 'refresh-map') then 'forbidden' else 'other' end as kind from {_CRON_SQL})
+select line_no, kind, r <> '' and not starts_with(r, '#') as active, not (kind = 'forbidden' and r <> '' and not starts_with(r, '#')) as stays from l""")
 def cron_classify(spark, sf_dir):
-    from cartolex.plans.cron import classify_lines
+    from cartolex.plans.cron import classify_lines, strip_forbidden
 
-    rows = spark.createDataFrame([(i, c) for i, c in enumerate(CRON)], "line_no int, raw string")
-    return classify_lines(rows, boot="BOOT", sync=["sync-"], forbidden=["refresh-map"]).select("line_no", "kind", "active")
+    line = F.get(F.array(*map(F.lit, CRON)), (F.col("p_partkey") % 8).cast("int"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("line_no"), F.replace(line, F.lit("{}"), F.col("p_name")).alias("raw"))
+    told = classify_lines(rows, boot="BOOT", sync=["sync-"], forbidden=["refresh-map"])
+    stays = strip_forbidden(told).select("line_no", F.lit(True).alias("stays"))
+    return told.join(stays, "line_no", "left").select("line_no", "kind", "active", F.coalesce("stays", F.lit(False)).alias("stays"))
+
+
+@query(f"""select p_name as wanted from (select distinct p_name from part) where not exists (select 1 from {_CRON_SQL} where raw <> '' and not starts_with(trim(raw), '#') and line_no % 3 > 0 and regexp_matches(raw, 'sync-prices ' || p_name || '$'))""")
+def cron_missing(spark, sf_dir):
+    """Names whose price sync no active line of a thinned schedule holds."""
+    from cartolex.plans.cron import classify_lines, missing_sync
+
+    parts = table(spark, sf_dir, "part")
+    line = F.get(F.array(*map(F.lit, CRON)), (F.col("p_partkey") % 8).cast("int"))
+    rows = parts.where("p_partkey % 3 > 0").select(F.replace(line, F.lit("{}"), F.col("p_name")).alias("raw"))
+    required = parts.select(F.concat(F.lit("sync-prices "), "p_name").alias("pattern"), F.col("p_name").alias("wanted")).distinct()
+    return missing_sync(classify_lines(rows, boot="BOOT", sync=["sync-"], forbidden=["refresh-map"]), required).select("wanted")
 
 
 @query("""with a as (select 'f' || p_partkey % 40 as name, max(p_brand) as digest from part group by 1), b as (select 'f' || p_partkey % 50 as name, min(p_brand) as digest from part where p_partkey % 50 > 5 group by 1)

@@ -151,13 +151,16 @@ def run_verify(spark, sf_dir):
     return coverage.verify_map(pois(spark, sf_dir), coverage.uncovered_pairs(spark, CATEGORIES, _seed(spark, sf_dir)))
 
 
-GATES = [(1, 510, 2000, True, 3, 0), (2, 510, 13, True, 3, 0), (3, 2000, 2000, True, 1, 0), (4, 510, None, False, 8, 0), (5, 510, None, False, 1, 0), (6, 1900, 2000, True, 2, 200)]
-
-
-@query(f"""select *, case when probe_ok then live else keys * 250 end as budget, case when probe_ok then 'live' else 'nominal' end as basis, estimated <= (case when probe_ok then live else keys * 250 end) - floor as go
-  from (values {", ".join(str(tuple('null' if x is None else x for x in g)).replace("'null'", 'null').lower() for g in GATES)}) t(id, estimated, live, probe_ok, keys, floor)""")
+@query("""with g as (select s_suppkey as id, (s_suppkey * 37 % 3000)::integer as estimated, case when s_suppkey % 4 = 0 then null else (s_suppkey * 53 % 2600)::integer end as live, s_suppkey % 4 <> 0 and s_suppkey % 5 <> 0 as probe_ok,
+  (s_nationkey % 10)::integer as keys, (s_suppkey % 3 * 100)::integer as floor from supplier)
+select *, case when probe_ok then live else keys * 250 end as budget, case when probe_ok then 'live' else 'nominal' end as basis, estimated <= (case when probe_ok then live else keys * 250 end) - floor as go from g""")
 def spend_gate(spark, sf_dir):
-    return coverage.spend_gate(spark.createDataFrame(GATES, "id int, estimated int, live int, probe_ok boolean, keys int, floor int"))
+    k = F.col("s_suppkey")
+    asked = table(spark, sf_dir, "supplier").select(
+        k.alias("id"), (k * 37 % 3000).cast("int").alias("estimated"), F.when(k % 4 != 0, (k * 53 % 2600).cast("int")).alias("live"), ((k % 4 != 0) & (k % 5 != 0)).alias("probe_ok"),
+        (F.col("s_nationkey") % 10).cast("int").alias("keys"), (k % 3 * 100).cast("int").alias("floor"),
+    )
+    return coverage.spend_gate(asked)
 
 
 @query("select o_orderstatus as status, o_orderpriority as priority, count(*) as n from orders where o_orderpriority in ('1-URGENT', '2-HIGH') and o_orderstatus::varchar <> 'P' group by all")

@@ -117,22 +117,23 @@ def nearby_landmarks(spark, sf_dir):
     return landmarks.nearby_landmarks(spatial.nearest_pois(properties(spark, sf_dir), pois(spark, sf_dir), 200.0, 3, by_name=True))
 
 
-GUARDS = [
-    (1, "ул. Борис Трајковски 12, Скопје", 41.98, 21.43, "Boris Trajkovski 12", "Boris Trajkovski 12, Skopje 1000", 20.0, None, True, "ok", True),
-    (2, "Партизански Одреди 62", 41.98, 21.43, None, "Skopje, North Macedonia", None, None, False, "area_level_result", False),
-    (3, "Партизански Одреди 62", 43.98, 21.43, "Partizanski Odredi", "Partizanski Odredi 62", None, None, False, "outside_bbox", False),
-    (4, "Партизански Одреди 62", 41.99, 21.43, "Ilindenska Street", "Ilindenska 5, Skopje", None, None, False, "query_mismatch", False),
-    (5, "Партизански Одреди 62", 41.99, 21.43, "Partizanski Odredi", "Bul. Partizanski Odredi 60", 700.0, None, False, "street_disagreement", False),
-    (6, "Партизански Одреди 62", 41.99, 21.43, "Partizanski Odredi", "Bul. Partizanski Odredi 60", 100.0, 900.0, False, "poi_disagreement", False),
-    (7, "Партизански Одреди 62", None, None, "x", "y", None, None, False, "no_evidence", False),
-    (8, "Партизански Одреди 62", 41.99, 21.43, None, None, None, None, False, "no_evidence", False),
-    (9, "Карпош 3, Скопје, Северна Македонија", 41.99, 21.40, "Карпош 3", "Карпош, Скопје", None, None, True, "ok", False),
-]
-
-
-@query("select * from (values " + ", ".join(f"({g[0]}, {str(g[8]).lower()}, '{g[9]}', {str(g[10]).lower()})" for g in GUARDS) + ") t(id, trusted, reason, exact_building)")
+_ANSWERS_SQL = """(select p_partkey as id, p_name as n, (p_partkey % 90 + 1)::varchar as num, case when p_partkey % 13 = 0 then null when p_partkey % 11 = 0 then 43.98::double else 41.99::double end as lat, 21.43::double as lon,
+  case when p_partkey % 2 = 0 then p_name end as title, case p_partkey % 5 when 0 then p_name || ' ' || (p_partkey % 90 + 1) || ', Skopje' when 1 then p_name || ' ' || (p_partkey % 90 + 2) when 2 then 'Skopje, North Macedonia'
+  when 3 then 'Other Road ' || (p_partkey % 90 + 1) else '' end as address, case when p_partkey % 4 > 0 then p_partkey % 9 * 100.0::double end as sd, case when p_partkey % 3 = 0 then p_partkey % 7 * 150.0::double end as pd from part)"""
+
+
+@query(f"""with a as (select *, list_filter(string_split(n, ' '), lambda t: length(t) >= 4) as tokens, trim(lower(concat_ws(' ', title, address))) as said, trim(string_split(address, ',')[1]) as line from {_ANSWERS_SQL}),
+g as (select *, len(tokens) = 0 or len(list_filter(tokens, lambda t: contains(said, t))) > 0 as agree, line in ('Skopje', '') as area from a),
+r as (select *, case when lat is null then 'no_evidence' when lat > 42.05 then 'outside_bbox' when said = '' then 'no_evidence' when area and not agree then 'area_level_result' when not agree then 'query_mismatch' when sd > 500 then 'street_disagreement' when pd > 500 then 'poi_disagreement' else 'ok' end as reason from g)
+select id, reason = 'ok' as trusted, reason, reason = 'ok' and regexp_extract(line, '[0-9]+') = num as exact_building from r""")
 def geocode_guard(spark, sf_dir):
-    rows = spark.createDataFrame([g[:8] for g in GUARDS], "id int, query string, lat double, lon double, title string, address string, street_distance_m double, poi_distance_m double")
+    k, n = F.col("p_partkey"), F.col("p_name")
+    num = lambda more: ((k % 90) + more).cast("string")
+    address = [F.concat(n, F.lit(" "), num(1), F.lit(", Skopje")), F.concat(n, F.lit(" "), num(2)), F.lit("Skopje, North Macedonia"), F.concat(F.lit("Other Road "), num(1)), F.lit("")]
+    rows = table(spark, sf_dir, "part").select(
+        k.alias("id"), F.concat(F.lit("ul. "), n, F.lit(" "), num(1), F.lit(", Skopje, Severna Makedonija")).alias("query"), F.when(k % 13 == 0, None).when(k % 11 == 0, 43.98).otherwise(41.99).alias("lat"), F.lit(21.43).alias("lon"),
+        F.when(k % 2 == 0, n).alias("title"), F.get(F.array(*address), (k % 5).cast("int")).alias("address"), F.when(k % 4 > 0, k % 9 * 100.0).alias("street_distance_m"), F.when(k % 3 == 0, k % 7 * 150.0).alias("poi_distance_m"),
+    )
     return landmarks.assess_geocode(rows).select("id", "trusted", "reason", "exact_building")
 
 
@@ -174,20 +175,21 @@ def queue_drain(spark, sf_dir):
 
 # --- captures
 
-PAYLOADS = [
-    (1, '{"title": " City Mall ", "type": "Shopping mall", "gps_coordinates": {"latitude": 42.0, "longitude": 21.4}, "data_cid": "16634210817354128158", "reviews": 120, "rating": 4.5, "price": "$$", "types": ["a", "b"]}', "City Mall", "0xe6d8969b:0x475a5b1e", 0),
-    (2, '{"title": "X", "gps_coordinates": {"latitude": 42.0, "longitude": 21.4}}', None, None, 0),
-    (3, '{"title": "No point"}', None, None, 0),
-    (4, '{"title": "Gone", "gps_coordinates": {"latitude": 42.0, "longitude": 21.4}, "data_id": "0x1:0x2", "business_status": "CLOSED_PERMANENTLY"}', "Gone", "0x1:0x2", 1),
-    (5, "no json", None, None, 0),
-    (6, '{"title": "Small id", "gps_coordinates": {"latitude": 42.0, "longitude": 21.4}, "data_cid": "255", "permanently_closed": true}', "Small id", "0x0:0xff", 1),
-]
-
-
-@query("select * from (values " + ", ".join(f"({p[0]}, '{p[2]}', '{p[3]}', {p[4]})" for p in PAYLOADS if p[2]) + ") t(id, name, place_id, closed)")
+@query("""with p as (select p_partkey as id, trim(p_name || case when p_partkey % 3 = 0 then '  ' else '' end) as name, p_partkey * 4294967311 as cid from part where p_partkey % 7 > 0 and p_partkey % 10 > 0)
+select id, name, case when id % 4 = 0 then '0x1:0x' || lower(to_hex(id)) when id % 4 = 1 then '0x' || lower(to_hex(cid >> 32)) || ':0x' || lower(to_hex(cid & 4294967295)) when id % 4 = 2 then '0x0:0x' || lower(to_hex(id % 500)) end as place_id,
+  case when id % 5 = 0 or id % 6 = 0 then 1 else 0 end as closed, case when id % 3 = 1 then null else (id % 90)::integer end as review_count, case when id % 8 = 0 then 'place' else 'mall' end as type from p""")
 def capture_poi(spark, sf_dir):
-    rows = spark.createDataFrame([p[:2] for p in PAYLOADS], "id int, payload string")
-    return capture.capture_pois(rows).select("id", "name", "place_id", "closed")
+    """Payloads made of parts: some without a point, some that are no JSON, ids by text, by a large and by a small number."""
+    k = F.col("p_partkey")
+    point = F.when(k % 7 > 0, F.struct((41.0 + k / 1e6).alias("latitude"), F.lit(21.0).alias("longitude")))
+    title = F.concat(F.lit(" "), "p_name", F.when(k % 3 == 0, "  ").otherwise(""))
+    cid = F.when(k % 4 == 1, k * 4294967311).when(k % 4 == 2, k % 500)
+    payload = F.to_json(F.struct(
+        title.alias("title"), F.when(k % 8 == 0, "").otherwise("mall").alias("type"), point.alias("gps_coordinates"), F.when(k % 4 == 0, F.concat(F.lit("0x1:0x"), F.lower(F.hex(k)))).alias("data_id"), cid.cast("string").alias("data_cid"),
+        F.when(k % 3 != 1, k % 90).cast("double").alias("reviews"), (k % 5 == 0).alias("permanently_closed"), F.when(k % 6 == 0, "CLOSED_TEMPORARILY").alias("business_status"),
+    ))
+    rows = table(spark, sf_dir, "part").select(k.alias("id"), F.when(k % 10 == 0, "no json").otherwise(payload).alias("payload"))
+    return capture.capture_pois(rows).select("id", "name", "place_id", "closed", "review_count", "type")
 
 
 @query(f"""with old as (select place_id, name, p_lat, p_lon, case when poi_id % 2 = 0 then '' else phone end as phone from {POIS_SQL} where place_id is not null and poi_id % 9 <> 0),
