@@ -9,7 +9,7 @@ from cartolex.catalog.registry import query
 from cartolex.fixtures import POIS_SQL, distance_sql, pois, shared_folder, table
 from cartolex.functions import geo
 from cartolex.functions import lexicon as L
-from cartolex.operators import identity
+from cartolex.operators import heal, identity
 
 _PLAIN = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')".format
 _D = distance_sql("a.p_lat", "a.p_lon", "b.p_lat", "b.p_lon")
@@ -148,9 +148,25 @@ def identity_heal(spark, sf_dir):
     return identity.heal_places(osm, anchors)
 
 
-@query(f"select poi_id from {POIS_SQL} where p_lat + 0.02 between 41.95 and 42.05 and p_lon + 0.02 between 21.35 and 21.50")
+@query()
+def heal_whole(spark, sf_dir):
+    """The whole repair: embassies, tenants and what is left of an anchor's identity. A serial choice, which SQL cannot say; tests
+    walk through it row after row."""
+    p = pois(spark, sf_dir)
+    k = F.col("poi_id")
+    kind = F.when(k % 11 == 0, "embassy").when(k % 5 == 0, "mall").otherwise(F.col("type"))
+    name = F.when(k % 11 == 0, F.concat(F.lit("Embassy of "), F.get(F.array(*[F.lit(c) for c in ("Turkey", "Greece", "Serbia")]), (k % 3).cast("int")))).otherwise(F.col("name"))
+    anchors = p.where(k % 3 == 0).select(k.alias("anchor_id"), name.alias("anchor_name"), kind.alias("anchor_type"), "p_lat", "p_lon")
+    osm = p.select((k * 4).alias("osm_id"), F.when(k % 7 == 0, F.concat(name, F.lit(" market"))).otherwise(name).alias("name"), F.col("type"), (F.col("p_lat") + (k % 4) * 0.0002).alias("lat"), F.when(k % 13 > 0, F.col("p_lon")).alias("lon"))
+    osm = osm.unionByName(osm.where("osm_id % 8 = 0").withColumn("osm_id", F.col("osm_id") + 1))
+    return heal.heal_whole(osm, anchors)
+
+
+@query(f"select poi_id from {POIS_SQL} where poi_id % 17 = 0 or (p_lat + 0.02 between 41.95 and 42.05 and p_lon + 0.02 between 21.35 and 21.50)")
 def prune_bbox(spark, sf_dir):
-    return pois(spark, sf_dir).where(geo.inside(L.CITY_BOX, F.col("p_lat") + 0.02, F.col("p_lon") + 0.02)).select("poi_id")
+    """Places in the city's box; those without a point stay."""
+    lat = F.when(F.col("poi_id") % 17 > 0, F.col("p_lat") + 0.02)
+    return pois(spark, sf_dir).where(lat.isNull() | geo.inside(L.CITY_BOX, lat, F.col("p_lon") + 0.02)).select("poi_id")
 
 
 @query(f"select poi_id, poi_id % 10 = 0 or {distance_sql('p_lat', 'p_lon', 'p_lat + (poi_id % 9) * 0.0005', 'p_lon')} <= 300 as may_move from {POIS_SQL}")

@@ -15,7 +15,7 @@ BUDGET_STOP = 1
 def queue_timestamp(c: Column) -> Column:
     """Milliseconds from a number, a number as text, or ISO text; null where it is none of these."""
     text = c.cast("string")
-    return F.coalesce(F.expr("null").cast("bigint"), text.try_cast("bigint"), F.unix_millis(F.try_to_timestamp(text)))
+    return F.coalesce(text.try_cast("bigint"), F.unix_millis(F.try_to_timestamp(text)))
 
 
 def harvest_queues(canonical: DataFrame, sources: DataFrame, ledger: DataFrame) -> dict[str, DataFrame]:
