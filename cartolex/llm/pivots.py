@@ -56,9 +56,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec
 
     Two vectors are linked when their cosine in double precision is at least ``threshold``; ``n_links`` counts the other
     rows linked directly, ``component_id`` is the smallest vec_id reached, ``kept`` says that it is the row's own.
-    Vectors that are null, empty, zero or hold null or non-finite components, those of another length than most, and rows
-    with a null id link with nothing (component_id is their own id). Repeated rows are linked copies of each other. Other
-    columns are not used; an empty table gives no rows.
+    Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id link with nothing
+    (component_id is their own id). Vectors of one length are compared with each other, by an index for each length.
+    Repeated rows are linked copies of each other. Other columns are not used; an empty table gives no rows.
 
     Equal vectors are one class. Pivots are picked in the order of seeded hashes, 2 * sqrt(classes) of them between the
     bounds above, so that no two lie within twice the threshold's angle: however many rows crowd a region, no more than one
@@ -68,22 +68,28 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec
     tiles, and two tiles meet in one task; a pair counts where its lowest common pivot is the list's. Tasks give numbers of
     links and a spanning forest, never the pairs.
     """
-    spark = vectors.sparkSession
     kind = vectors.schema[vec_id].dataType.simpleString()
     v = F.col(embedding)
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(vec_id).alias("id"), F.when(F.coalesce(fine, F.lit(False)), F.transform(v, lambda x: x.cast("double"))).alias("v"))
     good = rows.where("v is not null and id is not null")
-    dims = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     alone = lambda df: df.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    if not dims:
-        return alone(rows)
-    dim = dims["d"]
-    good = good.where(F.size("v") == dim)
+    out = alone(rows.where("v is null or id is null"))
+    for dim in [r["d"] for r in good.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]:
+        out = out.unionByName(_of_length(good.where(F.size("v") == dim), dim, kind, threshold, shared, described_by))
+    return out
+
+
+def _of_length(good: DataFrame, dim: int, kind: str, threshold: float, shared: int, described_by: int) -> DataFrame:
+    """The rows of ``near_vectors`` for vectors (id, v) of one length, by an index of their own."""
+    spark = good.sparkSession
     classes = cut(good.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("m")), "vectors")
     n = classes.count()
     k = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, 2 * n**0.5)))
-    sample = classes.orderBy(F.xxhash64(F.lit(7), "v"), "id").limit(DRAWN * k).toArrow()
+    # the classes of the smallest hashes, somewhat more than are drawn, so that no task sees more than its own rows
+    h = F.pmod(F.xxhash64(F.lit(7), "v"), F.lit(1 << 40))
+    sample = classes.select("v", "id", h.alias("h")).where(F.col("h") < int(min(1.0, 1.5 * DRAWN * k / max(1, n)) * (1 << 40))).toArrow()
+    sample = sample.take(np.argsort(sample["h"].to_numpy(), kind="stable")[: DRAWN * k])
     angle = float(np.arccos(min(1.0, max(-1.0, threshold))))
     pivots = _separated(_unit(_matrix(sample["v"].combine_chunks(), dim)), k, 2 * angle)
     ball = np.cos(min(np.pi, 3 * angle)) - 1e-9
@@ -148,5 +154,4 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec
     label = index.select("id", "m").join(counts, "id", "left").join(joined.select(F.col("u").alias("id"), F.col("v").alias("label")), "id", "left")
     label = label.select(F.col("id").alias("rep"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("label", "id").alias("component_id"))
     owner = good.join(classes.select("v", F.col("id").alias("rep")), "v").select("id", "rep")
-    out = owner.join(label, "rep").select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
-    return out.unionByName(alone(rows.where(f"v is null or id is null or size(v) <> {dim}")))
+    return owner.join(label, "rep").select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))

@@ -97,3 +97,27 @@ def test_top_k(spark, monkeypatch):
     few = spark.createDataFrame([(0, [1e30, 1.0], 0, None), (1, [1e30, 1.0], 0, None)], SCHEMA)
     assert [(r["query_id"], r["vec_id"], r["score"]) for r in topk.top_k_inner(few, few.where("vec_id = 0")).collect()] == [(0, 1, 2**63 - 1)]
     assert topk.top_k_inner(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_vectors_of_several_lengths(spark):
+    """Each length is searched by itself, whatever the share of its rows."""
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for dim, base, n in ((8, 0, 60), (5, 1000, 25), (1, 2000, 6)):
+        x = np.round(rng.normal(size=(n, dim)), 2) + 0.001
+        x[1] = x[0] * 2
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        links = (u @ u.T >= 0.95).sum(1) - 1
+        ints = [[math.floor(1024 * y) for y in v] for v in x.tolist()]
+        for i, v in enumerate(x.tolist()):
+            rows.append((base + i, v))
+            best = sorted((-sum(a * b for a, b in zip(ints[i], w, strict=True)), base + j) for j, w in enumerate(ints) if j != i)[:3]
+            want[base + i] = int(links[i]), [(-s, j) for s, j in best]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in pivots.near_vectors(df).collect()}
+    assert got == {i: w[0] for i, w in want.items()}
+    some = df.where("vec_id % 10 = 0")
+    found = {}
+    for r in topk.top_k_inner(df, some, k=3).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    assert found == {i: w[1] for i, w in want.items() if i % 10 == 0}
