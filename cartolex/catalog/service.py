@@ -173,6 +173,34 @@ def queue_drain(spark, sf_dir):
     return queue.drain_queue(q, props, offline, paid, searches_left=12)
 
 
+_EFFECTS_SQL = f"""(select *, case when step <> 'paid' then step when r > 12 then 'budget_stop' when property_id % 4 <> 1 then 'google' else 'rejected' end as outcome,
+  case when property_id % 10 <> 3 then 'ul. Nekoja ' || property_id % 6 end as address, case when property_id % 5 < 3 then 'building' else 'street' end as kind
+  from (select *, row_number() over (partition by step order by property_id) as r from {_DRAIN_SQL}))"""
+
+
+@query(f"""with e as (select e.*, l.landmark is not null and outcome not in ('orphan', 'no_address', 'budget_stop') as cached from {_EFFECTS_SQL} e left join (select property_id, name as landmark from {PROPERTIES_SQL} where property_id % 3 > 0) l using (property_id)),
+taught as (select count(*) as n from (select distinct address, kind from e where outcome = 'google') where not (kind = 'street' and address = 'ul. Nekoja 2'))
+select unnest(['processed', 'google_upgraded', 'offline_upgraded', 'landmark_cached', 'map_learned', 'geocode_rejected', 'budget_stopped', 'left_in_queue', 'patches', 'cached', 'learned', 'queue']) as name,
+  unnest([count(*) filter (outcome <> 'budget_stop'), count(*) filter (outcome = 'google'), count(*) filter (outcome = 'offline'), count(*) filter (cached), any_value(n), count(*) filter (outcome = 'rejected'), count(*) filter (outcome = 'budget_stop'), count(*) filter (outcome = 'budget_stop'),
+    count(*) filter (outcome in ('google', 'offline')), count(*) filter (cached), any_value(n), count(*) filter (outcome = 'budget_stop')])::bigint as n from e, taught""")
+def drain_commit(spark, sf_dir):
+    """The counters of a pass and how many rows each of its committed outputs has, read back from the version."""
+    u, k = F.col("user_id"), F.col("property_id")
+    q = table(spark, sf_dir, "events").select((u * 11).alias("property_id"), F.when(u % 3 == 0, "center_mismatch").otherwise("no_landmark").alias("reason")).distinct()
+    address = F.when(k % 10 != 3, F.concat(F.lit("ul. Nekoja "), (k % 6).cast("string")))
+    props = _props(spark, sf_dir).withColumnRenamed("id", "property_id").withColumn("address", address)
+    paid = q.select("property_id", F.lit(41.99).alias("g_lat"), F.lit(21.42).alias("g_lon"), (k % 4 != 1).alias("g_trusted"), (k % 5 < 3).alias("g_exact"))
+    ring = properties(spark, sf_dir).where(k % 3 > 0).select("property_id", F.lit(1).alias("slot"), F.col("name").alias("landmark"))
+    known = props.select(F.lit("ul. Nekoja 2").alias("address"), F.lit("street").alias("kind")).distinct()
+    effects = queue.drain_effects(q, props, _map(spark, sf_dir).withColumnRenamed("id", "property_id"), paid, ring, known, searches_left=12)
+    at = f"{queue_folder(spark)}/drain-{tempfile.mktemp(dir='')[1:]}"
+    queue.commit_drain(effects, at, 0)
+    counters = mapsink.read(spark, at, "counters").select(F.explode(F.create_map(*[x for c in queue.COUNTERS for x in (F.lit(c), F.col(c))])).alias("name", "n"))
+    for name in ("patches", "cached", "learned", "queue"):
+        counters = counters.unionByName(mapsink.read(spark, at, name).agg(F.lit(name).alias("name"), F.count("*").alias("n")))
+    return counters
+
+
 # --- captures
 
 @query("""with p as (select p_partkey as id, trim(p_name || case when p_partkey % 3 = 0 then '  ' else '' end) as name, p_partkey * 4294967311 as cid from part where p_partkey % 7 > 0 and p_partkey % 10 > 0)

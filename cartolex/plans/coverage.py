@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cartolex.functions import lexicon as L
 from cartolex.functions.geo import tile_key
 from cartolex.functions.text import house_number, street_key
+from cartolex.tables import running
 
 #: How a class is asked for.
 CATEGORY_NAMES = {"place_of_worship": "church", "townhall": "town hall", "theatre": "theater", "cinema": "movie theater", "fuel": "gas station", "atm": "ATM"}
@@ -85,9 +85,9 @@ def teach_plan(classified: DataFrame, cap: int | None = None) -> DataFrame:
     fed = F.arrays_overlap("origins", F.array(F.lit("feed"), F.lit("osm")))
     rank = F.when(F.col("class") == "unknown", 0).otherwise(1000) + F.when(fed, 0).otherwise(500)
     cost = F.when(F.col("class") == "unknown", 1).otherwise(F.size("numbers"))
-    # a plan is one ordered list: its length is that of the streets of one map
-    order = Window.orderBy("rank", "display", "key")
-    o = todo.withColumn("rank", rank).withColumn("cost", cost).withColumn("pos", F.row_number().over(order)).withColumn("spent", F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("cost"))
+    # no task sees the whole list
+    o = running(todo.withColumn("rank", rank).withColumn("cost", cost), ["rank", "display", "key"], "cost")
+    o = o.withColumn("pos", F.col("pos").cast("int")).withColumn("spent", F.col("spent") - F.col("cost"))
     if cap is not None:
         o = o.where(F.col("spent") < cap).withColumn("numbers", F.slice("numbers", 1, F.greatest(F.lit(0), F.lit(cap) - F.col("spent")).cast("int")))
     return o.select("pos", "key", F.col("display").alias("street"), "class", "numbers")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cartolex.functions import lexicon as L
 from cartolex.functions.geo import inside
+from cartolex.sources.mapsink import publish
+from cartolex.tables import cut, running
 
 BUDGET_STOP = 1
 
@@ -61,5 +62,47 @@ def drain_queue(queue: DataFrame, properties: DataFrame, offline: DataFrame, geo
 
 def budget_prefix(tasks: DataFrame, cap: int, cost: str = "cost", order: str = "pos") -> DataFrame:
     """Tasks in order while their running cost stays within the cap."""
-    run = F.sum(cost).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return tasks.withColumn("spent", run).where(F.col("spent") <= cap)
+    return running(tasks, [order], cost, "_place").drop("_place").where(F.col("spent") <= cap)
+
+
+#: What a drain counts, in the order of its report.
+COUNTERS = ("processed", "google_upgraded", "offline_upgraded", "landmark_cached", "map_learned", "geocode_rejected", "budget_stopped", "left_in_queue")
+
+
+def drain_effects(queue: DataFrame, properties: DataFrame, offline: DataFrame, geocoded: DataFrame, landmarks: DataFrame, known: DataFrame, searches_left: int, counted: Observation | None = None) -> dict[str, DataFrame]:
+    """All that one pass over a queue changes, from one plan: patches, learned, cached, queue, counters.
+
+    ``patches``: property_id, lat, lon, geo_source of rows that got a better point. ``learned``: address, lat, lon, kind (building
+    or street) that a paid answer taught the map, unless ``known`` (address, kind) has it; of rows with one address the one with
+    the smallest id. ``cached``: property_id, landmark, which every row that left the queue but orphans and those without an
+    address gets where ``landmarks`` (property_id, slot, landmark) has any. ``queue``: what stays, the rows that the budget
+    stopped. ``counters``: one row of COUNTERS; ``counted`` observes them as the outcomes are written.
+    ``geocoded`` has g_exact besides: whether the answer names the very building. The rest is as for ``drain_queue``.
+    """
+    told = drain_queue(queue, properties, offline, geocoded, searches_left)
+    facts = properties.select("property_id", "address").join(geocoded.select("property_id", "g_exact"), "property_id", "left")
+    facts = told.join(facts, "property_id", "left").join(queue.select("property_id", "reason"), "property_id")
+    first = landmarks.where("slot = 1").select("property_id", "landmark")
+    facts = facts.join(first, "property_id", "left").withColumn("landmark", F.when(~F.col("outcome").isin("orphan", "no_address", "budget_stop"), F.col("landmark")))
+    kind = F.when(F.col("outcome") == "google", F.when(F.coalesce("g_exact", F.lit(False)), "building").otherwise("street"))
+    facts = facts.withColumn("kind", kind).join(known.select("address", "kind").distinct().withColumn("_known", F.lit(True)), ["address", "kind"], "left")
+    taught = F.col("kind").isNotNull() & F.col("_known").isNull()
+    teacher = facts.where(taught).groupBy("address", "kind").agg(F.min("property_id").alias("property_id")).select("property_id", F.lit(True).alias("_taught"))
+    facts = facts.drop("_known").join(teacher, "property_id", "left").withColumn("taught", F.coalesce("_taught", F.lit(False))).drop("_taught")
+    n = lambda c: F.count_if(c)
+    is_ = lambda what: F.col("outcome") == what
+    counts = [n(~is_("budget_stop")), n(is_("google")), n(is_("offline")), n(F.col("landmark").isNotNull()), n(F.col("taught")), n(is_("rejected")), n(is_("budget_stop")), n(is_("budget_stop"))]
+    counts = [c.alias(name) for c, name in zip(counts, COUNTERS, strict=True)]
+    facts = cut(facts.observe(counted, *counts) if counted else facts, "drained")
+    return {
+        "patches": facts.where("outcome in ('google', 'offline')").select("property_id", "lat", "lon", "geo_source"),
+        "learned": facts.where("taught").select("address", "lat", "lon", "kind"),
+        "cached": facts.where("landmark is not null").select("property_id", "landmark"),
+        "queue": facts.where("outcome = 'budget_stop'").select("property_id", "reason"),
+        "counters": facts.agg(*counts),
+    }
+
+
+def commit_drain(effects: dict[str, DataFrame], path: str, base: int) -> int:
+    """All effects of a pass as one version: a reader sees the queue without what left it and the patches, or neither."""
+    return publish(effects, path, base)
