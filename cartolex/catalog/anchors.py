@@ -9,8 +9,9 @@ from cartolex.catalog.names import _CATEGORY
 from cartolex.catalog.registry import query
 from cartolex.catalog.search import _NEAR
 from cartolex.fixtures import POIS_SQL, PROPERTIES_SQL, distance_sql, pois, properties, table
+from cartolex.functions import lexicon as L
 from cartolex.functions.text import to_cyrillic
-from cartolex.operators import anchors, spatial
+from cartolex.operators import anchors, landmarks, spatial
 
 DETAILS = [
     (1, "Стан кај Сити Мол и спроти Воена болница. Близу до парк."), (2, "Во близина на Карпош 3, кај Капитол и Бит Пазар"), (3, "nothing is said"), (4, "Flat near City Mall and Central Park; opposite City Mall"),
@@ -64,3 +65,23 @@ j as (select list_filter(list_distinct(a.keys), lambda x: not list_contains(b.ke
 select x[1] as word, y[1] as canonical, count(*) as support from j where len(x) = 1 and len(y) = 1 and len(shared) > 0 group by all""")
 def variant_harvest(spark, sf_dir):
     return anchors.harvest_variants(_twins(spark, sf_dir))
+
+
+def _mixed(spark, sf_dir):
+    """Places of which a quarter are shops, some with a name of two characters."""
+    k = F.col("poi_id")
+    return pois(spark, sf_dir).withColumn("type", F.when(k % 4 == 0, "boutique").otherwise(F.col("type"))).withColumn("name", F.when(k % 9 == 0, F.substring("name", 1, 2)).otherwise(F.col("name")))
+
+
+_MIXED = f"(select * replace (case when poi_id % 4 = 0 then 'boutique' else type end as type, case when poi_id % 9 = 0 then name[1:2] else name end as name) from {POIS_SQL})"
+
+
+@query(f"""with near as materialized (select property_id, p.*, {S.type_rank('p.type')}::integer as rank, {distance_sql('c.lat', 'c.lon', 'p_lat', 'p_lon')} as d from {PROPERTIES_SQL} c join {_MIXED} p
+  on p_lat between c.lat - 1000 / 111000.0::double and c.lat + 1000 / 111000.0::double and p_lon between c.lon - 1000 / 82000.0::double and c.lon + 1000 / 82000.0::double where p.type not in ('yes', 'company', 'place', 'house')),
+reach as (select *, case when min(d) over w <= 150 then 150 when min(d) over w <= 400 then 400 else 1000 end as radius_m from near window w as (partition by property_id)),
+top as (select * from (select *, row_number() over (partition by property_id order by type in ('bus_station', 'tram_station', 'tram_stop'), rank desc, d, case when closed = 1 then -1.0 else log10(review_count + 1.0) + case when source = 'google' then 0.01 else 0 end end desc, name, poi_id) as rn
+  from reach where d <= radius_m) where rn <= 25),
+kept as (select * from (select *, bool_and(type = 'boutique') over (partition by property_id) as shops from top) where (type <> 'boutique' or shops) and length(name) >= 3)
+select property_id, name as landmark, type, poi_id, radius_m, floor(d + 0.5)::bigint as distance_m from (select *, row_number() over (partition by property_id order by case when rank >= {L.TYPE_RANKS['mall']} then 0 when rank >= {L.TYPE_RANKS['school']} then 1 else 2 end, rn) as best from kept) where best = 1""")
+def adaptive_landmark(spark, sf_dir):
+    return landmarks.adaptive_landmark(properties(spark, sf_dir), _mixed(spark, sf_dir))

@@ -8,7 +8,10 @@ from pyspark.sql.window import Window
 
 from cartolex.functions import lexicon as L
 from cartolex.functions.geo import distance_m, inside, rounded
-from cartolex.functions.text import house_number, spell_latin, street_key, to_latin
+from cartolex.functions.text import house_number, spell_latin, street_key, to_latin, type_rank
+from cartolex.operators.lookup import is_shop
+from cartolex.operators.spatial import nearest_pois
+from cartolex.tables import cut
 
 #: Metres: a stored centre against the map's building; a cached place; a claimed distance; a geocoded pin.
 MISMATCH_M, POISON_M, DRIFT_M, GUARD_M = 50.0, 200.0, 200.0, 500.0
@@ -156,3 +159,29 @@ def nearby_landmarks(ring: DataFrame, most: int = 3) -> DataFrame:
     first = ring.groupBy("property_id", "poi_name").agg(F.min("rn").alias("rn"))
     slot = F.row_number().over(Window.partitionBy("property_id").orderBy("rn"))
     return first.withColumn("slot", slot).where(F.col("slot") <= most).select("property_id", "slot", F.col("poi_name").alias("landmark"))
+
+
+#: Metres around a centre that are searched one after the other, and places that a search looks at.
+GROWING_M, LOOKED_AT = (150.0, 400.0, 1000.0), 25
+
+
+def adaptive_landmark(centres: DataFrame, pois: DataFrame, id_: str = "property_id") -> DataFrame:
+    """The landmark of each centre by a radius that grows where nothing was found: id_, landmark, type, poi_id, radius_m, distance_m.
+
+    Of the LOOKED_AT best places within the radius shops count only where nothing else does; the first that ranks as a mall or
+    above is taken, else the first from a school upwards, else the first of all; names of fewer than 3 characters never are.
+    A centre whose first radius with places has none that may be taken has no landmark. ``centres``: id_, lat, lon. ``pois``: as
+    for ``nearest_pois``. Each radius is searched by cells of its own width, and only for the centres that are still open.
+    """
+    todo, found = centres.select(id_, "lat", "lon"), None
+    for metres in GROWING_M:
+        got = cut(nearest_pois(todo, pois, metres, LOOKED_AT, id_).withColumn("radius_m", F.lit(int(metres))), "ring")
+        todo = todo.join(got.select(id_).distinct(), id_, "left_anti")
+        found = got if found is None else found.unionByName(got)
+    shop = F.coalesce(is_shop(F.col("poi_name"), F.col("poi_type")), F.lit(False))
+    found = found.withColumn("shop", shop)
+    places = found.groupBy(id_).agg(F.bool_and("shop").alias("_shops"))
+    tier = F.when(F.col("rank") >= L.TYPE_RANKS["mall"], 0).when(F.col("rank") >= L.TYPE_RANKS["school"], 1).otherwise(2)
+    kept = found.join(places, id_).where((~F.col("shop") | F.col("_shops")) & (F.length("poi_name") >= 3))
+    best = kept.groupBy(id_).agg(F.min_by(F.struct("poi_name", "poi_type", "poi_id", "radius_m", "distance_m"), F.struct(tier, "rn")).alias("b"))
+    return best.select(id_, F.col("b.poi_name").alias("landmark"), F.col("b.poi_type").alias("type"), "b.poi_id", "b.radius_m", "b.distance_m")
