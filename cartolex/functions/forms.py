@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cartolex.functions import lexicon as L
+from cartolex.functions.classes import without_article
 from cartolex.functions.text import _lookup, canonical_word_key, identity_tokens, spell_latin, to_cyrillic, to_latin
 
 # Words that ask, and name no place; Latin, as both scripts fold to it.
@@ -139,17 +140,10 @@ def embassy_name(c: Column) -> Column:
     return F.coalesce(*[F.when(country == stem, f"Embassy of {name}") for stem, name in EMBASSY_OF])
 
 
-def drop_article(word: Column) -> Column:
-    """A word without its article, as names have it; 4 letters or more stay."""
-    low = F.lower(word)
-    n = F.when(low.rlike("иот$"), 3).when(low.rlike("[аеиоу]т[оае]$"), 2).when(low.rlike(r"[^аеиоу\s]от$"), 2).otherwise(0)
-    return F.when(F.length(word) - n >= 4, F.left(word, F.length(word) - n)).otherwise(word)
-
-
 def school_forms(c: Column) -> Column:
     """Other ways to ask for a school, most faithful first: without articles, then with the noun that is left out."""
     base = F.trim(c)
-    bare = F.array_join(F.transform(F.split(base, r"\s+"), drop_article), " ")
+    bare = F.array_join(F.transform(F.split(base, r"\s+"), without_article), " ")
     words = F.split(bare, r"\s+")
     last = F.lower(to_cyrillic(F.element_at(words, -1)))
     stem = F.coalesce(*[F.when(last.startswith(s), full) for s, full in SCHOOL_STEMS])

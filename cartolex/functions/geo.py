@@ -84,6 +84,7 @@ def link_coords(url: Column) -> Column:
 def allowed_link(url: Column) -> Column:
     """A link that may be shown: a map host, no search, and a ``q=`` that is a pair of coordinates."""
     host = F.lower(F.regexp_extract(url, r"(?i)^https?://([^/?#:]+)", 1))
+    # fixed values: hosts of maps
     mapped = host.isin("maps.google.com", "www.google.com", "google.com", "maps.app.goo.gl", "goo.gl", "www.openstreetmap.org", "openstreetmap.org")
     search = url.rlike(r"(?i)/search|[?&]query=|[?&]api=1")
     q = F.regexp_extract(url, r"[?&]q=([^&#]*)", 1)

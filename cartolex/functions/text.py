@@ -65,9 +65,11 @@ def type_rank(c: Column) -> Column:
     return F.when(F.contains(t, F.lit(";")), F.array_max(F.transform(F.split(t, ";"), part))).otherwise(part(t))
 
 
+# What comes before a street's name, before a number and behind both.
 _STREET_PREFIX = r"(?iu)^(?:ул\.?|улица|бул\.?|булевар|пат|street|st\.?|boulevard|blvd|ave\.?|avenue)\s+"
 _NUMBER_WORD = r"(?siu)^(.*?)(?:^|\s)бр\.?\s*"
 _TRAILING = r"(?iu)\s+\d(?:[\s.\-/0-9а-яa-z]*[0-9а-яa-z])?\s*$"
+# Fixed value.
 #: The first house number; borders of words are those of ASCII letters and digits.
 HOUSE_NUMBER = r"(?i)(?<![A-Za-z0-9_])(\d+(?:[a-z](?![A-Za-z0-9_])|[а-яА-Я](?=[A-Za-z0-9_])|(?![A-Za-z0-9_])))"
 

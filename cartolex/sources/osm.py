@@ -1,9 +1,7 @@
-"""Map extracts and overrides to tables, and the map's sink."""
+"""Map extracts and overrides to tables."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,13 +79,6 @@ def heal_names(pois: DataFrame) -> DataFrame:
     return pois.select("poi_id", "name", clean_name(F.col("name")).alias("healed")).where("healed <> name")
 
 
-def write_map(table: DataFrame, path: str) -> str:
-    """Writes a new version beside the others and returns its folder; readers switch by the pointer that the caller keeps."""
-    at = f"{path.rstrip('/')}/v-{uuid.uuid4().hex}"
-    table.write.parquet(at)
-    return at
-
-
 def manifest_problems(files: DataFrame, stamp: DataFrame) -> DataFrame:
     """added, changed or missing files between two manifests (name, digest)."""
     j = files.select("name", F.col("digest").alias("a")).join(stamp.select("name", F.col("digest").alias("b")), "name", "full_outer")
