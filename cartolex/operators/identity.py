@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from cartolex.functions import lexicon as L
 from cartolex.functions.geo import distance_m, rounded, suspect_cell
 from cartolex.functions.text import identity_tokens, semantic_key
 from cartolex.operators.spatial import radius_join
+from cartolex.tables import cut, dealt
 
 #: Metres within which names of one token set, of a contained one, or two embassies of a country agree.
 TOKEN_M, SUBSET_M, EMBASSY_M = 120.0, 40.0, 200.0
@@ -38,21 +41,38 @@ def has_qualifier(name: Column) -> Column:
     return F.array_join(identity_tokens(name), " ").rlike(f"(?i){L.IDENTITY_QUALIFIERS}") | name.rlike(f"(?i){L.IDENTITY_QUALIFIERS}")
 
 
-def same_place_tier(a: Column, b: Column, metres: Column, id_a: Column, id_b: Column) -> Column:
-    """token, subset, embassy or none: how two names at a distance are the same place. ``id_*``: the row carries an id."""
-    ta, tb = F.array_distinct(identity_tokens(a)), F.array_distinct(identity_tokens(b))
+def name_traits(name: Column) -> Column:
+    """What names are compared by, as one struct; null names have null parts."""
+    tokens = F.array_distinct(identity_tokens(name))
+    return F.struct(tokens.alias("tokens"), has_qualifier(name).alias("qualified"), is_embassy(name).alias("embassy"), countries_in(tokens).alias("countries"))
+
+
+def traits_of(*names: DataFrame) -> DataFrame:
+    """name, traits: of each distinct name in the one column of the tables. The names are dealt out first, since a small file is one
+    task and a name's traits cost far more than its bytes; the table is written, so that no comparison works them out again."""
+    every = functools.reduce(DataFrame.unionByName, [n.toDF("name") for n in names]).where("name is not null").distinct()
+    return cut(dealt(every, "name").select("name", name_traits(F.col("name")).alias("traits")), "traits")
+
+
+def tier_of(a: Column, b: Column, metres: Column, id_a: Column, id_b: Column) -> Column:
+    """``same_place_tier`` of two names' traits."""
+    ta, tb = a["tokens"], b["tokens"]
     a_in_b, b_in_a = F.size(F.array_except(ta, tb)) == 0, F.size(F.array_except(tb, ta)) == 0
     smaller = F.when(F.size(ta) <= F.size(tb), ta).otherwise(tb)
     added = F.when(F.size(ta) <= F.size(tb), F.array_except(tb, ta)).otherwise(F.array_except(ta, tb))
     digits_only = (F.size(added) > 0) & F.forall(added, lambda t: t.rlike(r"^\d+$"))
     distinctive = F.exists(smaller, lambda t: F.length(t) >= 4)
-    qualified = has_qualifier(a) == has_qualifier(b)
-    ca, cb = countries_in(ta), countries_in(tb)
+    qualified = a["qualified"] == b["qualified"]
     subset = (a_in_b | b_in_a) & distinctive & (id_a != id_b) & qualified & ~digits_only & (metres <= SUBSET_M)
-    embassy = is_embassy(a) & is_embassy(b) & qualified & F.arrays_overlap(ca, cb) & (metres <= EMBASSY_M)
+    embassy = a["embassy"] & b["embassy"] & qualified & F.arrays_overlap(a["countries"], b["countries"]) & (metres <= EMBASSY_M)
     return F.when((F.size(ta) == 0) | (F.size(tb) == 0), "none").when(a_in_b & b_in_a & (metres <= TOKEN_M), "token").when(subset, "subset").when(embassy, "embassy").otherwise("none")
 
 
+def same_place_tier(a: Column, b: Column, metres: Column, id_a: Column, id_b: Column) -> Column:
+    """token, subset, embassy or none: how two names at a distance are the same place. ``id_*``: the row carries an id."""
+    return tier_of(name_traits(a), name_traits(b), metres, id_a, id_b)
+
+
 # --- suspects
 
 
@@ -208,8 +228,9 @@ def heal_places(osm: DataFrame, anchors: DataFrame, metres: float = TOKEN_M) ->
     ``metres``. Rows of one name and point agree with the same rows: each such set is compared once, by its smallest id."""
     o = osm.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).groupBy("name", "lat", "lon").agg(F.min("osm_id").alias("o"))
     a = anchors.where(F.col("p_lat").isNotNull() & F.col("p_lon").isNotNull()).groupBy("anchor_name", "p_lat", "p_lon").agg(F.min("anchor_id").alias("a"))
-    near = radius_join(o, a, metres)
-    pairs = near.where(same_place_tier(F.col("name"), F.col("anchor_name"), F.col("distance"), F.lit(False), F.lit(True)) != "none").select("o", "a", "distance").checkpoint()
+    traits = traits_of(o.select("name"), a.select("anchor_name"))
+    near = radius_join(o.join(traits, "name"), a.join(traits.toDF("anchor_name", "anchor_traits"), "anchor_name"), metres)
+    pairs = near.where(tier_of(F.col("traits"), F.col("anchor_traits"), F.col("distance"), F.lit(False), F.lit(True)) != "none").select("o", "a", "distance").checkpoint()
     return heal_alike(osm.join(o, ["name", "lat", "lon"]).select("osm_id", "o"), anchors.join(a, ["anchor_name", "p_lat", "p_lon"]).select("anchor_id", "a"), pairs)
 
 

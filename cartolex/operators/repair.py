@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from cartolex.functions import lexicon as L
 from cartolex.functions.geo import inside
 from cartolex.functions.text import identity_tokens, type_rank
-from cartolex.operators.identity import countries_in, has_qualifier, is_embassy, label_components, merge_decisions, survivor_key, suspect_pairs
+from cartolex.operators.identity import countries_in, label_components, merge_decisions, survivor_key, suspect_pairs, traits_of
 
 #: Fields that a dropped row gives to its survivor, as text.
 DONATED = ("phone", "website", "plus_code", "price_level", "types", "place_url", "place_id")
@@ -32,16 +32,18 @@ def tenant_absorbs_venue(anchor_type: Column, row_type: Column) -> Column:
     return (rank(anchor_type) >= venue) & (rank(row_type) < venue)
 
 
-def embassy_anchors(rows: DataFrame, anchors: DataFrame) -> DataFrame:
+def embassy_anchors(rows: DataFrame, anchors: DataFrame, traits: DataFrame | None = None) -> DataFrame:
     """For each embassy row (row_id, name) the one anchor (anchor_id, name, p_lat, p_lon) in the city of a country of its name,
     alike in being a residence or a consular section: row_id, anchor_id. Countries in the order in which they follow from the
-    name, the first with exactly one such anchor counts, unless the two names contradict each other."""
-    at = anchors.where(is_embassy(F.col("name")) & inside(L.CITY_BOX, F.col("p_lat"), F.col("p_lon")))
-    at = at.select("anchor_id", F.col("name").alias("anchor_name"), has_qualifier(F.col("name")).alias("q"), F.explode(countries_of(F.col("name"))).alias("country"))
-    one = at.groupBy("country", "q").agg(F.count("*").alias("n"), F.first("anchor_id").alias("anchor_id"), F.first("anchor_name").alias("anchor_name")).where("n = 1")
-    asked = rows.where(is_embassy(F.col("name"))).select("row_id", "name", has_qualifier(F.col("name")).alias("q"), F.posexplode(countries_of(F.col("name"))).alias("pos", "country"))
-    found = asked.join(one, ["country", "q"]).where(~contradict(F.col("name"), F.col("anchor_name")))
-    return found.groupBy("row_id").agg(F.min_by("anchor_id", "pos").alias("anchor_id"))
+    name, the first with exactly one such anchor counts. ``traits``: ``traits_of`` all names, where it is there already."""
+    # what a row's name says hangs on the name alone, so each distinct name is asked about once
+    traits = (traits or traits_of(rows.select("name"), anchors.select("name"))).where("traits.embassy").select("name", F.col("traits.qualified").alias("q"), F.col("traits.countries").alias("countries"))
+    at = anchors.where(inside(L.CITY_BOX, F.col("p_lat"), F.col("p_lon"))).join(traits, "name")
+    one = at.select("anchor_id", "q", F.explode("countries").alias("country")).groupBy("country", "q").agg(F.count("*").alias("n"), F.first("anchor_id").alias("anchor_id")).where("n = 1")
+    # names that share a country do not contradict each other
+    asked = traits.select("name", "q", F.posexplode("countries").alias("pos", "country"))
+    found = asked.join(one, ["country", "q"]).groupBy("name").agg(F.min(F.struct("pos", "anchor_id")).alias("b"))
+    return rows.join(found, "name").groupBy("row_id").agg(F.min("b").alias("b")).select("row_id", "b.anchor_id")
 
 
 def donations(members: DataFrame) -> DataFrame:

@@ -27,6 +27,12 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """The rows over as many tasks as shuffles have, by columns: for work that costs far more than its rows' bytes, which alone say how
+    many tasks read a file or follow a shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the JVM may have gone first
         at = spark._jvm.org.apache.hadoop.fs.Path(path)

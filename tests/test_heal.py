@@ -61,3 +61,13 @@ def test_one_name_with_very_many_rows(spark):
     lists = spark.createDataFrame([(0, 5, 1), (0, 6, 2), (0, 7, 3)], "o int, a long, turn int")
     got = sorted((r["osm_id"], r["a"]) for r in heal.settled(rows, lists, spark.createDataFrame([(5, 3), (6, 1), (7, 2)], "a long, room long")).collect())
     assert got == [(0, 5), (1, 5), (2, 5), (3, 6), (4, 7), (5, 7)]
+
+
+def test_rounds_do_not_grow_with_the_list(spark, monkeypatch):
+    """300 rows of one list of 60 sets take one round, not one for each set."""
+    rows = spark.range(300).select(F.col("id").alias("osm_id"), F.lit(0).alias("o"))
+    lists = spark.range(60).select(F.lit(0).alias("o"), F.col("id").alias("a"), (F.col("id") + 1).cast("int").alias("turn"))
+    made = []
+    monkeypatch.setattr(heal, "cut", lambda df, name, f=heal.cut: (made.append(name), f(df, name))[1])
+    got = {r["osm_id"]: r["a"] for r in heal.settled(rows, lists, spark.range(60).select(F.col("id").alias("a"), F.lit(2).alias("room"))).collect()}
+    assert got == {i: i // 2 for i in range(120)} and made.count("held") == 1, made
