@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -15,6 +16,11 @@ _SPELLED_FROM, _SPELLED_TO = L.letters(L.SPELLED)
 _CYRILLIC_FROM, _CYRILLIC_TO = L.letters(L.TO_CYRILLIC)
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _replaced(c: Column, pairs) -> Column:
     return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, c)
 

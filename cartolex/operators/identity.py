@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 
 from cartolex.functions import lexicon as L
 from cartolex.functions.geo import distance_m, rounded, suspect_cell
-from cartolex.functions.text import identity_tokens, semantic_key
-from cartolex.operators.spatial import radius_join
+from cartolex.functions.text import identity_tokens, once, semantic_key
+from cartolex.operators.spatial import radius_join, sphere_join
 from cartolex.tables import cut, dealt
 
 #: Metres within which names of one token set, of a contained one, or two embassies of a country agree.
@@ -28,9 +28,13 @@ def _words(values) -> Column:
 
 def countries_in(tokens: Column) -> Column:
     """Countries among tokens, with their other words."""
-    found = F.array_intersect(tokens, _words(L.COUNTRIES))
-    more = [F.when(F.arrays_overlap(found, _words([k, *v])), _words([k, *v])).otherwise(F.array().cast("array<string>")) for k, v in L.COUNTRY_ALIASES.items()]
-    return F.array_distinct(F.concat(found, *more))
+
+    def named(found: Column) -> Column:
+        more = [F.when(F.arrays_overlap(found, _words([k, *v])), _words([k, *v])).otherwise(F.array().cast("array<string>")) for k, v in L.COUNTRY_ALIASES.items()]
+        return F.array_distinct(F.concat(found, *more))
+
+    # bound once, since the tokens' own expression is long
+    return once(F.array_intersect(tokens, _words(L.COUNTRIES)), named)
 
 
 def is_embassy(name: Column) -> Column:
@@ -194,10 +198,14 @@ def place_upsert(rows: DataFrame, order: str = "seq") -> DataFrame:
 def geometry_twins(legacy: DataFrame, elements: DataFrame, metres: float = TWIN_M) -> DataFrame:
     """For each legacy row with exactly one element of its name and type within reach: adopt (the legacy row has no id),
     drop (equal ids or the element has none) or conflict. Both: poi_id, name, type, p_lat, p_lon, place_id."""
-    l = legacy.select(F.col("poi_id").alias("legacy_id"), plain_name(F.col("name")).alias("n"), F.col("type").alias("t"), F.col("p_lat").alias("la"), F.col("p_lon").alias("lo"), F.col("place_id").alias("lp"))
-    e = elements.select(F.col("poi_id").alias("element_id"), plain_name(F.col("name")).alias("n"), F.col("type").alias("t"), "p_lat", "p_lon", F.col("place_id").alias("ep"))
-    near = l.join(e, ["n", "t"]).where(distance_m(F.col("la"), F.col("lo"), F.col("p_lat"), F.col("p_lon")) <= metres)
-    one = near.groupBy("legacy_id").agg(F.count("*").alias("c"), F.first("element_id").alias("element_id"), F.first("lp").alias("lp"), F.first("ep").alias("ep")).where("c = 1")
+    # rows of one name, type and point see the same elements, and elements of one are many at once
+    here = ["name", "type", "lat", "lon"]
+    l = legacy.select(F.col("poi_id").alias("legacy_id"), "name", "type", F.col("p_lat").alias("lat"), F.col("p_lon").alias("lon"), F.col("place_id").alias("lp"))
+    plain = cut(dealt(legacy.select("name").unionByName(elements.select("name")).distinct(), "name").select("name", plain_name(F.col("name")).alias("n")), "plain")
+    alone = elements.join(plain, "name").groupBy("n", F.col("type").alias("t"), "p_lat", "p_lon").agg(F.count("*").alias("_c"), F.min(F.struct("poi_id", "place_id")).alias("_e"))
+    near = sphere_join(l.select(*here).distinct().join(plain, "name").withColumn("t", F.col("type")), alone, metres, ["n", "t"], wide=16.0)
+    one = near.groupBy(*here).agg(F.sum("_c").alias("c"), F.min("_e").alias("_e")).where("c = 1").select(*here, F.col("_e.poi_id").alias("element_id"), F.col("_e.place_id").alias("ep"))
+    one = l.join(one, here)
     fate = F.when(F.col("lp").isNotNull() & F.col("ep").isNull(), "adopted").when(F.col("lp").isNull() | (F.col("lp") == F.col("ep")), "dropped").otherwise("conflict")
     return one.select("legacy_id", "element_id", fate.alias("fate"))
 

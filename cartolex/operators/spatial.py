@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from cartolex.functions import lexicon as L
 from cartolex.functions.geo import EARTH_M, LAT_M, LON_M, distance_m, prominence, rounded
 from cartolex.functions.text import is_complex_name, norm_type, type_rank
+from cartolex.tables import cut
 
 
 def radius_join(left: DataFrame, right: DataFrame, metres: float, lat: str = "lat", lon: str = "lon", point: tuple[str, str] = ("p_lat", "p_lon")) -> DataFrame:
@@ -30,6 +31,26 @@ def radius_join(left: DataFrame, right: DataFrame, metres: float, lat: str = "la
     return l.join(r, ["_cx", "_cy"]).where(near).withColumn("distance", d).where(F.col("distance") <= metres).drop("_cx", "_cy")
 
 
+def sphere_join(left: DataFrame, right: DataFrame, metres: float, on: list[str], lat: str = "lat", lon: str = "lon", wide: float = 2.0) -> DataFrame:
+    """All pairs of equal columns ``on`` whose points are at most ``metres`` apart, wherever on the globe, with ``distance``; ``right``
+    has its point in p_lat, p_lon.
+
+    They meet in cells of space, ``wide`` radii across (2 at least): the right row in its own, the left row in those that its
+    radius touches, eight at most and hardly more than one where cells are wide.
+    """
+    r = metres * (1 + 1e-6) + 0.01
+    w = r * max(wide, 2.0)
+    level = lambda a: EARTH_M * F.cos(F.radians(F.col(a)))
+    space = lambda a, o: (level(a) * F.cos(F.radians(F.col(o))), level(a) * F.sin(F.radians(F.col(o))), EARTH_M * F.sin(F.radians(F.col(a))))
+    cells = [f"_cell{i}" for i in range(3)]
+    l = left.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    for name, x in zip(cells, space(lat, lon), strict=True):
+        l = l.withColumn(name, F.explode(F.array_distinct(F.array(F.floor((x - r) / w), F.floor((x + r) / w)))))
+    there = right.where(F.col("p_lat").isNotNull() & F.col("p_lon").isNotNull()).withColumns({n: F.floor(x / w) for n, x in zip(cells, space("p_lat", "p_lon"), strict=True)})
+    d = distance_m(F.col(lat), F.col(lon), F.col("p_lat"), F.col("p_lon"))
+    return l.join(there, [*on, *cells]).withColumn("distance", d).where(F.col("distance") <= metres).drop(*cells)
+
+
 def not_junk(kind: Column) -> Column:
     return ~norm_type(kind).isin(*L.JUNK_TYPES)
 
@@ -98,6 +119,26 @@ def nearest_of(asked: DataFrame, there: DataFrame, on: str, d: Column, *order: s
     return least.join(there, on).where(d == F.col("_least")).groupBy(*asked.columns).agg(F.min(F.struct(*order)).alias("b"))
 
 
+#: Metres around a centre that are searched one after the other for the nearest point of a name, before all of them are.
+GROWING_M = (60.0, 500.0, 4000.0)
+
+
+def nearest_named(asked: DataFrame, there: DataFrame, on: str, lat: str, lon: str, *order: str | Column) -> DataFrame:
+    """``nearest_of`` by points: distinct asked rows (on, lat, lon) and ``b``, the struct of ``distance`` and ``order`` of the nearest of
+    ``there`` (on, p_lat, p_lon). A ring is searched for those alone that had nothing in the one before; without a centre all
+    points are as far (0)."""
+    best, todo = None, asked
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in asked.columns]
+    for metres in GROWING_M:
+        got = sphere_join(todo, there, metres, [on], lat, lon).groupBy(*asked.columns).agg(F.min(F.struct("distance", *order)).alias("b"))
+        tried = cut(todo.alias("l").join(got.alias("r"), same, "left").select(*[f"l.{c}" for c in asked.columns], "r.b"), "ring")
+        got, todo = tried.where("b is not null"), tried.where("b is null").drop("b")
+        best = got if best is None else best.unionByName(got)
+    d = F.coalesce(distance_m(F.col(lat), F.col(lon), F.col("p_lat"), F.col("p_lon")), F.lit(0.0))
+    last = todo.join(there, on).groupBy(*asked.columns).agg(F.min(F.struct(d.alias("distance"), *order)).alias("b"))
+    return best.unionByName(last)
+
+
 def area_at(points: DataFrame, areas: DataFrame, id_: str = "property_id", metres: float = 2500.0) -> DataFrame:
     """The nearest area within reach. ``areas``: poi_id, name, p_lat, p_lon."""
     return nearest_one(points, areas, metres, id_, ["poi_id", "name"])
