@@ -15,6 +15,7 @@ from cartolex.functions import lexicon as L
 from cartolex.functions.text import street_key, type_rank
 from cartolex.operators import evidence, identity, imports, lookup, repair, spatial
 from cartolex.sources import archive
+from cartolex.tables import cut, dealt
 
 _HOLDS = "case " + " ".join(f"when contains({{0}}, {S.q(k)}) then {S.q(v)}" for k, v in L.SCRAPED_TYPES.items()) + " else 'other' end"
 #: Scraped types: those of captures, and each class with a word around it.
@@ -150,7 +151,9 @@ def cross_distances(spark, sf_dir):
     k = F.col("property_id")
     text = F.when(k % 4 == 0, F.concat(F.lit("ul. Nation_"), (k % 30).cast("string"), F.lit(" 5"))).when(k % 4 == 1, "Bolt").when(k % 4 == 2, "gear!").otherwise("axe")
     asked = properties(spark, sf_dir).select(k.alias("id"), text.alias("query"), "lat", "lon")
-    a = addresses(spark, sf_dir).select(street_key(F.col("street")).alias("key"), "lat", "lon")
+    a = addresses(spark, sf_dir).select("street", "lat", "lon").distinct()
+    keys = cut(dealt(a.select("street").distinct(), "street").select("street", street_key(F.col("street")).alias("key")), "keys")
+    a = a.join(keys, "street").select("key", "lat", "lon")
     out = evidence.cross_distances(asked, a, pois(spark, sf_dir))
     return out.select("id", F.floor(F.col("street_distance_m") + 0.5).alias("street_m"), F.floor(F.col("poi_distance_m") + 0.5).alias("poi_m"))
 
@@ -175,9 +178,14 @@ _MISSIONS_SQL = "(select * from (values " + ", ".join(f"({i}, {S.q(n)})" for i,
 @query(f"""with a as (select s, {_countries_sql('s')} as c from (select s from {NAMES_SQL} union select 'Embassy of ' || unnest([{', '.join(map(S.q, L.COUNTRIES))}]))), b as (select i, {_countries_sql('m')} as d from {_MISSIONS_SQL})
 select s, i, len(c) > 0 and len(d) > 0 and not list_has_any(c, d) as contradict from a cross join b where len(c) > 0""")
 def country_contradictions(spark, sf_dir):
-    every = names(spark, sf_dir).unionByName(spark.createDataFrame([("Embassy of " + c,) for c in L.COUNTRIES], "s string")).distinct().where(F.size(repair.countries_of(F.col("s"))) > 0)
-    missions = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("m")) for i, n, _, _ in MISSIONS]))  # a stated set against all rows
-    return every.select("s", missions.alias("x")).select("s", "x.i", repair.contradict(F.col("s"), F.col("x.m")).alias("contradict"))
+    every = names(spark, sf_dir).unionByName(spark.createDataFrame([("Embassy of " + c,) for c in L.COUNTRIES], "s string")).distinct()
+    # countries once for each name and not again for each of the stated set. Names are written first: a filter on what follows from
+    # them would go down to the scans, to every word of every text and to one task where a table is a small file
+    every = cut(dealt(every, "s"), "names")
+    c = repair.countries_of(F.col("s"))
+    every = every.select("s", c.alias("c")).where(F.size("c") > 0)
+    missions = spark.createDataFrame([(i, n) for i, n, _, _ in MISSIONS], "i int, m string").select("i", repair.countries_of(F.col("m")).alias("d"))
+    return every.crossJoin(F.broadcast(missions)).select("s", "i", ((F.size("d") > 0) & ~F.arrays_overlap("c", "d")).alias("contradict"))
 
 
 @query(f"""with t as (select distinct type from {RAW_KINDS_SQL}) select a.type as anchor_type, b.type as row_type, {S.type_rank('a.type')} >= 5 and {S.type_rank('b.type')} < 5 as vetoed from t a, (select unnest([{', '.join(map(S.q, L.TYPE_RANKS))}]) as type) b""")
