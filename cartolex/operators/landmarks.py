@@ -8,10 +8,10 @@ from pyspark.sql.window import Window
 
 from cartolex.functions import lexicon as L
 from cartolex.functions.geo import distance_m, inside, rounded
-from cartolex.functions.text import house_number, spell_latin, street_key, to_latin, type_rank
+from cartolex.functions.text import house_number, once, spell_latin, street_key, to_latin, type_rank
 from cartolex.operators.lookup import is_shop
 from cartolex.operators.spatial import nearest_pois
-from cartolex.tables import cut
+from cartolex.tables import cut, dealt
 
 #: Metres: a stored centre against the map's building; a cached place; a claimed distance; a geocoded pin.
 MISMATCH_M, POISON_M, DRIFT_M, GUARD_M = 50.0, 200.0, 200.0, 500.0
@@ -140,17 +140,20 @@ def assess_geocode(answers: DataFrame) -> DataFrame:
 
     ``answers``: query, lat, lon, title, address, street_distance_m, poi_distance_m (of the map's own rows, null: none).
     """
+    # what texts say of each other is worked out once for each distinct three of them, by as many tasks as there are
+    texts = ["query", "title", "address"]
     words = F.trim(F.concat_ws(" ", "title", "address"))
     line = F.trim(F.get(F.split(F.coalesce("address", F.lit("")), ","), F.lit(0)))
-    tokens = query_tokens(F.col("query"))
-    texts = F.array(norm_line(words), F.trim(F.regexp_replace(F.lower(spell_latin(words)), r"[^a-z0-9]+", " ")))
-    agree = (F.size(tokens) == 0) | F.exists(tokens, lambda t: F.exists(texts, lambda x: F.contains(x, t)))
+    both = F.array(norm_line(words), F.trim(F.regexp_replace(F.lower(spell_latin(words)), r"[^a-z0-9]+", " ")))
+    held = once(both, lambda b: once(query_tokens(F.col("query")), lambda tokens: (F.size(tokens) == 0) | F.exists(tokens, lambda t: F.exists(b, lambda x: F.contains(x, t)))))
+    num = once(house_number(sanitize_query(F.col("query"))), lambda n: (n != "") & (n == house_number(line)))
+    said = dealt(answers.select(*texts).distinct(), *texts).select(*[F.col(c).alias(f"_{c}") for c in texts], (words == "").alias("_empty"), is_area_line(line).alias("_area"), held.alias("_agree"), num.alias("_same"))
     reason = (
-        F.when(F.col("lat").isNull() | F.col("lon").isNull(), "no_evidence").when(~inside(L.CITY_BOX, F.col("lat"), F.col("lon")), "outside_bbox").when(words == "", "no_evidence")
-        .when(is_area_line(line) & ~agree, "area_level_result").when(~agree, "query_mismatch").when(F.col("street_distance_m") > GUARD_M, "street_disagreement").when(F.col("poi_distance_m") > GUARD_M, "poi_disagreement").otherwise("ok")
+        F.when(F.col("lat").isNull() | F.col("lon").isNull(), "no_evidence").when(~inside(L.CITY_BOX, F.col("lat"), F.col("lon")), "outside_bbox").when(F.col("_empty"), "no_evidence")
+        .when(F.col("_area") & ~F.col("_agree"), "area_level_result").when(~F.col("_agree"), "query_mismatch").when(F.col("street_distance_m") > GUARD_M, "street_disagreement").when(F.col("poi_distance_m") > GUARD_M, "poi_disagreement").otherwise("ok")
     )
-    num = house_number(sanitize_query(F.col("query")))
-    return answers.withColumn("reason", reason).withColumn("trusted", F.col("reason") == "ok").withColumn("exact_building", F.col("trusted") & (num != "") & (num == house_number(line)))
+    judged = answers.join(said, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in texts]).withColumn("reason", reason).withColumn("trusted", F.col("reason") == "ok")
+    return judged.withColumn("exact_building", F.col("trusted") & F.col("_same")).select(*answers.columns, "reason", "trusted", "exact_building")
 
 
 def nearby_landmarks(ring: DataFrame, most: int = 3) -> DataFrame:
