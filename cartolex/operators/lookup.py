@@ -10,7 +10,8 @@ from cartolex.functions import lexicon as L
 from cartolex.functions.classes import is_property_word, word_forms
 from cartolex.functions.geo import distance_m
 from cartolex.functions.text import ascii_lower, canonical_word_key, edit_within_one, identity_key, norm_type, phonetic_keys, spell_latin, to_cyrillic, to_latin
-from cartolex.operators.spatial import nearest_of
+from cartolex.operators.spatial import nearest_named, sphere_join
+from cartolex.tables import cut
 
 
 def fold(c: Column) -> Column:
@@ -139,15 +140,14 @@ def find_anchors(words: DataFrame, pois: DataFrame, most_m: float = 900.0) -> Da
     """A place word near a centre: word_id, form, name, poi_id, distance_m. ``words``: word_id, word, lat, lon.
 
     The word's forms in their order; the first whose best name has a row within reach counts, with its nearest row. Distinct
-    words at distinct centres meet the distinct points of a name."""
+    words at distinct centres meet the distinct points of a name in cells."""
     here = ["word", "lat", "lon"]
     spoken = words.select("word").distinct().select("word", F.posexplode(word_forms(F.col("word"))).alias("pos", "form"))
     asked = spoken.select("form").distinct()
     best = find_poi_by_name(asked.select(F.col("form").alias("needle_id"), F.col("form").alias("text")), pois.select("name").distinct()).select(F.col("needle_id").alias("form"), "name")
     at = pois.groupBy("name", "p_lat", "p_lon").agg(F.min("poi_id").alias("poi_id"))
     meant = spoken.join(best, "form").join(at, "name")
-    j = words.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(*here).distinct().join(meant, "word")
-    j = j.withColumn("d", distance_m(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))).where(F.floor(F.col("d") + 0.5) <= most_m)
+    j = sphere_join(words.select(*here).distinct(), meant, most_m + 1, ["word"]).withColumnRenamed("distance", "d").where(F.floor(F.col("d") + 0.5) <= most_m)
     one = j.groupBy(*here).agg(F.min(F.struct("pos", "d", "poi_id", "form", "name")).alias("b"))
     return words.select("word_id", *here).join(one, here).select("word_id", "b.form", "b.name", "b.poi_id", F.floor(F.col("b.d") + 0.5).alias("distance_m"))
 
@@ -158,7 +158,7 @@ def settlements_named(needles: DataFrame, areas: DataFrame) -> DataFrame:
     needle's words and no more, then the nearest, then the shortest.
 
     Distinct texts meet distinct names on the needle's first word; which names are the best of a text does not hang on its
-    centre, and only their distinct points are measured, from distinct centres."""
+    centre, and only their distinct points are sought, in rings around distinct centres."""
     n = needles.select("text").distinct().select("text", phonetic_keys(F.col("text")).alias("q")).where(F.size("q") > 0).withColumn("w", F.get("q", F.lit(0)))
     a = areas.select("name").distinct().select("name", phonetic_keys(F.col("name")).alias("r")).withColumn("w", F.explode(F.array_distinct("r")))
     j = n.join(a, "w").where(F.size(F.array_except("q", "r")) == 0)
@@ -166,6 +166,6 @@ def settlements_named(needles: DataFrame, areas: DataFrame) -> DataFrame:
     named = j.withColumn("_rank", F.rank().over(Window.partitionBy("text").orderBy(fit))).where("_rank = 1").select("text", "name")
     at = areas.groupBy("name", "p_lat", "p_lon").agg(F.min("poi_id").alias("poi_id"))
     here = ["text", "center_lat", "center_lon"]
-    d = F.coalesce(distance_m(F.col("center_lat"), F.col("center_lon"), F.col("p_lat"), F.col("p_lon")), F.lit(0.0))
-    best = nearest_of(needles.select(*here).distinct(), named.join(at, "name"), "text", d, F.length("name").alias("l"), "name", "poi_id").select(*[F.col(c).alias(f"_{c}") for c in here], "b")
+    asked, there = cut(needles.select(*here).distinct(), "asked"), cut(named.join(at, "name").withColumn("l", F.length("name")), "areas")
+    best = nearest_named(asked, there, "text", "center_lat", "center_lon", "l", "name", "poi_id").select(*[F.col(c).alias(f"_{c}") for c in here], "b")
     return needles.join(best, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in here]).select("needle_id", "b.poi_id", "b.name")
