@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolex.functions.geo import distance_m
 from cartolex.functions.text import norm_name, street_key
+from cartolex.operators.spatial import nearest_named
+from cartolex.tables import cut
 
 _PLACE = "struct<title:string,address:string,gps_coordinates:struct<latitude:double,longitude:double>>"
 PAYLOAD = f"local_results array<{_PLACE}>, place_results {_PLACE}"
@@ -29,21 +30,21 @@ def cross_distances(answers: DataFrame, addresses: DataFrame, pois: DataFrame) -
 
     ``addresses``: key, lat, lon. ``pois``: name, p_lat, p_lon. Streets meet on their key. Queries of LEAST letters or more
     meet distinct names on the query's first LEAST letters, which every name that holds it has; the rest is then compared.
-    Distinct queries at distinct points meet the distinct points of a street or of the names that hold them.
+    Distinct queries at distinct points look for the distinct points of a street, or of the names that hold them, in rings.
     """
     here = ["query", "lat", "lon"]
-    asked = answers.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(*here).distinct()
+    asked = cut(answers.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(*here).distinct(), "asked")
     asked_for = answers.select("query").distinct().select("query", street_key(F.col("query")).alias("key"), norm_name(F.col("query")).alias("needle"))
-    d = distance_m(F.col("lat"), F.col("lon"), F.col("a_lat"), F.col("a_lon"))
-    at = addresses.select("key", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon")).distinct()
+    at = addresses.select("key", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")).distinct()
     streets = asked_for.where("key <> ''").select("query", "key")
-    street = asked.join(streets, "query").join(at, "key").groupBy(*here).agg(F.min(d).alias("street_distance_m"))
-    named = pois.select("name", F.col("p_lat").alias("a_lat"), F.col("p_lon").alias("a_lon")).distinct()
+    least = lambda there, c: nearest_named(asked, there, "query", "lat", "lon").select(*here, F.col("b.distance").alias(c))
+    street = least(cut(streets.join(at, "key").select("query", "p_lat", "p_lon"), "streets"), "street_distance_m")
+    named = pois.select("name", "p_lat", "p_lon").distinct()
     norms = pois.select("name").distinct().select("name", norm_name(F.col("name")).alias("norm"))
     heads = norms.select("norm").distinct().where(F.length("norm") >= LEAST)
     heads = heads.withColumn("head", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("norm") - (LEAST - 1)), lambda i: F.substring(F.col("norm"), i, F.lit(LEAST))))))
     needles = asked_for.where(F.length("needle") >= LEAST).select("query", "needle").withColumn("head", F.substring("needle", 1, LEAST))
     holds = needles.join(heads, "head").where(F.col("norm").contains(F.col("needle"))).select("query", "norm").distinct()
-    held = holds.join(norms, "norm").join(named, "name").select("query", "a_lat", "a_lon").distinct()
-    poi = asked.join(held, "query").groupBy(*here).agg(F.min(d).alias("poi_distance_m"))
+    held = holds.join(norms, "norm").join(named, "name").select("query", "p_lat", "p_lon").distinct()
+    poi = least(cut(held, "named"), "poi_distance_m")
     return answers.select("id", *here).join(street, here, "left").join(poi, here, "left").select("id", "street_distance_m", "poi_distance_m")
