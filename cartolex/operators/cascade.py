@@ -9,9 +9,10 @@ from pyspark.sql.window import Window
 from cartolex.functions import forms
 from cartolex.functions import lexicon as L
 from cartolex.functions.classes import is_property_word, market_form
-from cartolex.functions.geo import LAT_M, LON_M, distance_m
+from cartolex.functions.geo import distance_m
 from cartolex.functions.text import canonical_word_key, edit_within_one, identity_key, norm_type, phonetic_keys, spell_latin, to_cyrillic, to_latin, type_rank
 from cartolex.operators.lookup import holders, is_shop, opener_off, place_category, shortened, word_hit
+from cartolex.operators.spatial import GROWING_M, nearest_named, sphere_join
 from cartolex.tables import cut
 
 # Kinds of rows that step aside for the place that they belong to, or are never one.
@@ -29,6 +30,8 @@ BUILDINGS = r"residential|apartment|^yes$|^place$|building|^house$|construction|
 LOCAL_M = 1000.0
 #: Letters from which a needle is long enough for guesses.
 GUESSED_FROM = 5
+#: Columns of a candidate: ``ask`` is what it was found for, ``k`` what comes before distance in the pass's order.
+FOUND = ["ask", "pass", "k", "name", "type"]
 PASSES = ("words", "short", "tokens", "phonetic", "typo", "variant", "shop")
 
 
@@ -114,57 +117,65 @@ def same_class(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.col("a_cat").isNull() | F.col("cat").isNull() | (F.col("a_cat") == F.col("cat")))
 
 
-def nearest_rows(group: DataFrame, points: DataFrame, first: int = 1) -> DataFrame:
-    """Of each ask's rows the ``first`` by distance, or by the name's length without a centre; then length, name, type, id.
+def told(asks: DataFrame) -> DataFrame:
+    """The asks (ask, text, c_lat, c_lon) with ``say``: the text and whether it has a centre, all that the names it means hang on but
+    for stops and slips. Passes run over distinct says, which need no more columns than asks."""
+    return cut(asks.select("ask", "text", "c_lat", "c_lon", F.to_json(F.struct("text", F.col("c_lat").isNull().alias("free"))).alias("say")), "told")
 
-    ``group``: ask, c_lat, c_lon, name, type. ``points``: name, type, p_lat, p_lon, poi_id, n (rows of the point). Asks with a centre
-    look for their names in cells around it, and in a wider ring, before they measure all points of a name."""
-    key = ["ask", "c_lat", "c_lon", "name", "type"]
-    group = cut(group.select(*key).distinct(), "asked")
 
-    def best(pairs: DataFrame, order: Column) -> DataFrame:
-        # a point's further rows stand right behind its first
-        pairs = pairs.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("n").cast("int"), F.lit(first)))))
-        rn = F.row_number().over(Window.partitionBy("ask").orderBy(order, F.length("name"), "name", F.coalesce("type", F.lit("")), "poi_id", "copy"))
-        return pairs.withColumn("d", order).withColumn("rn", rn).where(F.col("rn") <= first).select("ask", "rn", "d", "name", "type", "poi_id", "p_lat", "p_lon")
+def says_of(asked: DataFrame) -> DataFrame:
+    """Each say once, in the form of an ask."""
+    some = lambda c: F.when(F.col("c_lat").isNotNull(), 0.0).alias(c)
+    return asked.select(F.col("say").alias("ask"), "text", some("c_lat"), some("c_lon")).distinct()
 
-    on = [F.col("name") == F.col("_name"), F.col("type").eqNullSafe(F.col("_type"))]
+
+def points_named(top: DataFrame, points: DataFrame) -> DataFrame:
+    """Points of the names that each say means (ask, name, type): say and the columns of ``points``. Files of few different texts are
+    far smaller than their rows, so that their size must not decide what is broadcast."""
     there = points.withColumnsRenamed({"name": "_name", "type": "_type"})
-    named = there.groupBy("_name", "_type").agg(F.min_by(F.struct("p_lat", "p_lon", "poi_id"), F.col("poi_id")).alias("p"), F.sum("n").alias("n")).select("_name", "_type", "p.*", "n")
-    out = best(group.where("c_lat is null").join(named, on), F.length("name").cast("double"))
-    todo = group.where("c_lat is not null")
-    d = distance_m(F.col("c_lat"), F.col("c_lon"), F.col("p_lat"), F.col("p_lon"))
-    for metres in (500.0, 4000.0, None):
-        if metres:
-            a, b = metres / LAT_M, metres / LON_M
-            around = F.explode(F.array(*[F.struct((F.floor(F.col("c_lat") / a) + i).alias("x"), (F.floor(F.col("c_lon") / b) + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-            cells = there.withColumn("_x", F.floor(F.col("p_lat") / a)).withColumn("_y", F.floor(F.col("p_lon") / b))
-            pairs = todo.withColumn("_c", around).join(cells, [*on, F.col("_c.x") == F.col("_x"), F.col("_c.y") == F.col("_y")]).where(d <= metres * 0.95)
-            got = best(pairs, d)
-            done = got.where(F.col("rn") == first).select("ask")
-            out = out.unionByName(got.join(done, "ask", "left_semi"))
-            todo = todo.join(done, "ask", "left_anti")
-        else:
-            out = out.unionByName(best(todo.join(there, on), d))
-    return out
+    meant = top.select(F.col("ask").alias("say"), "name", "type").distinct()
+    return meant.hint("merge").join(there, (F.col("name") == F.col("_name")) & F.col("type").eqNullSafe(F.col("_type"))).drop("_name", "_type")
+
+
+def nearest_rows(top: DataFrame, asked: DataFrame, points: DataFrame) -> DataFrame:
+    """Of the rows that an ask's say means the nearest, or the one of the shortest name without a centre; then length, name, type, id.
 
+    ``top``: ask (a say), name, type. ``asked``: ask, say, c_lat, c_lon. ``points``: name, type, p_lat, p_lon, poi_id, n. Of a say's rows
+    at one point only the first can count; the points are searched in growing rings around the centres."""
+    row = F.struct(F.length("name").alias("l"), "name", F.coalesce("type", F.lit("")).alias("t"), "poi_id", "type", "p_lat", "p_lon")
+    there = cut(points_named(top, points).groupBy("say", "p_lat", "p_lon").agg(F.min(row).alias("r")), "there")
+    best = nearest_named(asked.select("ask", "say", "c_lat", "c_lon"), there.hint("merge"), "say", "c_lat", "c_lon", "r")
+    d = F.when(F.col("c_lat").isNull(), F.col("b.r.l").cast("double")).otherwise(F.col("b.distance"))
+    return best.select("ask", "say", d.alias("d"), *[f"b.r.{c}" for c in ("name", "type", "poi_id", "p_lat", "p_lon")])
 
-def pruned(hits: DataFrame, points: DataFrame) -> DataFrame:
+
+def pruned(hits: DataFrame, asked: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The hits that are left where each kind of row steps aside if another is there: shops for places, stops for places (with a
-    centre only for one within LOCAL_M), service points, homes. ``dropped``: shops of asks that have nothing else.
+    centre only for one within LOCAL_M), service points, homes. ``dropped``: shops of says that have nothing else.
 
-    The kinds that an ask's hits have are at most eight; they say what stays, for all of its hits."""
+    The kinds that a say's hits have are at most eight; they say what stays, for all of its hits. Where it hangs on a place
+    within LOCAL_M, the asks with one go on with a say of their own: their table comes second."""
     kinds = F.struct("stop", "service", "home")
     places = hits.where("not shop")
-    at = places.where("not stop and c_lat is not null")
-    near = nearest_rows(at, points).where(F.col("d") <= LOCAL_M).select("ask", F.lit(True).alias("near"))
-    seen = places.groupBy("ask").agg(F.collect_set(kinds).alias("all"), F.first(F.col("c_lat").isNull()).alias("free"), F.first(F.col("clean").rlike(ASKS_STOP)).alias("asks_stop")).join(near, "ask", "left")
+    seen = places.groupBy("ask").agg(F.collect_set(kinds).alias("all"), F.first(F.col("c_lat").isNull()).alias("free"), F.first(F.col("clean").rlike(ASKS_STOP)).alias("asks_stop"))
+    split = ~F.col("free") & ~F.col("asks_stop") & F.exists("all", lambda k: k["stop"]) & F.exists("all", lambda k: ~k["stop"])
+    seen = cut(seen.withColumn("split", split), "kinds")
+    torn = seen.where("split").select("ask")
+    there = cut(points_named(places.where("not stop").join(torn, "ask", "left_semi"), points).select("say", "p_lat", "p_lon").distinct(), "local").hint("merge")
+    todo, near = asked.join(torn.withColumnRenamed("ask", "say"), "say", "left_semi").select("ask", "say", "c_lat", "c_lon"), None
+    for metres in (*[m for m in GROWING_M if m < LOCAL_M], LOCAL_M):
+        got = cut(sphere_join(todo, there, metres, ["say"], "c_lat", "c_lon").select("ask").distinct(), "near")
+        near, todo = got if near is None else near.unionByName(got), todo.join(got, "ask", "left_anti")
+    own = F.concat(F.lit("near "), F.col("say"))
+    asked = cut(asked.join(near.withColumn("_near", F.lit(True)), "ask", "left").withColumn("say", F.when(F.col("_near"), own).otherwise(F.col("say"))).drop("_near"), "told")
+
     less = lambda c, keep: F.when(F.exists(c, keep), F.filter(c, keep)).otherwise(c)
-    apart = ~F.col("asks_stop") & (F.col("free") | F.coalesce("near", F.lit(False)))
-    left = F.when(apart, less(F.col("all"), lambda k: ~k["stop"])).otherwise(F.col("all"))
+    each = seen.withColumn("near", F.explode(F.when(F.col("split"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    left = F.when(~F.col("asks_stop") & (F.col("free") | F.col("near")), less(F.col("all"), lambda k: ~k["stop"])).otherwise(F.col("all"))
     left = less(less(left, lambda k: ~k["service"]), lambda k: ~k["home"])
-    kept = hits.join(seen.select("ask", left.alias("_left")), "ask", "left")
-    return kept.where(F.col("_left").isNull() | (~F.col("shop") & F.array_contains("_left", kinds))).withColumn("dropped", F.col("_left").isNull()).drop("_left")
+    kept = hits.join(each.select("ask", "near", left.alias("_left")), "ask", "left").withColumn("ask", F.when(F.col("near"), F.concat(F.lit("near "), "ask")).otherwise(F.col("ask")))
+    kept = kept.where(F.col("_left").isNull() | (~F.col("shop") & F.array_contains("_left", kinds))).withColumn("dropped", F.col("_left").isNull())
+    return cut(kept.drop("_left", "near"), "left"), asked
 
 
 def whole_name(said: Column, name: Column) -> Column:
@@ -226,19 +237,20 @@ def typo_candidates(a: DataFrame, f: DataFrame) -> DataFrame:
 def ranked_lookup(needles: DataFrame, rows: DataFrame) -> DataFrame:
     """The place whose name holds a needle at a word, after each kind has stepped aside, by the seven keys of its order:
     needle_id, name, type, poi_id. Needles that only shops hold find none here."""
-    asks = needles.select("text", "c_lat", "c_lon").distinct().withColumn("ask", F.to_json(F.struct("text", "c_lat", "c_lon")))
-    f, points, a = cut(place_features(rows), "features"), points_of(rows), cut(ask_features(asks), "asks")
+    asked, f, points = told(asks_of(needles)), cut(place_features(rows), "features"), points_of(rows)
+    a = cut(ask_features(says_of(asked)), "asks")
     hits = cut(same_class(aligned_hits(a, f).join(a, "ask").join(f, "name")), "hits")
-    left = pruned(hits, points).where("not dropped").withColumn("pass", F.lit(1))
-    best = nearest_rows(foremost(ranked(left).select("ask", "pass", "k", "c_lat", "c_lon", "name", "type")), points).select("ask", "name", "type", "poi_id")
-    return needles.withColumn("ask", F.to_json(F.struct("text", "c_lat", "c_lon"))).join(best, "ask").select("needle_id", "name", "type", "poi_id")
+    left, asked = pruned(hits, asked, points)
+    best = nearest_rows(foremost(ranked(left.where("not dropped").withColumn("pass", F.lit(1))).select(*FOUND)), asked, points)
+    return answered(needles, best.select("ask", "name", "type", "poi_id")).select("needle_id", "name", "type", "poi_id")
 
 
-def candidates(a: DataFrame, f: DataFrame, points: DataFrame) -> DataFrame:
-    """Candidates of all passes in one table: ask, pass (its number), k (what comes before distance in its order), name, type."""
-    some = ["ask", "pass", "k", "c_lat", "c_lon", "name", "type"]
+def candidates(a: DataFrame, f: DataFrame, asked: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates of all passes in one table: ask (a say), pass (its number), k (what comes before distance in its order), name,
+    type; and the asks with their says."""
+    some = FOUND
     full = lambda pairs: same_class(pairs.join(a, "ask").join(f, "name"))
-    left = cut(pruned(full(aligned_hits(a, f)), points), "hits")
+    left, asked = pruned(cut(full(aligned_hits(a, f)), "hits"), asked, points)
     words = ranked(left.where("not dropped").withColumn("pass", F.lit(1))).select(*some)
     shops = left.where("dropped").withColumn("pass", F.lit(7)).withColumn("k", F.array(F.length("name"))).select(*some)
     # later passes are for asks that the first has nothing for
@@ -268,7 +280,7 @@ def candidates(a: DataFrame, f: DataFrame, points: DataFrame) -> DataFrame:
     phonetic = [tower, extra("phon", "a_phon"), whole_name(F.col("a_sounds"), F.col("sounds")), F.when(F.col("area"), 0).otherwise(1)]
     found = found.unionByName(contained(4, "a_phon", "phon", phonetic, long))
     found = found.unionByName(typo_candidates(a.where(long), f).withColumn("pass", F.lit(5)).select(*some))
-    return found.unionByName(contained(6, "a_canon", "canon", [extra("phon", "a_canon")], long))
+    return cut(found.unionByName(contained(6, "a_canon", "canon", [extra("phon", "a_canon")], long)), "candidates"), asked
 
 
 def foremost(found: DataFrame) -> DataFrame:
@@ -279,41 +291,74 @@ def foremost(found: DataFrame) -> DataFrame:
 
 def points_of(rows: DataFrame) -> DataFrame:
     """Distinct points of each name and type: their first row and how many they have."""
-    return rows.groupBy("name", "type", "p_lat", "p_lon").agg(F.min("poi_id").alias("poi_id"), F.count("*").alias("n"))
+    return cut(rows.groupBy("name", "type", "p_lat", "p_lon").agg(F.min("poi_id").alias("poi_id"), F.count("*").alias("n")), "points")
+
+
+def asks_of(needles: DataFrame) -> DataFrame:
+    """Distinct texts and centres: ask, text, c_lat, c_lon."""
+    return needles.select("text", "c_lat", "c_lon").distinct().withColumn("ask", F.to_json(F.struct("text", "c_lat", "c_lon")))
 
 
-def undecided(found: DataFrame, points: DataFrame) -> DataFrame:
-    """Asks whose two first rows in the pass that forgives slips have as many words and are different places: ask."""
-    best = nearest_rows(foremost(found), points, first=2)
-    keys = best.groupBy("ask").agg(F.collect_set(identity_key(F.col("name"))).alias("keys"))
-    return keys.where(F.size("keys") > 1).select("ask")
+def answered(needles: DataFrame, best: DataFrame) -> DataFrame:
+    return needles.withColumn("ask", F.to_json(F.struct("text", "c_lat", "c_lon"))).join(best, "ask")
 
 
-def lookup_rows(asks: DataFrame, rows: DataFrame) -> DataFrame:
+def undecided(found: DataFrame, asked: DataFrame, points: DataFrame) -> DataFrame:
+    """Asks whose two first rows in the pass that forgives slips have as many words and are different places: ask. Only says whose
+    first candidates are different places can have such asks."""
+    top = cut(foremost(found).select("ask", "name", "type").distinct().withColumn("ident", identity_key(F.col("name"))), "alike")
+    torn = cut(top.groupBy("ask").agg(F.count_distinct("ident").alias("_n")).where("_n > 1").select(F.col("ask").alias("say")), "torn")
+    idents = top.select(F.col("ask").alias("say"), "name", "ident").distinct()
+    meant = points_named(top.join(torn.withColumnRenamed("say", "ask"), "ask", "left_semi"), points).join(idents, ["say", "name"])
+    # a point's further rows stand right behind its first; the first two of a point are all that can count there
+    row = F.struct(F.length("name").alias("l"), "name", F.coalesce("type", F.lit("")).alias("t"), "poi_id", "copy")
+    meant = meant.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("n").cast("int"), F.lit(2))))).withColumn("r", row)
+    two = lambda df, *by: df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by[:-1]).orderBy(*by[-1]))).where("_rn <= 2")
+    there = cut(two(meant, "say", "p_lat", "p_lon", ["r"]).select("say", "p_lat", "p_lon", "r", "ident"), "there").hint("merge")
+    todo, out = asked.join(torn, "say", "left_semi").select("ask", "say", "c_lat", "c_lon"), None
+    for metres in (*GROWING_M, None):
+        if metres:
+            pairs = sphere_join(todo, there, metres, ["say"], "c_lat", "c_lon")
+        else:
+            pairs = todo.join(there, "say").withColumn("distance", F.coalesce(distance_m(F.col("c_lat"), F.col("c_lon"), F.col("p_lat"), F.col("p_lon")), F.lit(0.0)))
+        got = two(pairs, "ask", ["distance", "r"]).groupBy("ask").agg(F.count("*").alias("n"), F.count_distinct("ident").alias("idents"))
+        got = cut(got.where("n = 2") if metres else got, "two")
+        out, todo = got if out is None else out.unionByName(got), todo.join(got, "ask", "left_anti")
+    return out.where("idents > 1").select("ask")
+
+
+def lookup_rows(asks: DataFrame, rows: DataFrame, f: DataFrame | None = None, points: DataFrame | None = None) -> DataFrame:
     """The one row for each ask (ask, text, c_lat, c_lon) that its words mean: ask, pass, name, type, poi_id, p_lat, p_lon, d.
 
-    ``rows``: poi_id, name, type, p_lat, p_lon. Asks without one are missing. Passes, each for asks that none before has: names
-    that hold the needle at a word, that hold two of its words, that have all of its words in both languages' form, by sound,
-    up to a slip each, by consonants; last the shops that stepped aside. Two different places as near by slips are none.
+    ``rows``: poi_id, name, type, p_lat, p_lon; ``f``, ``points``: their features and points, where there are some. Asks without one
+    are missing. Passes, each for asks that none before has: names that hold the needle at a word, that hold two of its words, that
+    have all of its words in both languages' form, by sound, up to a slip each, by consonants; last the shops that stepped aside.
+    Two different places as near by slips are none.
     """
-    f, points = cut(place_features(rows), "features"), points_of(rows)
-    found = cut(candidates(cut(ask_features(asks), "asks"), f, points), "candidates")
+    f, points = cut(place_features(rows), "features") if f is None else f, points_of(rows) if points is None else points
+    asked = told(asks)
+    found, asked = candidates(cut(ask_features(says_of(asked)), "asks"), f, asked, points)
     sure = found.groupBy("ask").agg(F.min("pass").alias("_first"))
-    slips = found.join(sure.where("_first = 5"), "ask").drop("_first").where(F.col("pass") == 5)
-    found = found.join(undecided(slips, points).withColumn("pass", F.lit(5)), ["ask", "pass"], "left_anti")
-    top = foremost(found)
-    return nearest_rows(top, points).join(top.select("ask", "pass").distinct(), "ask").select("ask", "pass", "name", "type", "poi_id", "p_lat", "p_lon", "d")
-
-
-def areas_named(asks: DataFrame, rows: DataFrame) -> DataFrame:
-    """The settlement or city whose name has every word of an ask, where the words say nothing else: columns of ``lookup_rows``."""
-    f = place_features(rows).where(F.col("area") | (norm_type(F.col("type")) == "city"))
-    a = asks.withColumn("want", phonetic_keys(F.col("text"))).where((F.size("want") > 0) & (F.size("want") == F.size(forms.lookup_tokens(F.col("text")))))
+    slips = cut(found.join(sure.where("_first = 5"), "ask").drop("_first"), "slips")
+    # asks that slips leave undecided go on with a say of their own, which has the later passes alone
+    own = lambda c: F.concat(F.lit("unsure "), F.col(c))
+    unsure = undecided(slips.where(F.col("pass") == 5), asked, points).withColumn("_unsure", F.lit(True))
+    asked = cut(asked.join(unsure, "ask", "left").withColumn("say", F.when(F.col("_unsure"), own("say")).otherwise(F.col("say"))).drop("_unsure"), "told")
+    top = cut(foremost(found.unionByName(slips.where(F.col("pass") != 5).withColumn("ask", own("ask")))), "foremost")
+    best = nearest_rows(top, asked, points)
+    return best.join(top.select(F.col("ask").alias("say"), "pass").distinct(), "say").select("ask", "pass", "name", "type", "poi_id", "p_lat", "p_lon", "d")
+
+
+def areas_named(asks: DataFrame, f: DataFrame, points: DataFrame) -> DataFrame:
+    """The settlement or city whose name has every word of an ask, where the words say nothing else: columns of ``lookup_rows``.
+    ``f``, ``points``: features and points of the rows."""
+    asked = told(asks)
+    f = f.where(F.col("area") | (norm_type(F.col("type")) == "city"))
+    a = cut(says_of(asked).withColumn("want", phonetic_keys(F.col("text"))).where((F.size("want") > 0) & (F.size("want") == F.size(forms.lookup_tokens(F.col("text"))))), "wanted")
     pairs = by_rarest(a, F.col("want"), f.select("name", F.explode("phon").alias("key")).distinct())
     j = pairs.join(a, "ask").join(f, "name").where(F.size(F.array_except("want", "phon")) == 0)
     j = j.withColumn("pass", F.lit(0)).withColumn("k", F.array(F.size("phon") - F.size("want"), whole_name(sounds(F.col("text")), F.col("sounds"))))
-    top = foremost(j.select("ask", "pass", "k", "c_lat", "c_lon", "name", "type"))
-    return nearest_rows(top, points_of(rows)).select("ask", F.lit(0).alias("pass"), "name", "type", "poi_id", "p_lat", "p_lon", "d")
+    return nearest_rows(foremost(j.select(*FOUND)), asked, points).select("ask", F.lit(0).alias("pass"), "name", "type", "poi_id", "p_lat", "p_lon", "d")
 
 
 def resolve_places(needles: DataFrame, rows: DataFrame) -> DataFrame:
@@ -325,53 +370,54 @@ def resolve_places(needles: DataFrame, rows: DataFrame) -> DataFrame:
     name (4), and other forms of a school's (from 5). Listings of flats are never found, and no stop by another name. Equal
     needles at one centre are looked up once, and so are alternatives that they share.
     """
-    asks = needles.select("text", "c_lat", "c_lon").distinct().where(~forms.only_grammar(F.col("text")))
-    asks = asks.withColumn("ask", F.to_json(F.struct("text", "c_lat", "c_lon")))
+    asks = cut(asks_of(needles), "asks")
+    texts = cut(asks.select("text").distinct().where(~forms.only_grammar(F.col("text"))), "texts")
+    asks = asks.join(texts, "text", "left_semi")
+    f, points = cut(place_features(rows), "features"), points_of(rows)
     opened = opener_off(F.col("text"))
     second = F.coalesce(*[F.when(forms.official_name(opened) == k, F.array(*map(F.lit, v))) for k, v in forms.SECOND_NAMES.items()], F.array().cast("array<string>"))
     one = lambda turn, t: F.struct(F.lit(turn).alias("turn"), t.alias("alt"))
     other = F.when(~F.col("text").rlike(ASKS_STOP), market_form(F.col("text")))
     tries = F.concat(F.array(one(1, F.col("text")), one(2, other)), F.transform(second, lambda t: one(4, t)), F.transform(forms.school_forms(F.col("text")), lambda t, i: F.struct((i + 5).alias("turn"), t.alias("alt"))))
-    tries = asks.select("ask", "c_lat", "c_lon", F.explode(tries).alias("x")).select("ask", "c_lat", "c_lon", "x.*").where("alt is not null")
+    tries = cut(texts.select("text", F.explode(tries).alias("x")).select("text", "x.*").where("alt is not null"), "alternatives")
+    tries = asks.join(tries, "text").select("ask", "c_lat", "c_lon", "turn", "alt")
     tries = cut(tries.withColumn("alone", F.to_json(F.struct("alt", "c_lat", "c_lon"))), "tries")
     said = tries.select(F.col("alone").alias("ask"), F.col("alt").alias("text"), "c_lat", "c_lon").distinct()
-    hits = tries.select("ask", "turn", "alone").join(lookup_rows(said, rows).withColumnRenamed("ask", "alone"), "alone").drop("alone")
+    hits = tries.select("ask", "turn", "alone").join(lookup_rows(said, rows, f, points).withColumnRenamed("ask", "alone"), "alone").drop("alone")
     kind = norm_type(F.col("type"))
     stop = kind.isin(*L.TRANSIT_TYPES)
     asked_stop = F.get_json_object("ask", "$.text").rlike(ASKS_STOP)
     # what the words found is a stop: the other name of a shopping centre goes first
     hits = hits.where(~kind.isin(*LISTINGS) & (~F.col("turn").isin(2, 4) | ~stop)).withColumn("turn", F.when((F.col("turn") == 1) & stop & ~asked_stop, 3).otherwise(F.col("turn")))
-    hits = hits.unionByName(areas_named(asks, rows).withColumn("turn", F.lit(0)))
+    hits = hits.unionByName(areas_named(asks, f, points).withColumn("turn", F.lit(0)))
     best = hits.groupBy("ask").agg(F.min(F.struct("turn", "pass", "name", "type", "poi_id", "d")).alias("b"))
-    asked = needles.withColumn("ask", F.to_json(F.struct("text", "c_lat", "c_lon")))
     far = F.when(F.col("c_lat").isNotNull(), F.floor(F.col("b.d") + 0.5).cast("long"))
-    return asked.join(best, "ask").select("needle_id", "b.turn", "b.pass", "b.name", "b.type", "b.poi_id", far.alias("distance_m"))
+    return answered(needles, best).select("needle_id", "b.turn", "b.pass", "b.name", "b.type", "b.poi_id", far.alias("distance_m"))
 
 
 def typo_lookup(needles: DataFrame, rows: DataFrame) -> DataFrame:
     """The place that each needle means if every word may have a slip: needle_id, name, poi_id. Names with the fewest words first,
     then the nearest, or the shortest without a centre; two different places that stand first alike are a miss."""
-    asks = needles.select("text", "c_lat", "c_lon").distinct().withColumn("ask", F.to_json(F.struct("text", "c_lat", "c_lon")))
     opened = opener_off(F.col("text"))
-    a = asks.where(~forms.too_generic(opened, place_category(opened))).withColumn("clean", F.trim("text"))
+    asked, points = told(asks_of(needles)), points_of(rows)
+    a = says_of(asked).where(~forms.too_generic(opened, place_category(opened))).withColumn("clean", F.trim("text"))
     typed = F.filter(F.split("clean", r"[^0-9\p{L}]+"), lambda w: F.length(w) >= 3)
     a = a.select("ask", "c_lat", "c_lon", place_category(F.col("clean")).alias("a_cat"), typed.alias("a_typed"), F.transform(typed, canonical_word_key).alias("a_typed_keys"), F.transform(typed, bare).alias("a_typed_bare"))
-    points = points_of(rows)
-    found = cut(typo_candidates(a, cut(place_features(rows), "features")).withColumn("pass", F.lit(5)).select("ask", "pass", "k", "c_lat", "c_lon", "name", "type"), "slips")
-    found = found.join(undecided(found, points), "ask", "left_anti")
-    best = nearest_rows(foremost(found), points).select("ask", "name", "poi_id")
-    return needles.withColumn("ask", F.to_json(F.struct("text", "c_lat", "c_lon"))).join(best, "ask").select("needle_id", "name", "poi_id")
+    found = cut(typo_candidates(cut(a, "asks"), cut(place_features(rows), "features")).withColumn("pass", F.lit(5)).select(*FOUND), "slips")
+    asked = asked.join(undecided(found, asked, points), "ask", "left_anti")
+    best = nearest_rows(foremost(found), asked, points)
+    return answered(needles, best.select("ask", "name", "poi_id")).select("needle_id", "name", "poi_id")
 
 
 def token_set_lookup(needles: DataFrame, rows: DataFrame) -> DataFrame:
     """The place that has all of a needle's words, in whatever order and language: needle_id, name, poi_id.
 
     Names with the fewest further words first, then by the rank of their type, then the nearest, or the shortest."""
-    asks = needles.select("text", "c_lat", "c_lon").distinct().withColumn("ask", F.to_json(F.struct("text", "c_lat", "c_lon")))
+    asked = told(asks_of(needles))
     f = cut(place_features(rows).where("not shop"), "features")
-    a = cut(ask_features(asks), "asks").where(F.forall("a_tokens", lambda w: F.length(w) >= 3) & (F.size("a_tokens") > 0))
+    a = cut(ask_features(says_of(asked)), "asks").where(F.forall("a_tokens", lambda w: F.length(w) >= 3) & (F.size("a_tokens") > 0))
     pairs = by_rarest(a, F.col("a_tokens"), f.select("name", F.explode("tokens").alias("key")).distinct())
     j = same_class(pairs.join(a, "ask").join(f, "name")).where(F.size(F.array_except("a_tokens", "tokens")) == 0)
     j = j.withColumn("pass", F.lit(3)).withColumn("k", F.array(F.size("tokens") - F.size("a_tokens"), -F.col("rank")))
-    best = nearest_rows(foremost(j.select("ask", "pass", "k", "c_lat", "c_lon", "name", "type")), points_of(rows)).select("ask", "name", "poi_id")
-    return needles.withColumn("ask", F.to_json(F.struct("text", "c_lat", "c_lon"))).join(best, "ask").select("needle_id", "name", "poi_id")
+    best = nearest_rows(foremost(j.select(*FOUND)), asked, points_of(rows))
+    return answered(needles, best.select("ask", "name", "poi_id")).select("needle_id", "name", "poi_id")
