@@ -237,11 +237,31 @@ def heal_places(osm: DataFrame, anchors: DataFrame, metres: float = TOKEN_M) ->
     o = osm.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).groupBy("name", "lat", "lon").agg(F.min("osm_id").alias("o"))
     a = anchors.where(F.col("p_lat").isNotNull() & F.col("p_lon").isNotNull()).groupBy("anchor_name", "p_lat", "p_lon").agg(F.min("anchor_id").alias("a"))
     traits = traits_of(o.select("name"), a.select("anchor_name"))
-    near = radius_join(o.join(traits, "name"), a.join(traits.toDF("anchor_name", "anchor_traits"), "anchor_name"), metres)
-    pairs = near.where(tier_of(F.col("traits"), F.col("anchor_traits"), F.col("distance"), F.lit(False), F.lit(True)) != "none").select("o", "a", "distance").checkpoint()
+    pairs = agreeing(o.join(traits, "name"), a.join(traits.toDF("anchor_name", "anchor_traits"), "anchor_name"), metres).checkpoint()
     return heal_alike(osm.join(o, ["name", "lat", "lon"]).select("osm_id", "o"), anchors.join(a, ["anchor_name", "p_lat", "p_lon"]).select("anchor_id", "a"), pairs)
 
 
+def agreeing(o: DataFrame, a: DataFrame, metres: float) -> DataFrame:
+    """o, a, distance of the rows (o, traits, lat, lon) and anchors (a, anchor_traits, p_lat, p_lon) within ``metres`` that ``tier_of`` finds
+    to be one place. Only what can agree meets in a cell: names of one token set, names by a word of the lesser where one
+    contains the other, embassies by a country; names that have nothing in common are not compared, however dense places are."""
+    t, u = F.col("traits"), F.col("anchor_traits")
+    whole = lambda c: F.array_join(F.array_sort(c["tokens"]), " ")
+    # a word that stands for a contained name: its longest, which has 4 letters if any has
+    word = lambda c: F.array_max(F.transform(c["tokens"], lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
+    missions = lambda c: F.when(c["embassy"], c["countries"])
+
+    def met(within: float, left: Column, right: Column, more: Column | bool) -> DataFrame:
+        near = radius_join(o.withColumn("_k", left).where("_k is not null"), a.withColumn("_k", right).where("_k is not null"), min(metres, within), on=("_k",))
+        near = near if more is True else near.where(more)
+        return near.where(tier_of(t, u, F.col("distance"), F.lit(False), F.lit(True)) != "none").select("o", "a", "distance")
+
+    fewer, own = F.size(t["tokens"]) < F.size(u["tokens"]), lambda c: F.when(F.length(word(c)) >= 4, word(c))
+    found = met(TOKEN_M, whole(t), whole(u), True).unionByName(met(SUBSET_M, own(t), F.explode(u["tokens"]), fewer))
+    found = found.unionByName(met(SUBSET_M, F.explode(t["tokens"]), own(u), F.size(t["tokens"]) > F.size(u["tokens"])))
+    return found.unionByName(met(EMBASSY_M, F.explode(missions(t)), F.explode(missions(u)), True)).distinct()
+
+
 def heal_alike(osm: DataFrame, anchors: DataFrame, pairs: DataFrame) -> DataFrame:
     """The nearest free anchor of each row (osm_id, o), where rows of one ``o``, and anchors (anchor_id, a) of one ``a``, are as far
     from all others: (osm_id, anchor_id). ``pairs``: o, a, distance; it is read more than once.

@@ -14,11 +14,12 @@ from cartolex.functions.text import is_complex_name, norm_type, type_rank
 from cartolex.tables import cut
 
 
-def radius_join(left: DataFrame, right: DataFrame, metres: float, lat: str = "lat", lon: str = "lon", point: tuple[str, str] = ("p_lat", "p_lon")) -> DataFrame:
+def radius_join(left: DataFrame, right: DataFrame, metres: float, lat: str = "lat", lon: str = "lon", point: tuple[str, str] = ("p_lat", "p_lon"), on: tuple[str, ...] = ()) -> DataFrame:
     """Pairs whose points are at most ``metres`` apart, with ``distance``; ``right`` has its point in columns ``point``.
 
     Both sides meet on grid cells as wide as the radius: the left row goes to nine cells, the right row to one, so that the
-    join is an equi-join whatever the sizes, and no pair appears twice. Rows without a point match nothing.
+    join is an equi-join whatever the sizes, and no pair appears twice. Rows without a point match nothing. ``on``: columns that
+    are equal too.
     """
     step_lat, step_lon = metres / LAT_M, metres / LON_M
     cell = lambda a, b: (F.floor(a / step_lat).alias("_cx"), F.floor(b / step_lon).alias("_cy"))
@@ -28,7 +29,7 @@ def radius_join(left: DataFrame, right: DataFrame, metres: float, lat: str = "la
     r = right.where(F.col(point[0]).isNotNull() & F.col(point[1]).isNotNull()).select("*", *cell(F.col(point[0]), F.col(point[1])))
     d = distance_m(F.col(lat), F.col(lon), F.col(point[0]), F.col(point[1]))
     near = (F.abs(F.col(lat) - F.col(point[0])) <= step_lat) & (F.abs(F.col(lon) - F.col(point[1])) <= step_lon)
-    return l.join(r, ["_cx", "_cy"]).where(near).withColumn("distance", d).where(F.col("distance") <= metres).drop("_cx", "_cy")
+    return l.join(r, [*on, "_cx", "_cy"]).where(near).withColumn("distance", d).where(F.col("distance") <= metres).drop("_cx", "_cy")
 
 
 def sphere_join(left: DataFrame, right: DataFrame, metres: float, on: list[str], lat: str = "lat", lon: str = "lon", wide: float = 2.0) -> DataFrame:
