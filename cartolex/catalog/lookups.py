@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cartolex.catalog import sqltext as S
 from cartolex.catalog.names import _CATEGORY
 from cartolex.catalog.registry import query
-from cartolex.fixtures import POIS_SQL, PROPERTIES_SQL, distance_sql, pois, properties
+from cartolex.fixtures import POIS_SQL, PROPERTIES_SQL, distance_sql, names_by_remainder, pois, properties
 from cartolex.functions import lexicon as L
 from cartolex.operators import cascade
 
@@ -23,7 +23,7 @@ def places(spark, sf_dir):
 def needles(spark, sf_dir):
     """A name, a word of one, or one in capitals; every third without a centre."""
     k = F.col("property_id")
-    said = pois(spark, sf_dir).select((F.col("poi_id") - 1).alias("_k"), F.split("name", " ").alias("w"), F.col("name").alias("n"))
+    said = names_by_remainder(spark, sf_dir, 500).select("_k", F.split("name", " ").alias("w"), F.col("name").alias("n"))
     p = properties(spark, sf_dir).withColumn("_k", k % 500).join(said, "_k")
     text = F.when(k % 4 == 0, F.col("n")).when(k % 4 == 1, F.get("w", F.lit(1))).when(k % 4 == 2, F.get("w", F.lit(0))).otherwise(F.upper("n"))
     return p.select(k.alias("needle_id"), text.alias("text"), F.when(k % 3 != 0, F.col("lat")).alias("c_lat"), F.when(k % 3 != 0, F.col("lon")).alias("c_lon"), "w")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cartolex.catalog.registry import query
 from cartolex.catalog.search import _NEAR
-from cartolex.fixtures import POIS_SQL, PROPERTIES_SQL, distance_sql, pois, properties, shared_folder, table
+from cartolex.fixtures import POIS_SQL, PROPERTIES_SQL, distance_sql, names_by_remainder, pois, properties, shared_folder, table
 from cartolex.operators import landmarks, spatial
 from cartolex.plans import queue
 from cartolex.sources import capture, mapsink
@@ -105,7 +105,7 @@ _ENTRY_SQL = f"""(select property_id, (property_id % 3)::integer as pos, case pr
 def feed_audit(spark, sf_dir):
     k = F.col("property_id")
     p = pois(spark, sf_dir)
-    named = properties(spark, sf_dir).join(p.select((F.col("poi_id") - 1).alias("_k"), F.col("name").alias("_n")), k % 500 == F.col("_k"), "left")
+    named = properties(spark, sf_dir).join(names_by_remainder(spark, sf_dir, 500).withColumnRenamed("name", "_n"), k % 500 == F.col("_k"), "left")
     entries = named.select("property_id", (k % 3).cast("int").alias("pos"), F.when(k % 8 == 0, "").when(k % 8 == 1, "nowhere at all").otherwise(F.col("_n")).alias("landmark"), ((k % 40) * 100.0).alias("claimed_m"), F.when(k % 9 != 0, F.col("lat")).alias("lat"), "lon")
     return landmarks.audit_feed(entries, p.select("name", "p_lat", "p_lon"))
 

@@ -39,6 +39,13 @@ def pois(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def names_by_remainder(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """Names of the places that a key's remainder by ``n`` picks: _k (the remainder), name. The others, which no key can meet, stay out
+    of the join: the table's file is so much smaller than its rows that all of them would be broadcast."""
+    k = F.col("_k")
+    return pois(spark, sf_dir).select((F.col("poi_id") - 1).alias("_k"), "name").where(k % n == k)
+
+
 def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     lat, lon = point("c_custkey", 6151, 3571)
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("property_id"), lat.alias("lat"), lon.alias("lon"), F.col("c_nationkey").alias("nation"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))

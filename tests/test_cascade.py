@@ -8,6 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from cartolex.catalog import lookups, service
 from cartolex.functions import forms
 from cartolex.functions import lexicon as L
 from cartolex.operators import cascade
@@ -241,3 +242,25 @@ def test_names_are_sought_once_a_text(spark, monkeypatch):
     assert {r["needle_id"]: r["poi_id"] for r in cascade.ranked_lookup(needles, df).collect()} == want
     assert {any(r[0] == w and r[2] == "park" for r in rows) for w in want.values()} == {True, False}
     assert sizes["hits"] <= 2 * len(rows)
+
+
+@pytest.mark.parametrize("asks", [lookups.needles, service.feed_audit])
+def test_names_that_no_remainder_picks_are_not_joined(spark, monkeypatch, tmp_path, asks):
+    """Keys' remainders by 500 are 999 at most, however many names the table has; keys below 0 have their own."""
+    at = str(tmp_path)
+    part = spark.range(-600, 3000).selectExpr("id as p_partkey", "concat('red n', id) as p_name", "'PROMO' as p_type", "1 as p_size", "'b' as p_brand")
+    part.write.parquet(f"{at}/part.parquet")
+    spark.range(-700, 700).selectExpr("id as c_custkey", "1 as c_nationkey", "'c' as c_name", "'s' as c_mktsegment").write.parquet(f"{at}/customer.parquet")
+    joined, join = [], type(part).join
+
+    def counted(self, other, on=None, how=None):
+        if "_k" in other.columns:
+            joined.append(other.count())
+        return join(self, other, on, how)
+
+    monkeypatch.setattr(type(part), "join", counted)
+    out = asks(spark, at)
+    assert joined == [999]
+    if asks is lookups.needles:
+        said = {k: f"red n{int(math.fmod(k, 500)) + 1}" for k in range(-700, 700)}
+        assert {r["needle_id"]: " ".join(r["w"]) for r in out.collect()} == said
